@@ -205,7 +205,8 @@ def row_features(rows: DataFrame, stats: DataFrame, spec: CovisSpec, row_cols: l
     ``rows`` carries the sequence, targets and time columns; ``row_cols`` are kept as
     the output key (e.g. rid, fold or ID).  With ``join_fold`` the lookup key includes
     the row's fold, so each row sees only statistics built without its own fold."""
-    rt = token_rows(rows, spec, keep=row_cols, outer=True)
+    keep = list(row_cols) + (["fold"] if join_fold and "fold" not in row_cols else [])
+    rt = token_rows(rows, spec, keep=keep, outer=True)
     on = KEYS + (["fold"] if join_fold else [])
     lookup = stats.select(*on, "impr", "ctr")
     joined = rt.join(lookup, on, "left")
