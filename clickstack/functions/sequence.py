@@ -10,14 +10,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-EMPTY_INT_ARRAY = F.array().cast("array<int>")
+def empty_int_array() -> Column:
+    return F.array().cast("array<int>")
 
 
 def parse_lenient(seq) -> Column:
     """Split on ',' and try-cast each piece; junk and empty pieces stay as null
     elements (they keep their position).  Null sequence -> empty array."""
     s = _col(seq)
-    return F.when(s.isNull(), EMPTY_INT_ARRAY).otherwise(
+    return F.when(s.isNull(), empty_int_array()).otherwise(
         F.transform(F.split(s, ","), lambda x: x.try_cast("int")))
 
 

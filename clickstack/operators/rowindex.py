@@ -40,3 +40,25 @@ def contiguous_rid(df: DataFrame, key: str, out: str = "rid",
     b = F.floor((F.col(key) - lo).cast("double") * nb / width).cast("long")
     with_b = df.withColumn("_rid_bucket", b)
     return ordinal_by_buckets(with_b, [key], "_rid_bucket", out).drop("_rid_bucket")
+
+
+def global_ordinal(df: DataFrame, order_cols: list[str], out: str = "ordinal") -> DataFrame:
+    """0-based position of each row in a total order (``order_cols`` must be unique).
+
+    A global sort range-partitions on the full key, so even a score value held by a
+    third of the rows is split across tasks by the unique tie-break column.  The sorted
+    rows are checkpointed (reliable, shared folder) so the per-partition counts and the
+    ids come from one materialisation; offsets come from a table with one row per
+    partition."""
+    from ..session import cut_lineage
+    tagged = df.orderBy(*order_cols).withColumn("_mono", F.monotonically_increasing_id())
+    tagged = cut_lineage(tagged)
+    pid = F.shiftright(F.col("_mono"), 33)
+    local = F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
+    tagged = tagged.withColumn("_pid", pid).withColumn("_local", local)
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pn"))
+    prefix = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_pn").over(prefix), F.lit(0)).alias("_poff"))
+    return (tagged.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, F.col("_poff") + F.col("_local"))
+            .drop("_mono", "_pid", "_local", "_poff"))

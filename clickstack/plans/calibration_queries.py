@@ -1 +1,158 @@
-"""Registered queries (filled in below)."""
+"""Registered calibration queries (2.10, 2.7 #17, 2.1 #16, #18)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.prob import EPS_LOGIT, clip, sigmoid, sigmoid_stable
+from ..operators import calibrate as ca
+from ..operators import metrics as me
+from ..operators.folds import attach_folds
+from ..sources import fixtures as fx
+from ..sources import shards as sh
+from . import oracle_base as ob
+from .registry import register
+
+SC = [ob.IMPRESSIONS, ob.SCORES]
+TEMPS = [0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
+KX = [0.1, 0.3, 0.5, 0.7, 0.9]
+KY = [0.05, 0.2, 0.2, 0.6, 0.95]
+
+
+def _obj_sql(t: float) -> str:
+    tc = min(max(t, 0.2), 5.0)
+    p = ob.clip_sql(ob.sigmoid_sql(f"z / {tc}"), 1e-7, 1 - 1e-7)
+    return (f"SELECT {t}::DOUBLE AS \"T\", 0.5 * (coalesce(avg(CASE WHEN clicked = 1 THEN -ln({p}) END), 0.0) + "
+            f"coalesce(avg(CASE WHEN clicked <> 1 THEN -ln(1 - {p}) END), 0.0)) + {1e-3 * (tc - 1) ** 2!r} AS loss FROM scores")
+
+
+@register("temperature_objective", ob.query(SC, " UNION ALL ".join(_obj_sql(t) for t in TEMPS), ["loss"]))
+def q_temperature_objective(spark, sf_dir):
+    """Class-balanced loss + ridge at fixed T (clamped to [0.2, 5]), one aggregation (2.10 #1)."""
+    return ca.temperature_objective(fx.scores(spark, sf_dir), "z", "clicked", TEMPS)
+
+
+@register("temperature_apply", ob.query(SC, 'SELECT rid, z / 5.0 AS z_t7, z / 0.5 AS z_t05 FROM scores',
+                                        ["z_t7", "z_t05"]))
+def q_temperature_apply(spark, sf_dir):
+    """z / clamp(T, 0.2, 5) for T = 7 (clamped) and T = 0.5 (2.7 #17)."""
+    s = fx.scores(spark, sf_dir)
+    return s.select("rid", ca.temperature_apply("z", 7.0).alias("z_t7"),
+                    ca.temperature_apply("z", 0.5).alias("z_t05"))
+
+
+@register("isotonic_guard", ob.query(SC, """SELECT n_p::BIGINT AS n_distinct_p, (n_p >= 8)::INT AS iso_p,
+       n_c::BIGINT AS n_distinct_coarse, (n_c >= 8)::INT AS iso_coarse
+FROM (SELECT count(DISTINCT p) AS n_p, count(DISTINCT floor(p * 600 / 20)) AS n_c FROM scores)"""))
+def q_isotonic_guard(spark, sf_dir):
+    """Isotonic is skipped when the scores have fewer than 8 distinct values (2.10 #3)."""
+    s = fx.scores(spark, sf_dir)
+    g = s.agg(F.countDistinct("p").alias("n_p"),
+              F.countDistinct(F.floor(F.col("p") * 600 / 20)).alias("n_c"))
+    return g.select(F.col("n_p").alias("n_distinct_p"), (F.col("n_p") >= ca.MIN_ISO_NODES).cast("int").alias("iso_p"),
+                    F.col("n_c").alias("n_distinct_coarse"),
+                    (F.col("n_c") >= ca.MIN_ISO_NODES).cast("int").alias("iso_coarse"))
+
+
+def _apply_sql(q: str) -> str:
+    xs = "[" + ", ".join(map(str, KX)) + "]"
+    ys = "[" + ", ".join(map(str, KY)) + "]"
+    n = f"len(list_filter({xs}, lambda x: x <= {q}))"
+    i = f"greatest(least({n}, {len(KX) - 1}), 1)"
+    x0, x1, y0, y1 = f"{xs}[{i}]", f"{xs}[{i} + 1]", f"{ys}[{i}]", f"{ys}[{i} + 1]"
+    return (f"CASE WHEN {n} = 0 THEN {KY[0]} WHEN {n} >= {len(KX)} THEN {KY[-1]} "
+            f"WHEN {x1} = {x0} THEN {y1} ELSE {y0} + ({y1} - {y0}) * ({q} - {x0}) / ({x1} - {x0}) END")
+
+
+@register("calibrate_apply", ob.query(
+    SC + [f"ca AS (SELECT rid, {ob.clip_sql(ob.sigmoid_sql(ob.clip_sql('z / 0.5', -50.0, 50.0)), 1e-7, 1 - 1e-7)} AS q FROM scores)"],
+    f"SELECT rid, {ob.clip_sql(_apply_sql('q'), 1e-7, 1 - 1e-7)} AS p FROM ca", ["p"]))
+def q_calibrate_apply(spark, sf_dir):
+    """predict_proba: temperature, stable sigmoid, knot interpolation, final clip (2.10 #5)."""
+    cal = ca.Calibrator("temperature+isotonic", T=0.5, knots_x=KX, knots_y=KY)
+    return fx.scores(spark, sf_dir).select("rid", cal.proba(F.col("z")).alias("p"))
+
+
+def _report_sql() -> str:
+    after = ob.clip_sql(ob.sigmoid_sql(ob.clip_sql("z / 0.5", -50.0, 50.0)), 1e-7, 1 - 1e-7)
+    before = ob.sigmoid_sql(ob.clip_sql("z", -50.0, 50.0))
+    parts = []
+    for stage, expr in (("before", before), ("after", after)):
+        src = f"(SELECT clicked, {expr} AS pp FROM scores)"
+        parts.append(f"""SELECT '{stage}' AS stage, ap, wll, 0.5 * ap + 0.5 * wll AS score
+FROM ({ob.ap_sql(src, 'clicked', 'pp')}), ({ob.wll_sql(src, 'clicked', 'pp')})""")
+    return " UNION ALL ".join(parts)
+
+
+@register("calibration_report", ob.query(SC, _report_sql(), ["ap", "wll", "score"]))
+def q_calibration_report(spark, sf_dir):
+    """Metrics before and after calibration on the OOF logits (2.10 #7)."""
+    s = fx.scores(spark, sf_dir)
+    cal = ca.Calibrator("temperature", T=0.5)
+    before = s.select("clicked", sigmoid_stable(F.col("z")).alias("pp"))
+    after = s.select("clicked", cal.proba(F.col("z")).alias("pp"))
+    b = me.final_score(before, "clicked", "pp").select(F.lit("before").alias("stage"), "ap", "wll", "score")
+    a = me.final_score(after, "clicked", "pp").select(F.lit("after").alias("stage"), "ap", "wll", "score")
+    return b.unionByName(a)
+
+
+@register("oof_check", ob.query(
+    SC + [ob.folds_cte("scores", name="sf")],
+    """SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (WHERE z IS NULL)::BIGINT AS n_missing,
+       (count(*) - count(DISTINCT rid))::BIGINT AS n_dup, count(DISTINCT fold)::BIGINT AS n_folds FROM sf"""))
+def q_oof_check(spark, sf_dir):
+    """OOF assembly: every fold's validation rows scored once; coverage and uniqueness
+    checked in one aggregation (2.1 #18, 2.10 #8)."""
+    s = attach_folds(fx.scores(spark, sf_dir), ["inventory_id", "day_of_week"], 5, "md5")
+    oof = None
+    for f in range(5):  # one scored block per fold model, unioned
+        part = s.where(F.col("fold") == f).select("rid", "fold", "z", "clicked")
+        oof = part if oof is None else oof.unionByName(part)
+    return oof.agg(F.count(F.lit(1)).alias("n_rows"),
+                   F.count(F.when(F.col("z").isNull(), 1)).alias("n_missing"),
+                   (F.count(F.lit(1)) - F.countDistinct("rid")).alias("n_dup"),
+                   F.countDistinct("fold").alias("n_folds"))
+
+
+# ---------------------------------------------------------------- fits (rows-only)
+@register("temperature_fit")
+def q_temperature_fit(spark, sf_dir):
+    """T minimising the class-balanced loss + 1e-3 (T-1)^2 on the informative logit (2.10 #1)."""
+    t, loss = ca.fit_temperature(fx.scores(spark, sf_dir), "z", "clicked")
+    return spark.range(1).select(F.lit(t).alias("T"), F.lit(loss).alias("loss"))
+
+
+@register("isotonic_fit")
+def q_isotonic_fit(spark, sf_dir):
+    """Isotonic knots on sigmoid(z) with 50:50 class weights (2.10 #2)."""
+    s = fx.scores(spark, sf_dir).withColumn("pz", sigmoid_stable(F.col("z")))
+    return ca.isotonic_knots(s, "pz", "clicked")
+
+
+@register("temp_isotonic")
+def q_temp_isotonic(spark, sf_dir):
+    """Temperature, then isotonic on the tempered probabilities (2.10 #4)."""
+    s = fx.scores(spark, sf_dir)
+    cal = ca.fit(s, "z", "clicked", "temperature+isotonic")
+    return spark.createDataFrame(list(zip(cal.knots_x, cal.knots_y)), "x double, y double") \
+        .withColumn("T", F.lit(cal.T))
+
+
+@register("calibration_meta")
+def q_calibration_meta(spark, sf_dir):
+    """Calibration metadata with before/after metrics, written as JSON to the shared
+    folder and read back (2.1 #16)."""
+    s = fx.scores(spark, sf_dir)
+    cal = ca.fit(s, "z", "clicked", "temperature")
+    before = me.final_score(s.select("clicked", sigmoid_stable(F.col("z")).alias("pp")), "clicked", "pp")
+    after = me.final_score(s.select("clicked", cal.proba(F.col("z")).alias("pp")), "clicked", "pp")
+    meta = before.select(
+        F.lit("temperature").alias("method"), F.lit(cal.T).alias("T"),
+        F.lit(ca.T_CLAMP[0]).alias("clamp_lo"), F.lit(ca.T_CLAMP[1]).alias("clamp_hi"),
+        F.lit(ca.L2_REG).alias("l2"), F.lit(ca.MIN_ISO_NODES).alias("min_iso_nodes"),
+        F.col("ap").alias("ap_before"), F.col("wll").alias("wll_before"), F.col("score").alias("score_before"),
+        after.select("ap").scalar().alias("ap_after"), after.select("wll").scalar().alias("wll_after"),
+        after.select("score").scalar().alias("score_after"))
+    path = sh.scratch_path(spark, "calib-meta")
+    meta.coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.json(path)

@@ -96,3 +96,44 @@ def query(ctes: list[str], body: str, round_cols: list[str] | None = None) -> st
         sql = f"WITH _q AS ({sql})\nSELECT * REPLACE ({rep}) FROM _q" if not ctes else \
               "WITH " + ",\n".join(ctes) + f",\n_q AS ({body})\nSELECT * REPLACE ({rep}) FROM _q"
     return sql
+
+
+def hyg(p: str, eps: float) -> str:
+    h = (f"(CASE WHEN isnan({p}) THEN 0.5 WHEN {p} = 'inf'::DOUBLE THEN 1.0 "
+         f"WHEN {p} = '-inf'::DOUBLE THEN 0.0 ELSE {p} END)")
+    return f"least(greatest({h}, {eps}), 1 - {eps})"
+
+
+def ap_sql(src: str, y: str = "y", p: str = "p", by: str | None = None) -> str:
+    """Average precision per group over a table/CTE ``src``."""
+    g = f"{by}, " if by else ""
+    part = f"PARTITION BY {by} " if by else ""
+    q = hyg(p, 1e-12)
+    return f"""SELECT {g}CASE WHEN max(npos) = 0 OR max(npos) = max(ntot) THEN 0.0
+            ELSE sum(tp * ctp / cn) / max(npos) END AS ap
+FROM (SELECT {g}tp, sum(tp) OVER ({part}ORDER BY q DESC) AS ctp, sum(n) OVER ({part}ORDER BY q DESC) AS cn,
+             sum(tp) OVER ({part.strip() if by else ''}) AS npos, sum(n) OVER ({part.strip() if by else ''}) AS ntot
+      FROM (SELECT {g}{q} AS q, sum(CASE WHEN {y} = 1 THEN 1 ELSE 0 END) AS tp, count(*) AS n
+            FROM {src} GROUP BY ALL))
+GROUP BY ALL"""
+
+
+def wll_sql(src: str, y: str = "y", p: str = "p", by: str | None = None) -> str:
+    g = f"{by}, " if by else ""
+    q = hyg(p, 1e-12)
+    return f"""SELECT {g}CASE WHEN lp IS NULL OR ln IS NULL THEN 'nan'::DOUBLE ELSE 0.5 * (lp + ln) END AS wll
+FROM (SELECT {g}avg(CASE WHEN {y} = 1 THEN -ln({q}) END) AS lp,
+             avg(CASE WHEN NOT ({y} = 1) THEN -ln(1 - {q}) END) AS ln FROM {src} GROUP BY ALL)"""
+
+
+def logit_sql(p: str, eps: float = 1e-7) -> str:
+    q = f"least(greatest({p}, {eps}), 1 - {eps})"
+    return f"(ln({q}) - ln(1 - {q}))"
+
+
+def sigmoid_sql(z: str) -> str:
+    return f"(1.0 / (1.0 + exp(-({z}))))"
+
+
+def clip_sql(x: str, lo: float, hi: float) -> str:
+    return f"least(greatest({x}, {lo}), {hi})"
