@@ -13,19 +13,21 @@ from pyspark.sql import functions as F
 
 
 def ordinal_by_buckets(df: DataFrame, order_cols: list[str], bucket_col: str,
-                       out: str = "ordinal") -> DataFrame:
-    counts = df.groupBy(bucket_col).agg(F.count(F.lit(1)).alias("_bucket_n"))
-    prefix = Window.orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
+                       out: str = "ordinal", by: list[str] | None = None) -> DataFrame:
+    """``by`` restarts the numbering per group (e.g. per class)."""
+    by = list(by or [])
+    counts = df.groupBy(*by, bucket_col).agg(F.count(F.lit(1)).alias("_bucket_n"))
+    prefix = Window.partitionBy(*by).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        bucket_col, F.coalesce(F.sum("_bucket_n").over(prefix), F.lit(0)).alias("_bucket_off"))
-    inner = Window.partitionBy(bucket_col).orderBy(*order_cols)
-    return (df.join(offsets, bucket_col)
+        *by, bucket_col, F.coalesce(F.sum("_bucket_n").over(prefix), F.lit(0)).alias("_bucket_off"))
+    inner = Window.partitionBy(*by, bucket_col).orderBy(*order_cols)
+    return (df.join(offsets, by + [bucket_col])
             .withColumn(out, F.col("_bucket_off") + F.row_number().over(inner) - 1)
             .drop("_bucket_off"))
 
 
 def contiguous_rid(df: DataFrame, key: str, out: str = "rid",
-                   rows_per_bucket: int = 1_000_000) -> DataFrame:
+                   rows_per_bucket: int = 1_000_000, by: list[str] | None = None) -> DataFrame:
     """0-based contiguous index in the order of a unique numeric ``key``.
 
     Buckets are equal-width slices of [min, max] of the key, their number grows with
@@ -39,10 +41,10 @@ def contiguous_rid(df: DataFrame, key: str, out: str = "rid",
     width = (hi - lo + 1).cast("double")
     b = F.floor((F.col(key) - lo).cast("double") * nb / width).cast("long")
     with_b = df.withColumn("_rid_bucket", b)
-    return ordinal_by_buckets(with_b, [key], "_rid_bucket", out).drop("_rid_bucket")
+    return ordinal_by_buckets(with_b, [key], "_rid_bucket", out, by).drop("_rid_bucket")
 
 
-def global_ordinal(df: DataFrame, order_cols: list[str], out: str = "ordinal") -> DataFrame:
+def global_ordinal(df: DataFrame, order_cols: list, out: str = "ordinal") -> DataFrame:
     """0-based position of each row in a total order (``order_cols`` must be unique).
 
     A global sort range-partitions on the full key, so even a score value held by a

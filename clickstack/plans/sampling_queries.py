@@ -1 +1,93 @@
-"""Registered queries (filled in below)."""
+"""Registered fold and sampling queries (2.8, 2.6 #4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import sampling as sa
+from ..operators.folds import attach_folds, holdout, stratified_group_fold_map, with_group
+from ..sources import fixtures as fx
+from . import oracle_base as ob
+from .registry import register
+
+IT = [ob.IMPRESSIONS, ob.TRAIN]
+SGF = f"""sg AS (SELECT *, {ob.group_hash(['inventory_id', 'day_of_week'])} AS g FROM train),
+pg AS (SELECT g, sum(clicked) AS pos, count(*) AS n FROM sg GROUP BY g),
+rk AS (SELECT g, row_number() OVER (ORDER BY pos DESC, n DESC,
+              {ob.md5_u32("concat_ws(chr(31), '777', CAST(g AS VARCHAR))")}, g) - 1 AS i FROM pg),
+fm AS (SELECT g, (CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END)::INT AS fold FROM rk),
+sgf AS (SELECT sg.*, fm.fold FROM sg JOIN fm USING (g))"""
+
+
+def strat_folds(spark, sf_dir):
+    tr = with_group(fx.train(spark, sf_dir), ["inventory_id", "day_of_week"], "md5")
+    fmap = stratified_group_fold_map(tr, "clicked", 5, seed=777)
+    return tr.join(fmap, "g")
+
+
+@register("stratified_group_folds", ob.query(IT + [SGF], "SELECT rid, fold FROM sgf"))
+def q_stratified_group_folds(spark, sf_dir):
+    """Groups dealt to folds in a snake draft by positives, size, seeded tie-break;
+    a group never straddles folds (2.8 #2, D2)."""
+    return strat_folds(spark, sf_dir).select("rid", "fold")
+
+
+@register("holdout_split", ob.query(IT + [SGF], "SELECT rid, fold, (fold = 0)::INT AS is_valid FROM sgf"))
+def q_holdout_split(spark, sf_dir):
+    """n_splits == 1: fold 0 of 5 is the validation part (2.8 #3)."""
+    return holdout(strat_folds(spark, sf_dir).select("rid", "fold"))
+
+
+BB = f"""cn AS (SELECT sum(clicked)::BIGINT AS np, sum(1 - clicked)::BIGINT AS nn, count(*)::BIGINT AS n FROM train),
+sl AS (SELECT r.range // 64 AS batch, r.range % 64 AS slot FROM cn, range((cn.n // 64) * 64) r),
+sp AS (SELECT batch, slot, CASE WHEN slot < 32 THEN 1 ELSE 0 END AS cls,
+              {ob.md5_u32("concat_ws(chr(31), '777', '0', CAST(batch AS VARCHAR), CAST(slot AS VARCHAR))")}
+              % (CASE WHEN slot < 32 THEN np ELSE nn END) AS idx FROM sl, cn),
+ci AS (SELECT rid, clicked AS cls, row_number() OVER (PARTITION BY clicked ORDER BY rid) - 1 AS idx FROM train)"""
+
+
+@register("balanced_batches", ob.query(IT + [BB], "SELECT batch::BIGINT AS batch, slot::BIGINT AS slot, rid FROM sp JOIN ci USING (cls, idx)"))
+def q_balanced_batches(spark, sf_dir):
+    """Balanced batches (bs 64, half positives) with replacement, md5 draws joined to
+    per-class row indices (2.8 #4)."""
+    return sa.balanced_batches(fx.train(spark, sf_dir), "clicked", 64, 0.5, seed=777, epoch=0,
+                               rows_per_bucket=2000)
+
+
+@register("hash_sample", ob.query(IT, f"""SELECT rid FROM train
+WHERE {ob.md5_u32("concat_ws(chr(31), '2025', coalesce(CAST(rid AS VARCHAR), 'NA'))")} / 4294967296.0 < 0.3"""))
+def q_hash_sample(spark, sf_dir):
+    """Reproducible 30% sample by a hash of (seed, key) (2.8 #5)."""
+    return sa.hash_sample(fx.train(spark, sf_dir), ["rid"], 0.3, seed=2025).select("rid")
+
+
+SF = [ob.IMPRESSIONS, ob.SCORES, ob.folds_cte("scores", name="sf")]
+
+
+def scores_folds(spark, sf_dir):
+    return attach_folds(fx.scores(spark, sf_dir), ["inventory_id", "day_of_week"], 5, "md5")
+
+
+@register("hard_negatives", ob.query(SF + [
+    """rk AS (SELECT rid, fold, z, row_number() OVER (PARTITION BY fold ORDER BY z DESC, rid) - 1 AS o,
+                count(*) OVER (PARTITION BY fold) AS nn FROM sf WHERE clicked <> 1)"""],
+    "SELECT rid, fold, z FROM rk WHERE o < greatest(1, floor(nn * 0.1))", ["z"]))
+def q_hard_negatives(spark, sf_dir):
+    """Top 10% negatives by logit per fold (2.6 #4)."""
+    s = scores_folds(spark, sf_dir).select("rid", "fold", "clicked", "z")
+    return sa.hard_negatives(s, "clicked", "z", 0.1, by=["fold"]).select("rid", "fold", "z")
+
+
+@register("pairwise_loss", ob.query(SF + [
+    """ix AS (SELECT fold, rid, clicked AS cls, z, row_number() OVER (PARTITION BY fold, clicked ORDER BY rid) - 1 AS idx FROM sf),
+cnt AS (SELECT fold, sum(cls) AS "P", sum(1 - cls) AS "N" FROM ix GROUP BY fold),
+pos AS (SELECT ix.fold, ix.idx, ix.z AS zp, cnt."N" FROM ix JOIN cnt USING (fold)
+        WHERE cls = 1 AND idx < greatest(1, floor(least("N", greatest(1, 8 * greatest(1, "P"))) / 8))),
+pairs AS (SELECT fold, zp, """ + ob.md5_u32("concat_ws(chr(31), '777', CAST(fold AS VARCHAR), CAST(idx AS VARCHAR), CAST(t.range AS VARCHAR))")
+    + """ % "N" AS nidx FROM pos, range(8) t)"""],
+    """SELECT fold, count(*)::BIGINT AS n_pairs, avg(ln(1 + exp(-abs(-(zp - zn)))) + greatest(-(zp - zn), 0)) AS loss
+FROM pairs JOIN (SELECT fold, idx AS nidx, z AS zn FROM ix WHERE cls = 0) USING (fold, nidx) GROUP BY fold""", ["loss"]))
+def q_pairwise_loss(spark, sf_dir):
+    """Pairwise logistic loss over hashed positive/negative pairs per fold (2.8 #6)."""
+    s = scores_folds(spark, sf_dir).select("rid", "fold", "clicked", "z")
+    return sa.pairwise_loss(s, "clicked", "z", by=["fold"], num_neg_per_pos=8, seed=777)
