@@ -1 +1,110 @@
-"""Registered queries (filled in below)."""
+"""Registered history-pooling queries (2.11, 2.7 #9-10, 2.5 #7, 2.12 #1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import history as hi
+from ..sources import fixtures as fx
+from ..sources import tables as tb
+from . import oracle_base as ob
+from .registry import register
+
+# Fixture lookups into the one embedding table: token t -> vec t (attention) and
+# t + 100 (representation); inventory i -> 200 + i; day d -> 300 + d; hour h -> 400 + h.
+SPEC = hi.HistorySpec(max_len=120, top_k=8, tau=512.0, query_mode="concat", query_key="inventory_id",
+                      context_cols=("day_of_week", "hour"), att_offset=0, rep_offset=100,
+                      query_offset=200, context_offsets={"day_of_week": 300, "hour": 400})
+
+
+def _rows(spark, sf_dir, mode="concat"):
+    emb = tb.read_table(spark, sf_dir, "embeddings")
+    imp = fx.impressions(spark, sf_dir).select("rid", "seq", "inventory_id", "day_of_week", "hour")
+    spec = SPEC if mode == "concat" else hi.HistorySpec(**{**SPEC.__dict__, "query_mode": mode})
+    return hi.with_query_vector(imp, emb, spec), emb
+
+
+def _pair(a: str, b: str, f: str) -> str:
+    return f"list_transform(range(1, len({a}) + 1), lambda i: {f.replace('A', a + '[i]').replace('B', b + '[i]')})"
+
+
+QV = f"""emb AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+qv0 AS (SELECT i.rid, i.seq, s1.v AS s1, {_pair('c1.v', 'c2.v', '(A + B) / 2.0')} AS s2
+        FROM impressions i LEFT JOIN emb s1 ON s1.vec_id = i.inventory_id + 200
+        LEFT JOIN emb c1 ON c1.vec_id = i.day_of_week + 300 LEFT JOIN emb c2 ON c2.vec_id = i."hour" + 400),
+qv AS (SELECT rid, seq, s1, s2, {_pair('s1', 's2', '(A + B) * 0.5')} AS q FROM qv0)"""
+SC = QV + f""",
+tk AS (SELECT rid, q, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos, len(l) AS "L"
+       FROM (SELECT rid, q, {ob.lenient_tail('seq', 120)} AS l FROM qv)),
+sc AS (SELECT rid, pos, token, list_dot_product(a.v, q) + ln(exp(-("L" - 1 - pos) / 512.0) + 1e-8) AS score,
+              r.v AS rep
+       FROM tk JOIN emb a ON a.vec_id = token JOIN emb r ON r.vec_id = token + 100 WHERE token IS NOT NULL),
+top AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, pos) AS "rank" FROM sc QUALIFY "rank" <= 8)"""
+
+
+@register("query_vector", ob.query([ob.IMPRESSIONS, QV], """SELECT rid, s1[1] AS s1_0, s1[2] AS s1_1,
+       s2[1] AS s2_0, s2[2] AS s2_1, q[1] AS c_0, q[2] AS c_1 FROM qv""",
+    ["s1_0", "s1_1", "s2_0", "s2_1", "c_0", "c_1"]))
+def q_query_vector(spark, sf_dir):
+    """Query vector modes S1 (target embedding), S2 (mean of context embeddings) and
+    concat (their average) (2.11 #2)."""
+    out = None
+    for mode, pre in (("S1", "s1"), ("S2", "s2"), ("concat", "c")):
+        rows, _ = _rows(spark, sf_dir, mode)
+        part = rows.select("rid", F.element_at("q", 1).alias(f"{pre}_0"), F.element_at("q", 2).alias(f"{pre}_1"))
+        out = part if out is None else out.join(part, "rid")
+    return out
+
+
+@register("history_score", ob.query([ob.IMPRESSIONS, SC], "SELECT rid, pos::INT AS pos, token::INT AS token, score FROM sc",
+                                     ["score"]))
+def q_history_score(spark, sf_dir):
+    """Recency-aware dot score of every kept history token (2.7 #9, 2.11 #1)."""
+    rows, emb = _rows(spark, sf_dir)
+    return hi.token_scores(rows, emb, SPEC, keep_rep=False).select("rid", "pos", "token", "score")
+
+
+@register("history_topk", ob.query([ob.IMPRESSIONS, SC], """SELECT rid, "rank"::INT AS "rank", pos::INT AS pos,
+       token::INT AS token, score FROM top""", ["score"]))
+def q_history_topk(spark, sf_dir):
+    """Per-row top-8 tokens by score, ties to the older position (2.5 #7)."""
+    rows, emb = _rows(spark, sf_dir)
+    return hi.top_k(rows, emb, SPEC)
+
+
+@register("history_pool", ob.query([ob.IMPRESSIONS, SC + """,
+w AS (SELECT rid, rep, exp(score - max(score) OVER (PARTITION BY rid)) AS e FROM top),
+dims AS (SELECT rid, e, unnest(rep) AS v, generate_subscripts(rep, 1) AS d FROM w),
+pv AS (SELECT rid, d, sum(e * v) / sum(e) AS pv FROM dims GROUP BY rid, d),
+agg AS (SELECT rid, max(CASE WHEN d = 1 THEN pv END) AS pool_0, max(CASE WHEN d = 2 THEN pv END) AS pool_1,
+               max(CASE WHEN d = 3 THEN pv END) AS pool_2, sqrt(sum(pv * pv)) AS pool_norm FROM pv GROUP BY rid),
+ns AS (SELECT rid, count(*) AS n_sel FROM top GROUP BY rid)"""],
+    """SELECT i.rid, coalesce(ns.n_sel, 0)::INT AS n_sel, coalesce(pool_0, 0.0) AS pool_0, coalesce(pool_1, 0.0) AS pool_1,
+       coalesce(pool_2, 0.0) AS pool_2, coalesce(pool_norm, 0.0) AS pool_norm
+FROM impressions i LEFT JOIN agg USING (rid) LEFT JOIN ns USING (rid)""", ["pool_0", "pool_1", "pool_2", "pool_norm"]))
+def q_history_pool(spark, sf_dir):
+    """Softmax over the top-8 scores, weighted sum of representation vectors; empty
+    history -> zero vector (2.7 #10, 2.11 #3)."""
+    rows, emb = _rows(spark, sf_dir)
+    p = hi.pool(rows, emb, SPEC, dim=64)
+    norm = F.sqrt(F.aggregate(F.transform("pooled", lambda v: v * v), F.lit(0.0), lambda a, b: a + b))
+    return p.select("rid", "n_sel", F.element_at("pooled", 1).alias("pool_0"),
+                    F.element_at("pooled", 2).alias("pool_1"), F.element_at("pooled", 3).alias("pool_2"),
+                    norm.alias("pool_norm"))
+
+
+@register("fm_interaction", ob.query([ob.IMPRESSIONS, """emb AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+fv AS (SELECT i.rid, a.v AS a, b.v AS b, c.v AS c FROM impressions i
+       JOIN emb a ON a.vec_id = i.inventory_id + 200 JOIN emb b ON b.vec_id = i.day_of_week + 300
+       JOIN emb c ON c.vec_id = i."hour" + 400)"""],
+    """SELECT rid, 0.5 * list_sum(list_transform(range(1, len(a) + 1),
+       lambda i: (a[i] + b[i] + c[i]) * (a[i] + b[i] + c[i]) - (a[i] * a[i] + b[i] * b[i] + c[i] * c[i]))) AS fm FROM fv""",
+    ["fm"]))
+def q_fm_interaction(spark, sf_dir):
+    """(sum v)^2 - sum v^2 over the row's category vectors, as a column expression (2.12 #1)."""
+    emb = tb.read_table(spark, sf_dir, "embeddings")
+    imp = fx.impressions(spark, sf_dir).select("rid", "inventory_id", "day_of_week", "hour")
+    df = imp.join(hi.lookup(emb, 200, "_a", "inventory_id"), "inventory_id") \
+            .join(hi.lookup(emb, 300, "_b", "day_of_week"), "day_of_week") \
+            .join(hi.lookup(emb, 400, "_c", "hour"), "hour")
+    return df.select("rid", hi.fm_interaction([F.col("_a"), F.col("_b"), F.col("_c")]).alias("fm"))
