@@ -92,3 +92,14 @@ def q_rank_scaled(spark, sf_dir):
     n = a.agg(F.count(F.lit(1))).scalar()
     r = me.tie_average_rank(a, "clicked", out="_r")
     return r.select("ID", ((F.col("_r") - 1) / ((n - 1).cast("double") + F.lit(1e-12))).alias("r"))
+
+
+@register("logit_sigmoid", ob.query(SC, f"""SELECT rid, {ob.logit_sql('p')} AS logit_p, {ob.sigmoid_sql('z')} AS sigmoid_z,
+       {ob.sigmoid_sql(ob.clip_sql('z * 40', -50.0, 50.0))} AS sigmoid_stable_z40 FROM scores""",
+    ["logit_p", "sigmoid_z", "sigmoid_stable_z40"]))
+def q_logit_sigmoid(spark, sf_dir):
+    """Logit with clip 1e-7, sigmoid, and the stable sigmoid clipped to +-50 (2.7 #13)."""
+    from ..functions.prob import logit, sigmoid_stable
+    s = fx.scores(spark, sf_dir)
+    return s.select("rid", logit(F.col("p")).alias("logit_p"), sigmoid(F.col("z")).alias("sigmoid_z"),
+                    sigmoid_stable(F.col("z") * 40).alias("sigmoid_stable_z40"))
