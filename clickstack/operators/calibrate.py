@@ -53,7 +53,12 @@ def temperature_objective(df: DataFrame, z: str, y: str, temps: list[float], l2:
 
 def fit_temperature(df: DataFrame, z: str, y: str, l2: float = L2_REG, clamp: tuple = T_CLAMP,
                     rounds: int = 5, points: int = 17) -> tuple[float, float]:
-    """argmin over T in [clamp] of the objective; returns (T, loss)."""
+    """argmin over T in [clamp] of the objective; returns (T, loss).
+
+    The (z, y) columns are materialised once (shared folder) since every round scans
+    them."""
+    from ..session import cut_lineage
+    df = cut_lineage(df.select(F.col(z).cast("double").alias(z), F.col(y)), "tfit")
     lo, hi = math.log(clamp[0]), math.log(clamp[1])
     best_t, best_loss = 1.0, float("inf")
     for _ in range(rounds):

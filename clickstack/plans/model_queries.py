@@ -14,6 +14,7 @@ from .registry import register
 
 CATS = ["inventory_id", "day_of_week", "hour", "l_feat_14"]
 NUMS = ["feat_a_1", "feat_a_1_mask"] + FEATS
+HASH_FEATURES = 1 << 12  # hashed one-hot width for the fixture's four small categories
 
 
 def _tables(spark, sf_dir):
@@ -32,8 +33,8 @@ def _tables(spark, sf_dir):
                  .withColumn("feat_a_1", F.when(miss, med).otherwise(F.col("feat_a_1")))
     trd = cv.join_features(numeric(tr), rf_oof.drop("fold"), "rid", FEATS)
     ted = cv.join_features(numeric(te), rf_test, "ID", FEATS)
-    trd = cut_lineage(mo.design(trd.select("rid", "fold", "clicked", *CATS, *NUMS), CATS, NUMS))
-    ted = cut_lineage(mo.design(ted.select("ID", *CATS, *NUMS), CATS, NUMS))
+    trd = cut_lineage(mo.design(trd.select("rid", "fold", "clicked", *CATS, *NUMS), CATS, NUMS, HASH_FEATURES))
+    ted = cut_lineage(mo.design(ted.select("ID", *CATS, *NUMS), CATS, NUMS, HASH_FEATURES))
     return trd, ted
 
 

@@ -57,7 +57,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one): survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as Parquet in a fresh folder under the shared checkpoint
+    directory and continue from the files.
+
+    Same guarantee as a reliable ``checkpoint()`` (the data survives executor loss and
+    the lineage is cut) but computed in ONE pass: an eager RDD checkpoint of an
+    unpersisted plan runs the plan twice (count, then write)."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
