@@ -18,14 +18,14 @@ def parse_lenient(seq) -> Column:
     """Split on ',' and try-cast each piece; junk and empty pieces stay as null
     elements (they keep their position).  Null sequence -> empty array."""
     s = _col(seq)
-    return F.when(s.isNull(), empty_int_array()).otherwise(
-        F.transform(F.split(s, ","), lambda x: x.try_cast("int")))
+    # array-level try_cast keeps per-element nulls and stays in whole-stage codegen
+    return F.when(s.isNull(), empty_int_array()).otherwise(F.split(s, ",").try_cast("array<int>"))
 
 
 def parse_strict(seq) -> Column:
     """Split on ',', skip empty pieces, cast each to int (a bad token raises under ANSI)."""
     s = F.coalesce(_col(seq), F.lit(""))
-    return F.transform(F.filter(F.split(s, ","), lambda x: x != ""), lambda x: x.cast("int"))
+    return F.array_remove(F.split(s, ","), "").cast("array<int>")
 
 
 def tail(arr, k: int) -> Column:

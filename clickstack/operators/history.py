@@ -1,7 +1,11 @@
 """Query-aware pooling of a click history with embedding tables (the data half of the
-sequence encoder): lookups are joins to (id, vector) tables, the per-row top-k and the
-softmax pooling are array operations after ONE groupBy(row) whose partial aggregation
-runs map-side (all tokens of a row start in the same partition)."""
+sequence encoder).
+
+Plan: explode the kept tokens, broadcast-join the attention vectors, score each token
+with codegen'd fixed-width arithmetic, keep the top-k per row through ONE groupBy(row)
+(map-side partial collect of small structs), then fetch representation vectors for
+the k selected tokens only and pool them with per-dimension sums.  The second groupBy
+reuses the row partitioning of the first (no extra shuffle)."""
 
 from __future__ import annotations
 
@@ -10,8 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as vx
 from ..functions.sequence import parse_lenient, tail
-from ..functions.vectors import dot
 
 # Fixed value: epsilon inside the log of the recency decay.
 DECAY_EPS = 1e-8
@@ -28,6 +32,7 @@ class HistorySpec:
     query_mode: str = "concat"  # S1 | S2 | concat
     query_key: str = "inventory_id"
     context_cols: tuple = ()
+    dim: int = 64
     # id shift of each lookup into the embedding table: table row vec_id = key + offset
     att_offset: int = 0
     rep_offset: int = 0
@@ -35,27 +40,16 @@ class HistorySpec:
     context_offsets: dict = field(default_factory=dict)
 
 
-def _vec(c: Column) -> Column:
-    return F.transform(c, lambda x: x.cast("double"))
-
-
 def lookup(emb: DataFrame, offset: int, out: str, key: str = "_key") -> DataFrame:
-    """(key, vector) view of the embedding table with vec_id = key + offset."""
-    return emb.select((F.col("vec_id") - F.lit(int(offset))).alias(key), _vec(F.col("embedding")).alias(out))
-
-
-def _mean_vectors(cols: list[str]) -> Column:
-    acc = F.col(cols[0])
-    for c in cols[1:]:
-        acc = F.zip_with(acc, F.col(c), lambda a, b: a + b)
-    n = float(len(cols))
-    return F.transform(acc, lambda x: x / F.lit(n))
+    """(key, vector<double>) view of the embedding table with vec_id = key + offset."""
+    return emb.select((F.col("vec_id") - F.lit(int(offset))).alias(key), vx.as_double("embedding").alias(out))
 
 
 def with_query_vector(rows: DataFrame, emb: DataFrame, spec: HistorySpec, out: str = "q") -> DataFrame:
     """S1 = embedding of the query key, S2 = mean of the context column embeddings,
     concat = their average."""
     df = rows
+    d = spec.dim
     if spec.query_mode in ("S1", "concat"):
         df = df.join(lookup(emb, spec.query_offset, "_s1", spec.query_key), spec.query_key, "left")
     ctx = []
@@ -67,15 +61,15 @@ def with_query_vector(rows: DataFrame, emb: DataFrame, spec: HistorySpec, out: s
     if spec.query_mode == "S1":
         q = F.col("_s1")
     elif spec.query_mode == "S2":
-        q = _mean_vectors(ctx)
+        q = vx.mean(ctx, d)
     elif spec.query_mode == "concat":
-        q = F.zip_with(F.col("_s1"), _mean_vectors(ctx), lambda a, b: (a + b) * 0.5)
+        q = vx.combine(["_s1", *ctx], [0.5] + [0.5 / len(ctx)] * len(ctx), d)
     else:
         raise ValueError(f"unknown query mode {spec.query_mode!r}")
     return df.withColumn(out, q).drop(*[c for c in ["_s1", *ctx] if c in df.columns])
 
 
-def token_scores(rows: DataFrame, emb: DataFrame, spec: HistorySpec, keep_rep: bool = True) -> DataFrame:
+def token_scores(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
     """One row per (row, kept token): score = <att(token), q> + ln(exp(-age/max(1,tau)) + 1e-8),
     age = position from the newest token."""
     toks = tail(parse_lenient(F.col(spec.seq_col)), spec.max_len)
@@ -84,58 +78,58 @@ def token_scores(rows: DataFrame, emb: DataFrame, spec: HistorySpec, keep_rep: b
     e = e.join(lookup(emb, spec.att_offset, "_att", "token"), "token")
     age = (F.col("_L") - 1 - F.col("pos")).cast("double")
     decay = F.exp(-age / F.lit(max(1.0, float(spec.tau))))
-    score = dot("_att", "q") + F.ln(decay + F.lit(DECAY_EPS))
-    e = e.withColumn("score", score).drop("_att", "q", "_L")
-    if keep_rep:
-        e = e.join(lookup(emb, spec.rep_offset, "rep", "token"), "token")
-    return e
+    score = vx.dot("_att", "q", spec.dim) + F.ln(decay + F.lit(DECAY_EPS))
+    return e.select(spec.row_key, "pos", "token", score.alias("score"))
 
 
-def pool(rows: DataFrame, emb: DataFrame, spec: HistorySpec, dim: int) -> DataFrame:
-    """Per row: the top-k tokens by score (ties: older position first), softmax (or
-    relu) weights over them and the weighted sum of representation vectors.  Rows
-    without history get a zero vector and n_sel = 0."""
+def selected(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
+    """(row, sel): the top-k (score desc, older position first) as an array of
+    (ns = -score, pos, token) structs."""
     sc = token_scores(rows, emb, spec)
     agg = sc.groupBy(spec.row_key).agg(F.collect_list(F.struct(
-        (-F.col("score")).alias("ns"), F.col("pos"), F.col("token"), F.col("rep"))).alias("_c"))
-    sel = F.slice(F.sort_array("_c"), 1, spec.top_k)
-    out = agg.select(spec.row_key, sel.alias("sel"))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    if spec.gating == "relu":
-        wts = F.transform("sel", lambda x: F.greatest(-x["ns"], F.lit(0.0)))
-        z = F.aggregate(wts, F.lit(0.0), lambda a, b: a + b) + F.lit(1e-12)
-    else:
-        m = -F.element_at("sel", 1)["ns"]
-        wts = F.transform("sel", lambda x: F.exp(-x["ns"] - m))
-        z = F.aggregate(wts, F.lit(0.0), lambda a, b: a + b)
-    out = out.withColumn("_w", wts).withColumn("_z", z)
-    pooled = F.aggregate(F.arrays_zip(F.col("sel").alias("s"), F.col("_w").alias("w")), zero,
-                         lambda acc, x: F.zip_with(acc, x["s"]["rep"], lambda a, r: a + x["w"] * r))
-    out = out.select(spec.row_key, F.size("sel").alias("n_sel"), "sel",
-                     F.transform(pooled, lambda v: v / F.col("_z")).alias("pooled"))
-    base = rows.select(spec.row_key)
-    return base.join(out, spec.row_key, "left").select(
-        spec.row_key, F.coalesce("n_sel", F.lit(0)).alias("n_sel"), "sel",
-        F.coalesce("pooled", zero).alias("pooled"))
+        (-F.col("score")).alias("ns"), F.col("pos"), F.col("token"))).alias("_c"))
+    return agg.select(spec.row_key, F.slice(F.sort_array("_c"), 1, spec.top_k).alias("sel"))
 
 
 def top_k(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
     """(row, rank, pos, token, score) of the selected tokens."""
-    sc = token_scores(rows, emb, spec, keep_rep=False)
-    agg = sc.groupBy(spec.row_key).agg(F.collect_list(F.struct(
-        (-F.col("score")).alias("ns"), F.col("pos"), F.col("token"))).alias("_c"))
-    sel = F.slice(F.sort_array("_c"), 1, spec.top_k)
-    return agg.select(spec.row_key, F.posexplode(sel).alias("rank", "_s")).select(
+    sel = selected(rows, emb, spec)
+    return sel.select(spec.row_key, F.posexplode("sel").alias("rank", "_s")).select(
         spec.row_key, (F.col("rank") + 1).alias("rank"), F.col("_s.pos").alias("pos"),
         F.col("_s.token").alias("token"), (-F.col("_s.ns")).alias("score"))
 
 
-def fm_interaction(vectors: list[Column]) -> Column:
+def pool(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
+    """Per row: softmax (or relu) weights over the selected scores and the weighted sum
+    of representation vectors; rows without history get a zero vector and n_sel = 0."""
+    d = spec.dim
+    sel = selected(rows, emb, spec)
+    if spec.gating == "relu":
+        z = F.aggregate("sel", F.lit(0.0), lambda a, x: a + F.greatest(-x["ns"], F.lit(0.0))) + F.lit(1e-12)
+        sel = sel.select(spec.row_key, F.explode("sel").alias("_s"), z.alias("_z"))
+        w = F.greatest(-F.col("_s.ns"), F.lit(0.0)) / F.col("_z")
+    else:
+        m = -F.element_at("sel", 1)["ns"]
+        z = F.aggregate("sel", F.lit(0.0), lambda a, x: a + F.exp(-x["ns"] - m))
+        sel = sel.select(spec.row_key, F.explode("sel").alias("_s"), m.alias("_m"), z.alias("_z"))
+        w = F.exp(-F.col("_s.ns") - F.col("_m")) / F.col("_z")
+    picked = sel.select(spec.row_key, F.col("_s.token").alias("token"), w.alias("_w")) \
+                .join(lookup(emb, spec.rep_offset, "_rep", "token"), "token")
+    # k weighted vectors per row, summed in array form after a map-side partial collect
+    pooled = picked.groupBy(spec.row_key).agg(
+        F.count(F.lit(1)).alias("n_sel"),
+        F.collect_list(F.struct(F.col("_w").alias("w"), F.col("_rep").alias("v"))).alias("_wv"))
+    zero = vx.zeros(d)
+    vsum = F.aggregate("_wv", zero, lambda acc, x: F.zip_with(acc, x["v"], lambda a, b: a + x["w"] * b))
+    out = pooled.select(spec.row_key, "n_sel", vsum.alias("pooled"))
+    return rows.select(spec.row_key).join(out, spec.row_key, "left").select(
+        spec.row_key, F.coalesce("n_sel", F.lit(0)).alias("n_sel"), F.coalesce("pooled", zero).alias("pooled"))
+
+
+def fm_interaction(vectors: list, dim: int | None = None) -> Column:
     """Pairwise low-rank interaction 0.5 * sum_d ((sum_i v_id)^2 - sum_i v_id^2)."""
-    s = vectors[0]
-    sq = F.transform(vectors[0], lambda x: x * x)
-    for v in vectors[1:]:
-        s = F.zip_with(s, v, lambda a, b: a + b)
-        sq = F.zip_with(sq, F.transform(v, lambda x: x * x), lambda a, b: a + b)
-    diff = F.zip_with(F.transform(s, lambda x: x * x), sq, lambda a, b: a - b)
-    return 0.5 * F.aggregate(diff, F.lit(0.0), lambda a, b: a + b)
+    vs = [F.col(v) if isinstance(v, str) else v for v in vectors]
+    s = vx.combine(vs, [1.0] * len(vs))
+    sq = vx.combine([F.transform(v, lambda x: x * x) for v in vs], [1.0] * len(vs))
+    diff = F.zip_with(s, sq, lambda a, b: a * a - b)
+    return 0.5 * F.aggregate(diff, F.lit(0.0), lambda acc, x: acc + x)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import vectors as vx
 from ..operators import history as hi
 from ..sources import fixtures as fx
 from ..sources import tables as tb
@@ -12,7 +13,7 @@ from .registry import register
 
 # Fixture lookups into the one embedding table: token t -> vec t (attention) and
 # t + 100 (representation); inventory i -> 200 + i; day d -> 300 + d; hour h -> 400 + h.
-SPEC = hi.HistorySpec(max_len=120, top_k=8, tau=512.0, query_mode="concat", query_key="inventory_id",
+SPEC = hi.HistorySpec(max_len=120, top_k=8, tau=512.0, query_mode="concat", query_key="inventory_id", dim=64,
                       context_cols=("day_of_week", "hour"), att_offset=0, rep_offset=100,
                       query_offset=200, context_offsets={"day_of_week": 300, "hour": 400})
 
@@ -61,7 +62,7 @@ def q_query_vector(spark, sf_dir):
 def q_history_score(spark, sf_dir):
     """Recency-aware dot score of every kept history token (2.7 #9, 2.11 #1)."""
     rows, emb = _rows(spark, sf_dir)
-    return hi.token_scores(rows, emb, SPEC, keep_rep=False).select("rid", "pos", "token", "score")
+    return hi.token_scores(rows, emb, SPEC).select("rid", "pos", "token", "score")
 
 
 @register("history_topk", ob.query([ob.IMPRESSIONS, SC], """SELECT rid, "rank"::INT AS "rank", pos::INT AS pos,
@@ -86,8 +87,8 @@ def q_history_pool(spark, sf_dir):
     """Softmax over the top-8 scores, weighted sum of representation vectors; empty
     history -> zero vector (2.7 #10, 2.11 #3)."""
     rows, emb = _rows(spark, sf_dir)
-    p = hi.pool(rows, emb, SPEC, dim=64)
-    norm = F.sqrt(F.aggregate(F.transform("pooled", lambda v: v * v), F.lit(0.0), lambda a, b: a + b))
+    p = hi.pool(rows, emb, SPEC)
+    norm = vx.norm("pooled", SPEC.dim)
     return p.select("rid", "n_sel", F.element_at("pooled", 1).alias("pool_0"),
                     F.element_at("pooled", 2).alias("pool_1"), F.element_at("pooled", 3).alias("pool_2"),
                     norm.alias("pool_norm"))
@@ -107,4 +108,4 @@ def q_fm_interaction(spark, sf_dir):
     df = imp.join(hi.lookup(emb, 200, "_a", "inventory_id"), "inventory_id") \
             .join(hi.lookup(emb, 300, "_b", "day_of_week"), "day_of_week") \
             .join(hi.lookup(emb, 400, "_c", "hour"), "hour")
-    return df.select("rid", hi.fm_interaction([F.col("_a"), F.col("_b"), F.col("_c")]).alias("fm"))
+    return df.select("rid", hi.fm_interaction(["_a", "_b", "_c"], SPEC.dim).alias("fm"))
