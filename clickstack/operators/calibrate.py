@@ -51,6 +51,45 @@ def temperature_objective(df: DataFrame, z: str, y: str, temps: list[float], l2:
     return row.select(F.inline(F.array(*parts)))
 
 
+def fit_temperature_by(df: DataFrame, z: str, y: str, by: str, groups: list, l2: float = L2_REG,
+                       clamp: tuple = T_CLAMP, rounds: int = 5, points: int = 17) -> dict:
+    """One temperature per group (e.g. per fold): every round is ONE aggregation
+    grouped by ``by`` with the candidate grid of each group as columns."""
+    from ..session import cut_lineage
+    df = cut_lineage(df.where(F.col(by).isin(list(groups)))
+                     .select(F.col(by), F.col(z).cast("double").alias(z), F.col(y)), "tfit")
+    lo = {g: math.log(clamp[0]) for g in groups}
+    hi = {g: math.log(clamp[1]) for g in groups}
+    best = {g: (1.0, float("inf")) for g in groups}
+    zc, yc = F.col(z), F.col(y)
+    for _ in range(rounds):
+        grids = {g: [math.exp(lo[g] + (hi[g] - lo[g]) * i / (points - 1)) for i in range(points)] for g in groups}
+        aggs = []
+        for i in range(points):
+            # the candidate T of point i differs per group: pick it with a CASE on the key
+            t = F.lit(None).cast("double")
+            for g in groups:
+                t = F.when(F.col(by) == g, F.lit(grids[g][i])).otherwise(t)
+            tcl = F.least(F.greatest(t, F.lit(clamp[0])), F.lit(clamp[1]))
+            p = clip(sigmoid(zc / tcl), EPS_LOGIT, 1 - EPS_LOGIT)
+            aggs += [F.avg(F.when(yc == 1, -F.ln(p))).alias(f"lp{i}"),
+                     F.avg(F.when(yc != 1, -F.ln(F.lit(1.0) - p))).alias(f"ln{i}")]
+        rows = df.groupBy(by).agg(*aggs).collect()  # one row per group
+        for r in rows:
+            g = r[by]
+            losses = []
+            for i in range(points):
+                tc = min(max(grids[g][i], clamp[0]), clamp[1])
+                losses.append(0.5 * ((r[f"lp{i}"] or 0.0) + (r[f"ln{i}"] or 0.0)) + l2 * (tc - 1.0) ** 2)
+            i = min(range(points), key=lambda k: (losses[k], k))
+            if losses[i] < best[g][1]:
+                best[g] = (grids[g][i], losses[i])
+            step = (hi[g] - lo[g]) / (points - 1)
+            c = math.log(grids[g][i])
+            lo[g], hi[g] = max(math.log(clamp[0]), c - step), min(math.log(clamp[1]), c + step)
+    return {g: best[g][0] for g in groups}
+
+
 def fit_temperature(df: DataFrame, z: str, y: str, l2: float = L2_REG, clamp: tuple = T_CLAMP,
                     rounds: int = 5, points: int = 17) -> tuple[float, float]:
     """argmin over T in [clamp] of the objective; returns (T, loss).

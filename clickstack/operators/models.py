@@ -81,11 +81,11 @@ def score_ensemble(test: DataFrame, models: list, oof: DataFrame, key: str = "ID
     OOF logits) calibrates model f; the calibrated probabilities are ensembled."""
     wide = test.select(key, "features")
     cols = []
+    temps = ca.fit_temperature_by(oof, "z", "y", fold_col, list(range(len(models)))) if calibrate else {}
     for f, m in enumerate(models):
         s = score(m, wide, [key]).select(key, F.col("z").alias(f"z{f}"))
         if calibrate:
-            t, _ = ca.fit_temperature(oof.where(F.col(fold_col) == f), "z", "y")
-            cal = ca.Calibrator("temperature", T=t)
+            cal = ca.Calibrator("temperature", T=temps[f])
             s = s.select(key, cal.proba(F.col(f"z{f}")).alias(f"p{f}"))
         else:
             s = s.select(key, ca.sigmoid_stable(F.col(f"z{f}")).alias(f"p{f}"))

@@ -181,3 +181,11 @@ def test_hard_negatives_count(spark):
     neg = {r["fold"]: r["n"] for r in s.where("clicked <> 1").groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     for f in neg:
         assert per[f] == max(1, int(neg[f] * 0.1))
+
+
+def test_grouped_temperature_equals_per_group(spark):
+    s = attach_folds(fx.scores(spark, SMALL), ["inventory_id", "day_of_week"], 5, "md5")
+    by = ca.fit_temperature_by(s, "z", "clicked", "fold", [0, 1, 2])
+    for f in (0, 1, 2):
+        t, _ = ca.fit_temperature(s.where(F.col("fold") == f), "z", "clicked")
+        assert by[f] == pytest.approx(t, rel=1e-12)
