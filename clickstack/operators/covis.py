@@ -86,10 +86,12 @@ def token_rows(df: DataFrame, spec: CovisSpec, keep: list[str] | None = None,
     stacked = F.array(*[F.struct(F.lit(t).alias("target"),
                                  F.col(t).cast("string").alias("target_value"))
                         for t in spec.targets])
+    # per-row values (length, stacked targets) are projected before the generator so
+    # they are computed once per row, not once per exploded token
     base = df.select(*keep, tb.alias("time_bin"), toks.alias("_toks"), stacked.alias("_tg"))
+    base = base.withColumn("_len", F.size("_toks"))
     gen = F.posexplode_outer("_toks") if outer else F.posexplode("_toks")
-    exploded = base.select(*keep, "time_bin", "_tg", F.size("_toks").alias("_len"),
-                           gen.alias("pos", "token"))
+    exploded = base.select(*keep, "time_bin", "_tg", "_len", gen.alias("pos", "token"))
     if not outer:
         exploded = exploded.where(F.col("token").isNotNull())
     if spec.recency == "from_end":

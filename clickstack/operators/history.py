@@ -73,7 +73,10 @@ def token_scores(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFram
     """One row per (row, kept token): score = <att(token), q> + ln(exp(-age/max(1,tau)) + 1e-8),
     age = position from the newest token."""
     toks = tail(parse_lenient(F.col(spec.seq_col)), spec.max_len)
-    e = rows.select(spec.row_key, "q", F.size(toks).alias("_L"), F.posexplode(toks).alias("pos", "token")) \
+    # per-row values are projected BEFORE the generator; an expression placed next to
+    # posexplode would be evaluated once per output token (re-parsing the history)
+    base = rows.select(spec.row_key, "q", toks.alias("_toks")).withColumn("_L", F.size("_toks"))
+    e = base.select(spec.row_key, "q", "_L", F.posexplode("_toks").alias("pos", "token")) \
             .where(F.col("token").isNotNull())
     e = e.join(lookup(emb, spec.att_offset, "_att", "token"), "token")
     age = (F.col("_L") - 1 - F.col("pos")).cast("double")

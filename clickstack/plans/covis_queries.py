@@ -263,9 +263,8 @@ FROM rw WHERE token IS NOT NULL""", ["w_start", "w_end"]))
 def q_recency_weights(spark, sf_dir):
     """exp(-pos/tau) with pos from the oldest (as coded) and from the newest token (2.7 #7)."""
     imp = fx.impressions(spark, sf_dir)
-    l = parse_lenient(F.col("seq"))
-    e = imp.select("rid", F.size(l).alias("n"), F.posexplode(l).alias("pos", "token")) \
-           .where(F.col("token").isNotNull())
+    base = imp.select("rid", parse_lenient(F.col("seq")).alias("l")).withColumn("n", F.size("l"))
+    e = base.select("rid", "n", F.posexplode("l").alias("pos", "token")).where(F.col("token").isNotNull())
     return e.select("rid", "pos", recency_weight(F.col("pos"), 512).alias("w_start"),
                     recency_weight(F.col("n") - 1 - F.col("pos"), 512).alias("w_end"))
 
