@@ -155,11 +155,24 @@ def oof_priors(wide: DataFrame, spec: CovisSpec) -> Column:
     return wide.agg(F.array(*vals)).scalar()
 
 
+def pair_stats_full_from_wide(wide: DataFrame, spec: CovisSpec) -> DataFrame:
+    """Full-train statistics are the totals of the per-fold table: no second pass."""
+    n = spec.n_folds
+    maxpos = F.greatest(*[F.col(f"maxpos_{i}") for i in range(n)]) if n > 1 else F.col("maxpos_0")
+    g = wide.select(*KEYS, F.col("impr_all").alias("impr"), F.col("clicks_all").alias("clicks"),
+                    F.col("w_all").alias("w_rec_sum"), maxpos.alias("max_pos"))
+    p0 = wide.agg(F.coalesce(F.sum("clicks_all") / F.sum("impr_all"), F.lit(DEFAULT_P0))).scalar()
+    return _finish(g, p0, spec)
+
+
 def pair_stats_oof(tokens: DataFrame, spec: CovisSpec, fold_col: str = "fold") -> DataFrame:
     """Pair statistics of every fold f computed from the other folds, by subtraction."""
+    return pair_stats_oof_from_wide(pair_stats_wide(tokens, spec, fold_col), spec)
+
+
+def pair_stats_oof_from_wide(wide: DataFrame, spec: CovisSpec) -> DataFrame:
     spec.validate()
     n = spec.n_folds
-    wide = pair_stats_wide(tokens, spec, fold_col)
     p0s = oof_priors(wide, spec)
     per_fold = []
     for i in range(n):
@@ -217,10 +230,15 @@ def row_features(rows: DataFrame, stats: DataFrame, spec: CovisSpec, row_cols: l
 
 def build_oof_and_test(train: DataFrame, test: DataFrame, spec: CovisSpec,
                        test_key: str = "ID") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """``train`` must carry ``fold``.  Returns (pair_oof, pair_full, rowfeat_oof, rowfeat_test)."""
+    """``train`` must carry ``fold``.  Returns (pair_oof, pair_full, rowfeat_oof, rowfeat_test).
+
+    The per-fold pair table is aggregated ONCE and written to the shared folder; both
+    the out-of-fold and the full-train statistics are derived from it."""
+    from ..session import cut_lineage
     tok = token_rows(train, spec, keep=["fold", spec.label_col])
-    oof = pair_stats_oof(tok, spec)
-    full = pair_stats_full(tok, spec)
+    wide = cut_lineage(pair_stats_wide(tok, spec), "pairs")
+    oof = pair_stats_oof_from_wide(wide, spec)
+    full = pair_stats_full_from_wide(wide, spec)
     rf_oof = row_features(train, oof, spec, [spec.row_key, "fold"], join_fold=True)
     rf_test = row_features(test, full, spec, [test_key])
     return oof, full, rf_oof, rf_test

@@ -189,3 +189,14 @@ def test_grouped_temperature_equals_per_group(spark):
     for f in (0, 1, 2):
         t, _ = ca.fit_temperature(s.where(F.col("fold") == f), "z", "clicked")
         assert by[f] == pytest.approx(t, rel=1e-12)
+
+
+def test_full_stats_from_fold_table(spark):
+    tok = cv.token_rows(_train_folds(spark), SPEC, keep=["fold", "clicked"]).cache()
+    a = {tuple(r[:4]): tuple(r[4:]) for r in cv.pair_stats_full(tok, SPEC).collect()}
+    b = {tuple(r[:4]): tuple(r[4:]) for r in cv.pair_stats_full_from_wide(cv.pair_stats_wide(tok, SPEC), SPEC).collect()}
+    assert a.keys() == b.keys() and len(a) > 0
+    for k in a:
+        assert a[k][0:2] == b[k][0:2] and a[k][3] == b[k][3]
+        assert a[k][2] == pytest.approx(b[k][2], rel=1e-9) and a[k][4] == pytest.approx(b[k][4], rel=1e-12)
+    tok.unpersist()
