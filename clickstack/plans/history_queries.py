@@ -80,7 +80,7 @@ pv AS (SELECT rid, d, sum(e * v) / sum(e) AS pv FROM dims GROUP BY rid, d),
 agg AS (SELECT rid, max(CASE WHEN d = 1 THEN pv END) AS pool_0, max(CASE WHEN d = 2 THEN pv END) AS pool_1,
                max(CASE WHEN d = 3 THEN pv END) AS pool_2, sqrt(sum(pv * pv)) AS pool_norm FROM pv GROUP BY rid),
 ns AS (SELECT rid, count(*) AS n_sel FROM top GROUP BY rid)"""],
-    """SELECT i.rid, coalesce(ns.n_sel, 0)::INT AS n_sel, coalesce(pool_0, 0.0) AS pool_0, coalesce(pool_1, 0.0) AS pool_1,
+    """SELECT i.rid, coalesce(ns.n_sel, 0)::BIGINT AS n_sel, coalesce(pool_0, 0.0) AS pool_0, coalesce(pool_1, 0.0) AS pool_1,
        coalesce(pool_2, 0.0) AS pool_2, coalesce(pool_norm, 0.0) AS pool_norm
 FROM impressions i LEFT JOIN agg USING (rid) LEFT JOIN ns USING (rid)""", ["pool_0", "pool_1", "pool_2", "pool_norm"]))
 def q_history_pool(spark, sf_dir):

@@ -36,3 +36,19 @@ def test_matches_duckdb(spark, con, key):
     a, b = rows_of(sdf.columns, s_rows), rows_of(rel.columns, d_rows)
     assert len(a) == len(b)
     assert same(a, b), key
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "tinyint": "TINYINT", "smallint": "SMALLINT", "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
+def test_column_types_agree(spark, con):
+    bad = {}
+    for key in sorted(ORACLE):
+        s = dict(E.queries()[key](spark, SMALL).dtypes)
+        rel = con.sql(ORACLE[key])
+        d = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        mism = {c: (s[c], d.get(c)) for c in s if SPARK_TO_DUCK.get(s[c], s[c]) != d.get(c)}
+        if mism:
+            bad[key] = mism
+    assert not bad, bad
