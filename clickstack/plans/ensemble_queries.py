@@ -100,7 +100,7 @@ def _tables(spark, sf_dir):
     return fx.prediction_tables(spark, sf_dir)
 
 
-@register("blend_join", ob.query(PT, "SELECT * FROM j"))
+@register("blend_join", ob.query(PT, "SELECT * FROM j", ["clicked_1", "clicked_2"]))
 def q_blend_join(spark, sf_dir):
     """One-to-one inner join of two prediction tables, duplicates refused (2.3 #8)."""
     return en.blend_join(*_tables(spark, sf_dir))

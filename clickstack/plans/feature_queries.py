@@ -82,7 +82,7 @@ def q_union_key_sources(spark, sf_dir):
 
 
 @register("prediction_scan", ob.query([ob.IMPRESSIONS, ob.MODEL_OUTPUTS, ob.PRED_TABLES],
-                                      'SELECT "ID", clicked FROM pa'))
+                                      'SELECT "ID", clicked FROM pa', ["clicked"]))
 def q_prediction_scan(spark, sf_dir):
     """Prediction table written as CSV to the shared folder and read back with ID as
     string (2.1 #5, #7)."""
