@@ -36,6 +36,7 @@ def test_matches_duckdb(spark, con, key):
     a, b = rows_of(sdf.columns, s_rows), rows_of(rel.columns, d_rows)
     assert len(a) == len(b)
     assert same(a, b), key
+    assert a == b, f"{key}: equal only within float tolerance"  # both sides round to 6 places
 
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
