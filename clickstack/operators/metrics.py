@@ -1,15 +1,16 @@
 """Evaluation metrics as aggregations: 50:50 log-loss, average precision, score.
 
-AP never sorts raw rows globally: rows collapse to distinct scores first (map-side
-partial aggregation absorbs a hot score), then a two-level prefix sum (score bins,
-then distinct scores inside a bin) gives the cumulative counts."""
+AP and ranks never sort raw rows: rows collapse to distinct scores first (map-side
+partial aggregation absorbs a hot score), then distribution-free running totals
+(operators.rowindex.running_totals) give the cumulative counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prob import EPS_METRIC, clip, hygiene, softplus
+from .rowindex import running_totals
 
 
 def _c(c) -> Column:
@@ -42,24 +43,18 @@ def wll_from_logits(df: DataFrame, y: str, z: str, by: list[str] | None = None,
 
 
 def average_precision(df: DataFrame, y: str, p: str, by: list[str] | None = None,
-                      bins: int = 65536, out: str = "ap") -> DataFrame:
+                      out: str = "ap") -> DataFrame:
     """Sum over distinct thresholds (descending) of recall step x precision; tied
-    scores share one threshold; 0.0 when only one class is present."""
+    scores share one threshold; 0.0 when only one class is present.
+
+    Rows collapse to distinct scores first (map-side partial aggregation absorbs a hot
+    score); the cumulative counts come from distribution-free running totals."""
     by = list(by or [])
     q = clip(hygiene(p), EPS_METRIC, 1.0 - EPS_METRIC)
     d = (df.select(*by, q.alias("_q"), (_c(y) == 1).cast("long").alias("_y"))
          .groupBy(*by, "_q").agg(F.sum("_y").alias("_tp"), F.count(F.lit(1)).alias("_n")))
-    # bins in descending score order
-    d = d.withColumn("_bin", F.lit(bins - 1) - F.least(F.floor(F.col("_q") * bins), F.lit(bins - 1)))
-    bt = d.groupBy(*by, "_bin").agg(F.sum("_tp").alias("_btp"), F.sum("_n").alias("_bn"))
-    wb = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(*by, "_bin", F.coalesce(F.sum("_btp").over(wb), F.lit(0)).alias("_otp"),
-                   F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"))
-    wi = Window.partitionBy(*by, "_bin").orderBy(F.desc("_q")).rowsBetween(Window.unboundedPreceding, 0)
-    c = (d.join(bt, by + ["_bin"])
-         .withColumn("_ctp", F.col("_otp") + F.sum("_tp").over(wi))
-         .withColumn("_cn", F.col("_on") + F.sum("_n").over(wi)))
-    g = c.groupBy(*by).agg(F.sum(F.col("_tp") * F.col("_ctp") / F.col("_cn")).alias("_s"),
+    c = running_totals(d, [F.desc("_q")], ["_tp", "_n"], by)
+    g = c.groupBy(*by).agg(F.sum(F.col("_tp") * F.col("cum__tp") / F.col("cum__n")).alias("_s"),
                            F.sum("_tp").alias("_P"), F.sum("_n").alias("_N"))
     val = F.when((F.col("_P") == 0) | (F.col("_P") == F.col("_N")), F.lit(0.0)) \
            .otherwise(F.col("_s") / F.col("_P"))
@@ -92,19 +87,12 @@ def logit_l2(df: DataFrame, z: str) -> DataFrame:
     return df.agg(F.avg(_c(z) * _c(z)).alias("logit_l2"))
 
 
-def tie_average_rank(df: DataFrame, p: str, by: list[str] | None = None, bins: int = 65536,
+def tie_average_rank(df: DataFrame, p: str, by: list[str] | None = None,
                      out: str = "rank") -> DataFrame:
     """1-based average-tie rank (pandas ``rank(method='average')``) without sorting raw
-    rows: distinct values, two-level prefix counts, join back on the value.
-    Values must lie in [0, 1] (probabilities)."""
+    rows: distinct values, running count of the values below, join back on the value."""
     by = list(by or [])
     d = df.groupBy(*by, F.col(p).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    d = d.withColumn("_bin", F.least(F.floor(F.col("_v") * bins), F.lit(bins - 1)))
-    bt = d.groupBy(*by, "_bin").agg(F.sum("_n").alias("_bn"))
-    wb = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(*by, "_bin", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"))
-    wi = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    r = (d.join(bt, by + ["_bin"])
-         .withColumn("_below", F.col("_off") + F.coalesce(F.sum("_n").over(wi), F.lit(0)))
-         .select(*by, "_v", (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(out)))
+    c = running_totals(d, ["_v"], ["_n"], by, inclusive=False)
+    r = c.select(*by, "_v", (F.col("cum__n") + (F.col("_n") + 1) / 2.0).alias(out))
     return df.join(r.withColumnRenamed("_v", p), by + [p], "left")

@@ -1,9 +1,11 @@
-"""Row numbering without a global single-partition window.
+"""Row numbering and running sums without a global single-partition window.
 
-``ordinal_by_buckets`` numbers rows 0..N-1 in the order of a unique key, given a bucket
-column that never decreases along that key: per-bucket counts (a table with one row per
-bucket) -> exclusive prefix sums -> ``row_number`` inside each bucket.  The only window
-on the raw rows is partitioned by bucket, so the work spreads over the cluster.
+* ``ordinal_by_buckets``: numbering inside caller-given buckets that never decrease
+  along the key (used for hash-valued keys, whose top bits give even buckets).
+* ``global_ordinal`` / ``contiguous_rid``: distribution-free numbering from a
+  range-partitioned global sort (Spark samples the key, so a dense key range or a hot
+  group is split across tasks), materialised once, plus per-partition offsets.
+* ``running_totals``: the same for cumulative sums (AP, tie ranks).
 """
 
 from __future__ import annotations
@@ -26,25 +28,14 @@ def ordinal_by_buckets(df: DataFrame, order_cols: list[str], bucket_col: str,
             .drop("_bucket_off"))
 
 
-def contiguous_rid(df: DataFrame, key: str, out: str = "rid",
-                   rows_per_bucket: int = 1_000_000, by: list[str] | None = None) -> DataFrame:
-    """0-based contiguous index in the order of a unique numeric ``key``.
+def contiguous_rid(df: DataFrame, key: str, out: str = "rid", by: list[str] | None = None) -> DataFrame:
+    """0-based contiguous index in the order of a unique ``key`` (restarting per ``by``
+    group): a distribution-free sort-based ordinal (see ``global_ordinal``)."""
+    return global_ordinal(df, [F.col(key)], out, by)
 
-    Buckets are equal-width slices of [min, max] of the key, their number grows with
-    the row count (``rows_per_bucket`` rows each on average).  min, max and count are
-    scalar subqueries, so the plan stays lazy and Spark merges them into one scan."""
-    stats = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n"))
-    lo = stats.select("lo").scalar()
-    hi = stats.select("hi").scalar()
-    n = stats.select("n").scalar()
-    nb = F.greatest(F.lit(1), F.ceil(n / F.lit(float(rows_per_bucket))))
-    width = (hi - lo + 1).cast("double")
-    b = F.floor((F.col(key) - lo).cast("double") * nb / width).cast("long")
-    with_b = df.withColumn("_rid_bucket", b)
-    return ordinal_by_buckets(with_b, [key], "_rid_bucket", out, by).drop("_rid_bucket")
 
-
-def global_ordinal(df: DataFrame, order_cols: list, out: str = "ordinal") -> DataFrame:
+def global_ordinal(df: DataFrame, order_cols: list, out: str = "ordinal",
+                   by: list[str] | None = None) -> DataFrame:
     """0-based position of each row in a total order (``order_cols`` must be unique).
 
     A global sort range-partitions on the full key, so even a score value held by a
@@ -53,6 +44,8 @@ def global_ordinal(df: DataFrame, order_cols: list, out: str = "ordinal") -> Dat
     ids come from one materialisation; offsets come from a table with one row per
     partition."""
     from ..session import cut_lineage
+    by = list(by or [])
+    order_cols = [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     tagged = df.orderBy(*order_cols).withColumn("_mono", F.monotonically_increasing_id())
     tagged = cut_lineage(tagged)
     pid = F.shiftright(F.col("_mono"), 33)
@@ -61,6 +54,38 @@ def global_ordinal(df: DataFrame, order_cols: list, out: str = "ordinal") -> Dat
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pn"))
     prefix = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_pn").over(prefix), F.lit(0)).alias("_poff"))
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_poff") + F.col("_local"))
-            .drop("_mono", "_pid", "_local", "_poff"))
+    res = (tagged.join(F.broadcast(offsets), "_pid")  # one row per partition
+           .withColumn(out, F.col("_poff") + F.col("_local"))
+           .drop("_mono", "_pid", "_local", "_poff"))
+    if by:  # restart per group: subtract the group's first ordinal (one row per group)
+        first = res.groupBy(*by).agg(F.min(out).alias("_first"))
+        res = res.join(first, by).withColumn(out, F.col(out) - F.col("_first")).drop("_first")
+    return res
+
+
+def running_totals(df: DataFrame, order_cols: list, sum_cols: list[str], by: list[str] | None = None,
+                   inclusive: bool = True, prefix: str = "cum_") -> DataFrame:
+    """Running sums of ``sum_cols`` along a total order (``by`` + ``order_cols`` must be
+    unique), restarting for each ``by`` group.
+
+    Distribution-free: a range-partitioned global sort balances the work whatever the
+    value distribution (a dense value range or a hot group is split across tasks by the
+    unique order key).  The sorted rows are materialised once; partition totals (one row
+    per partition and group) give the offsets; the running part inside a partition is a
+    window partitioned by that balanced partition id."""
+    from ..session import cut_lineage
+    by = list(by or [])
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    tagged = df.orderBy(*[F.col(c) for c in by], *order) \
+               .withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), 33))
+    tagged = cut_lineage(tagged, "runsum")
+    tot = tagged.groupBy(*by, "_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*by, "_pid", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
+                                     for c in sum_cols])
+    frame = (0 if inclusive else -1)
+    within = Window.partitionBy("_pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame)
+    out = tagged.join(offs, by + ["_pid"])
+    for c in sum_cols:
+        out = out.withColumn(prefix + c, F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
+    return out.drop("_pid", *[f"_o_{c}" for c in sum_cols])

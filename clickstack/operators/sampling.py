@@ -24,16 +24,15 @@ def draw(parts: list, modulus) -> F.Column:
 
 
 def class_index(df: DataFrame, label: str, rid: str = "rid", by: list[str] | None = None,
-                out: str = "idx", rows_per_bucket: int = 1_000_000) -> DataFrame:
+                out: str = "idx") -> DataFrame:
     """Contiguous 0-based index of each row inside its class (and ``by`` groups), in
-    rid order; distributed (bucketed numbering, no single-partition window)."""
-    return contiguous_rid(df, rid, out, rows_per_bucket, by=list(by or []) + [label])
+    rid order; distribution-free (sort-based), no single-partition window."""
+    return contiguous_rid(df, rid, out, by=list(by or []) + [label])
 
 
 def balanced_batches(df: DataFrame, label: str, batch_size: int, pos_fraction: float = 0.5,
                      num_batches: int | None = None, replacement: bool = True, seed: int = 777,
-                     epoch: int = 0, drop_last: bool = True, rid: str = "rid",
-                     rows_per_bucket: int = 1_000_000) -> DataFrame:
+                     epoch: int = 0, drop_last: bool = True, rid: str = "rid") -> DataFrame:
     """(batch, slot, rid): each batch has round(bs*frac) positives, the rest negatives."""
     counts = df.groupBy(F.col(label).cast("int").alias("_cls")).count().collect()  # two rows
     n_by = {r["_cls"]: r["count"] for r in counts}
@@ -60,8 +59,7 @@ def balanced_batches(df: DataFrame, label: str, batch_size: int, pos_fraction: f
         pick = F.pmod(start.cast("decimal(38,0)") + stride * j.cast("decimal(38,0)"),
                       pool.cast("decimal(38,0)")).cast("long")
     slots = slots.select("batch", "slot", cls.alias("_cls"), pick.alias("idx"))
-    indexed = class_index(df.select(rid, F.col(label).cast("int").alias("_cls")), "_cls", rid,
-                          rows_per_bucket=rows_per_bucket)
+    indexed = class_index(df.select(rid, F.col(label).cast("int").alias("_cls")), "_cls", rid)
     return slots.join(indexed, ["_cls", "idx"]).select("batch", "slot", rid)
 
 

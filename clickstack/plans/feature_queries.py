@@ -105,7 +105,7 @@ CRID = "crid AS (SELECT *, row_number() OVER (ORDER BY rid) - 1 AS crid FROM tra
 
 
 def train_crid(spark, sf_dir):
-    return contiguous_rid(fx.train(spark, sf_dir), "rid", out="crid", rows_per_bucket=2000)
+    return contiguous_rid(fx.train(spark, sf_dir), "rid", out="crid")
 
 
 @register("contiguous_rid", ob.query(IT + [CRID], "SELECT rid, crid FROM crid"))

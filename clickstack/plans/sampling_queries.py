@@ -50,8 +50,7 @@ ci AS (SELECT rid, clicked AS cls, row_number() OVER (PARTITION BY clicked ORDER
 def q_balanced_batches(spark, sf_dir):
     """Balanced batches (bs 64, half positives) with replacement, md5 draws joined to
     per-class row indices (2.8 #4)."""
-    return sa.balanced_batches(fx.train(spark, sf_dir), "clicked", 64, 0.5, seed=777, epoch=0,
-                               rows_per_bucket=2000)
+    return sa.balanced_batches(fx.train(spark, sf_dir), "clicked", 64, 0.5, seed=777, epoch=0)
 
 
 @register("hash_sample", ob.query(IT, f"""SELECT rid FROM train

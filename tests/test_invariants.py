@@ -68,7 +68,7 @@ def test_own_label_never_leaks(spark):
 def test_batches_have_exact_class_mix(spark):
     tr = fx.train(spark, SMALL)
     for repl in (True, False):
-        b = sa.balanced_batches(tr, "clicked", 16, 0.25, replacement=repl, seed=1, epoch=2, rows_per_bucket=100)
+        b = sa.balanced_batches(tr, "clicked", 16, 0.25, replacement=repl, seed=1, epoch=2)
         j = b.join(tr.select("rid", "clicked"), "rid")
         mix = j.groupBy("batch").agg(F.sum("clicked").alias("p"), F.count(F.lit(1)).alias("n")).collect()
         assert len(mix) == tr.count() // 16
@@ -76,8 +76,8 @@ def test_batches_have_exact_class_mix(spark):
         if not repl:
             dup = b.groupBy("batch", "rid").count().where("count > 1").count()
             assert dup == 0
-    again = sa.balanced_batches(tr, "clicked", 16, 0.25, seed=1, epoch=2, rows_per_bucket=100)
-    first = sa.balanced_batches(tr, "clicked", 16, 0.25, seed=1, epoch=2, rows_per_bucket=100)
+    again = sa.balanced_batches(tr, "clicked", 16, 0.25, seed=1, epoch=2)
+    first = sa.balanced_batches(tr, "clicked", 16, 0.25, seed=1, epoch=2)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
 
 
@@ -96,7 +96,7 @@ def test_average_precision_brute_force_and_invariance(spark):
     y = (rng.uniform(size=3000) < 0.2).astype(int)
     p = np.round(rng.uniform(size=3000) * 0.5 + 0.3 * y, 3)  # many ties
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y int, p double")
-    got = me.average_precision(df, "y", "p", bins=64).first()["ap"]
+    got = me.average_precision(df, "y", "p").first()["ap"]
     assert got == pytest.approx(_ap_numpy(y, p), rel=1e-12)
     mono = df.withColumn("p", F.col("p") * F.col("p") * 0.5)
     assert me.average_precision(mono, "y", "p").first()["ap"] == pytest.approx(got, rel=1e-12)
@@ -170,7 +170,7 @@ def test_row_numbering_equals_row_number(spark):
     w = Window.orderBy("k")
     exp = {r["k"]: r["o"] for r in df.select("k", (F.row_number().over(w) - 1).alias("o")).collect()}
     a = {r["k"]: r["o"] for r in global_ordinal(df, ["k"], "o").collect()}
-    b = {r["k"]: r["o"] for r in contiguous_rid(df, "k", "o", rows_per_bucket=100).collect()}
+    b = {r["k"]: r["o"] for r in contiguous_rid(df, "k", "o").collect()}
     assert a == exp and b == exp
 
 
