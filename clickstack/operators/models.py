@@ -59,16 +59,20 @@ def score(model, df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, label: str, fold_col: str, n_folds: int, kind: str = "lr",
-                   key: str = "rid", **kw):
+                   key: str = "rid", parallelism: int | None = None, **kw):
     """Fit one model per fold on the other folds; each fold's rows are scored by its
-    own model.  Returns (oof DataFrame(key, fold, z, y), [models])."""
-    models, parts = [], []
-    for f in range(n_folds):
-        tr = df.where(F.col(fold_col) != f)
-        va = df.where(F.col(fold_col) == f)
-        m = fit(tr, label, kind, **kw)
-        models.append(m)
-        parts.append(score(m, va, [key, fold_col, label]))
+    own model.  Returns (oof DataFrame(key, fold, z, y), [models]).
+
+    The fold fits are independent Spark jobs and are submitted concurrently from a
+    small thread pool (``parallelism``, default = number of folds), as MLlib's own
+    tuning does; each fit is still a distributed job over the whole training part."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(f):
+        return fit(df.where(F.col(fold_col) != f), label, kind, **kw)
+    with ThreadPoolExecutor(max_workers=parallelism or n_folds) as pool:
+        models = list(pool.map(one, range(n_folds)))
+    parts = [score(m, df.where(F.col(fold_col) == f), [key, fold_col, label]) for f, m in enumerate(models)]
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
