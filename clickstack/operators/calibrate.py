@@ -131,20 +131,25 @@ class Calibrator:
         return clip(p, EPS_LOGIT, 1 - EPS_LOGIT)
 
 
-def isotonic_knots(df: DataFrame, p: str, y: str, min_nodes: int = MIN_ISO_NODES) -> DataFrame | None:
+def isotonic_knots(df: DataFrame, p: str, y: str, min_nodes: int = MIN_ISO_NODES,
+                   balanced: bool = True) -> DataFrame | None:
     """Isotonic fit of y on p with class-balanced weights (MLlib, distributed PAV).
     Returns the knot table (x, y) or None when p has fewer than ``min_nodes``
-    distinct values."""
+    distinct values.  ``balanced=False, min_nodes=0`` is the older unweighted,
+    unguarded variant."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
-    n_distinct = df.agg(F.countDistinct(p)).first()[0]
-    if n_distinct < min_nodes:
-        return None
-    w = me.class_weights(df, y)
-    wp = w.select("w_pos").scalar()
-    wn = w.select("w_neg").scalar()
+    if min_nodes > 0:
+        n_distinct = df.agg(F.countDistinct(p)).first()[0]
+        if n_distinct < min_nodes:
+            return None
+    if balanced:
+        w = me.class_weights(df, y)
+        wt = F.when(F.col(y) == 1, w.select("w_pos").scalar()).otherwise(w.select("w_neg").scalar())
+    else:
+        wt = F.lit(1.0)
     data = df.select(F.col(p).cast("double").alias("p"), F.col(y).cast("double").alias("label"),
-                     F.when(F.col(y) == 1, wp).otherwise(wn).alias("w"))
+                     wt.alias("w"))
     data = VectorAssembler(inputCols=["p"], outputCol="features").transform(data)
     model = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="w",
                                isotonic=True).fit(data)
@@ -171,7 +176,10 @@ def apply_knots(p: Column, xs: list[float], ys: list[float]) -> Column:
 
 
 def fit(df: DataFrame, z: str, y: str, method: str = "temperature", l2: float = L2_REG,
-        clamp: tuple | None = T_CLAMP, min_nodes: int = MIN_ISO_NODES) -> Calibrator:
+        clamp: tuple | None = T_CLAMP, min_nodes: int = MIN_ISO_NODES,
+        balanced: bool = True) -> Calibrator:
+    """``l2=0, clamp=None, balanced=False, min_nodes=0`` gives the older variant
+    without ridge, clamp, weights or guard."""
     if method == "platt":
         raise ValueError("platt is accepted by the reference CLI but has no fit; not supported")
     cal = Calibrator(method=method, clamp=clamp)
@@ -179,7 +187,7 @@ def fit(df: DataFrame, z: str, y: str, method: str = "temperature", l2: float =
         cal.T, _ = fit_temperature(df, z, y, l2, clamp or (1e-3, 1e3))
     if method in ("isotonic", "temperature+isotonic"):
         pz = sigmoid_stable(cal.logits(F.col(z)))
-        knots = isotonic_knots(df.withColumn("_p", pz), "_p", y, min_nodes)
+        knots = isotonic_knots(df.withColumn("_p", pz), "_p", y, min_nodes, balanced)
         if knots is not None:
             kk = knots.orderBy("x").collect()  # knot table: bounded by the number of pools
             cal.knots_x = [r["x"] for r in kk]

@@ -248,3 +248,13 @@ def join_features(df: DataFrame, feats: DataFrame, key: str, feature_cols: list[
     """Left join row features on ``key``; rows without features get 0.0."""
     out = df.join(feats.select(key, *feature_cols), key, "left")
     return out.fillna(0.0, subset=feature_cols)
+
+
+def write_outputs(pair_oof: DataFrame, pair_full: DataFrame, rf_oof: DataFrame, rf_test: DataFrame,
+                  out_dir: str, mode: str = "overwrite") -> None:
+    """Parquet sinks: one dataset per output, partitioned by target / fold instead of one
+    file per fold and target."""
+    pair_oof.write.mode(mode).partitionBy("target", "fold").parquet(f"{out_dir}/pair_oof")
+    pair_full.write.mode(mode).partitionBy("target").parquet(f"{out_dir}/pair_full")
+    rf_oof.write.mode(mode).partitionBy("fold").parquet(f"{out_dir}/rowfeat_oof")
+    rf_test.write.mode(mode).parquet(f"{out_dir}/rowfeat_test")

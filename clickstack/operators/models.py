@@ -58,8 +58,19 @@ def score(model, df: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*keep, raw[1].alias("z"), vector_to_array("probability")[1].alias("p"))
 
 
+def _load(kind: str, path: str):
+    from pyspark.ml.classification import FMClassificationModel, LogisticRegressionModel
+    return (LogisticRegressionModel if kind == "lr" else FMClassificationModel).load(path)
+
+
+def _exists(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def cross_validate(df: DataFrame, label: str, fold_col: str, n_folds: int, kind: str = "lr",
-                   key: str = "rid", parallelism: int | None = None, **kw):
+                   key: str = "rid", parallelism: int | None = None, model_dir: str | None = None, **kw):
     """Fit one model per fold on the other folds; each fold's rows are scored by its
     own model.  Returns (oof DataFrame(key, fold, z, y), [models]).
 
@@ -69,7 +80,14 @@ def cross_validate(df: DataFrame, label: str, fold_col: str, n_folds: int, kind:
     from concurrent.futures import ThreadPoolExecutor
 
     def one(f):
-        return fit(df.where(F.col(fold_col) != f), label, kind, **kw)
+        # with model_dir, finished folds are loaded instead of refitted (resume)
+        path = f"{model_dir}/fold={f}" if model_dir else None
+        if path and _exists(df.sparkSession, f"{path}/metadata"):
+            return _load(kind, path)
+        m = fit(df.where(F.col(fold_col) != f), label, kind, **kw)
+        if path:
+            m.write().overwrite().save(path)
+        return m
     with ThreadPoolExecutor(max_workers=parallelism or n_folds) as pool:
         models = list(pool.map(one, range(n_folds)))
     parts = [score(m, df.where(F.col(fold_col) == f), [key, fold_col, label]) for f, m in enumerate(models)]

@@ -70,3 +70,8 @@ def write_submission(df: DataFrame, path: str, id_col: str = "ID", p_col: str =
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
+
+
+def append_metrics(metrics: DataFrame, path: str) -> None:
+    """Metrics log: each run appends its rows (fold, split, AP, WLL, score, ...)."""
+    metrics.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
