@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import SEP, group_hash, md5_u32
-from .rowindex import ordinal_by_buckets
+from .rowindex import global_ordinal, ordinal_by_buckets
 
 
 def with_group(df: DataFrame, group_cols: list[str], mode: str = "xxhash",
@@ -53,9 +53,9 @@ def stratified_group_fold_map(df: DataFrame, label_col: str, n_splits: int = 5,
     per_group = df.groupBy(g_col).agg(
         F.sum(F.col(label_col).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
     tie = md5_u32(F.concat_ws(SEP, F.lit(str(seed)), F.col(g_col).cast("string")))
-    # one row per group: the ordering window is over groups, not rows
-    order = Window.orderBy(F.desc("_pos"), F.desc("_n"), tie, F.col(g_col))
-    ranked = per_group.withColumn("_i", F.row_number().over(order) - 1)
+    # groups are numbered by a distribution-free sort (the group table can be large)
+    ranked = global_ordinal(per_group.withColumn("_tie", tie),
+                            [F.desc("_pos"), F.desc("_n"), F.col("_tie"), F.col(g_col)], "_i")
     rnd = F.floor(F.col("_i") / n)
     pos = F.col("_i") % n
     fold = F.when(rnd % 2 == 0, pos).otherwise(F.lit(n - 1) - pos)
