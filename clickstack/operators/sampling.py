@@ -79,8 +79,8 @@ def hard_negatives(df: DataFrame, label: str, z: str, frac: float, by: list[str]
     ordd = global_ordinal(neg, [*[F.col(c) for c in by], F.desc(z), F.col(rid)], "_o")
     first = ordd.groupBy(*by).agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_nneg"))
     k = F.greatest(F.lit(1), F.floor(F.col("_nneg") * F.lit(float(frac))))
-    # one row per group: bounded by the number of groups
-    j = ordd.join(F.broadcast(first), by)
+    # one row per group; AQE broadcasts it when the measured size is small
+    j = ordd.join(first, by)
     return j.where(F.col("_o") - F.col("_first") < k).drop("_o", "_first", "_nneg", "_all")
 
 
@@ -98,7 +98,7 @@ def pairwise_loss(df: DataFrame, label: str, z: str, by: list[str] | None = None
                                F.sum(1 - F.col("_cls")).alias("_N"))
     kk = F.least(F.col("_N"), F.greatest(F.lit(1), F.lit(r) * F.greatest(F.lit(1), F.col("_P"))))
     m = F.greatest(F.lit(1), F.floor(kk / r))
-    pos = idx.where(F.col("_cls") == 1).join(F.broadcast(cnt), by)  # one row per group
+    pos = idx.where(F.col("_cls") == 1).join(cnt, by)  # one row per group (AQE decides broadcast)
     pos = pos.where(F.col("idx") < m).select(*by, "idx", F.col("_z").alias("_zp"), "_N")
     pairs = pos.select(*by, "_zp", F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("_t"), "idx", "_N")
     pairs = pairs.select(*by, "_zp", draw([seed, *[F.col(c) for c in by], F.col("idx"), F.col("_t")],
