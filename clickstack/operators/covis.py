@@ -115,13 +115,21 @@ def _finish(stats: DataFrame, p0: Column, spec: CovisSpec) -> DataFrame:
                 .withColumn("is_lowcount", F.col("impr") < F.lit(spec.min_impr))
 
 
-def pair_stats_full(tokens: DataFrame, spec: CovisSpec) -> DataFrame:
-    """Pair statistics over all training rows (used for the test set)."""
+def pair_stats_full(tokens: DataFrame, spec: CovisSpec, materialize: bool = True) -> DataFrame:
+    """Pair statistics over all training rows (used for the test set).
+
+    The per-key table is written once to the shared folder: the prior (a scalar over
+    it) and the statistics then read the same files instead of aggregating twice
+    (column pruning gives the prior's aggregation a different plan, so Spark would not
+    reuse the exchange)."""
+    from ..session import cut_lineage
     g = tokens.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("impr"),
         F.sum(F.col(spec.label_col).cast("long")).alias("clicks"),
         F.sum("w_rec").alias("w_rec_sum"),
         F.max("pos").alias("max_pos"))
+    if materialize:
+        g = cut_lineage(g, "pairs-full")
     # prior = mean click over exploded rows; the stats table holds the same sums
     p0 = g.agg(F.coalesce(F.sum("clicks") / F.sum("impr"), F.lit(DEFAULT_P0))).scalar()
     return _finish(g, p0, spec)
@@ -165,9 +173,16 @@ def pair_stats_full_from_wide(wide: DataFrame, spec: CovisSpec) -> DataFrame:
     return _finish(g, p0, spec)
 
 
-def pair_stats_oof(tokens: DataFrame, spec: CovisSpec, fold_col: str = "fold") -> DataFrame:
-    """Pair statistics of every fold f computed from the other folds, by subtraction."""
-    return pair_stats_oof_from_wide(pair_stats_wide(tokens, spec, fold_col), spec)
+def pair_stats_oof(tokens: DataFrame, spec: CovisSpec, fold_col: str = "fold",
+                   materialize: bool = True) -> DataFrame:
+    """Pair statistics of every fold f computed from the other folds, by subtraction.
+    The per-key table is aggregated once and (by default) written to the shared folder,
+    so the fold priors and the statistics read it instead of aggregating twice."""
+    from ..session import cut_lineage
+    wide = pair_stats_wide(tokens, spec, fold_col)
+    if materialize:
+        wide = cut_lineage(wide, "pairs-wide")
+    return pair_stats_oof_from_wide(wide, spec)
 
 
 def pair_stats_oof_from_wide(wide: DataFrame, spec: CovisSpec) -> DataFrame:
