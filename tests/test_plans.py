@@ -28,12 +28,18 @@ def test_projection_reaches_scan(spark):
 
 
 def test_all_folds_from_one_aggregation(spark):
-    """OOF pair stats for every fold come from ONE aggregation keyed without the fold."""
-    p = plan(E.queries()["pair_stats_oof"](spark, SMALL))
+    """OOF pair stats for every fold come from ONE aggregation keyed without the fold,
+    over one explode of the training rows; the OOF table unstacks folds from it."""
+    from clickstack.operators import covis as cv
+    from clickstack.plans.covis_queries import SPEC, train_with_folds
+    tok = cv.token_rows(train_with_folds(spark, SMALL), SPEC, keep=["fold", "clicked"])
+    p = plan(cv.pair_stats_wide(tok, SPEC))
     aggs = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", p)
     pair_aggs = [a for a in aggs if "token" in a]
-    assert pair_aggs and all("fold" not in a for a in pair_aggs)
-    assert "Generate inline" in p  # folds are unstacked from the per-key row
+    assert len(pair_aggs) == 2  # partial + final of the same single aggregation
+    assert all("fold" not in a for a in pair_aggs)
+    assert len(re.findall(r"Generate posexplode", p)) == 1
+    assert "Generate inline" in plan(E.queries()["pair_stats_oof"](spark, SMALL))
 
 
 def test_history_pool_partial_aggregation(spark):
