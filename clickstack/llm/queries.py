@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import packing, simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,3 +40,12 @@ def op1(spark, sf_dir):
 @_query("op5_simhash")
 def op5(spark, sf_dir):
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), width=3, max_bits=3)
+
+
+@_query("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    kept = suffix.kept_texts(_table(spark, sf_dir, "documents"), width=100)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return kept.select("doc_id", size.alias("n_bytes"),
+                       (size - F.octet_length("kept")).cast("long").alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
