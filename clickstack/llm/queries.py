@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, suffix, toxicity
+from ..session import cut_lineage
+from ..sources.shards import scratch_path
+from . import langid, packing, simhash, suffix, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +68,54 @@ def op8(spark, sf_dir):
     models = langid.prototypes(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.predict(docs, models).select(
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+# The rules of the contract: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+OP9_SQL = """
+with u as (select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end r
+           from pages),
+h as (select page_id, r, regexp_extract(r, '^[^/?#]*') h0 from u),
+s as (select page_id, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+             regexp_extract(substr(r, length(h0) + 1), '^[^?#]*') path from h),
+rules(verdict, rh, rp) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                                  ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+m as (select page_id, host, path, rh || rp as rule, verdict,
+             row_number() over (partition by page_id order by length(rh || rp) desc nulls last) k
+      from s left join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
+select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from m where k = 1
+"""
+
+
+@_query("op9_url_filter", OP9_SQL)
+def op9(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), rules)
+
+
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (g[{i + 1}] // {1 << s}) % 32 + 1, 1)"
+                   for i in range(8) for s in (15, 10, 5, 0))
+OP3_SQL = f"""
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha1(coalesce(html, '')) h from pages),
+m as (select *, max(page_id) over (partition by h) top,
+             [('0x' || substr(h, 5 * i + 1, 5))::bigint for i in range(8)] g from p)
+select page_id, payload_bytes, {_B32} payload_digest,
+       case when page_id = top then 'response' else 'revisit' end record_type,
+       case when page_id <> top then top end refers_to
+from m
+"""
+
+
+@_query("op3_warc", OP3_SQL)
+def op3(spark, sf_dir):
+    path = scratch_path(spark, "archives")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    got = cut_lineage(warc.payloads(warc.reassembled(warc.read(spark, path))).select(
+        F.col("page").cast("long").alias("page_id"), "record_id", "refers", F.col("type").alias("record_type"),
+        F.octet_length("payload").cast("long").alias("n"), F.substring("digest", 6, 32).alias("payload_digest")), "pages-read")
+    origin = got.where("record_type = 'response'").select(
+        F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("n").alias("n_there"))
+    return got.join(origin, "refers", "left").select(
+        "page_id", F.coalesce("n", "n_there").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
