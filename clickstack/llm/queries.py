@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.shards import scratch_path
-from . import langid, packing, simhash, suffix, toxicity, urlfilter, warc
+from . import decontam, langid, packing, simhash, suffix, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,3 +119,8 @@ def op3(spark, sf_dir):
         F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("n").alias("n_there"))
     return got.join(origin, "refers", "left").select(
         "page_id", F.coalesce("n", "n_there").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+@_query("op4_decontamination")
+def op4(spark, sf_dir):
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=5, share=0.8)
