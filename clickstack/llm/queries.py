@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.shards import scratch_path
-from . import decontam, langid, packing, simhash, suffix, toxicity, urlfilter, warc
+from . import decontam, langid, packing, simhash, spotsigs, suffix, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -124,3 +124,12 @@ def op3(spark, sf_dir):
 @_query("op4_decontamination")
 def op4(spark, sf_dir):
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=5, share=0.8)
+
+
+@_query("op6_spotsigs")
+def op6(spark, sf_dir):
+    a, b, c = F.col("sigs"), F.col("edited_sigs"), F.col("next_sigs")
+    return spotsigs.beside_next(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.fingerprint(a).alias("fingerprint"),
+        spotsigs.fingerprint(b).alias("edited_fingerprint"), spotsigs.pruned_jaccard(a, b).alias("near_edited"),
+        spotsigs.pruned_jaccard(a, c).alias("near_next"))
