@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.shards import scratch_path
-from . import decontam, langid, packing, simhash, spotsigs, suffix, toxicity, urlfilter, warc
+from . import decontam, langid, packing, quality, simhash, spotsigs, suffix, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +133,8 @@ def op6(spark, sf_dir):
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.fingerprint(a).alias("fingerprint"),
         spotsigs.fingerprint(b).alias("edited_fingerprint"), spotsigs.pruned_jaccard(a, b).alias("near_edited"),
         spotsigs.pruned_jaccard(a, c).alias("near_next"))
+
+
+@_query("op2_quality")
+def op2(spark, sf_dir):
+    return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..session import cut_lineage
 from .common import arrow_map, mix, prefix_sums, span_hash, text_slices
@@ -312,9 +313,10 @@ def border(texts: DataFrame, met: DataFrame, width: int, key: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            docs, anchors = batch.column(0).to_pylist(), batch.column(2)
+            docs, texts, anchors = (batch.column(batch.schema.get_field_index(c)) for c in ("doc", "text", "anchors"))
+            docs = docs.to_pylist()
             for i in np.flatnonzero(anchors.is_valid().to_numpy(zero_copy_only=False)):
-                data = (batch.column(1)[i].as_py() or "").encode()
+                data = (texts[i].as_py() or "").encode()
                 for a in {tuple(x.values()) for x in anchors[i].as_py()}:
                     gram, p, left, right = a
                     b, f = data[p - left:p][::-1], data[p:p + right]
@@ -344,20 +346,20 @@ def border(texts: DataFrame, met: DataFrame, width: int, key: int) -> DataFrame:
     return arrow_map(found.repartition("gram", "near", "side"), solve, "doc long, lo long, hi long")
 
 
-def kept_texts(docs: DataFrame, width: int = 100, key: int = 48) -> DataFrame:
-    """(doc_id, text, kept binary, spans array<struct<lo, hi>>): what stays of each row and the
-    maximal removed runs, in bytes."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-                        F.col("text").cast("string").alias("text"))
+def _kept(texts: DataFrame, width: int, key: int) -> DataFrame:
+    """``texts`` (doc, text and other columns) with ``kept`` and ``spans``."""
     met = cut_lineage(meet(anchor_rows(texts, width, key)), "anchors")
     known = met.where(F.col("left") == -1).select("doc", F.col("place").alias("lo"), F.col("right").alias("hi"))
     spans = (known.unionByName(border(texts, met, width, key)).groupBy("doc")
              .agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    joined = texts.join(spans, "doc", "left")
+    at = joined.columns.index("text"), joined.columns.index("spans")
+    span_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
     def cut(batches):
         for batch in batches:
             kept, runs = [], []
-            for text, found in zip(batch.column(1), batch.column(2)):
+            for text, found in zip(batch.column(at[0]), batch.column(at[1])):
                 data = (text.as_py() or "").encode()
                 if found.is_valid:
                     flat = found.values
@@ -369,11 +371,35 @@ def kept_texts(docs: DataFrame, width: int = 100, key: int = 48) -> DataFrame:
                 else:
                     runs.append([])
                 kept.append(data)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(kept, pa.binary()),
-                 pa.array(runs, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
-                names=["doc", "text", "kept", "spans"])
+            cols = list(batch.columns)
+            cols[at[1]] = pa.array(runs, span_type)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.binary())], names=[*batch.schema.names, "kept"])
+
+    return arrow_map(joined, cut, StructType([*joined.schema.fields, StructField("kept", BinaryType())]))
+
+
+def _key(docs: DataFrame):
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text")
+
 
-    out = arrow_map(texts.join(spans, "doc", "left"), cut,
-                    "doc long, text string, kept binary, spans array<struct<lo:long,hi:long>>")
+def kept_texts(docs: DataFrame, width: int = 100, key: int = 48) -> DataFrame:
+    """(doc_id, text, kept binary, spans array<struct<lo, hi>>): what stays of each row and the
+    maximal removed runs, in bytes."""
+    out = _kept(docs.select(*_key(docs)), width, key)
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "kept", "spans")
+
+
+def without_repeats(docs: DataFrame, width: int = 100, key: int = 48) -> DataFrame:
+    """``docs`` with the repeats cut from ``text`` (and ``n_chars`` set anew, if it is there).  Bytes
+    of a character that was cut in two go with it; null texts stay null."""
+    out = _kept(docs.select(*_key(docs), F.struct(*[F.col(c) for c in docs.columns]).alias("row")), width, key)
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(_whole_characters(F.col("kept")))
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("row")).select("row.*").select(docs.columns)
+
+
+def _whole_characters(data):
+    """UTF-8 text of ``data`` without the bytes that are no whole character."""
+    return F.regexp_replace(F.make_valid_utf8(data.cast("string")), "\ufffd", "")

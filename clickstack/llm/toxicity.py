@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import cut_lineage
 from .common import arrow_map
@@ -161,9 +162,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + ridge * len(z) * 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(h, z.T @ (y - p) - ridge * len(z) * 1e-2 * w)
+        p = 1 / (1 + np.exp(-np.clip((z * w).sum(axis=1), -30, 30)))
+        h = np.einsum("ij,i,ik->jk", z, np.maximum(p * (1 - p), 1e-6), z) + ridge * len(z) * 1e-2 * np.eye(len(w))
+        step = np.linalg.solve(h, (z * (y - p)[:, None]).sum(axis=0) - ridge * len(z) * 1e-2 * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -235,15 +236,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> tuple[dic
 
 def scored(docs: DataFrame, model: tuple[dict, tuple]) -> DataFrame:
     """(doc_id, score) of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_score(rows, model, "score").select("doc_id", "score")
+
+
+def with_score(docs: DataFrame, model: tuple[dict, tuple], name: str) -> DataFrame:
+    """``docs`` with the score as column ``name``."""
     lexicon, (w, mean, scale) = model
+    text = docs.columns.index("text")
 
     def score(batches):
         scorer = Scorer(lexicon)
         for batch in batches:
-            x = np.array([scorer.features(t or "") for t in batch.column(1).to_pylist()]).reshape(-1, 6)
+            x = np.array([scorer.features(t or "") for t in batch.column(text).to_pylist()]).reshape(-1, 6)
             z = ((x - mean) / scale) @ w[:-1] + w[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))],
-                                             names=["doc_id", "score"])
+            yield batch.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, score, "doc_id long, score double")
+    return arrow_map(docs, score, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

@@ -1,15 +1,50 @@
 """Corpus pipeline: documents to packed sequences, one operator per stage.
 
 Every stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read
-again as the next stage's ``docs``.  All but the last return the columns of documents."""
+again as the next stage's ``docs``.  All but the last return the columns of documents; rows
+with a null doc_id take part and a stage that cannot name them keeps them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clickstack.llm import decontam, packing, simhash, suffix, toxicity
+from clickstack.llm.queries import tokenizer_file
 from clickstack.session import cut_lineage
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.3."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.with_score(docs, model, "_toxicity").where(F.col("_toxicity") < 0.3).drop("_toxicity")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash group (3-word shingles, 3 bits) the document with the smallest doc_id."""
+    groups = simhash.simhash_groups(docs, width=3, max_bits=3)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 100-byte strings that occur earlier."""
+    return suffix.without_repeats(docs, width=100)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item (5-word windows, share 0.8)."""
+    leaks = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=5, share=0.8)
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs, tokenizer_file(), seq_len=2048, end_id=1)
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("suffix_dedup", cut_repeats),
+          ("decontamination", drop_leaks), ("packing", pack)]
 ORACLE_SQL = None  # SQL cannot express the stages; tests/llm compares run() with a brute-force version
 
 
