@@ -129,27 +129,40 @@ def fill(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndar
     return plan
 
 
-def first_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (columns) and their counts.  Every filling step uses up a size that no later
-    pattern has, so with a unit pattern for sizes used up beside it the columns are
-    triangular."""
-    left, columns, counts, done = demand.copy(), [], [], np.zeros(len(sizes), bool)
+def first_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns (columns), the inverse of that matrix, and the patterns' counts.
+
+    Every filling step uses up a size that no later pattern has, so with a unit pattern for
+    sizes used up beside it the columns are triangular, and the inverse follows row by row."""
+    m = len(sizes)
+    left, columns, counts, owner, done = demand.copy(), [], [], [], np.zeros(m, bool)
     while left.any():
         p = fullest(sizes, left, room)
         used = p > 0
         short = left[used] / p[used]
         step = float(short.min())
         scarce = np.flatnonzero(used)[int(short.argmin())]
-        columns.append(p)
-        counts.append(step)
-        left = np.maximum(left - p * step, 0)
+        left -= p * step
+        left[left < 1e-7] = 0  # used up, but for rounding
         left[scarce] = 0
         done[scarce] = True
-        for i in np.flatnonzero(used & (left < 1e-9) & ~done):
-            columns.append(np.eye(len(sizes), dtype=np.int64)[i])
+        columns.append(p)
+        counts.append(step)
+        owner.append(scarce)
+        for i in np.flatnonzero(used & (left == 0) & ~done):
+            columns.append(np.eye(1, m, i, dtype=np.int64)[0])
             counts.append(0.0)
-            left[i], done[i] = 0, True
-    return np.array(columns).T, np.array(counts)
+            owner.append(i)
+            done[i] = True
+    basis = np.array(columns).T
+    inverse = np.zeros((m, m))  # row k belongs to column k, which alone of columns from k on has size owner[k]
+    for k, i in enumerate(owner):
+        row = basis[i, :k]
+        before = np.flatnonzero(row)
+        unit = np.zeros(m)
+        unit[i] = 1
+        inverse[k] = (unit - (row[before, None] * inverse[before]).sum(axis=0)) / basis[i, k]
+    return basis, inverse, np.array(counts)
 
 
 def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 5e-4,
@@ -157,27 +170,25 @@ def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: floa
     """(pattern, times) covering ``demand`` exactly.  The program over fractional counts is
     solved to a relative ``gap`` from the Farley bound (or for ``rounds`` pivots), then
     rounded down; the pieces left, at most a sequence's worth for each pattern, are filled
-    greedily."""
-    basis, x = first_basis(sizes, demand.astype(float), room)
-    inverse = np.linalg.inv(basis.astype(float))
-    for k in range(rounds):
+    greedily.  (Sums instead of matrix products: the driver's BLAS threads can hang beside
+    the JVM.)"""
+    basis, inverse, x = first_basis(sizes, demand.astype(float), room)
+    for _ in range(rounds):
         duals = inverse.sum(axis=0)
         value, counts = price(duals, sizes, room)
         if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= max(0.5, gap * x.sum()):
             break
-        d = inverse @ counts
+        used = np.flatnonzero(counts)
+        d = (inverse[:, used] * counts[used]).sum(axis=1)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         r = int(ratio.argmin())
         x -= ratio[r] * d
         x[r] += ratio[r]
         np.maximum(x, 0, out=x)
         basis[:, r] = counts
-        if k % 50 == 49:
-            inverse = np.linalg.inv(basis.astype(float))
-        else:
-            row = inverse[r] / d[r]
-            inverse -= np.outer(d, row)
-            inverse[r] = row
+        row = inverse[r] / d[r]
+        inverse -= np.outer(d, row)
+        inverse[r] = row
     left, plan = demand.astype(np.int64).copy(), []
     for p, times in zip(basis.T, np.floor(x + 1e-7).astype(np.int64)):
         used = p > 0
