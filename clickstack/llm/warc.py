@@ -22,6 +22,7 @@ page_id is written once); extra columns are ignored; empty tables give an empty
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -36,10 +37,10 @@ HTTP = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRL
 
 
 def page_digests(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload binary, sha1 hex) with one row per page_id."""
-    return (pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-            .dropDuplicates(["page_id"]).withColumn("sha1", F.sha1("payload")))
+    """(page_id, url, payload binary, sha1 hex)."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+                        F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")
+                        ).withColumn("sha1", F.sha1("payload"))
 
 
 def base32(hex40: Column) -> Column:
@@ -75,12 +76,14 @@ def records(pages: DataFrame, segment: int, chunk: int, least: int = 0, date: st
     """(page_id, number, record binary) of all records, without the closing line breaks.
     Payloads of at least ``least`` bytes are stored once: with the largest page_id."""
     rows = page_digests(pages)
-    big = F.octet_length("payload") >= least
-    holder = (rows.where(big).groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+    # of rows that repeat a page_id the one with the least digest; only digests are shuffled here
+    narrow = (rows.groupBy("page_id").agg(F.min(F.struct("sha1", F.octet_length("payload").alias("size"))).alias("m"))
+              .select("page_id", "m.sha1", "m.size").where(F.col("size") >= least))
+    holder = (narrow.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
               .where("n > 1").select("sha1", "refers_to"))
-    again = (rows.where(big).select("page_id", "sha1").join(holder, "sha1")
-             .where(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to"))
-    told = rows.join(again, "page_id", "left")
+    again = (narrow.join(holder, "sha1").where(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to"))
+    told = (rows.groupBy("page_id").agg(F.min_by(F.struct("url", "payload", "sha1"), "sha1").alias("row"))
+            .select("page_id", "row.*").join(again, "page_id", "left"))
     page = F.col("page_id")
     block = F.when(F.col("refers_to").isNull(), F.concat(F.lit(HTTP).cast("binary"), chunked(F.col("payload"), chunk))
                    ).otherwise(F.lit("HTTP/1.1 200 OK" + END).cast("binary"))
@@ -109,17 +112,17 @@ def records(pages: DataFrame, segment: int, chunk: int, least: int = 0, date: st
     return cut.select("page_id", number.alias("number"), F.concat(head.cast("binary"), F.col("part")).alias("record"))
 
 
-def write(pages: DataFrame, path: str, segment: int = 16_384, chunk: int = 4096, least: int = 0, files: int | None = None,
+def write(pages: DataFrame, path: str, segment: int = 16_384, chunk: int = 4096, least: int = 0,
           per_file: int = 2000) -> None:
-    """Write archives (``*.txt`` parts in WARC format) into the folder ``path``."""
+    """Write archives (parts ``*.txt.gz`` in WARC format) into the folder ``path``."""
     recs = records(pages.where(F.col("page_id").isNotNull()), segment, chunk, least)
     (recs.select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path))
+     .write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path))
 
 
-def parse(data: memoryview):
+def parse(raw: bytes):
     """(header fields in lower case, block) of each record of an archive."""
-    raw, at = bytes(data), 0
+    at = 0
     while at < len(raw):
         if raw.startswith(b"\r\n", at):
             at += 2
@@ -141,12 +144,12 @@ def parse(data: memoryview):
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All records: record_id, type, uri, digest, page, refers, origin (its own ID for first
-    segments), segment, total, block."""
+    segments), segment (0 for a record that is not segmented), total, block."""
     names = ["record_id", "type", "uri", "digest", "page", "refers", "origin", "segment", "total", "block"]
 
     def run(batches):
         for batch in batches:
-            for blob in batch.column(0):
+            for blob in batch.column(0).to_pylist():
                 cols: list[list] = [[] for _ in names]
 
                 def flush():
@@ -154,11 +157,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         [pa.array(c, t) for c, t in zip(cols, [pa.string()] * 7 + [pa.int32(), pa.int64(), pa.binary()])], names=names)
 
                 size = 0
-                for f, block in parse(blob.as_buffer()):
+                for f, block in parse(gzip.decompress(blob) if blob[:2] == b"\x1f\x8b" else blob):
                     total = f.get("warc-segment-total-length")
                     row = (f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), f.get("warc-payload-digest"),
                            f.get("warc-page"), f.get("warc-refers-to"), f.get("warc-segment-origin-id") or f.get("warc-record-id"),
-                           int(f.get("warc-segment-number", 1)), int(total) if total else None, block)
+                           int(f.get("warc-segment-number", 0)), int(total) if total else None, block)
                     for c, v in zip(cols, row):
                         c.append(v)
                     size += len(block)
@@ -174,19 +177,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def reassembled(recs: DataFrame) -> DataFrame:
     """One row per origin record, its block put together from all segments in order.  A gap, a
-    repeated segment or a wrong total length fails the job."""
-    one = F.col("type") != "continuation"
-    first = {c: F.max(F.when(one, F.col(c))).alias(c) for c in ("record_id", "type", "uri", "digest", "page", "refers")}
-    joined = recs.groupBy("origin").agg(
-        *first.values(), F.max("total").alias("total"), F.max("segment").alias("last"),
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"))
-    block = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
-    whole = ((F.size("parts") == F.col("last")) & F.col("record_id").isNotNull()
-             & ((F.col("last") == 1) | F.col("total").isNotNull()))
-    out = joined.withColumn("block", block)
-    ok = whole & (F.col("total").isNull() | (F.octet_length("block") == F.col("total")))
-    return out.select(*first, F.when(ok, F.col("block")).otherwise(
-        F.raise_error(F.concat(F.lit("segments of "), "origin", F.lit(" are incomplete")))).alias("block"))
+    repeated segment or a wrong total length fails the job.  Records that are not segmented
+    pass without a shuffle."""
+    names = ("record_id", "type", "uri", "digest", "page", "refers")
+    first = F.col("segment") == 1
+    joined = recs.where("segment > 0").groupBy("origin").agg(
+        *[F.max(F.when(first, F.col(c))).alias(c) for c in names], F.max("total").alias("total"),
+        F.max("segment").alias("last"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"))
+    out = joined.withColumn("block", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"])))
+    ok = ((F.size("parts") == F.col("last")) & F.col("record_id").isNotNull()
+          & (F.octet_length("block") == F.col("total")))
+    checked = out.select(*names, F.when(ok, F.col("block")).otherwise(
+        F.raise_error(F.concat(F.lit("segments of "), "origin", F.lit(" are incomplete"))).cast("binary")).alias("block"))
+    return recs.where("segment = 0").select(*names, "block").unionByName(checked)
 
 
 def decode_http(block: bytes) -> bytes:
