@@ -175,8 +175,9 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def learn_lexicon(sample: DataFrame, least: int = 8, odds: float = 1.5) -> dict[str, tuple[int, float]]:
-    """Words and beginnings that toxic texts hold far more often: (class, log odds)."""
+def learn_lexicon(sample: DataFrame, least: int = 5, share: float = 0.01, odds: float = 1.5) -> dict[str, tuple[int, float]]:
+    """Words and beginnings that toxic texts hold far more often: (class, log odds).  At least
+    ``least`` toxic texts and ``share`` of them must hold one."""
     def count(batches):
         for batch in batches:
             seen: Counter = Counter()
@@ -194,7 +195,7 @@ def learn_lexicon(sample: DataFrame, least: int = 8, odds: float = 1.5) -> dict[
     weight = F.log(((F.col("bad") + 0.5) / (n[1] + 1)) / ((F.col("fair") + 0.5) / (n[0] + 1)))
     found = (arrow_map(sample.select("text", "toxic"), count, "stem string, bad long, fair long")
              .groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("fair").alias("fair"))
-             .where(F.col("bad") >= least).withColumn("odds", weight).where(F.col("odds") >= odds)
+             .where(F.col("bad") >= max(least, share * n[1])).withColumn("odds", weight).where(F.col("odds") >= odds)
              .select("stem", "odds").collect())  # bounded by the sample
     odds_of = {r[0]: r[1] for r in found}
     out = {}
@@ -207,8 +208,8 @@ def learn_lexicon(sample: DataFrame, least: int = 8, odds: float = 1.5) -> dict[
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> tuple[dict, tuple]:
-    """(lexicon, logistic fit) from at most ``fit_rows`` labelled rows that are not held out:
-    half of them give the lexicon, half the weights."""
+    """(lexicon, logistic fit) from at most ``fit_rows`` labelled rows that are not held out.  The
+    weights are fitted on one half of them with a lexicon from the other half."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -216,12 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> tuple[dic
     sample = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                          .join(F.broadcast(known), "doc_id")  # fit_rows rows at most
                          .withColumn("half", F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(2))), "fit-sample")
-    lexicon = lexicon_seed()
-    learned = learn_lexicon(sample.where("half = 0"))
-    lexicon = {k: (v[0], 1.0) for k, v in lexicon.items()} | learned
+    seed = {k: (kind, 1.0) for k, (kind, _) in lexicon_seed().items()}
+    half = seed | learn_lexicon(sample.where("half = 0"))  # the weights see it on other rows
+    lexicon = seed | learn_lexicon(sample)
 
     def features(batches):
-        scorer = Scorer(lexicon)
+        scorer = Scorer(half)
         for batch in batches:
             got = [scorer.features(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(g) for g in got], pa.list_(pa.float64()))],
