@@ -32,6 +32,12 @@ def md5_u32(s) -> Column:
     return F.conv(F.substring(F.md5(_col(s)), 1, 8), 16, 10).cast("long")
 
 
+def md5_u60(s) -> Column:
+    """Unsigned 60-bit integer from the first 15 hex digits of md5(s): for draws, whose
+    pools may hold more than 2**32 rows."""
+    return F.conv(F.substring(F.md5(_col(s)), 1, 15), 16, 10).cast("long")
+
+
 def bucket(c, m: int, mode: str = "xxhash") -> Column:
     """Bucket id in [0, m) of a category column (null -> 'NA')."""
     s = as_category_string(c)
@@ -56,4 +62,4 @@ def group_hash(cols, mode: str = "xxhash") -> Column:
 def hash_fraction(cols, seed: int) -> Column:
     """Reproducible uniform draw in [0, 1) from key columns and a seed (md5 based)."""
     parts = [F.lit(str(seed))] + [as_category_string(c) for c in cols]
-    return md5_u32(F.concat_ws(SEP, *parts)) / F.lit(4294967296.0)
+    return md5_u60(F.concat_ws(SEP, *parts)) / F.lit(float(1 << 60))

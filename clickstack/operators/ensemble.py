@@ -67,7 +67,7 @@ def combine(df: DataFrame, cols: list[str], method: str = "logit_mean",
         val = _mean(a, m) if k == 0 else _mean(F.slice(F.array_sort(a), k + 1, m - 2 * k), m - 2 * k)
     elif method == "weighted":
         if w is None:
-            raise ValueError("weights required for method='weighted'")
+            raise ValueError("give one weight per model for the weighted ensemble")
         val = _wsum(a, w)
     elif method == "rank_avg":
         return rank_average(base, cc, key, out).drop(*cc)

@@ -47,9 +47,10 @@ def attach_folds(df: DataFrame, group_cols: list[str], n_folds: int = 5,
 def stratified_group_fold_map(df: DataFrame, label_col: str, n_splits: int = 5,
                               seed: int = 777, g_col: str = "g") -> DataFrame:
     """(g, fold) balancing the positive rate: groups ordered by positives desc, size desc,
-    then a seeded md5 tie-break, dealt to folds in a snake draft.  ``max(5, n_splits)``
-    folds as in the reference."""
-    n = max(5, int(n_splits))
+    then a seeded md5 tie-break, dealt to ``n_splits`` folds in a snake draft."""
+    n = int(n_splits)
+    if n < 2:
+        raise ValueError("stratified folds need at least two; see holdout for one validation part")
     per_group = df.groupBy(g_col).agg(
         F.sum(F.col(label_col).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
     tie = md5_u32(F.concat_ws(SEP, F.lit(str(seed)), F.col(g_col).cast("string")))

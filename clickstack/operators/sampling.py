@@ -7,20 +7,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import SEP, hash_fraction, md5_u32
+from ..functions.hashing import SEP, hash_fraction, md5_u60
 from ..functions.prob import softplus
 from .rowindex import contiguous_rid, global_ordinal
 
-# Fixed value: a prime above any row count, used as the stride of the per-batch
-# permutation (any prime > n is coprime with n).
-STRIDE_PRIME = 2305843009213693951  # 2**61 - 1
-
-
 def draw(parts: list, modulus) -> F.Column:
     """md5-based uniform index in [0, modulus)."""
     key = F.concat_ws(SEP, *[(F.lit(str(p)) if isinstance(p, (int, str)) else p.cast("string"))
                              for p in parts])
-    return F.pmod(md5_u32(key), modulus)
+    return F.pmod(md5_u60(key), modulus)
 
 
 def class_index(df: DataFrame, label: str, rid: str = "rid", by: list[str] | None = None,
@@ -44,7 +39,7 @@ def balanced_batches(df: DataFrame, label: str, batch_size: int, pos_fraction: f
     nb = max(1, int(nb))
     k_pos = int(round(batch_size * pos_fraction))
     if not replacement and (k_pos > n_pos or batch_size - k_pos > n_neg):
-        raise ValueError("replacement=False but class pool smaller than per-batch requirement")
+        raise ValueError(f"a batch needs {k_pos} positives and {batch_size - k_pos} negatives, there are {n_pos} and {n_neg}")
     spark = df.sparkSession
     slots = spark.range(nb * batch_size).select(
         F.expr(f"id div {int(batch_size)}").alias("batch"), (F.col("id") % batch_size).alias("slot"))
@@ -53,13 +48,17 @@ def balanced_batches(df: DataFrame, label: str, batch_size: int, pos_fraction: f
     if replacement:
         pick = draw([seed, epoch, F.col("batch"), F.col("slot")], pool)
     else:
+        # batches take turns through a keyed shuffle of each class: no row twice in a batch
+        per = F.when(cls == 1, F.lit(k_pos)).otherwise(F.lit(batch_size - k_pos))
         j = F.when(cls == 1, F.col("slot")).otherwise(F.col("slot") - k_pos)
-        start = draw([seed, epoch, F.col("batch"), cls], pool)
-        stride = F.pmod(F.lit(STRIDE_PRIME).cast("decimal(38,0)"), pool.cast("decimal(38,0)"))
-        pick = F.pmod(start.cast("decimal(38,0)") + stride * j.cast("decimal(38,0)"),
-                      pool.cast("decimal(38,0)")).cast("long")
+        pick = F.pmod(F.col("batch") * per + j, pool)
     slots = slots.select("batch", "slot", cls.alias("_cls"), pick.alias("idx"))
-    indexed = class_index(df.select(rid, F.col(label).cast("int").alias("_cls")), "_cls", rid)
+    rows = df.select(rid, F.col(label).cast("int").alias("_cls"))
+    if replacement:
+        indexed = class_index(rows, "_cls", rid)
+    else:
+        rows = rows.withColumn("_key", draw([seed, epoch, F.col("_cls"), F.col(rid)], F.lit(1 << 60)))
+        indexed = global_ordinal(rows, ["_key", rid], "idx", by=["_cls"]).drop("_key")
     return slots.join(indexed, ["_cls", "idx"]).select("batch", "slot", rid)
 
 
@@ -79,32 +78,42 @@ def hard_negatives(df: DataFrame, label: str, z: str, frac: float, by: list[str]
     ordd = global_ordinal(neg, [*[F.col(c) for c in by], F.desc(z), F.col(rid)], "_o")
     first = ordd.groupBy(*by).agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_nneg"))
     k = F.greatest(F.lit(1), F.floor(F.col("_nneg") * F.lit(float(frac))))
-    # one row per group; AQE broadcasts it when the measured size is small
-    j = ordd.join(first, by)
+    j = ordd.join(F.broadcast(first), by)  # one row per group
     return j.where(F.col("_o") - F.col("_first") < k).drop("_o", "_first", "_nneg", "_all")
 
 
 def pairwise_loss(df: DataFrame, label: str, z: str, by: list[str] | None = None,
-                  num_neg_per_pos: int = 8, seed: int = 777, rid: str = "rid") -> DataFrame:
-    """Mean softplus(-(z_pos - z_neg)) over sampled pairs: K = min(N_neg, r*P) draws,
-    the first M = max(1, K // r) positives each paired with r hashed negatives."""
+                  num_neg_per_pos: int = 8, seed: int = 777, rid: str = "rid",
+                  hard_frac: float = 0.0) -> DataFrame:
+    """Mean softplus(-(z_pos - z_neg)) over pairs: every positive with r negatives drawn by
+    hash.  With ``hard_frac`` > 0 (and more than 10 negatives) the slots of all positives,
+    numbered through, first take the max(1, hard_frac * N) negatives of largest logit, each
+    once, and draw only beyond them.
+
+    A training batch of the reference can be too small to give every positive its
+    negatives and then leaves positives out; over a whole table all of them are used."""
     by = list(by or [])
     if not by:
         df, by = df.withColumn("_all", F.lit(0)), ["_all"]
     r = int(num_neg_per_pos)
     base = df.select(*by, rid, F.col(label).cast("int").alias("_cls"), F.col(z).alias("_z"))
     idx = class_index(base, "_cls", rid, by=by)
-    cnt = idx.groupBy(*by).agg(F.sum(F.col("_cls")).alias("_P"),
-                               F.sum(1 - F.col("_cls")).alias("_N"))
-    kk = F.least(F.col("_N"), F.greatest(F.lit(1), F.lit(r) * F.greatest(F.lit(1), F.col("_P"))))
-    m = F.greatest(F.lit(1), F.floor(kk / r))
-    pos = idx.where(F.col("_cls") == 1).join(cnt, by)  # one row per group (AQE decides broadcast)
-    pos = pos.where(F.col("idx") < m).select(*by, "idx", F.col("_z").alias("_zp"), "_N")
-    pairs = pos.select(*by, "_zp", F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("_t"), "idx", "_N")
-    pairs = pairs.select(*by, "_zp", draw([seed, *[F.col(c) for c in by], F.col("idx"), F.col("_t")],
-                                          F.col("_N")).alias("_nidx"))
+    cnt = idx.groupBy(*by).agg(F.sum(1 - F.col("_cls")).alias("_N"))
+    pos = idx.where(F.col("_cls") == 1).join(F.broadcast(cnt), by)  # one row per group
+    pairs = pos.select(*by, F.col("_z").alias("_zp"), "idx", "_N", F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("_t"))
+    pick = draw([seed, *[F.col(c) for c in by], F.col("idx"), F.col("_t")], F.col("_N"))
     negs = idx.where(F.col("_cls") == 0).select(*by, F.col("idx").alias("_nidx"), F.col("_z").alias("_zn"))
-    j = pairs.join(negs, by + ["_nidx"])
+    if hard_frac > 0:
+        neg = base.where(F.col("_cls") == 0)
+        ranked = global_ordinal(neg, [F.desc("_z"), F.col(rid)], "_h", by=by)
+        hard_n = F.when(F.col("_N") > 10, F.greatest(F.lit(1), F.floor(F.col("_N") * F.lit(float(hard_frac))))).otherwise(F.lit(0))
+        slot = F.col("idx") * r + F.col("_t")
+        pairs = pairs.withColumn("_hard", slot < hard_n).withColumn("_nidx", F.when(F.col("_hard"), slot).otherwise(pick))
+        negs = negs.withColumn("_hard", F.lit(False)).unionByName(
+            ranked.select(*by, F.col("_h").alias("_nidx"), F.col("_z").alias("_zn"), F.lit(True).alias("_hard")))
+        j = pairs.join(negs, by + ["_nidx", "_hard"])
+    else:
+        j = pairs.withColumn("_nidx", pick).join(negs, by + ["_nidx"])
     out = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"),
                              F.avg(softplus(-(F.col("_zp") - F.col("_zn")))).alias("loss"))
     return out.drop("_all")

@@ -227,11 +227,12 @@ def q_clamp_nonfinite(spark, sf_dir):
                      fe.is_missing(F.col("x")).cast("tinyint").alias("x_mask"))
 
 
-@register("id_normalise", ob.query(ITT, """SELECT rid, substr(coalesce(CAST("ID" AS VARCHAR), ''), 1, 64) AS ids FROM test
+@register("id_normalise", ob.query(ITT, """SELECT rid, repeat(coalesce(CAST("ID" AS VARCHAR), ''), 20) AS ids FROM test
 UNION ALL SELECT event_id AS rid, CAST(event_id AS VARCHAR) AS ids FROM events"""))
 def q_id_normalise(spark, sf_dir):
-    """ID to string, null -> '', 64 chars; a table without ID falls back to its row id (2.2 #8)."""
-    te = fx.test(spark, sf_dir)
+    """ID to string, null -> '', never cut (the IDs here are over 64 characters long); a table
+    without ID falls back to its row id (2.2 #8)."""
+    te = fx.test(spark, sf_dir).withColumn("ID", F.repeat("ID", F.lit(20)))
     ev = tb.read_table(spark, sf_dir, "events").select(F.col("event_id").alias("rid"))
     return te.select("rid", fe.normalised_id(te).alias("ids")).unionByName(
         ev.select("rid", fe.normalised_id(ev).alias("ids")))
@@ -275,7 +276,7 @@ def block_sql(src: str) -> str:
     nums = ", ".join(f"CAST({clamp_sql(imp_sql(c, 'med.m_' + c))} AS FLOAT)::DOUBLE AS {c}" for c in NUM)
     masks = ", ".join(f"{miss_sql(c)}::TINYINT AS {c}_mask" for c in NUM)
     return (f"""SELECT rid, {{y}} AS y, {ob.group_hash(['inventory_id', 'day_of_week'])} AS "groups",
-       substr(coalesce(CAST("ID" AS VARCHAR), ''), 1, 64) AS ids, {nums}, {masks}, {cats},
+       coalesce(CAST("ID" AS VARCHAR), '') AS ids, {nums}, {masks}, {cats},
        array_to_string({strict_pad_sql('seq', 16)}, ',') AS seq FROM {src}, med""")
 
 

@@ -10,7 +10,7 @@ IMPRESSIONS = """impressions AS (
          CASE WHEN event_id % 11 <> 0 THEN (user_id % 7)::VARCHAR END AS l_feat_14,
          user_id, k, value
   FROM (SELECT *, list(k) OVER (PARTITION BY user_id ORDER BY ts, event_id
-                                ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING) AS h
+                                ROWS BETWEEN 400 PRECEDING AND 1 PRECEDING) AS h
         FROM (SELECT *, (props::JSON ->> 'k')::INT AS k FROM events))
 )"""
 
@@ -37,6 +37,10 @@ def md5_u32(expr: str) -> str:
     return f"(('0x' || substr(md5({expr}), 1, 8))::BIGINT)"
 
 
+def md5_u60(expr: str) -> str:
+    return f"(('0x' || substr(md5({expr}), 1, 15))::BIGINT)"
+
+
 def cat_str(col: str) -> str:
     return f"coalesce(CAST({col} AS VARCHAR), 'NA')"
 

@@ -104,14 +104,22 @@ def q_hash_collisions(spark, sf_dir):
     return pr.hash_collisions(li, "l_partkey", MS)
 
 
-@register("recommend_buckets")
+# the load by bisection, in SQL: 1 - (1 - exp(-x)) / x = 0.005
+LOAD = """WITH RECURSIVE b(i, lo, hi) AS (SELECT 0, 1e-9::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN 1 - (1 - exp(-(lo + hi) / 2)) / ((lo + hi) / 2) < 0.005 THEN (lo + hi) / 2 ELSE lo END,
+         CASE WHEN 1 - (1 - exp(-(lo + hi) / 2)) / ((lo + hi) / 2) < 0.005 THEN hi ELSE (lo + hi) / 2 END
+  FROM b WHERE i < 60),
+n AS (SELECT (count(DISTINCT l_partkey) + max((l_partkey IS NULL)::INT))::BIGINT AS n_unique FROM lineitem)
+SELECT n_unique, 0.005::DOUBLE AS target_ratio,
+       (ceil(n_unique / hi / 500000.0) * 500000)::BIGINT AS recommended_m,
+       (ceil(n_unique / hi / 1000.0) * 1000)::BIGINT AS recommended_m_fine
+FROM n, b WHERE i = 60"""
+
+
+@register("recommend_buckets", LOAD)
 def q_recommend_buckets(spark, sf_dir):
-    """Smallest m (in 500k units) meeting a 0.5% collision target, from the distinct
-    count computed by Spark (2.7 #16)."""
-    li = tb.read_table(spark, sf_dir, "lineitem")
-    n = li.agg(pr.key_cardinality("l_partkey").alias("n")).first()["n"]
-    m = pr.recommend_m(int(n), 0.005)
-    small = pr.recommend_m(int(n), 0.005, unit=1)
-    return li.agg(pr.key_cardinality("l_partkey").alias("n_unique")).select(
-        "n_unique", F.lit(0.005).alias("target_ratio"), F.lit(m).alias("recommended_m"),
-        F.lit(small).alias("recommended_m_exact"))
+    """Least m, in units of 500k and of 1k, that keeps expected collisions to 0.5% (2.7 #16)."""
+    n = tb.read_table(spark, sf_dir, "lineitem").agg(pr.key_cardinality("l_partkey").cast("long").alias("n_unique"))
+    c = F.col("n_unique")
+    return n.select("n_unique", F.lit(0.005).alias("target_ratio"), pr.recommended_buckets(c, 0.005).alias("recommended_m"),
+                    pr.recommended_buckets(c, 0.005, unit=1000).alias("recommended_m_fine"))

@@ -41,7 +41,7 @@ def q_holdout_split(spark, sf_dir):
 BB = f"""cn AS (SELECT sum(clicked)::BIGINT AS np, sum(1 - clicked)::BIGINT AS nn, count(*)::BIGINT AS n FROM train),
 sl AS (SELECT r.range // 64 AS batch, r.range % 64 AS slot FROM cn, range((cn.n // 64) * 64) r),
 sp AS (SELECT batch, slot, CASE WHEN slot < 32 THEN 1 ELSE 0 END AS cls,
-              {ob.md5_u32("concat_ws(chr(31), '777', '0', CAST(batch AS VARCHAR), CAST(slot AS VARCHAR))")}
+              {ob.md5_u60("concat_ws(chr(31), '777', '0', CAST(batch AS VARCHAR), CAST(slot AS VARCHAR))")}
               % (CASE WHEN slot < 32 THEN np ELSE nn END) AS idx FROM sl, cn),
 ci AS (SELECT rid, clicked AS cls, row_number() OVER (PARTITION BY clicked ORDER BY rid) - 1 AS idx FROM train)"""
 
@@ -54,7 +54,7 @@ def q_balanced_batches(spark, sf_dir):
 
 
 @register("hash_sample", ob.query(IT, f"""SELECT rid FROM train
-WHERE {ob.md5_u32("concat_ws(chr(31), '2025', coalesce(CAST(rid AS VARCHAR), 'NA'))")} / 4294967296.0 < 0.3"""))
+WHERE {ob.md5_u60("concat_ws(chr(31), '2025', coalesce(CAST(rid AS VARCHAR), 'NA'))")} / 1152921504606846976.0 < 0.3"""))
 def q_hash_sample(spark, sf_dir):
     """Reproducible 30% sample by a hash of (seed, key) (2.8 #5)."""
     return sa.hash_sample(fx.train(spark, sf_dir), ["rid"], 0.3, seed=2025).select("rid")
@@ -77,16 +77,30 @@ def q_hard_negatives(spark, sf_dir):
     return sa.hard_negatives(s, "clicked", "z", 0.1, by=["fold"]).select("rid", "fold", "z")
 
 
-@register("pairwise_loss", ob.query(SF + [
-    """ix AS (SELECT fold, rid, clicked AS cls, z, row_number() OVER (PARTITION BY fold, clicked ORDER BY rid) - 1 AS idx FROM sf),
-cnt AS (SELECT fold, sum(cls) AS "P", sum(1 - cls) AS "N" FROM ix GROUP BY fold),
-pos AS (SELECT ix.fold, ix.idx, ix.z AS zp, cnt."N" FROM ix JOIN cnt USING (fold)
-        WHERE cls = 1 AND idx < greatest(1, floor(least("N", greatest(1, 8 * greatest(1, "P"))) / 8))),
-pairs AS (SELECT fold, zp, """ + ob.md5_u32("concat_ws(chr(31), '777', CAST(fold AS VARCHAR), CAST(idx AS VARCHAR), CAST(t.range AS VARCHAR))")
-    + """ % "N" AS nidx FROM pos, range(8) t)"""],
-    """SELECT fold, count(*)::BIGINT AS n_pairs, avg(ln(1 + exp(-abs(-(zp - zn)))) + greatest(-(zp - zn), 0)) AS loss
-FROM pairs JOIN (SELECT fold, idx AS nidx, z AS zn FROM ix WHERE cls = 0) USING (fold, nidx) GROUP BY fold""", ["loss"]))
+_PAIRS = [
+    """ix AS (SELECT fold, rid, clicked AS cls, z, row_number() OVER (PARTITION BY fold, clicked ORDER BY rid) - 1 AS idx,
+              row_number() OVER (PARTITION BY fold, clicked ORDER BY z DESC, rid) - 1 AS h FROM sf),
+cnt AS (SELECT fold, sum(1 - cls)::BIGINT AS "N" FROM ix GROUP BY fold),
+pos AS (SELECT ix.fold, ix.idx, ix.z AS zp, cnt."N" FROM ix JOIN cnt USING (fold) WHERE cls = 1),
+pairs AS (SELECT fold, zp, idx * 8 + t.range AS slot, "N", """
+    + ob.md5_u60("concat_ws(chr(31), '777', CAST(fold AS VARCHAR), CAST(idx AS VARCHAR), CAST(t.range AS VARCHAR))")
+    + """ % "N" AS nidx FROM pos, range(8) t),
+negs AS (SELECT fold, idx, h, z AS zn FROM ix WHERE cls = 0)"""]
+_LOSS = "count(*)::BIGINT AS n_pairs, avg(ln(1 + exp(-abs(-(zp - zn)))) + greatest(-(zp - zn), 0)) AS loss"
+
+
+@register("pairwise_loss", ob.query(SF + _PAIRS, f"""SELECT pairs.fold AS fold, {_LOSS}
+FROM pairs JOIN negs ON pairs.fold = negs.fold AND negs.idx = nidx GROUP BY pairs.fold""", ["loss"]))
 def q_pairwise_loss(spark, sf_dir):
-    """Pairwise logistic loss over hashed positive/negative pairs per fold (2.8 #6)."""
+    """Pairwise logistic loss: every positive with 8 hashed negatives, per fold (2.8 #6)."""
     s = scores_folds(spark, sf_dir).select("rid", "fold", "clicked", "z")
     return sa.pairwise_loss(s, "clicked", "z", by=["fold"], num_neg_per_pos=8, seed=777)
+
+
+@register("pairwise_loss_hard", ob.query(SF + _PAIRS, f"""SELECT pairs.fold AS fold, {_LOSS}
+FROM pairs JOIN negs ON pairs.fold = negs.fold AND CASE WHEN slot < (CASE WHEN "N" > 10 THEN greatest(1, floor("N" * 0.3)) ELSE 0 END)
+     THEN negs.h = slot ELSE negs.idx = nidx END GROUP BY pairs.fold""", ["loss"]))
+def q_pairwise_loss_hard(spark, sf_dir):
+    """The same with the hardest 30% of negatives taken first (2.8 #6)."""
+    s = scores_folds(spark, sf_dir).select("rid", "fold", "clicked", "z")
+    return sa.pairwise_loss(s, "clicked", "z", by=["fold"], num_neg_per_pos=8, seed=777, hard_frac=0.3)

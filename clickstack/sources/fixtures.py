@@ -1,7 +1,8 @@
 """The ``impressions`` stand-in built from the driver's ``events`` table.
 
-One impression per event; the click history ``seq`` is the user's previous (at most
-40) ``k`` values, newest last.  Test split = ``event_id % 10 = 9``.  Scores, model
+One impression per event; the click history ``seq`` is the user's previous ``k``
+values, newest last, as many as the widest feature reads (``max_len`` of the feature
+block, 400); the features cut it to their own lengths.  Test split = ``event_id % 10 = 9``.  Scores, model
 outputs and a second prediction table are plain functions of the event columns.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .tables import read_table
 
-HISTORY = 40
+HISTORY = 400  # the longest max_len of any feature
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:

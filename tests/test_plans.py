@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from clickstack.plans import registry
 from conftest import SMALL
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas",
@@ -15,7 +16,10 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+E.queries()  # loads the registry
+
+
+@pytest.mark.parametrize("key", sorted(registry.ORACLE))
 def test_no_python_udf(spark, key):
     p = plan(E.queries()[key](spark, SMALL))
     assert not any(n in p for n in PY_NODES), key
