@@ -16,12 +16,22 @@ def empty_int_array() -> Column:
 
 def parse_lenient(seq) -> Column:
     """Split on ',' and try-cast each piece; junk and empty pieces stay as null
-    elements (they keep their position).  Null sequence -> empty array."""
+    elements (see ``counted_positions``).  Null sequence -> empty array."""
     s = _col(seq)
     # array-level try_cast keeps per-element nulls and stays in whole-stage codegen
     return F.when(s.isNull(), empty_int_array()).otherwise(F.split(s, ",").try_cast("array<int>"))
 
 
+def counted_positions(arr) -> Column:
+    """array<struct<pos, token>>: pos counts the tokens that are not null up to and with this
+    one, less 1 (a junk token keeps the position of the token before it)."""
+    a = _col(arr)
+    plain = F.transform(a, lambda x, i: F.struct(i.alias("pos"), x.alias("token")))
+    junk = F.transform(a, lambda x, i: F.struct(
+        (F.size(F.filter(F.slice(a, 1, i + 1), lambda t: t.isNotNull())) - 1).alias("pos"), x.alias("token")))
+    return F.when(F.exists(a, lambda t: t.isNull()), junk).otherwise(plain)
+
+
 def parse_strict(seq) -> Column:
     """Split on ',', skip empty pieces, cast each to int (a bad token raises under ANSI)."""
     s = F.coalesce(_col(seq), F.lit(""))

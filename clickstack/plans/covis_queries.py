@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.sequence import parse_lenient, recency_weight, tail, time_bin
+from ..functions.sequence import counted_positions, parse_lenient, recency_weight, tail, time_bin
 from ..operators import covis as cv
 from ..operators.folds import attach_folds, group_folds
 from ..operators.features import median_values
@@ -14,22 +14,40 @@ from .registry import register
 
 # Fixture settings: target l_feat_14, time bin day_of_week, folds over
 # inventory_id x day_of_week (portable md5 hashing so DuckDB can check it).
-SPEC = cv.CovisSpec(targets=("l_feat_14",), time_bin="day_of_week",
+# The kept tail is shorter than the longest history, so the cut acts; every token 7 is
+# turned into junk, so junk positions are exercised too.
+K = 60
+SPEC = cv.CovisSpec(targets=("l_feat_14",), time_bin="day_of_week", seq_top_k=K,
                     fold_group=("inventory_id", "day_of_week"))
-SPEC2 = cv.CovisSpec(targets=("l_feat_14", "hour"), time_bin="day_of_week",
+SPEC2 = cv.CovisSpec(targets=("l_feat_14", "hour"), time_bin="day_of_week", seq_top_k=K,
                      fold_group=("inventory_id", "day_of_week"))
 HASH = "md5"
 FEATS = SPEC.feature_columns()
 FEATS2 = SPEC2.feature_columns()
 
 
+def with_junk(df):
+    return df.withColumn("seq", F.regexp_replace("seq", r"\b7\b", "x"))
+
+
+def train_rows(spark, sf_dir):
+    return with_junk(fx.train(spark, sf_dir))
+
+
+def test_rows(spark, sf_dir):
+    return with_junk(fx.test(spark, sf_dir))
+
+
 def train_with_folds(spark, sf_dir):
-    return attach_folds(fx.train(spark, sf_dir), list(SPEC.fold_group), SPEC.n_folds, HASH)
+    return attach_folds(train_rows(spark, sf_dir), list(SPEC.fold_group), SPEC.n_folds, HASH)
 
 
-BASE = [ob.IMPRESSIONS, ob.TRAIN, ob.TEST, ob.folds_cte()]
+JUNK = r"SELECT * REPLACE (regexp_replace(seq, '\b7\b', 'x', 'g') AS seq)"
+IMP = "impj AS (" + JUNK + " FROM impressions)"
+TRAIN, TEST = ob.TRAIN.replace("impressions", "impj"), ob.TEST.replace("impressions", "impj")
+BASE = [ob.IMPRESSIONS, IMP, TRAIN, TEST, ob.folds_cte()]
 TOK_TRAIN = ob.tokens_cte("tok", "trainf", ["rid", "fold", "clicked"], ["l_feat_14"],
-                          "day_of_week", 120, 512, outer=False)
+                          "day_of_week", K, 512, outer=False)
 FOLDS = "folds_list AS (SELECT range::INT AS f FROM range(5))"
 PAIR_FULL = f"""pair_full AS (
   SELECT target, target_value, token::INT AS token, time_bin::INT AS time_bin,
@@ -73,9 +91,9 @@ def row_agg_sql(targets, n=3):
 
 
 ROWTOK_TRAIN = ob.tokens_cte("rtok", "trainf", ["rid", "fold"], ["l_feat_14"], "day_of_week",
-                             120, 512, outer=True)
+                             K, 512, outer=True)
 ROWTOK_TEST = ob.tokens_cte("ttok", "test", ['"ID"'], ["l_feat_14"], "day_of_week",
-                            120, 512, outer=True)
+                            K, 512, outer=True)
 RF_OOF = f"""rf_oof AS (
   SELECT rid, fold, {row_agg_sql(['l_feat_14'])}
   FROM rtok LEFT JOIN pair_oof USING (target, target_value, token, time_bin, fold)
@@ -105,8 +123,8 @@ def q_pair_stats_oof(spark, sf_dir):
 
 
 @register("smoothed_ctr", ob.query(
-    [ob.IMPRESSIONS, ob.TRAIN,
-     ob.tokens_cte("tokh", "train", ["rid", "clicked"], ["inventory_id"], '"hour"', 120, 512, False),
+    [ob.IMPRESSIONS, IMP, TRAIN,
+     ob.tokens_cte("tokh", "train", ["rid", "clicked"], ["inventory_id"], '"hour"', K, 512, False),
      f"""ph AS (SELECT target, target_value, token::INT AS token, time_bin::INT AS time_bin,
                 count(*)::BIGINT AS impr, sum(clicked)::BIGINT AS clicks FROM tokh GROUP BY ALL),
      p0h AS (SELECT avg(clicked) AS p0 FROM tokh)"""],
@@ -116,8 +134,8 @@ def q_smoothed_ctr(spark, sf_dir):
     """Beta-smoothed, clipped rate with another prior strength, clip and time bin
     (target inventory_id by hour; no folds involved)."""
     spec = cv.CovisSpec(targets=("inventory_id",), time_bin="hour", prior_strength=20.0,
-                        ctr_clip=(0.01, 0.99))
-    tok = cv.token_rows(fx.train(spark, sf_dir), spec, keep=["clicked"])
+                        ctr_clip=(0.01, 0.99), seq_top_k=K)
+    tok = cv.token_rows(train_rows(spark, sf_dir), spec, keep=["clicked"])
     return cv.pair_stats_full(tok, spec).select(*cv.KEYS, "impr", "clicks", "ctr")
 
 
@@ -138,18 +156,17 @@ def q_row_features_test(spark, sf_dir):
     """Test rows scored against the full-train pair statistics."""
     tok = cv.token_rows(train_with_folds(spark, sf_dir), SPEC, keep=["fold", "clicked"])
     full = cv.pair_stats_full(tok, SPEC)
-    return cv.row_features(fx.test(spark, sf_dir), full, SPEC, ["ID"])
+    return cv.row_features(test_rows(spark, sf_dir), full, SPEC, ["ID"])
 
 
 TOK2 = ob.tokens_cte("tok", "trainf", ["rid", "fold", "clicked"], ["l_feat_14", "hour"],
-                     "day_of_week", 120, 512, outer=False)
+                     "day_of_week", K, 512, outer=False)
 ROWTOK2 = ob.tokens_cte("rtok", "trainf", ["rid", "fold"], ["l_feat_14", "hour"], "day_of_week",
-                        120, 512, outer=True)
+                        K, 512, outer=True)
 
 
 @register("row_features_multi_target", ob.query(
-    BASE + [TOK2, FOLDS, PAIR_OOF.replace("p0_oof AS (SELECT f.f AS fold, coalesce(avg(clicked), 0.019)",
-                                          "p0_oof AS (SELECT f.f AS fold, coalesce(avg(clicked), 0.019)"),
+    BASE + [TOK2, FOLDS, PAIR_OOF,
             ROWTOK2,
             f"""rf2 AS (SELECT rid, {row_agg_sql(['l_feat_14', 'hour'])}
               FROM rtok LEFT JOIN pair_oof USING (target, target_value, token, time_bin, fold)
@@ -193,7 +210,7 @@ def q_features_with_covis(spark, sf_dir):
 FROM test t LEFT JOIN rf_test r USING ("ID")""", FEATS))
 def q_test_features_with_covis(spark, sf_dir):
     """Test rows left-joined with full-train features on ID; misses -> 0.0 (2.3 #2-3)."""
-    te = fx.test(spark, sf_dir)
+    te = test_rows(spark, sf_dir)
     tok = cv.token_rows(train_with_folds(spark, sf_dir), SPEC, keep=["fold", "clicked"])
     rf = cv.row_features(te, cv.pair_stats_full(tok, SPEC), SPEC, ["ID"])
     return cv.join_features(te.select("ID", "rid"), rf, "ID", FEATS)
@@ -208,7 +225,7 @@ def q_pair_lookup(spark, sf_dir):
     """Exploded test tokens left-joined to pair statistics; a null target never matches."""
     tok = cv.token_rows(train_with_folds(spark, sf_dir), SPEC, keep=["fold", "clicked"])
     full = cv.pair_stats_full(tok, SPEC).select(*cv.KEYS, "impr", "ctr")
-    tt = cv.token_rows(fx.test(spark, sf_dir), SPEC, keep=["ID"])
+    tt = cv.token_rows(test_rows(spark, sf_dir), SPEC, keep=["ID"])
     return tt.join(full, cv.KEYS, "left").select(
         "ID", "pos", "token", F.coalesce("impr", F.lit(0)).cast("long").alias("impr"), "ctr")
 
@@ -231,14 +248,13 @@ def q_fold_restrict(spark, sf_dir):
 
 # ---------------------------------------------------------------- sequence operators
 @register("explode_positions", ob.query(
-    [ob.IMPRESSIONS, ob.tokens_cte("tk", "impressions", ["rid"], ["l_feat_14"], "day_of_week",
-                                   120, 512, False)],
+    [ob.IMPRESSIONS, IMP, ob.tokens_cte("tk", "impj", ["rid"], ["l_feat_14"], "day_of_week",
+                                   K, 512, False)],
     "SELECT rid, pos::INT AS pos, token::INT AS token FROM tk"))
 def q_explode_positions(spark, sf_dir):
-    """posexplode of the kept history: position 0 = oldest kept token (2.5 #1, 2.7 #6)."""
-    imp = fx.impressions(spark, sf_dir)
-    toks = tail(parse_lenient(F.col("seq")), 120)
-    return imp.select("rid", F.posexplode(toks).alias("pos", "token")).where(F.col("token").isNotNull())
+    """Kept history as rows: position 0 = oldest kept token, junk not counted (2.5 #1, 2.7 #6)."""
+    imp = with_junk(fx.impressions(spark, sf_dir)).select("rid", tail(parse_lenient(F.col("seq")), K).alias("l"))
+    return imp.select("rid", F.inline(counted_positions("l"))).where(F.col("token").isNotNull())
 
 
 @register("seq_tail", ob.query(
@@ -253,18 +269,15 @@ def q_seq_tail(spark, sf_dir):
 
 
 @register("recency_weights", ob.query(
-    [ob.IMPRESSIONS,
-     """rw AS (SELECT rid, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos, len(l) AS n
-               FROM (SELECT rid, CASE WHEN seq IS NULL THEN []::INT[] ELSE
-                     list_transform(string_split(seq, ','), lambda x: TRY_CAST(x AS INTEGER)) END AS l
-                     FROM impressions))"""],
-    """SELECT rid, pos::INT AS pos, exp(-pos / 512.0) AS w_start, exp(-(n - 1 - pos) / 512.0) AS w_end
-FROM rw WHERE token IS NOT NULL""", ["w_start", "w_end"]))
+    [ob.IMPRESSIONS, IMP, ob.tokens_cte("rw", "impj", ["rid", "seq"], ["l_feat_14"], "day_of_week", 400, 512, False)],
+    f"""SELECT rid, pos::INT AS pos, exp(-pos / 512.0) AS w_start,
+       exp(-(len(list_filter({ob.lenient_tail('seq', 400)}, lambda t: t IS NOT NULL)) - 1 - pos) / 512.0) AS w_end
+FROM rw""", ["w_start", "w_end"]))
 def q_recency_weights(spark, sf_dir):
     """exp(-pos/tau) with pos from the oldest (as coded) and from the newest token (2.7 #7)."""
-    imp = fx.impressions(spark, sf_dir)
-    base = imp.select("rid", parse_lenient(F.col("seq")).alias("l")).withColumn("n", F.size("l"))
-    e = base.select("rid", "n", F.posexplode("l").alias("pos", "token")).where(F.col("token").isNotNull())
+    imp = with_junk(fx.impressions(spark, sf_dir))
+    base = imp.select("rid", parse_lenient(F.col("seq")).alias("l"))
+    e = base.select("rid", F.size(F.array_compact("l")).alias("n"), F.inline(counted_positions("l"))).where(F.col("token").isNotNull())
     return e.select("rid", "pos", recency_weight(F.col("pos"), 512).alias("w_start"),
                     recency_weight(F.col("n") - 1 - F.col("pos"), 512).alias("w_end"))
 

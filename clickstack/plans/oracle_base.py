@@ -76,12 +76,15 @@ def tokens_cte(name: str, src: str, keep: list[str], targets: list[str], tb: str
     """Exploded history tokens with positions, stacked over targets."""
     keep_s = ", ".join(keep)
     lst = "l" if not outer else "(CASE WHEN len(l) = 0 THEN [NULL]::INT[] ELSE l END)"
+    # a position counts the tokens that are not null up to and with its own
+    placed = (f"list_transform({lst}, lambda x, i: {{'token': x, "
+              f"'pos': len(list_filter(({lst})[1:i], lambda t: t IS NOT NULL)) - 1}})")
     parts = []
     for t in targets:
         parts.append(f"""SELECT {keep_s}, '{t}' AS target, CAST({t} AS VARCHAR) AS target_value,
        {tb} AS time_bin, pos, token, exp(-pos / {float(tau)}) AS w_rec
-FROM (SELECT *, unnest({lst}) AS token, generate_subscripts({lst}, 1) - 1 AS pos
-      FROM (SELECT *, {lenient_tail('seq', k)} AS l FROM {src}))""")
+FROM (SELECT *, pt.token AS token, pt.pos AS pos
+      FROM (SELECT *, unnest({placed}) AS pt FROM (SELECT *, {lenient_tail('seq', k)} AS l FROM {src})))""")
     body = "\nUNION ALL\n".join(parts)
     where = "" if outer else " WHERE token IS NOT NULL"
     return f"{name} AS (SELECT * FROM ({body}){where})"
