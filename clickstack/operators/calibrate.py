@@ -2,7 +2,7 @@
 with 50:50 weights, and applying them.
 
 The temperature fit evaluates a grid of candidate T as columns of ONE aggregation per
-round (4 rounds x 17 candidates), refining around the best; the data is scanned once
+round (5 rounds x 17 candidates), refining around the best; the data is scanned once
 per round and nothing but 17 numbers reaches the driver."""
 
 from __future__ import annotations
@@ -90,16 +90,25 @@ def fit_temperature_by(df: DataFrame, z: str, y: str, by: str, groups: list, l2:
     return {g: best[g][0] for g in groups}
 
 
-def fit_temperature(df: DataFrame, z: str, y: str, l2: float = L2_REG, clamp: tuple = T_CLAMP,
+def fit_temperature(df: DataFrame, z: str, y: str, l2: float = L2_REG, clamp: tuple | None = T_CLAMP,
                     rounds: int = 5, points: int = 17) -> tuple[float, float]:
-    """argmin over T in [clamp] of the objective; returns (T, loss).
+    """argmin over T in [clamp] of the objective; returns (T, loss).  Without a clamp the
+    search starts on [1e-3, 1e3] and widens while the best T lies at an end.
 
     The (z, y) columns are materialised once (shared folder) since every round scans
     them."""
     from ..session import cut_lineage
     df = cut_lineage(df.select(F.col(z).cast("double").alias(z), F.col(y)), "tfit")
-    lo, hi = math.log(clamp[0]), math.log(clamp[1])
+    lo, hi = (math.log(clamp[0]), math.log(clamp[1])) if clamp else (math.log(1e-3), math.log(1e3))
     best_t, best_loss = 1.0, float("inf")
+    ends = (lo, hi) if clamp else (-600.0, 600.0)
+    while not clamp and ends[0] < lo and hi < ends[1]:
+        grid = [math.exp(lo + (hi - lo) * i / (points - 1)) for i in range(points)]
+        losses = [r["loss"] for r in temperature_objective(df, z, y, grid, l2, None).collect()]  # `points` rows
+        i = min(range(points), key=lambda k: (losses[k], k))
+        if 0 < i < points - 1:
+            break
+        lo, hi = (lo - (hi - lo), hi) if i == 0 else (lo, hi + (hi - lo))
     for _ in range(rounds):
         grid = [math.exp(lo + (hi - lo) * i / (points - 1)) for i in range(points)]
         rows = temperature_objective(df, z, y, grid, l2, clamp).collect()  # `points` rows
@@ -108,8 +117,8 @@ def fit_temperature(df: DataFrame, z: str, y: str, l2: float = L2_REG, clamp: tu
         if losses[i] < best_loss:
             best_t, best_loss = grid[i], losses[i]
         step = (hi - lo) / (points - 1)
-        lo = max(math.log(clamp[0]), math.log(grid[i]) - step)
-        hi = min(math.log(clamp[1]), math.log(grid[i]) + step)
+        lo = max(ends[0], math.log(grid[i]) - step)
+        hi = min(ends[1], math.log(grid[i]) + step)
     return best_t, best_loss
 
 
@@ -121,8 +130,11 @@ class Calibrator:
     knots_y: list | None = None
     clamp: tuple | None = T_CLAMP
 
+    # True where an isotonic step was asked for and the scores had too few distinct values
+    isotonic_skipped: bool = False
+
     def logits(self, z: Column) -> Column:
-        return z / F.lit(float(self.T)) if self.T is not None else z
+        return temperature_apply(z, float(self.T), self.clamp) if self.T is not None else z
 
     def proba(self, z: Column) -> Column:
         p = sigmoid_stable(self.logits(z))
@@ -184,10 +196,11 @@ def fit(df: DataFrame, z: str, y: str, method: str = "temperature", l2: float =
         raise ValueError("platt is accepted by the reference CLI but has no fit; not supported")
     cal = Calibrator(method=method, clamp=clamp)
     if method in ("temperature", "temperature+isotonic"):
-        cal.T, _ = fit_temperature(df, z, y, l2, clamp or (1e-3, 1e3))
+        cal.T, _ = fit_temperature(df, z, y, l2, clamp)
     if method in ("isotonic", "temperature+isotonic"):
         pz = sigmoid_stable(cal.logits(F.col(z)))
         knots = isotonic_knots(df.withColumn("_p", pz), "_p", y, min_nodes, balanced)
+        cal.isotonic_skipped = knots is None
         if knots is not None:
             kk = knots.orderBy("x").collect()  # knot table: bounded by the number of pools
             cal.knots_x = [r["x"] for r in kk]
@@ -207,6 +220,6 @@ def calibrated_ensemble(df: DataFrame, cols: list[str], cal_table: DataFrame, ke
     stk = df.select(key, F.inline(F.array(*[
         F.struct(F.lit(c).alias("model"), F.col(c).cast("double").alias("_p")) for c in cols])))
     j = stk.join(F.broadcast(cal_table), "model")
-    p = clip(sigmoid_stable(logit(clip(F.col("_p"), EPS_LOGIT, 1 - EPS_LOGIT)) / F.col("T")),
-             EPS_LOGIT, 1 - EPS_LOGIT)
+    t = F.least(F.greatest(F.col("T"), F.lit(T_CLAMP[0])), F.lit(T_CLAMP[1]))  # clamped where it is applied
+    p = clip(sigmoid_stable(logit(clip(F.col("_p"), EPS_LOGIT, 1 - EPS_LOGIT)) / t), EPS_LOGIT, 1 - EPS_LOGIT)
     return j.groupBy(key).agg((F.sum(p) / F.lit(float(m))).alias(out))

@@ -3,6 +3,9 @@ two prediction tables."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +16,17 @@ from .rowindex import global_ordinal
 METHODS = ("mean", "geom_mean", "logit_mean", "median", "trim_mean", "rank_avg", "weighted")
 
 
-def _arr(cols: list[str]) -> Column:
-    return F.array(*[F.col(c).cast("double") for c in cols])
+def _mean(cols: list[Column], m: int) -> Column:
+    return reduce(add, cols) / F.lit(float(m))
 
 
-def _mean(a: Column, m: int) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.lit(float(m))
+def _wsum(cols: list[Column], weights: list[float]) -> Column:
+    return reduce(add, [c * F.lit(float(w)) for c, w in zip(cols, weights)])
 
 
-def _wsum(a: Column, weights: list[float]) -> Column:
-    return F.aggregate(F.zip_with(a, F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x * w),
-                       F.lit(0.0), lambda s, x: s + x)
+def _sorted(cols: list[Column]) -> list[Column]:
+    a = F.array_sort(F.array(*cols))
+    return [F.element_at(a, i + 1) for i in range(len(cols))]
 
 
 def trim_k(m: int, ratio: float) -> int:
@@ -48,23 +51,23 @@ def combine(df: DataFrame, cols: list[str], method: str = "logit_mean",
                             for i, c in enumerate(cols)]) if clamp else \
         df.select("*", *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
     cc = [f"_c{i}" for i in range(m)]
-    a = _arr(cc)
+    a = [F.col(c) for c in cc]
     w = normalise_weights(weights, m) if weights is not None else None
     if m == 1:
         val = F.col(cc[0])
     elif method == "mean":
         val = _mean(a, m) if w is None else _wsum(a, w)
     elif method == "geom_mean":
-        la = F.transform(a, lambda x: F.ln(F.least(F.greatest(x, F.lit(EPS_LOGIT)), F.lit(1 - EPS_LOGIT))))
+        la = [F.ln(clip(x, EPS_LOGIT, 1 - EPS_LOGIT)) for x in a]
         val = F.exp(_mean(la, m) if w is None else _wsum(la, w))
     elif method == "logit_mean":
-        la = F.transform(a, lambda x: logit(x))
+        la = [logit(x) for x in a]
         val = sigmoid(_mean(la, m) if w is None else _wsum(la, w))
     elif method == "median":
-        val = F.element_at(F.array_sort(a), (m - 1) // 2 + 1)  # lower middle for even M
+        val = _sorted(a)[(m - 1) // 2]  # lower middle for even M
     elif method == "trim_mean":
         k = trim_k(m, trim_ratio)
-        val = _mean(a, m) if k == 0 else _mean(F.slice(F.array_sort(a), k + 1, m - 2 * k), m - 2 * k)
+        val = _mean(a, m) if k == 0 else _mean(_sorted(a)[k:m - k], m - 2 * k)
     elif method == "weighted":
         if w is None:
             raise ValueError("give one weight per model for the weighted ensemble")
@@ -101,17 +104,19 @@ def val_weights(metrics: DataFrame, score_col: str = "score", model_col: str = "
 
 
 # ---------------------------------------------------------------- two-table blends
-def assert_unique(df: DataFrame, key: str, name: str) -> None:
-    dup = df.groupBy(key).count().where(F.col("count") > 1).limit(1).count()
-    if dup:
-        raise ValueError(f"{name}: duplicate {key} values (one-to-one join required)")
+def unique_rows(df: DataFrame, key: str, name: str, out: str) -> DataFrame:
+    """(key, ``out``): one row per key; a repeated key fails the job that reads it.  The
+    grouping leaves the rows partitioned by key, as the join after it needs them."""
+    one = df.groupBy(key).agg(F.max(F.col("clicked").cast("double")).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    refuse = F.raise_error(F.concat(F.lit(f"{name}: repeated {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return one.select(key, F.when(F.col("_n") == 1, F.col("_p")).otherwise(refuse.cast("double")).alias(out))
 
 
 def blend_join(a: DataFrame, b: DataFrame, key: str = "ID", check: bool = True) -> DataFrame:
-    """Inner one-to-one join of two (ID, clicked) tables."""
+    """Inner one-to-one join of two (ID, clicked) tables; with ``check`` repeated keys fail."""
     if check:
-        assert_unique(a, key, "first table")
-        assert_unique(b, key, "second table")
+        return unique_rows(a, key, "first table", "clicked_1").join(
+            unique_rows(b, key, "second table", "clicked_2"), key, "inner")
     return a.select(key, F.col("clicked").cast("double").alias("clicked_1")).join(
         b.select(key, F.col("clicked").cast("double").alias("clicked_2")), key, "inner")
 

@@ -38,6 +38,8 @@ def balanced_weights(df: DataFrame, label: str, out: str = "w") -> DataFrame:
 
 def fit(df: DataFrame, label: str, kind: str = "lr", max_iter: int = 30, reg: float = 1e-3,
         factor_size: int = 8, seed: int = 777):
+    """The logistic regression is class-balanced; MLlib's factorization machine takes no row
+    weights, so it is fitted on the rows as they are."""
     data = balanced_weights(df, label).withColumn("_label", F.col(label).cast("double"))
     if kind == "lr":
         est = LogisticRegression(featuresCol="features", labelCol="_label", weightCol="w",
@@ -103,15 +105,16 @@ def score_ensemble(test: DataFrame, models: list, oof: DataFrame, key: str = "ID
     OOF logits) calibrates model f; the calibrated probabilities are ensembled."""
     wide = test.select(key, "features")
     cols = []
+    # each model adds its own columns to the same rows: one scan for any number of folds
     temps = ca.fit_temperature_by(oof, "z", "y", fold_col, list(range(len(models)))) if calibrate else {}
     for f, m in enumerate(models):
-        s = score(m, wide, [key]).select(key, F.col("z").alias(f"z{f}"))
-        if calibrate:
-            cal = ca.Calibrator("temperature", T=temps[f])
-            s = s.select(key, cal.proba(F.col(f"z{f}")).alias(f"p{f}"))
-        else:
-            s = s.select(key, ca.sigmoid_stable(F.col(f"z{f}")).alias(f"p{f}"))
-        wide = wide.join(s, key)
+        own = m.copy()
+        for column in ("rawPrediction", "probability", "prediction"):
+            own.set(own.getParam(f"{column}Col"), f"_{column}{f}")
+        wide = own.transform(wide)
+        z = vector_to_array(f"_rawPrediction{f}")[1]
+        p = ca.Calibrator("temperature", T=temps[f]).proba(z) if calibrate else ca.sigmoid_stable(z)
+        wide = wide.withColumn(f"p{f}", p).drop(*[f"_{c}{f}" for c in ("rawPrediction", "probability", "prediction")])
         cols.append(f"p{f}")
     out = en.combine(wide.drop("features"), cols, method, key=key, out="clicked")
     return out.select(key, "clicked")

@@ -72,8 +72,10 @@ def q_ensemble_val_weighted(spark, sf_dir):
         F.struct(F.lit(p).alias("model"), F.col(p).alias("p")) for p in P])))
     metrics = me.final_score(stk, "clicked", "p", by=["model"])
     wt = en.val_weights(metrics, "score", "model", temperature=5.0)
-    terms = [wt.where(F.col("model") == p).select("weight").scalar() * F.col(p) for p in P]
-    return cl.select("ID", reduce(lambda a, b: a + b, terms).alias("p"))
+    row = wt.agg(*[F.max(F.when(F.col("model") == p, F.col("weight"))).alias(f"w_{p}") for p in P])
+    terms = [F.col(f"w_{p}") * F.col(p) for p in P]
+    # one row of weights for all rows: the metric plan is read once
+    return cl.join(F.broadcast(row), F.lit(True)).select("ID", reduce(lambda a, b: a + b, terms).alias("p"))
 
 
 @register("calibrated_ensemble", ob.query(

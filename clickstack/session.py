@@ -59,6 +59,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder, deleted when the driver's session ends."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as Parquet in a fresh folder under the shared checkpoint
     directory and continue from the files.
@@ -66,9 +76,7 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     Same guarantee as a reliable ``checkpoint()`` (the data survives executor loss and
     the lineage is cut) but computed in ONE pass: an eager RDD checkpoint of an
     unpersisted plan runs the plan twice (count, then write)."""
-    import uuid
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

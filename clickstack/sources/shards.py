@@ -7,12 +7,10 @@ id, never range joins."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder
 
 
 def with_shard(df: DataFrame, shard_rows: int, rid_col: str = "rid") -> DataFrame:
@@ -31,9 +29,10 @@ def write_shards(df: DataFrame, out_dir: str, shard_rows: int, rid_col: str = "r
                  mode: str = "overwrite") -> DataFrame:
     """Write the block partitioned by shard (rows sorted by rid inside each shard) and
     return the manifest read back from what was written."""
-    sharded = with_shard(df, shard_rows, rid_col)
-    (sharded.repartition("shard").sortWithinPartitions(rid_col)
-     .write.mode(mode).partitionBy("shard").parquet(f"{out_dir}/data"))
+    # a range partitioning by row id: a task holds whole stretches of shards, so this is the
+    # only shuffle of the full rows
+    ranged = df.repartitionByRange(F.col(rid_col)).sortWithinPartitions(rid_col)
+    with_shard(ranged, shard_rows, rid_col).write.mode(mode).partitionBy("shard").parquet(f"{out_dir}/data")
     written = df.sparkSession.read.parquet(f"{out_dir}/data")
     m = manifest(written, rid_col)
     m.write.mode(mode).parquet(f"{out_dir}/manifest")
@@ -41,9 +40,8 @@ def write_shards(df: DataFrame, out_dir: str, shard_rows: int, rid_col: str = "r
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the shared checkpoint directory, deleted when the session ends."""
+    return scratch_folder(spark, name)
 
 
 def locate(index: DataFrame, man: DataFrame, shard_rows: int, i_col: str = "i") -> DataFrame:

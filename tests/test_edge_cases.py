@@ -97,7 +97,7 @@ def test_single_class_and_ties(spark):
 def test_duplicate_id_in_blend_refused(spark):
     a = spark.createDataFrame([("1", 0.2), ("1", 0.3)], "ID string, clicked double")
     b = spark.createDataFrame([("1", 0.4)], "ID string, clicked double")
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="repeated ID 1"):
         en.blend(a, b, "mean").collect()
 
 
