@@ -1,11 +1,13 @@
 """Query-aware pooling of a click history with embedding tables (the data half of the
 sequence encoder).
 
-Plan: explode the kept tokens, broadcast-join the attention vectors, score each token
-with codegen'd fixed-width arithmetic, keep the top-k per row through ONE groupBy(row)
-(map-side partial collect of small structs), then fetch representation vectors for
-the k selected tokens only and pool them with per-dimension sums.  The second groupBy
-reuses the row partitioning of the first (no extra shuffle)."""
+A token's score is a dot product with the row's query vector, which is a weighted sum of
+context embeddings; so the score is the same weighted sum of dot products of the token with
+each context value.  Those are computed once per DISTINCT (token, context value) pair and
+joined back as numbers: no vector is copied onto a token.  One groupBy(row) keeps the top-k
+(map-side partial collect of small structs); representation vectors are fetched for the k
+chosen tokens only.  Vector tables are broadcast when their size is small (checked),
+otherwise joined by shuffle.  An id without a vector counts as the zero vector."""
 
 from __future__ import annotations
 
@@ -40,49 +42,73 @@ class HistorySpec:
     context_offsets: dict = field(default_factory=dict)
 
 
+BROADCAST_VALUES = 8_000_000  # vector elements that may be broadcast (64 MB of doubles)
+
+
 def lookup(emb: DataFrame, offset: int, out: str, key: str = "_key") -> DataFrame:
     """(key, vector<double>) view of the embedding table with vec_id = key + offset."""
     return emb.select((F.col("vec_id") - F.lit(int(offset))).alias(key), vx.as_double("embedding").alias(out))
 
 
-def with_query_vector(rows: DataFrame, emb: DataFrame, spec: HistorySpec, out: str = "q") -> DataFrame:
-    """S1 = embedding of the query key, S2 = mean of the context column embeddings,
-    concat = their average."""
-    df = rows
-    d = spec.dim
-    if spec.query_mode in ("S1", "concat"):
-        df = df.join(lookup(emb, spec.query_offset, "_s1", spec.query_key), spec.query_key, "left")
-    ctx = []
-    if spec.query_mode in ("S2", "concat"):
-        for c in spec.context_cols:
-            name = f"_ctx_{c}"
-            df = df.join(lookup(emb, spec.context_offsets.get(c, 0), name, c), c, "left")
-            ctx.append(name)
-    if spec.query_mode == "S1":
-        q = F.col("_s1")
-    elif spec.query_mode == "S2":
-        q = vx.mean(ctx, d)
-    elif spec.query_mode == "concat":
-        q = vx.combine(["_s1", *ctx], [0.5] + [0.5 / len(ctx)] * len(ctx), d)
+def with_vector(rows: DataFrame, emb: DataFrame, offset: int, key: str, out: str, dim: int) -> DataFrame:
+    """``rows`` with the vector of ``key`` (zero where there is none).  A large embedding table
+    is first cut to the ids that occur; what is left is broadcast if it is small."""
+    table = lookup(emb, offset, out, key)
+    if emb.count() * dim > BROADCAST_VALUES:
+        table = table.join(rows.select(key).distinct(), key, "left_semi")
+        small = table.select(key).limit(BROADCAST_VALUES // dim + 1).count() * dim <= BROADCAST_VALUES
     else:
+        small = True
+    joined = rows.join(F.broadcast(table) if small else table, key, "left")
+    return joined.withColumn(out, F.coalesce(out, vx.zeros(dim)))
+
+
+def query_parts(spec: HistorySpec) -> list[tuple[str, int, float]]:
+    """(column, offset, weight) of the context embeddings that make up the query vector: S1 =
+    the query key, S2 = mean of the context columns, concat = their average."""
+    if spec.query_mode not in ("S1", "S2", "concat"):
         raise ValueError(f"unknown query mode {spec.query_mode!r}")
-    return df.withColumn(out, q).drop(*[c for c in ["_s1", *ctx] if c in df.columns])
+    half = 0.5 if spec.query_mode == "concat" else 1.0
+    own = [(spec.query_key, spec.query_offset, half)] if spec.query_mode != "S2" else []
+    n = len(spec.context_cols)
+    rest = [(c, spec.context_offsets.get(c, 0), half / n) for c in spec.context_cols] if spec.query_mode != "S1" else []
+    return own + rest
+
+
+def with_query_vectors(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
+    """``rows`` with the query vectors of all modes (``s1``, ``s2``, ``concat``) from one lookup
+    of each context column."""
+    df = with_vector(rows, emb, spec.query_offset, spec.query_key, "s1", spec.dim)
+    ctx = []
+    for c in spec.context_cols:
+        df = with_vector(df, emb, spec.context_offsets.get(c, 0), c, f"_ctx_{c}", spec.dim)
+        ctx.append(f"_ctx_{c}")
+    return (df.withColumn("s2", vx.mean(ctx, spec.dim))
+            .withColumn("concat", vx.combine(["s1", "s2"], [0.5, 0.5], spec.dim)).drop(*ctx))
 
 
 def token_scores(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
     """One row per (row, kept token): score = <att(token), q> + ln(exp(-age/max(1,tau)) + 1e-8),
     age = position from the newest token."""
+    parts = query_parts(spec)
+    keys = list(dict.fromkeys(c for c, _, _ in parts))
     toks = tail(parse_lenient(F.col(spec.seq_col)), spec.max_len)
     # per-row values are projected BEFORE the generator; an expression placed next to
     # posexplode would be evaluated once per output token (re-parsing the history)
-    base = rows.select(spec.row_key, "q", toks.alias("_toks")).withColumn("_L", F.size("_toks"))
-    e = base.select(spec.row_key, "q", "_L", F.posexplode("_toks").alias("pos", "token")) \
+    base = rows.select(spec.row_key, *keys, toks.alias("_toks")).withColumn("_L", F.size("_toks"))
+    e = base.select(spec.row_key, *keys, "_L", F.posexplode("_toks").alias("pos", "token")) \
             .where(F.col("token").isNotNull())
-    e = e.join(lookup(emb, spec.att_offset, "_att", "token"), "token")
     age = (F.col("_L") - 1 - F.col("pos")).cast("double")
     decay = F.exp(-age / F.lit(max(1.0, float(spec.tau))))
-    score = vx.dot("_att", "q", spec.dim) + F.ln(decay + F.lit(DECAY_EPS))
-    return e.select(spec.row_key, "pos", "token", score.alias("score"))
+    score = F.lit(0.0)
+    for i, (c, offset, weight) in enumerate(parts):
+        pairs = e.select("token", c).distinct()
+        pairs = with_vector(pairs, emb, spec.att_offset, "token", "_att", spec.dim)
+        pairs = with_vector(pairs, emb, offset, c, "_ctx", spec.dim)
+        dots = pairs.select("token", c, vx.dot("_att", "_ctx", spec.dim).alias(f"_d{i}"))
+        e = e.join(dots, ["token", c], "left")
+        score = score + F.lit(weight) * F.coalesce(f"_d{i}", F.lit(0.0))
+    return e.select(spec.row_key, "pos", "token", (score + F.ln(decay + F.lit(DECAY_EPS))).alias("score"))
 
 
 def selected(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
@@ -116,8 +142,8 @@ def pool(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
         z = F.aggregate("sel", F.lit(0.0), lambda a, x: a + F.exp(-x["ns"] - m))
         sel = sel.select(spec.row_key, F.explode("sel").alias("_s"), m.alias("_m"), z.alias("_z"))
         w = F.exp(-F.col("_s.ns") - F.col("_m")) / F.col("_z")
-    picked = sel.select(spec.row_key, F.col("_s.token").alias("token"), w.alias("_w")) \
-                .join(lookup(emb, spec.rep_offset, "_rep", "token"), "token")
+    picked = with_vector(sel.select(spec.row_key, F.col("_s.token").alias("token"), w.alias("_w")),
+                         emb, spec.rep_offset, "token", "_rep", d)
     # k weighted vectors per row, summed in array form after a map-side partial collect
     pooled = picked.groupBy(spec.row_key).agg(
         F.count(F.lit(1)).alias("n_sel"),
