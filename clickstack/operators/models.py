@@ -118,3 +118,23 @@ def score_ensemble(test: DataFrame, models: list, oof: DataFrame, key: str = "ID
         cols.append(f"p{f}")
     out = en.combine(wide.drop("features"), cols, method, key=key, out="clicked")
     return out.select(key, "clicked")
+
+
+def oof_coverage(rows: DataFrame, oof: DataFrame, key: str = "rid", fold_col: str = "fold") -> DataFrame:
+    """One row: rows, rows without a score, scores given twice, scores of no row, folds."""
+    mine = oof.groupBy(key).agg(F.count("z").alias("_n"), F.max(fold_col).alias("_f"))
+    j = rows.select(key, F.lit(1).alias("_row")).join(mine, key, "full")
+    return j.agg(F.count("_row").alias("n_rows"),
+                 F.count(F.when(F.col("_row").isNotNull() & (F.coalesce("_n", F.lit(0)) == 0), 1)).alias("n_missing"),
+                 F.count(F.when(F.col("_n") > 1, 1)).alias("n_dup"),
+                 F.count(F.when(F.col("_row").isNull(), 1)).alias("n_stray"),
+                 F.countDistinct("_f").alias("n_folds"))
+
+
+def checked_oof(rows: DataFrame, oof: DataFrame, key: str = "rid", fold_col: str = "fold") -> DataFrame:
+    """``oof`` if every row has exactly one score; otherwise an error that says what is wrong."""
+    r = oof_coverage(rows, oof, key, fold_col).first()
+    if r["n_missing"] or r["n_dup"] or r["n_stray"]:
+        raise ValueError(f"out-of-fold scores do not cover the rows: {r['n_missing']} rows without one, "
+                         f"{r['n_dup']} with several, {r['n_stray']} scores of unknown rows")
+    return oof

@@ -28,15 +28,18 @@ def ordinal_by_buckets(df: DataFrame, order_cols: list[str], bucket_col: str,
             .drop("_bucket_off"))
 
 
-def contiguous_rid(df: DataFrame, key: str, out: str = "rid", by: list[str] | None = None) -> DataFrame:
+def contiguous_rid(df: DataFrame, key: str, out: str = "rid", by: list[str] | None = None,
+                   few_groups: bool = False) -> DataFrame:
     """0-based contiguous index in the order of a unique ``key`` (restarting per ``by``
     group): a distribution-free sort-based ordinal (see ``global_ordinal``)."""
-    return global_ordinal(df, [F.col(key)], out, by)
+    return global_ordinal(df, [F.col(key)], out, by, few_groups)
 
 
 def global_ordinal(df: DataFrame, order_cols: list, out: str = "ordinal",
-                   by: list[str] | None = None) -> DataFrame:
+                   by: list[str] | None = None, few_groups: bool = False) -> DataFrame:
     """0-based position of each row in a total order (``order_cols`` must be unique).
+    ``few_groups`` says that the ``by`` groups are few (classes, folds): their starts are
+    then broadcast instead of shuffling the rows on a handful of keys.
 
     A global sort range-partitions on the full key, so even a score value held by a
     third of the rows is split across tasks by the unique tie-break column.  The sorted
@@ -59,7 +62,7 @@ def global_ordinal(df: DataFrame, order_cols: list, out: str = "ordinal",
            .drop("_mono", "_pid", "_local", "_poff"))
     if by:  # restart per group: subtract the group's first ordinal (one row per group)
         first = res.groupBy(*by).agg(F.min(out).alias("_first"))
-        res = res.join(first, by).withColumn(out, F.col(out) - F.col("_first")).drop("_first")
+        res = res.join(F.broadcast(first) if few_groups else first, by).withColumn(out, F.col(out) - F.col("_first")).drop("_first")
     return res
 
 

@@ -22,7 +22,7 @@ def class_index(df: DataFrame, label: str, rid: str = "rid", by: list[str] | Non
                 out: str = "idx") -> DataFrame:
     """Contiguous 0-based index of each row inside its class (and ``by`` groups), in
     rid order; distribution-free (sort-based), no single-partition window."""
-    return contiguous_rid(df, rid, out, by=list(by or []) + [label])
+    return contiguous_rid(df, rid, out, by=list(by or []) + [label], few_groups=True)
 
 
 def balanced_batches(df: DataFrame, label: str, batch_size: int, pos_fraction: float = 0.5,
@@ -58,7 +58,7 @@ def balanced_batches(df: DataFrame, label: str, batch_size: int, pos_fraction: f
         indexed = class_index(rows, "_cls", rid)
     else:
         rows = rows.withColumn("_key", draw([seed, epoch, F.col("_cls"), F.col(rid)], F.lit(1 << 60)))
-        indexed = global_ordinal(rows, ["_key", rid], "idx", by=["_cls"]).drop("_key")
+        indexed = global_ordinal(rows, ["_key", rid], "idx", by=["_cls"], few_groups=True).drop("_key")
     return slots.join(indexed, ["_cls", "idx"]).select("batch", "slot", rid)
 
 
@@ -105,7 +105,7 @@ def pairwise_loss(df: DataFrame, label: str, z: str, by: list[str] | None = None
     negs = idx.where(F.col("_cls") == 0).select(*by, F.col("idx").alias("_nidx"), F.col("_z").alias("_zn"))
     if hard_frac > 0:
         neg = base.where(F.col("_cls") == 0)
-        ranked = global_ordinal(neg, [F.desc("_z"), F.col(rid)], "_h", by=by)
+        ranked = global_ordinal(neg, [F.desc("_z"), F.col(rid)], "_h", by=by, few_groups=True)
         hard_n = F.when(F.col("_N") > 10, F.greatest(F.lit(1), F.floor(F.col("_N") * F.lit(float(hard_frac))))).otherwise(F.lit(0))
         slot = F.col("idx") * r + F.col("_t")
         pairs = pairs.withColumn("_hard", slot < hard_n).withColumn("_nidx", F.when(F.col("_hard"), slot).otherwise(pick))

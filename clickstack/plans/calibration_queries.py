@@ -8,6 +8,7 @@ from ..functions.prob import EPS_LOGIT, clip, sigmoid, sigmoid_stable
 from ..operators import calibrate as ca
 from ..operators import metrics as me
 from ..operators.folds import attach_folds
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from ..sources import shards as sh
 from . import oracle_base as ob
@@ -97,21 +98,17 @@ def q_calibration_report(spark, sf_dir):
 
 
 @register("oof_check", ob.query(
-    SC + [ob.folds_cte("scores", name="sf")],
-    """SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (WHERE z IS NULL)::BIGINT AS n_missing,
-       (count(*) - count(DISTINCT rid))::BIGINT AS n_dup, count(DISTINCT fold)::BIGINT AS n_folds FROM sf"""))
+    [ob.IMPRESSIONS, ob.TRAIN, ob.folds_cte()],
+    """SELECT count(*)::BIGINT AS n_rows, 0::BIGINT AS n_missing, 0::BIGINT AS n_dup, 0::BIGINT AS n_stray,
+       count(DISTINCT fold)::BIGINT AS n_folds FROM trainf"""))
 def q_oof_check(spark, sf_dir):
-    """OOF assembly: every fold's validation rows scored once; coverage and uniqueness
-    checked in one aggregation (2.1 #18, 2.10 #8)."""
-    s = attach_folds(fx.scores(spark, sf_dir), ["inventory_id", "day_of_week"], 5, "md5")
-    oof = None
-    for f in range(5):  # one scored block per fold model, unioned
-        part = s.where(F.col("fold") == f).select("rid", "fold", "z", "clicked")
-        oof = part if oof is None else oof.unionByName(part)
-    return oof.agg(F.count(F.lit(1)).alias("n_rows"),
-                   F.count(F.when(F.col("z").isNull(), 1)).alias("n_missing"),
-                   (F.count(F.lit(1)) - F.countDistinct("rid")).alias("n_dup"),
-                   F.countDistinct("fold").alias("n_folds"))
+    """Out-of-fold scores of real fold models against the training rows: each has exactly one
+    (2.1 #18, 2.10 #8)."""
+    from ..operators import models as mo
+    tr = attach_folds(fx.train(spark, sf_dir), ["inventory_id", "day_of_week"], 5, "md5")
+    d = cut_lineage(mo.design(tr.select("rid", "fold", "clicked", "inventory_id", "hour", "k"), ["inventory_id", "hour"], ["k"], 256))
+    oof, _ = mo.cross_validate(d, "clicked", "fold", 5, "lr", max_iter=5)
+    return mo.oof_coverage(tr, oof)
 
 
 # ---------------------------------------------------------------- fits (rows-only)
@@ -140,16 +137,18 @@ def q_temp_isotonic(spark, sf_dir):
 
 @register("calibration_meta")
 def q_calibration_meta(spark, sf_dir):
-    """Calibration metadata with before/after metrics, written as JSON to the shared
-    folder and read back (2.1 #16)."""
+    """Calibration metadata with the isotonic knots and before/after metrics, written as JSON to
+    the shared folder and read back (2.1 #16)."""
     s = fx.scores(spark, sf_dir)
-    cal = ca.fit(s, "z", "clicked", "temperature")
+    cal = ca.fit(s, "z", "clicked", "temperature+isotonic")
     before = me.final_score(s.select("clicked", sigmoid_stable(F.col("z")).alias("pp")), "clicked", "pp")
     after = me.final_score(s.select("clicked", cal.proba(F.col("z")).alias("pp")), "clicked", "pp")
+    knots = lambda v: F.array(*[F.lit(float(x)) for x in v or []]).cast("array<double>")
     meta = before.select(
-        F.lit("temperature").alias("method"), F.lit(cal.T).alias("T"),
+        F.lit(cal.method).alias("method"), F.lit(cal.T).alias("T"),
         F.lit(ca.T_CLAMP[0]).alias("clamp_lo"), F.lit(ca.T_CLAMP[1]).alias("clamp_hi"),
         F.lit(ca.L2_REG).alias("l2"), F.lit(ca.MIN_ISO_NODES).alias("min_iso_nodes"),
+        F.lit(cal.isotonic_skipped).alias("isotonic_skipped"), knots(cal.knots_x).alias("knots_x"), knots(cal.knots_y).alias("knots_y"),
         F.col("ap").alias("ap_before"), F.col("wll").alias("wll_before"), F.col("score").alias("score_before"),
         after.select("ap").scalar().alias("ap_after"), after.select("wll").scalar().alias("wll_after"),
         after.select("score").scalar().alias("score_after"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import counted_positions, parse_lenient, recency_weight, tail, time_bin
 from ..operators import covis as cv
+from ..operators import features as fe
 from ..operators.folds import attach_folds, group_folds
-from ..operators.features import median_values
 from ..sources import fixtures as fx
+from ..sources import shards as sh
 from . import oracle_base as ob
 from .registry import register
 
@@ -184,24 +185,33 @@ def q_row_features_multi_target(spark, sf_dir):
 MED = """med AS (SELECT coalesce(median(feat_a_1) FILTER (WHERE NOT isnan(feat_a_1)), 0.0) AS m FROM train)"""
 
 
+CACHE = fe.FeatureSpec(num_patterns=("feat_*",), hash_mode="md5", max_len=K)
+
+
+def _f32(x: str, name: str) -> str:
+    return f"CAST(CAST({x} AS FLOAT) AS DOUBLE) AS {name}"
+
+
 @register("features_with_covis", ob.query(
     BASE + [TOK_TRAIN, FOLDS, PAIR_OOF, ROWTOK_TRAIN, RF_OOF, MED],
-    f"""SELECT t.rid, t.clicked::TINYINT AS y, t.fold,
-       CASE WHEN t.feat_a_1 IS NULL OR isnan(t.feat_a_1) THEN med.m ELSE t.feat_a_1 END AS feat_a_1,
+    f"""SELECT t.rid, t.clicked::TINYINT AS y,
+       {_f32("CASE WHEN t.feat_a_1 IS NULL OR isnan(t.feat_a_1) THEN med.m ELSE t.feat_a_1 END", "feat_a_1")},
        (t.feat_a_1 IS NULL OR isnan(t.feat_a_1))::TINYINT AS feat_a_1_mask,
-       {', '.join(f'coalesce(r.{c}, 0.0) AS {c}' for c in FEATS)}
+       {', '.join(_f32(f"coalesce(r.{c}, 0.0)", c) for c in FEATS)}
 FROM trainf t LEFT JOIN rf_oof r USING (rid), med""", ["feat_a_1"] + FEATS))
 def q_features_with_covis(spark, sf_dir):
-    """Train block (label, imputed numeric + mask) left-joined with OOF features on rid."""
+    """OOF features joined on rid become numerics of the block (filled with 0.0); the block is
+    written as a sharded cache and read back (2.1 #9, 2.2 #10, 2.3 #1)."""
     tr = train_with_folds(spark, sf_dir)
     tok = cv.token_rows(tr, SPEC, keep=["fold", "clicked"])
     rf = cv.row_features(tr, cv.pair_stats_oof(tok, SPEC), SPEC, ["rid"], join_fold=True)
-    med = median_values(tr, ["feat_a_1"])["feat_a_1"]
-    miss = F.col("feat_a_1").isNull() | F.isnan("feat_a_1")
-    base = tr.select("rid", F.col("clicked").cast("tinyint").alias("y"), "fold",
-                     F.when(miss, med).otherwise(F.col("feat_a_1")).alias("feat_a_1"),
-                     miss.cast("tinyint").alias("feat_a_1_mask"))
-    return cv.join_features(base, rf, "rid", FEATS)
+    rows = cv.join_features(tr.drop("seq"), rf, "rid", FEATS)
+    fitted = fe.fit(rows, CACHE, tuple(FEATS))
+    path = sh.scratch_path(spark, "covis-cache")
+    sh.write_shards(fe.transform(rows, fitted), path, 700)
+    block = sh.read_block(spark, path)
+    nums = [F.element_at("X_num", i + 1).cast("double").alias(c) for i, c in enumerate(fitted.num_cols)]
+    return block.select("rid", "y", F.element_at("X_mask", 1).alias("feat_a_1_mask"), *nums)
 
 
 @register("test_features_with_covis", ob.query(

@@ -73,12 +73,12 @@ def q_row_count(spark, sf_dir):
                                  n["orders"].alias("n_orders"))
 
 
-@register("union_key_sources", ob.query(ITT, """SELECT CAST(inventory_id AS VARCHAR) AS inventory_id FROM train
-UNION ALL SELECT CAST(inventory_id AS VARCHAR) FROM test"""))
+@register("union_key_sources", ob.query([], """SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents
+UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM labels"""))
 def q_union_key_sources(spark, sf_dir):
-    """One key from several sources, as strings; a source without it is skipped (2.1 #4)."""
-    frames = [fx.train(spark, sf_dir), fx.test(spark, sf_dir), tb.read_table(spark, sf_dir, "events")]
-    return tb.union_frames(frames, "inventory_id")
+    """One key from several paths, as strings; a source without it is skipped with a warning
+    (2.1 #4)."""
+    return tb.union_key_sources(spark, [f"{sf_dir}/{t}.parquet" for t in ("documents", "labels", "events")], "doc_id")
 
 
 @register("prediction_scan", ob.query([ob.IMPRESSIONS, ob.MODEL_OUTPUTS, ob.PRED_TABLES],
@@ -95,9 +95,12 @@ def q_prediction_scan(spark, sf_dir):
 @register("submission_rows", ob.query([ob.IMPRESSIONS, ob.MODEL_OUTPUTS],
                                       """SELECT "ID", printf('%.8f', p1) AS clicked FROM mo"""))
 def q_submission_rows(spark, sf_dir):
-    """Submission rows: header ID,clicked with the probability printed '%.8f' (2.1 #6)."""
+    """Submission CSV, written and read back: header ID,clicked, the probability printed '%.8f'
+    (2.1 #6)."""
     mo = fx.model_outputs(spark, sf_dir)
-    return tb.submission_frame(mo, "ID", "p1")
+    path = sh.scratch_path(spark, "submission")
+    tb.write_submission(mo, path, "ID", "p1")
+    return spark.read.option("header", True).schema("ID string, clicked string").csv(path)
 
 
 # ---------------------------------------------------------------- row ids, shards, batches
@@ -124,6 +127,17 @@ def q_shard_manifest(spark, sf_dir):
     return sh.write_shards(block, sh.scratch_path(spark, "cache"), SHARD_ROWS)
 
 
+@register("train_test_caches", ob.query(ITT, f"""SELECT split, (i // {SHARD_ROWS})::INT AS shard, count(*)::BIGINT AS "rows",
+       min(i)::BIGINT AS start, (max(i) + 1)::BIGINT AS "end"
+FROM (SELECT 'train' AS split, row_number() OVER (ORDER BY rid) - 1 AS i FROM train
+      UNION ALL SELECT 'test', row_number() OVER (ORDER BY rid) - 1 FROM test) GROUP BY ALL"""))
+def q_train_test_caches(spark, sf_dir):
+    """One driver writes both caches and their manifests (2.1 #10)."""
+    numbered = [contiguous_rid(d(spark, sf_dir), "rid", out="i").drop("rid").withColumnRenamed("i", "rid") for d in (fx.train, fx.test)]
+    a, b = sh.write_caches(*numbered, SPEC, sh.scratch_path(spark, "caches"), SHARD_ROWS, fit_on="each")
+    return a.withColumn("split", F.lit("train")).unionByName(b.withColumn("split", F.lit("test")))
+
+
 @register("row_locator", ob.query(IT + [CRID], f"""SELECT crid AS i, (crid // {SHARD_ROWS})::INT AS shard,
        (crid % {SHARD_ROWS})::BIGINT AS local FROM crid"""))
 def q_row_locator(spark, sf_dir):
@@ -133,29 +147,40 @@ def q_row_locator(spark, sf_dir):
     return sh.locate(c.select(F.col("rid").alias("i")), man, SHARD_ROWS)
 
 
-@register("batch_assembly", ob.query(IT + [CRID, med_sql("train", ["feat_a_1"])], f"""
-SELECT (crid // {BATCH})::INT AS batch, count(*)::BIGINT AS n_rows, sum(clicked)::BIGINT AS n_pos,
-       sum(CAST({imp_sql('feat_a_1', 'med.m_feat_a_1')} AS FLOAT)::DOUBLE) AS sum_feat_a_1,
-       sum({miss_sql('feat_a_1')}::INT)::DOUBLE AS sum_mask
-FROM crid, med GROUP BY ALL""", ["sum_feat_a_1", "sum_mask"]))
+@register("batch_assembly", ob.query(IT + [CRID, med_sql("train", NUM)], f"""
+SELECT (crid // {BATCH})::INT AS batch, (crid % {BATCH})::INT AS slot, clicked::FLOAT::DOUBLE AS y,
+       {', '.join(f"CAST({clamp_sql(imp_sql(c, 'med.m_' + c))} AS FLOAT)::DOUBLE AS {c}" for c in NUM)},
+       {', '.join(f"{miss_sql(c)}::INT::DOUBLE AS {c}_mask" for c in NUM)},
+       {', '.join([f"{ob.bucket(c, SPEC.buckets(c))}::BIGINT AS {c}_bucket" for c in SPEC.cat_cols if c != 'gender'])},
+       0::BIGINT AS gender_bucket, array_to_string({strict_pad_sql('seq', 16)}, ',') AS seq
+FROM crid, med""", NUM))
 def q_batch_assembly(spark, sf_dir):
-    """Batches of the block by floor(rid / batch_size), widened (mask -> float) and
-    summarised per batch (2.1 #13)."""
+    """Batches by floor(rid / batch_size) with every array of the block, widened as a training
+    step reads them: numerics and masks float, categories and sequence long (2.1 #13)."""
     fitted = fe.fit(fx.train(spark, sf_dir), SPEC)
     block = fe.transform(train_crid(spark, sf_dir).drop("rid").withColumnRenamed("crid", "rid"), fitted)
-    b = block.withColumn("batch", F.floor(F.col("rid") / F.lit(BATCH)).cast("int"))
-    return b.groupBy("batch").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("y").cast("long")).alias("n_pos"),
-        F.sum(F.element_at("X_num", 1).cast("double")).alias("sum_feat_a_1"),
-        F.sum(F.element_at("X_mask", 1).cast("float").cast("double")).alias("sum_mask"))
+    rid = F.col("rid")
+    widened = block.select(
+        F.floor(rid / F.lit(BATCH)).cast("int").alias("batch"), (rid % BATCH).cast("int").alias("slot"),
+        F.col("y").cast("float").alias("y"), F.col("X_num").cast("array<float>").alias("num"),
+        F.col("X_mask").cast("array<float>").alias("mask"), F.col("X_cat").cast("array<long>").alias("cat"),
+        F.col("seq").cast("array<long>").alias("seq"))
+    return widened.select(
+        "batch", "slot", F.col("y").cast("double").alias("y"),
+        *[F.element_at("num", i + 1).cast("double").alias(c) for i, c in enumerate(NUM)],
+        *[F.element_at("mask", i + 1).cast("double").alias(f"{c}_mask") for i, c in enumerate(NUM)],
+        *[F.element_at("cat", i + 1).alias(f"{c}_bucket") for i, c in enumerate(SPEC.cat_cols)],
+        F.array_join("seq", ",").alias("seq"))
 
 
 @register("labels_groups", ob.query(IT, f"""SELECT rid, clicked::TINYINT AS y,
        {ob.group_hash(['inventory_id', 'day_of_week'])} AS "groups" FROM train"""))
 def q_labels_groups(spark, sf_dir):
-    """Column-pruned (rid, y, groups) over the block (2.1 #11)."""
-    fitted = fe.fit(fx.train(spark, sf_dir), SPEC)
-    return fe.transform(fx.train(spark, sf_dir), fitted).select("rid", "y", "groups")
+    """Column-pruned (rid, y, groups) read from a written cache (2.1 #11)."""
+    tr = fx.train(spark, sf_dir)
+    path = sh.scratch_path(spark, "cache")
+    sh.write_shards(fe.transform(tr, fe.fit(tr, SPEC)), path, SHARD_ROWS)
+    return sh.load_labels_groups(path, spark)
 
 
 # ---------------------------------------------------------------- projections and predicates

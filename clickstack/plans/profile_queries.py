@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as pr
 from ..sources import fixtures as fx
+from ..sources import shards as sh
 from ..sources import tables as tb
 from . import oracle_base as ob
 from .registry import register
@@ -31,7 +32,7 @@ def _profile_sql() -> str:
     return "prof AS (" + " UNION ALL ".join(parts) + ")"
 
 
-ROLES = """roles AS (SELECT col,
+ROLES = """roles AS (SELECT col, n_unique,
   CASE WHEN non_null = 0 THEN 'empty' WHEN frac_int_like >= 0.999 OR is_int = 1 THEN 'int_like_categorical' ELSE 'continuous' END AS inferred,
   CASE WHEN non_null > 0 AND (frac_int_like >= 0.999 OR is_int = 1) THEN (n_unique + 2 + greatest(floor(n_unique * 0.02), 1000))::BIGINT END AS rec_vocab,
   CASE WHEN non_null > 0 AND (frac_int_like >= 0.999 OR is_int = 1) THEN greatest(8, least(64, ceil(sqrt(greatest(n_unique, 2)))))::INT END AS rec_emb_dim,
@@ -53,7 +54,7 @@ def profile(spark, sf_dir):
 @register("column_profile", ob.query(IT + [_profile_sql()], "SELECT * FROM prof",
                                      ["unique_ratio", "num_min", "num_max", "frac_int_like"]))
 def q_column_profile(spark, sf_dir):
-    """One aggregation over every candidate column, one row per column (2.4 #8)."""
+    """Statistics of every candidate column from its distinct values (2.4 #8)."""
     return profile(spark, sf_dir)
 
 
@@ -65,10 +66,15 @@ def q_column_roles(spark, sf_dir):
 
 @register("column_suggestions", ob.query(IT + [_profile_sql(), ROLES], """SELECT col,
   CASE WHEN inferred = 'int_like_categorical' THEN 'cat_include' ELSE 'dense_include' END AS suggestion,
-  rec_vocab, rec_emb_dim FROM roles WHERE inferred <> 'empty'"""))
+  n_unique, rec_vocab, rec_emb_dim, est_emb_params, notes FROM roles WHERE inferred <> 'empty'"""))
 def q_column_suggestions(spark, sf_dir):
-    """cat_include / dense_include suggestions from the roles (2.1 #15)."""
-    return pr.column_suggestions(pr.column_roles(profile(spark, sf_dir)))
+    """cat_include / dense_include suggestions from the roles, written as the profile CSV and
+    read back (2.1 #15)."""
+    out = pr.column_suggestions(pr.column_roles(profile(spark, sf_dir)))
+    path = sh.scratch_path(spark, "profile")
+    tb.write_csv(out, path)
+    back = spark.read.option("header", True).schema(out.schema).csv(path)
+    return back.withColumn("notes", F.coalesce("notes", F.lit("")))
 
 
 @register("key_cardinality", ob.query(IT + [ob.TEST], """SELECT

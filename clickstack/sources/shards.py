@@ -39,6 +39,23 @@ def write_shards(df: DataFrame, out_dir: str, shard_rows: int, rid_col: str = "r
     return df.sparkSession.read.parquet(f"{out_dir}/manifest")
 
 
+def write_caches(train: DataFrame, test: DataFrame, spec, out_dir: str, shard_rows: int, fit_on: str = "train",
+                 joined: tuple = (), rid_col: str = "rid") -> tuple[DataFrame, DataFrame]:
+    """Feature blocks of train and test as two sharded caches; returns their manifests.
+    ``fit_on``: the test block is filled with the medians of 'train', or 'each' with its own."""
+    from ..operators import features as fe
+    if fit_on not in ("train", "each"):
+        raise ValueError(f"fit_on is 'train' or 'each', not {fit_on!r}")
+    fitted = fe.fit(train, spec, joined)
+    other = fitted if fit_on == "train" else fe.fit(test, spec, joined)
+    return (write_shards(fe.transform(train, fitted, True, rid_col), f"{out_dir}/train", shard_rows, rid_col),
+            write_shards(fe.transform(test, other, False, rid_col), f"{out_dir}/test", shard_rows, rid_col))
+
+
+def read_block(spark: SparkSession, cache_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{cache_dir}/data")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory, deleted when the session ends."""
     return scratch_folder(spark, name)
@@ -59,9 +76,3 @@ def load_labels_groups(cache_dir: str, spark: SparkSession) -> DataFrame:
     """Column-pruned read of (rid, y, groups) over all shards."""
     return spark.read.parquet(f"{cache_dir}/data").select("rid", "y", "groups")
 
-
-def batch_summary(df: DataFrame, batch_size: int, rid_col: str = "rid") -> DataFrame:
-    """Batch id = floor(rid / batch_size); per batch row count and label sum."""
-    b = df.withColumn("batch", F.floor(F.col(rid_col) / F.lit(int(batch_size))).cast("int"))
-    return b.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"),
-                                  F.sum(F.col("y").cast("long")).alias("n_pos"))

@@ -9,34 +9,21 @@ from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
-PREDICTION_SCHEMA = "ID string, clicked double"
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Lazy parquet scan; the schema comes from the footer, columns are pruned by Catalyst."""
-    return spark.read.parquet(path)
-
-
 def union_key_sources(spark: SparkSession, paths: list[str], col: str) -> DataFrame:
     """One column from several sources as strings; sources without it are skipped with a
     warning, no usable source is an error."""
-    parts = []
+    frames = []
     for p in paths:
         df = spark.read.parquet(p)
-        if col not in df.columns:
+        if col in df.columns:
+            frames.append(df)
+        else:
             log.warning("%s: column %r missing, skipped", p, col)
-            continue
-        parts.append(df.select(F.col(col).cast("string").alias(col)))
-    if not parts:
-        raise ValueError(f"no source holds column {col!r}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_frames(frames, col)
 
 
 def union_frames(frames: list[DataFrame], col: str) -> DataFrame:
