@@ -102,13 +102,14 @@ def fit_temperature(df: DataFrame, z: str, y: str, l2: float = L2_REG, clamp: tu
     lo, hi = (math.log(clamp[0]), math.log(clamp[1])) if clamp else (math.log(1e-3), math.log(1e3))
     best_t, best_loss = 1.0, float("inf")
     ends = (lo, hi) if clamp else (-600.0, 600.0)
-    while not clamp and ends[0] < lo and hi < ends[1]:
+    while not clamp:
         grid = [math.exp(lo + (hi - lo) * i / (points - 1)) for i in range(points)]
         losses = [r["loss"] for r in temperature_objective(df, z, y, grid, l2, None).collect()]  # `points` rows
-        i = min(range(points), key=lambda k: (losses[k], k))
-        if 0 < i < points - 1:
+        wide, least = hi - lo, min(losses)  # saturated scores can tie over a whole side
+        new = (max(ends[0], lo - wide) if losses[0] == least else lo, min(ends[1], hi + wide) if losses[-1] == least else hi)
+        if new == (lo, hi):
             break
-        lo, hi = (lo - (hi - lo), hi) if i == 0 else (lo, hi + (hi - lo))
+        lo, hi = new
     for _ in range(rounds):
         grid = [math.exp(lo + (hi - lo) * i / (points - 1)) for i in range(points)]
         rows = temperature_objective(df, z, y, grid, l2, clamp).collect()  # `points` rows

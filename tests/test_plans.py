@@ -42,7 +42,7 @@ def test_all_folds_from_one_aggregation(spark):
     pair_aggs = [a for a in aggs if "token" in a]
     assert len(pair_aggs) == 2  # partial + final of the same single aggregation
     assert all("fold" not in a for a in pair_aggs)
-    assert len(re.findall(r"Generate posexplode", p)) == 1
+    assert len(re.findall(r"Generate inline\(_placed", p)) == 1
     assert "Generate inline" in plan(E.queries()["pair_stats_oof"](spark, SMALL))
 
 
