@@ -27,11 +27,20 @@ def counted_positions(arr) -> Column:
     one, less 1 (a junk token keeps the position of the token before it)."""
     a = _col(arr)
     plain = F.transform(a, lambda x, i: F.struct(i.alias("pos"), x.alias("token")))
-    junk = F.transform(a, lambda x, i: F.struct(
-        (F.size(F.filter(F.slice(a, 1, i + 1), lambda t: t.isNotNull())) - 1).alias("pos"), x.alias("token")))
+    kind = "array<struct<pos:int,token:int>>"
+
+    def step(acc, x):
+        n = acc["n"] + x.isNotNull().cast("int")
+        return F.struct(n.alias("n"), F.concat(acc["out"], F.array(F.struct((n - 1).alias("pos"), x.alias("token")))).alias("out"))
+    junk = F.aggregate(a, F.struct(F.lit(0).alias("n"), F.array().cast(kind).alias("out")), step)["out"]
     return F.when(F.exists(a, lambda t: t.isNull()), junk).otherwise(plain)
 
 
+def valid_positions(arr) -> Column:
+    """``counted_positions`` of the tokens that are not null, without the others."""
+    return F.transform(F.array_compact(_col(arr)), lambda x, i: F.struct(i.alias("pos"), x.alias("token")))
+
+
 def parse_strict(seq) -> Column:
     """Split on ',', skip empty pieces, cast each to int (a bad token raises under ANSI)."""
     s = F.coalesce(_col(seq), F.lit(""))

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import counted_positions, parse_lenient, tail, time_bin as time_bin_expr
+from ..functions.sequence import counted_positions, parse_lenient, tail, time_bin as time_bin_expr, valid_positions
 
 # Reference defaults for the covis configuration.
 DEFAULT_AGGS = ("sum_ctr", "mean_ctr", "max_ctr", "top3_mean_ctr",
@@ -89,9 +89,7 @@ def token_rows(df: DataFrame, spec: CovisSpec, keep: list[str] | None = None,
     # per-row values (length, stacked targets) are projected before the generator so
     # they are computed once per row, not once per exploded token
     base = df.select(*keep, tb.alias("time_bin"), toks.alias("_toks"), stacked.alias("_tg"))
-    placed = counted_positions("_toks")
-    if not outer:  # before the generator, so that junk is never exploded
-        placed = F.filter(placed, lambda t: t["token"].isNotNull())
+    placed = counted_positions("_toks") if outer else valid_positions("_toks")  # junk is never exploded
     base = base.withColumn("_placed", placed).withColumn("_len", F.size(F.array_compact("_toks"))).drop("_toks")
     gen = F.inline_outer("_placed") if outer else F.inline("_placed")
     exploded = base.select(*keep, "time_bin", "_tg", "_len", gen)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.sequence import counted_positions, parse_lenient, recency_weight, tail, time_bin
+from ..functions.sequence import parse_lenient, recency_weight, tail, time_bin, valid_positions
 from ..operators import covis as cv
 from ..operators import features as fe
 from ..operators.folds import attach_folds, group_folds
@@ -264,7 +264,7 @@ def q_fold_restrict(spark, sf_dir):
 def q_explode_positions(spark, sf_dir):
     """Kept history as rows: position 0 = oldest kept token, junk not counted (2.5 #1, 2.7 #6)."""
     imp = with_junk(fx.impressions(spark, sf_dir)).select("rid", tail(parse_lenient(F.col("seq")), K).alias("l"))
-    return imp.select("rid", F.inline(counted_positions("l"))).where(F.col("token").isNotNull())
+    return imp.select("rid", F.inline(valid_positions("l")))
 
 
 @register("seq_tail", ob.query(
@@ -287,7 +287,7 @@ def q_recency_weights(spark, sf_dir):
     """exp(-pos/tau) with pos from the oldest (as coded) and from the newest token (2.7 #7)."""
     imp = with_junk(fx.impressions(spark, sf_dir))
     base = imp.select("rid", parse_lenient(F.col("seq")).alias("l"))
-    e = base.select("rid", F.size(F.array_compact("l")).alias("n"), F.inline(counted_positions("l"))).where(F.col("token").isNotNull())
+    e = base.select("rid", F.size(F.array_compact("l")).alias("n"), F.inline(valid_positions("l")))
     return e.select("rid", "pos", recency_weight(F.col("pos"), 512).alias("w_start"),
                     recency_weight(F.col("n") - 1 - F.col("pos"), 512).alias("w_end"))
 
