@@ -111,26 +111,69 @@ def q_oof_check(spark, sf_dir):
     return mo.oof_coverage(tr, oof)
 
 
-# ---------------------------------------------------------------- fits (rows-only)
-@register("temperature_fit")
+# ---------------------------------------------------------------- fits
+def _fit_sql(src: str, z: str = "z", rounds: int = 5, points: int = 17, name: str = "t") -> list[str]:
+    """CTEs of the same grid search; ``{name}_best`` holds T and loss."""
+    n = points - 1
+    ctes = [f"{name}_b0 AS (SELECT ln(0.2) AS lo, ln(5.0) AS hi)"]
+    for i in range(rounds):
+        p = ob.clip_sql(ob.sigmoid_sql(f"{z} / t"), 1e-7, 1 - 1e-7)
+        ctes += [
+            f"{name}_g{i} AS (SELECT r.range AS k, exp(lo + (hi - lo) * r.range / {n}) AS t, lo, hi FROM {name}_b{i}, range({points}) r)",
+            f"""{name}_l{i} AS (SELECT k, t, lo, hi, 0.5 * (coalesce(avg(CASE WHEN clicked = 1 THEN -ln({p}) END), 0.0)
+                + coalesce(avg(CASE WHEN clicked <> 1 THEN -ln(1 - {p}) END), 0.0)) + 1e-3 * (t - 1) * (t - 1) AS loss
+                FROM {name}_g{i}, {src} GROUP BY k, t, lo, hi)""",
+            f"{name}_m{i} AS (SELECT * FROM {name}_l{i} ORDER BY loss, k LIMIT 1)",
+            f"""{name}_b{i + 1} AS (SELECT greatest(ln(0.2), ln(t) - (hi - lo) / {n}) AS lo,
+                least(ln(5.0), ln(t) + (hi - lo) / {n}) AS hi FROM {name}_m{i})"""]
+    best = " UNION ALL ".join(f"SELECT {i} AS i, t, loss FROM {name}_m{i}" for i in range(rounds))
+    return ctes + [f"{name}_best AS (SELECT t AS \"T\", loss FROM ({best}) ORDER BY loss, i LIMIT 1)"]
+
+
+def _iso_sql(src: str) -> list[str]:
+    """CTEs of the isotonic fit of clicked on pz in its max-min form: the value at i is the
+    greatest, over starts j <= i, of the least mean of j..k over ends k >= i."""
+    return [f"""iw AS (SELECT pz AS x, sum(CASE WHEN clicked = 1 THEN 0.5 / np ELSE 0.5 / nn END) AS w,
+       sum(CASE WHEN clicked = 1 THEN 0.5 / np ELSE 0 END) AS wy
+FROM {src}, (SELECT sum(clicked) AS np, sum(1 - clicked) AS nn FROM {src}) GROUP BY pz)""",
+            """ic AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw,
+       sum(wy) OVER (ORDER BY x) AS cy, w, wy FROM iw)""",
+            """ig AS (SELECT a.i AS j, b.i, min((b.cy - a.cy + a.wy) / (b.cw - a.cw + a.w)) OVER (
+       PARTITION BY a.i ORDER BY b.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g FROM ic a JOIN ic b ON a.i <= b.i)""",
+            """iv AS (SELECT ic.x, round(max(g), 9) AS y FROM ig JOIN ic USING (i) GROUP BY ic.x),
+ik AS (SELECT y, min(x) AS x0, max(x) AS x1 FROM iv GROUP BY y),
+knots AS (SELECT x0 AS x, y FROM ik UNION SELECT x1, y FROM ik)"""]
+
+
+STEPS = 'zs AS (SELECT clicked, floor(z * 40) / 40 AS z FROM scores)'
+
+
+def _stepped(spark, sf_dir):
+    """The informative logit in steps of 1/40: scores with ties."""
+    return fx.scores(spark, sf_dir).select("clicked", (F.floor(F.col("z") * 40) / 40).alias("z"))
+
+
+@register("temperature_fit", ob.query(SC + _fit_sql("scores"), "SELECT * FROM t_best", ['"T"', "loss"]))
 def q_temperature_fit(spark, sf_dir):
     """T minimising the class-balanced loss + 1e-3 (T-1)^2 on the informative logit (2.10 #1)."""
     t, loss = ca.fit_temperature(fx.scores(spark, sf_dir), "z", "clicked")
     return spark.range(1).select(F.lit(t).alias("T"), F.lit(loss).alias("loss"))
 
 
-@register("isotonic_fit")
+@register("isotonic_fit", ob.query(SC + [STEPS, f"iz AS (SELECT clicked, {ob.sigmoid_sql('z')} AS pz FROM zs)"] + _iso_sql("iz"),
+                                   "SELECT * FROM knots", ["x", "y"]))
 def q_isotonic_fit(spark, sf_dir):
     """Isotonic knots on sigmoid(z) with 50:50 class weights (2.10 #2)."""
-    s = fx.scores(spark, sf_dir).withColumn("pz", sigmoid_stable(F.col("z")))
+    s = _stepped(spark, sf_dir).withColumn("pz", sigmoid_stable(F.col("z")))
     return ca.isotonic_knots(s, "pz", "clicked")
 
 
-@register("temp_isotonic")
+@register("temp_isotonic", ob.query(
+    SC + [STEPS] + _fit_sql("zs") + [f"""iz AS (SELECT clicked, {ob.sigmoid_sql('z / least(greatest("T", 0.2), 5.0)')} AS pz FROM zs, t_best)"""]
+    + _iso_sql("iz"), 'SELECT x, y, "T" FROM knots, t_best', ["x", "y", '"T"']))
 def q_temp_isotonic(spark, sf_dir):
     """Temperature, then isotonic on the tempered probabilities (2.10 #4)."""
-    s = fx.scores(spark, sf_dir)
-    cal = ca.fit(s, "z", "clicked", "temperature+isotonic")
+    cal = ca.fit(_stepped(spark, sf_dir), "z", "clicked", "temperature+isotonic")
     return spark.createDataFrame(list(zip(cal.knots_x, cal.knots_y)), "x double, y double") \
         .withColumn("T", F.lit(cal.T))
 
