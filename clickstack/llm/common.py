@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 8 << 20  # texts handled together inside a task; a longer text goes alone
+SLICE_BYTES = 2 << 20  # texts handled together inside a task; a longer text goes alone
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
