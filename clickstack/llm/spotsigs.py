@@ -101,7 +101,7 @@ def beside_next(docs: DataFrame, chain: int = 2, per_bucket: int = 1000) -> Data
                        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = rows.select("doc")
     count = ids.count()
-    cuts = max(1, min(4096, count // per_bucket))
+    cuts = max(1, min(100_000, count // per_bucket))
     inner = ids.select(F.col("doc").cast("double").alias("x")).approxQuantile(
         "x", [i / cuts for i in range(1, cuts)], 0.2 / cuts) if cuts > 1 else []
     splits = [-math.inf, *sorted(set(inner)), math.inf]
