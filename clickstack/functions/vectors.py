@@ -46,7 +46,3 @@ def norm(a, dim: int | None = None) -> Column:
 def zeros(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0), int(dim))
 
-
-def width(df, col: str) -> int:
-    """Vector width of an array column, read from one row."""
-    return int(df.select(F.size(col)).first()[0])

@@ -222,17 +222,17 @@ def _blocks(bits: range, parts: int) -> list[tuple[int, int]]:
 
 
 def near_links(fps: DataFrame, max_bits: int = 3, hot: int = 200_000) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column ``fp``): enough of them to join all
-    that are within ``max_bits`` of one another, directly or by steps."""
+    """Links (a, b) between the ``node`` numbers of distinct fingerprints (node, fp): enough of
+    them to join all that are within ``max_bits`` of one another, directly or by steps."""
     fp = F.col("fp")
     tops = _blocks(range(64), max_bits + 1)
 
     def value(shift: int, width: int):
         return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
 
-    dealt = fps.select(fp, F.explode(F.array(*[
+    dealt = fps.select("node", fp, F.explode(F.array(*[
         F.struct(F.lit(i).alias("block"), value(*b).alias("val")) for i, b in enumerate(tops)])).alias("k")) \
-        .select("fp", "k.block", "k.val")
+        .select("node", "fp", "k.block", "k.val")
     crowd = F.broadcast(dealt.groupBy("block", "val").count().where(F.col("count") > hot)  # 4 N / hot rows at most
                         .select("block", "val", F.lit(True).alias("crowded")))
     inner = []  # blocks of the bits outside each top block
@@ -250,15 +250,15 @@ def near_links(fps: DataFrame, max_bits: int = 3, hot: int = 200_000) -> DataFra
             F.struct(F.lit(j).alias("j"), gather(bits).alias("v")) for j, bits in enumerate(sets)])).otherwise(again)
     once = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("v")))
     dealt = (dealt.join(crowd, ["block", "val"], "left")
-             .select("fp", "block", "val", F.explode(F.when(F.col("crowded"), again).otherwise(once)).alias("s"))
-             .select("fp", "block", "val", "s.j", "s.v"))
+             .select("node", "fp", "block", "val", F.explode(F.when(F.col("crowded"), again).otherwise(once)).alias("s"))
+             .select("node", "fp", "block", "val", "s.j", "s.v"))
 
     def search(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        fps_, *key = (t.column(i).to_numpy() for i in range(5))
+        node, fps_, *key = (t.column(i).to_numpy() for i in range(6))
         order = np.lexsort(key)
         step = np.zeros(len(order), bool)
         for k in key:
@@ -271,20 +271,26 @@ def near_links(fps: DataFrame, max_bits: int = 3, hot: int = 200_000) -> DataFra
         index = GrayIndex(group, fps_[order].view(np.uint64))
         label = index.linked(max_bits)
         far = np.flatnonzero(label != np.arange(len(label)))
-        yield pa.RecordBatch.from_arrays([pa.array(index.fp[far].view(np.int64)),
-                                          pa.array(index.fp[label[far]].view(np.int64))], names=["a", "b"])
+        node = node[order][index.order]
+        yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
 
     return arrow_map(dealt.repartition("block", "val", "j", "v"), search, "a long, b long")
 
 
+UNNAMED = 1 << 62  # nodes from here on are fingerprints without any doc_id
+
+
 def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 3, hot: int = 200_000) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of ``docs``."""
+    """(doc_id, fingerprint, component_id) of every row of ``docs``; doc_ids are below 2**62.
+
+    A fingerprint's node is its smallest doc_id, so the smallest node of a component is the
+    answer and no join by component is needed."""
     rows = cut_lineage(fingerprint_rows(docs, width), "fingerprints")
-    first = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    comp = components(near_links(first.select("fp"), max_bits, hot), "a", "b").withColumnRenamed("node", "fp")
-    joined = first.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lows = joined.where(F.col("fp") != F.col("component")).select("component").distinct() \
-        .join(joined, "component").groupBy("component").agg(F.min("low").alias("comp_low"))
-    of = joined.join(lows, "component", "left").select("fp", F.coalesce("comp_low", "low").alias("component_id"))
+    unnamed = F.xxhash64("fp").bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
+    first = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+                        .select("fp", F.coalesce("low", unnamed).alias("node")), "distinct-fingerprints")
+    comp = components(near_links(first, max_bits, hot), "a", "b")
+    lowest = F.coalesce("component", "node")
+    of = first.join(comp, "node", "left").select("fp", F.when(lowest < UNNAMED, lowest).alias("component_id"))
     return rows.join(of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

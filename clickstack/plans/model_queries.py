@@ -68,5 +68,5 @@ def q_score_ensemble(spark, sf_dir):
     as submission rows (2.12 #4)."""
     trd, ted = _tables(spark, sf_dir)
     oof, models = mo.cross_validate(trd, "clicked", "fold", SPEC.n_folds, "lr")
-    oof = cut_lineage(oof)
+    oof = mo.checked_oof(trd, cut_lineage(oof))
     return mo.score_ensemble(ted, models, oof, key="ID", method="logit_mean")
