@@ -85,16 +85,14 @@ def test_index_equals_pairs():
 
 def test_crowded_blocks_are_dealt_again(spark):
     fps = random_fps(4, 600)
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node long, fp long")
     links = simhash.near_links(df, 3, hot=3).collect()
-    parent = {f: f for f in fps}
+    parent = list(range(len(fps)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
     for r in links:
-        parent[find(r.a % (1 << 64))] = find(r.b % (1 << 64))
-    want = brute_groups([(i, f) for i, f in enumerate(fps)])
-    first = {}
-    assert [first.setdefault(find(f), i) for i, f in enumerate(fps)] == want
+        parent[max(find(r.a), find(r.b))] = min(find(r.a), find(r.b))
+    assert [find(i) for i in range(len(fps))] == brute_groups([(i, f) for i, f in enumerate(fps)])
