@@ -13,7 +13,8 @@ group of near copies does not cost all its pairs.  Tasks emit one link per finge
 its local group; the groups are joined up by ``components``.
 
 Defined cases: null and empty texts have fingerprint zero, which links like any other;
-repeated rows keep their own output row; extra columns are ignored; an empty table gives
+repeated rows keep their own output row; a null doc_id links texts but names no component
+(null where no row of the component has one); extra columns are ignored; an empty table gives
 an empty result."""
 
 from __future__ import annotations

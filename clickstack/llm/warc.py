@@ -15,9 +15,10 @@ HTTP framing is decoded.  Payload digests are verified.
 A record's segments must fit in one task, as its payload does; a file is read whole by one
 task, so foreign archives should stay below 1 GB.
 
-Defined cases: a null html is an empty payload; null page_ids come after all others when the
-largest is sought; repeated rows get a record each only if their page_id differs (a
-page_id is written once); extra columns are ignored; empty tables give an empty result."""
+Defined cases: a null html is an empty payload; a null url is written as an empty one, control
+characters in a url as %20; rows without a page_id are not written; a repeated page_id is
+written once, with the payload of the least digest; extra columns are ignored; empty tables
+give an empty result."""
 
 from __future__ import annotations
 

@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group (3-word shingles, 3 bits) the document with the smallest doc_id."""
+    """Of each SimHash group (3-word shingles, 3 bits) the document with the smallest doc_id; rows
+    that repeat that doc_id are the same document."""
     groups = simhash.simhash_groups(docs, width=3, max_bits=3)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
