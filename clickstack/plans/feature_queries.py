@@ -124,7 +124,7 @@ def q_shard_manifest(spark, sf_dir):
     """Feature block written partitioned by shard; manifest read back from the files (2.1 #8)."""
     fitted = fe.fit(fx.train(spark, sf_dir), SPEC)
     block = fe.transform(train_crid(spark, sf_dir).drop("rid").withColumnRenamed("crid", "rid"), fitted)
-    return sh.write_shards(block, sh.scratch_path(spark, "cache"), SHARD_ROWS)
+    return sh.write_shards(block, sh.scratch_path(spark, "cache"), SHARD_ROWS, ordered=True)
 
 
 @register("train_test_caches", ob.query(ITT, f"""SELECT split, (i // {SHARD_ROWS})::INT AS shard, count(*)::BIGINT AS "rows",
@@ -134,7 +134,7 @@ FROM (SELECT 'train' AS split, row_number() OVER (ORDER BY rid) - 1 AS i FROM tr
 def q_train_test_caches(spark, sf_dir):
     """One driver writes both caches and their manifests (2.1 #10)."""
     numbered = [contiguous_rid(d(spark, sf_dir), "rid", out="i").drop("rid").withColumnRenamed("i", "rid") for d in (fx.train, fx.test)]
-    a, b = sh.write_caches(*numbered, SPEC, sh.scratch_path(spark, "caches"), SHARD_ROWS, fit_on="each")
+    a, b = sh.write_caches(*numbered, SPEC, sh.scratch_path(spark, "caches"), SHARD_ROWS, fit_on="each", ordered=True)
     return a.withColumn("split", F.lit("train")).unionByName(b.withColumn("split", F.lit("test")))
 
 

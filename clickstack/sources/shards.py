@@ -26,13 +26,15 @@ def manifest(df: DataFrame, rid_col: str = "rid") -> DataFrame:
 
 
 def write_shards(df: DataFrame, out_dir: str, shard_rows: int, rid_col: str = "rid",
-                 mode: str = "overwrite") -> DataFrame:
-    """Write the block partitioned by shard (rows sorted by rid inside each shard) and
-    return the manifest read back from what was written."""
-    # a range partitioning by row id: a task holds whole stretches of shards, so this is the
-    # only shuffle of the full rows
-    ranged = df.repartitionByRange(F.col(rid_col)).sortWithinPartitions(rid_col)
-    with_shard(ranged, shard_rows, rid_col).write.mode(mode).partitionBy("shard").parquet(f"{out_dir}/data")
+                 mode: str = "overwrite", ordered: bool = False) -> DataFrame:
+    """Write the block partitioned by shard (rows in rid order inside each file) and return the
+    manifest read back from what was written.
+
+    Rows are range-partitioned by row id, so that a task holds whole stretches of shards;
+    ``ordered`` rows, as ``contiguous_rid`` leaves them, are written as they come."""
+    if not ordered:
+        df = df.repartitionByRange(F.col(rid_col)).sortWithinPartitions(rid_col)
+    with_shard(df, shard_rows, rid_col).write.mode(mode).partitionBy("shard").parquet(f"{out_dir}/data")
     written = df.sparkSession.read.parquet(f"{out_dir}/data")
     m = manifest(written, rid_col)
     m.write.mode(mode).parquet(f"{out_dir}/manifest")
@@ -40,7 +42,7 @@ def write_shards(df: DataFrame, out_dir: str, shard_rows: int, rid_col: str = "r
 
 
 def write_caches(train: DataFrame, test: DataFrame, spec, out_dir: str, shard_rows: int, fit_on: str = "train",
-                 joined: tuple = (), rid_col: str = "rid") -> tuple[DataFrame, DataFrame]:
+                 joined: tuple = (), rid_col: str = "rid", ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """Feature blocks of train and test as two sharded caches; returns their manifests.
     ``fit_on``: the test block is filled with the medians of 'train', or 'each' with its own."""
     from ..operators import features as fe
@@ -48,8 +50,8 @@ def write_caches(train: DataFrame, test: DataFrame, spec, out_dir: str, shard_ro
         raise ValueError(f"fit_on is 'train' or 'each', not {fit_on!r}")
     fitted = fe.fit(train, spec, joined)
     other = fitted if fit_on == "train" else fe.fit(test, spec, joined)
-    return (write_shards(fe.transform(train, fitted, True, rid_col), f"{out_dir}/train", shard_rows, rid_col),
-            write_shards(fe.transform(test, other, False, rid_col), f"{out_dir}/test", shard_rows, rid_col))
+    return (write_shards(fe.transform(train, fitted, True, rid_col), f"{out_dir}/train", shard_rows, rid_col, ordered=ordered),
+            write_shards(fe.transform(test, other, False, rid_col), f"{out_dir}/test", shard_rows, rid_col, ordered=ordered))
 
 
 def read_block(spark: SparkSession, cache_dir: str) -> DataFrame:
