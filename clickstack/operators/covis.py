@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import counted_positions, parse_lenient, tail, time_bin as time_bin_expr, valid_positions
+from ..functions.sequence import counted_positions, parse_lenient, tail, time_bin as time_bin_expr
 
 # Reference defaults for the covis configuration.
 DEFAULT_AGGS = ("sum_ctr", "mean_ctr", "max_ctr", "top3_mean_ctr",
@@ -89,10 +89,15 @@ def token_rows(df: DataFrame, spec: CovisSpec, keep: list[str] | None = None,
     # per-row values (length, stacked targets) are projected before the generator so
     # they are computed once per row, not once per exploded token
     base = df.select(*keep, tb.alias("time_bin"), toks.alias("_toks"), stacked.alias("_tg"))
-    placed = counted_positions("_toks") if outer else valid_positions("_toks")  # junk is never exploded
-    base = base.withColumn("_placed", placed).withColumn("_len", F.size(F.array_compact("_toks"))).drop("_toks")
-    gen = F.inline_outer("_placed") if outer else F.inline("_placed")
-    exploded = base.select(*keep, "time_bin", "_tg", "_len", gen)
+    base = base.withColumn("_valid", F.array_compact("_toks"))
+    base = base.withColumn("_len", F.size("_valid"))
+    if outer:
+        # only rows with junk carry their positions along, the others take the generator's
+        base = base.withColumn("_at", F.when(F.col("_len") < F.size("_toks"), counted_positions("_toks")["pos"]))
+        exploded = base.select(*keep, "time_bin", "_tg", "_len", "_at", F.posexplode_outer("_toks").alias("_p", "token"))
+        exploded = exploded.withColumn("pos", F.when(F.col("_at").isNull(), F.col("_p")).otherwise(F.get("_at", F.col("_p"))))
+    else:
+        exploded = base.select(*keep, "time_bin", "_tg", "_len", F.posexplode("_valid").alias("pos", "token"))
     if spec.recency == "from_end":
         age = F.col("_len") - 1 - F.col("pos")
     else:
