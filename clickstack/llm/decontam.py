@@ -6,9 +6,10 @@ placeholders, a run of one type by one; the words replaced are kept as slot valu
 Windows of ``width`` words of the benchmark are hash-joined with all windows of all
 documents.  When the benchmark's hashes are few (``filter_windows``) each task first drops
 the windows that are not among them, so only likely matches are shuffled; otherwise all
-windows are.  For template matches the slots are checked: within a document and an item a
-value must always stand for one value; windows that disagree with the most frequent
-assignment do not count.  A document that holds at least ``share`` of an item's windows in
+windows are.  For template matches the slots are checked: within an occurrence of an item (matches
+aligned by place in the document minus place in the item) a value must always stand for
+one value; windows that disagree with the assignment do not count, and the best occurrence
+is reported.  A document that holds at least ``share`` of an item's windows in
 either form is contaminated by it: verbatim, or re-parameterised.
 
 Template windows with fewer than ``literals`` words that are not placeholders say nothing
@@ -143,6 +144,82 @@ def window_rows(rows: DataFrame, widths: list[int], literals: int, among: np.nda
     return arrow_map(rows, run, SCHEMA)
 
 
+def usual(slot: np.ndarray, value: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, the value that each most often stands for), counted by windows of the item."""
+    each = np.unique(np.column_stack([slot, value, i]), axis=0)
+    both, n = np.unique(each[:, :2], axis=0, return_counts=True)
+    both = both[np.lexsort((both[:, 1], n, both[:, 0]))]
+    last = np.append(both[1:, 0] != both[:-1, 0], True)
+    return both[last, 0], both[last, 1]
+
+
+def best_reading(i: np.ndarray, at: np.ndarray, match: np.ndarray, item_value: np.ndarray, value: np.ndarray) -> tuple[int, int]:
+    """(windows that agree, slot values changed) under the best assignment of values to an item's
+    values.  Match k has the item's window ``i[k]`` in the alignment ``at[k]``; its slots are
+    the rows of ``match``, ``item_value`` and ``value`` with ``match`` k.
+
+    Assignments tried: the most frequent values of the whole document, and those of each
+    alignment; values that an alignment does not show come from the nearest alignments that
+    do not contradict it (words put in or left out move the rest to another alignment)."""
+    most = len(np.unique(i))
+    names, slot = np.unique(item_value, return_inverse=True)
+    order = np.argsort(at[match], kind="stable")
+    match, slot, value = match[order], slot[order], value[order]
+    place, window = at[match], i[match]
+    means, known = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+
+    def against():
+        bad = np.zeros(len(i), bool)
+        bad[match[known[slot] & (means[slot] != value)]] = True
+        return bad
+
+    def learn(rows):
+        k, v = usual(slot[rows], value[rows], window[rows])
+        means[k], known[k] = v, True
+
+    def judged():
+        return len(np.unique(i[~against()])), int((means != names)[known].sum())
+
+    if not len(match):
+        return most, 0
+    learn(slice(None))
+    best, tried = judged(), set()
+    places, first = np.unique(place, return_index=True)
+    for here, lo, hi in zip(places, first, np.append(first[1:], len(place))):
+        if best[0] == most:
+            break
+        means[:], known[:] = 0, False
+        learn(slice(lo, hi))
+        if known.all():
+            if means.tobytes() in tried:
+                continue
+            tried.add(means.tobytes())
+        while not known.all():
+            rest = np.flatnonzero(~known[slot] & ~against()[match])
+            if not len(rest):
+                break
+            learn(rest[place[rest] == place[rest[np.abs(place[rest] - here).argmin()]]])
+        best = max(best, judged(), key=lambda r: r[0])
+    return best
+
+
+def read_slots(near: DataFrame) -> DataFrame:
+    """(doc_id, item_id, form, n, got, changed) of rows with matches ``m``."""
+    def run(batches):
+        for batch in batches:
+            got = []
+            for m in batch.column(4).to_pylist():
+                slots = [(k, a, b) for k, r in enumerate(m) if r["at"] is not None
+                         for a, b in zip(r["item_slots"], r["slots"]) if a]
+                cols = np.array(slots, np.int64).reshape(-1, 3)
+                got.append(best_reading(np.array([r["i"] for r in m], np.int64), np.array([r["at"] or 0 for r in m], np.int64),
+                                        cols[:, 0], cols[:, 1], cols[:, 2]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *[pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)]],
+                                             names=["doc_id", "item_id", "form", "n", "got", "changed"])
+
+    return arrow_map(near, run, "doc_id long, item_id long, form int, n long, got long, changed long")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float = 0.8, literals: int = 3,
                  filter_windows: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, kind, share, windows, slots_changed) of each contaminated pair."""
@@ -159,30 +236,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: f
         among = np.sort(np.array(bench.select("hash").distinct().toPandas()["hash"], np.int64))  # filter_windows at most
     hits = window_rows(texts, sorted(sizes), literals, among)
     b = bench.select("hash", "form", "width", F.col("id").alias("item_id"), F.col("place").alias("i"), F.col("slots").alias("item_slots"))
+    bare = (F.col("form") == 0) | F.forall("item_slots", lambda v: v == 0)
+    unless = lambda c: F.when(~bare, c)  # noqa: E731  a window without slots says the same wherever it stands
     found = cut_lineage(hits.withColumnRenamed("id", "doc_id").join(b, ["hash", "form", "width"])
-                        .select("doc_id", "item_id", "form", "i", "slots", "item_slots").distinct(), "window-matches")
-    pair = ["doc_id", "item_id"]
-    # slot consistency: the value that an item's value most often stands for
-    slot = (found.where("form = 1").select(*pair, "i", F.explode(F.arrays_zip("item_slots", "slots")).alias("z"))
-            .select(*pair, "i", F.col("z.item_slots").alias("iv"), F.col("z.slots").alias("dv")).where("iv <> 0"))
-    usual = (slot.groupBy(*pair, "iv", "dv").agg(F.countDistinct("i").alias("n"))
-             .groupBy(*pair, "iv").agg(F.max(F.struct("n", "dv")).alias("m"))
-             .select(*pair, F.struct("iv", F.col("m.dv").alias("dv")).alias("one"))
-             .groupBy(*pair).agg(F.map_from_entries(F.collect_set("one")).alias("means")))
-    told = found.join(usual, pair, "left").withColumn("agrees", (F.col("form") == 0) | F.forall(
-        F.arrays_zip("item_slots", "slots"),
-        lambda z: (z["item_slots"] == 0) | (F.col("means")[z["item_slots"]] == z["slots"])))
+                        .select("doc_id", "item_id", "form", "i", unless(F.col("place") - F.col("i")).alias("at"),
+                                unless(F.col("slots")).alias("slots"), unless(F.col("item_slots")).alias("item_slots")).distinct(),
+                        "window-matches")
     n = F.greatest(F.max(F.col("words") - F.col("width") + 1), F.lit(1))  # windows of the whole item
-    total = (bench.groupBy(F.col("id").alias("item_id"), "form").agg(n.alias("n"))
-             .groupBy("item_id").agg(*[F.max(F.when(F.col("form") == f, F.col("n"))).alias(f"n_{f}") for f in (0, 1)]))
-    got = told.where("agrees").groupBy(*pair).agg(
-        *[F.countDistinct(F.when(F.col("form") == f, F.col("i"))).alias(f"got_{f}") for f in (0, 1)])
-    changed = (usual.select(*pair, F.explode(F.map_entries("means")).alias("e"))
-               .where(F.col("e.key") != F.col("e.value")).groupBy(*pair).agg(F.count(F.lit(1)).alias("slots_changed")))
-    scored = got.join(total, "item_id").join(changed, pair, "left")
-    shares = [F.coalesce(F.col(f"got_{f}") / F.col(f"n_{f}"), F.lit(0.0)) for f in (0, 1)]
-    best = F.greatest(*shares)
-    return scored.where(best >= share).select(
-        *pair, F.when(shares[0] >= share, F.lit("verbatim")).otherwise(F.lit("re-parameterised")).alias("kind"),
-        best.alias("share"), F.greatest("got_0", "got_1").cast("long").alias("windows"),
-        F.coalesce("slots_changed", F.lit(0)).cast("long").alias("slots_changed"))
+    total = bench.groupBy(F.col("id").alias("item_id"), "form").agg(n.alias("n"))
+    near = (found.groupBy("doc_id", "item_id", "form").agg(F.collect_list(F.struct("i", "at", "item_slots", "slots")).alias("m"))
+            .join(total, ["item_id", "form"])
+            .where(F.size(F.array_distinct(F.col("m.i"))) >= share * F.col("n")))  # no reading holds more windows
+    read = read_slots(near.select("doc_id", "item_id", "form", "n", "m")).where(F.col("got") >= share * F.col("n"))
+    part = F.col("got") / F.col("n")
+    return read.groupBy("doc_id", "item_id").agg(
+        F.when(F.min("form") == 0, F.lit("verbatim")).otherwise(F.lit("re-parameterised")).alias("kind"),
+        F.max(part).alias("share"), F.max("got").alias("windows"), F.max("changed").alias("slots_changed"))

@@ -59,6 +59,22 @@ def test_slots_must_be_consistent(spark):
     assert [r.doc_id for r in decontam.contaminated(docs, items).collect()] == [1]
 
 
+def test_variants_side_by_side(spark):
+    """Two re-parameterised variants in one document, equally often: slot by slot a tie."""
+    item = ("Then early one morning Anna met old Berta near the river and gave young Clara some bread, so later Anna took "
+            "poor Dora home with Berta and left Clara beside Dora for the night.")
+    name = re.compile("Anna|Berta|Clara|Dora")
+    variants = [name.sub(lambda m, k=k: m[0] + "qxzvw"[k] + "bcdfg"[(3 * k) % 5], item) for k in range(5)]
+    gap = variants[2].replace("some bread,", "some bread that the whole village had baked for the feast,")
+    split = [name.sub(lambda m, k=iter(range(99)): f"{m[0]}{'abcdefghijkl'[next(k)]}x", item)]
+    texts = [" ".join(variants[:n]) for n in (1, 2, 3, 4, 5)] + [" ".join([gap, variants[3]]), split[0]]
+    docs = spark.createDataFrame([(k, "We saw it. " + t) for k, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.contaminated(docs, items).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5}
+    assert all(got[k].share == 1.0 and got[k].slots_changed == 4 for k in range(5))
+
+
 def brute_kn(counts, order):
     """logp of an n-gram (tuple) under interpolated modified Kneser-Ney."""
     levels = [counts]
