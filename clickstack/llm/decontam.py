@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become word sequences in two forms.  Plain: every word in lower case.  Template:
-numbers, the units after them, and names (capitals inside a sentence) are replaced by typed
+numbers, the units after them, and names (capitals) are replaced by typed
 placeholders, a run of one type by one; the words replaced are kept as slot values.
 Windows of ``width`` words of the benchmark are hash-joined with all windows of all
 documents.  When the benchmark's hashes are few (``filter_windows``) each task first drops
@@ -12,11 +12,15 @@ one value; windows that disagree with the assignment do not count, and the best
 is reported.  A document that holds at least ``share`` of an item's windows in
 either form is contaminated by it: verbatim, or re-parameterised.
 
-Template windows with fewer than ``literals`` words that are not placeholders say nothing
-and are left out on both sides.
+Template windows with fewer than ``literals`` words that are not placeholders say nothing and
+are left out on both sides and of the item's number of windows; an item left without any takes
+wider ones (``item_windows``).  A capital that opens a sentence is a word or a name: templates
+are built and matched in both ways, the better share counts.
 
 Defined cases: null or empty texts match nothing; an item shorter than ``width`` words is
-one window of its length; repeated rows of a doc_id count as one document, repeated rows of
+one window of its length; an item of ``width`` template words or fewer
+with fewer than ``literals`` (or its length) literal ones, and one without any, is found verbatim
+only; repeated rows of a doc_id count as one document, repeated rows of
 an item_id as one item; extra columns are ignored; empty tables give an empty result."""
 
 from __future__ import annotations
@@ -49,8 +53,8 @@ _unit_codes: list[np.ndarray] = []
 
 
 def tokens(data: np.ndarray, offs: np.ndarray):
-    """Per word: (text, hash of the lower-case word, kind, span start, span end), and the sums
-    that give the hash of any span."""
+    """Per word: (text, hash of the lower-case word, kind, kind when a capital that opens a
+    sentence is a name, span start, span end), and the sums that give the hash of any span."""
     cps, at = code_points(data, offs)
     cls, lower = char_tables()
     kind = cls[cps]
@@ -70,22 +74,28 @@ def tokens(data: np.ndarray, offs: np.ndarray):
     opens[1:] = (doc[1:] != doc[:-1]) | (stops[s[1:]] > stops[e[:-1]])
     typ = np.zeros(len(s), np.int8)
     typ[digit[s]] = NUM
+    named = typ.copy()
+    named[kind[s] == 2] = NAME
     typ[(kind[s] == 2) & ~opens] = NAME
     if not _unit_codes:
         _unit_codes.append(np.sort(_code(UNITS)))
     after = np.zeros(len(s), bool)
     after[1:] = (typ[:-1] == NUM) & (doc[1:] == doc[:-1])
-    typ[after & ~digit[s] & np.isin(code, _unit_codes[0])] = UNIT
-    return doc, code, typ, s, e, sums
+    unit = after & ~digit[s] & np.isin(code, _unit_codes[0])
+    typ[unit] = named[unit] = UNIT
+    return doc, code, typ, named, s, e, sums
 
 
-def windows(data: np.ndarray, offs: np.ndarray, widths: list[int], literals: int):
-    """(text, form 0 plain / 1 template, place, width, hash, slots [rows, max width], places in the text)."""
-    doc, code, typ, s, e, sums = tokens(data, offs)
+def windows(data: np.ndarray, offs: np.ndarray, widths: list[int], literals: int, wide: int):
+    """(text, form 0 plain / 1 template / 2 template with opening capitals as names, place, width,
+    hash, slots [rows, max width], places in the text).  Windows of more than ``wide`` words need
+    one literal word."""
+    doc, code, *types, s, e, sums = tokens(data, offs)
     most = max(widths)
     out = []
-    for form in (0, 1):
+    for form in (0, 1, 2):
         if form:
+            typ = types[form - 1]
             head = np.ones(len(doc), bool)
             head[1:] = ~((typ[1:] == typ[:-1]) & (typ[1:] > 0) & (doc[1:] == doc[:-1]))
             lead = np.flatnonzero(head)
@@ -106,7 +116,7 @@ def windows(data: np.ndarray, offs: np.ndarray, widths: list[int], literals: int
             i = np.flatnonzero(d[w - 1:] == d[:n - w + 1])
             if form:
                 enough = free[i + w] - free[i]
-                i = i[enough >= min(literals, w)]
+                i = i[enough >= (min(literals, w) if w <= wide else 1)]
             slots = np.zeros((len(i), most), np.uint64)
             if form:
                 for k in range(w):
@@ -118,18 +128,55 @@ def windows(data: np.ndarray, offs: np.ndarray, widths: list[int], literals: int
     return [np.concatenate(x) for x in zip(*out)]
 
 
+def item_windows(data: np.ndarray, offs: np.ndarray, width: int, literals: int):
+    """Windows that stand for an item: of ``width`` words, or the whole of a shorter item.  A form
+    without a window of enough literal words takes the first of twice, four times ... that
+    width that has one, else its whole template if that has one literal word."""
+    def whole(got, w):
+        return (got[3] == w) | ((got[6] == got[3]) & (got[3] < w))
+
+    key = lambda g: g[0] * 3 + g[1]
+    got = windows(data, offs, list(range(1, width + 1)), literals, width)
+    out = [[x[whole(got, width)] for x in got]]
+    bare = windows(data, offs, [1], 0, 1)  # every place
+    todo, first = np.unique(key(bare), return_index=True)
+    size = bare[6][first]
+    w = width
+    while len(todo):
+        left = ~np.isin(todo, key(out[-1])) & (size > width)
+        todo, size = todo[left], size[left]
+        if not (size > w).any():
+            break
+        w *= 2
+        got = windows(data, offs, [w], literals, w)
+        keep = np.isin(key(got), todo)
+        out.append([x[keep] for x in got])
+    if len(todo):
+        got = windows(data, offs, np.unique(size).tolist(), literals, width)
+        keep = np.isin(key(got), todo) & (got[6] == got[3])
+        out.append([x[keep] for x in got])
+    most = max(x[5].shape[1] for x in out)
+    for x in out:
+        x[5] = np.pad(x[5], ((0, 0), (0, most - x[5].shape[1])))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
 SCHEMA = "id long, form int, place long, width int, hash long, slots array<long>, words long"
 
 
-def window_rows(rows: DataFrame, widths: list[int], literals: int, among: np.ndarray | None = None) -> DataFrame:
-    """Windows of (id, text); only those whose hash is in the sorted array ``among`` if given."""
+def window_rows(rows: DataFrame, widths: list[int] | int, literals: int, among: np.ndarray | None = None,
+                wide: int | None = None) -> DataFrame:
+    """Windows of (id, text), those that stand for an item without ``wide``; only those whose hash is in
+    the sorted array ``among`` if given."""
+    cut = (lambda data, offs: item_windows(data, offs, widths, literals)) if wide is None else (
+        lambda data, offs: windows(data, offs, widths, literals, wide))
     sc = rows.sparkSession.sparkContext
     shared = None if among is None else sc.broadcast(among)
 
     def run(batches):
         wanted = None if shared is None else shared.value
         for part, data, offs in text_slices(batches, ["id"], "text", 2 << 20):
-            text, form, place, width, code, slots, words = windows(data, offs, widths, literals)
+            text, form, place, width, code, slots, words = cut(data, offs)
             code = code.view(np.int64)
             if wanted is not None:
                 at = np.minimum(np.searchsorted(wanted, code), max(0, len(wanted) - 1))
@@ -226,15 +273,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: f
     items = (benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
              .where("id is not null").dropDuplicates(["id"]))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    every = list(range(1, width + 1))
-    bench = cut_lineage(window_rows(items, every, literals)
-                        .where((F.col("width") == width) | ((F.col("words") == F.col("width")) & (F.col("words") < width))), "item-windows")
-    sizes = [r[0] for r in bench.select("width").distinct().collect()] or [width]  # width values at most
+    bench = cut_lineage(window_rows(items, width, literals), "item-windows")
+    sizes = [r[0] for r in bench.select("width").distinct().collect()] or [width]  # width, and lengths of items without a window
     few = bench.select("hash").distinct().limit(filter_windows + 1).count() <= filter_windows
     among = None
     if few:
         among = np.sort(np.array(bench.select("hash").distinct().toPandas()["hash"], np.int64))  # filter_windows at most
-    hits = window_rows(texts, sorted(sizes), literals, among)
+    hits = window_rows(texts, sorted(sizes), literals, among, width)
     b = bench.select("hash", "form", "width", F.col("id").alias("item_id"), F.col("place").alias("i"), F.col("slots").alias("item_slots"))
     bare = (F.col("form") == 0) | F.forall("item_slots", lambda v: v == 0)
     unless = lambda c: F.when(~bare, c)  # noqa: E731  a window without slots says the same wherever it stands
@@ -242,8 +287,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: f
                         .select("doc_id", "item_id", "form", "i", unless(F.col("place") - F.col("i")).alias("at"),
                                 unless(F.col("slots")).alias("slots"), unless(F.col("item_slots")).alias("item_slots")).distinct(),
                         "window-matches")
-    n = F.greatest(F.max(F.col("words") - F.col("width") + 1), F.lit(1))  # windows of the whole item
-    total = bench.groupBy(F.col("id").alias("item_id"), "form").agg(n.alias("n"))
+    total = bench.groupBy(F.col("id").alias("item_id"), "form").agg(F.countDistinct("place").alias("n"))  # windows that can match
     near = (found.groupBy("doc_id", "item_id", "form").agg(F.collect_list(F.struct("i", "at", "item_slots", "slots")).alias("m"))
             .join(total, ["item_id", "form"])
             .where(F.size(F.array_distinct(F.col("m.i"))) >= share * F.col("n")))  # no reading holds more windows

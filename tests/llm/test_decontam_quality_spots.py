@@ -75,6 +75,24 @@ def test_variants_side_by_side(spark):
     assert all(got[k].share == 1.0 and got[k].slots_changed == 4 for k in range(5))
 
 
+DENSE = [
+    (1, "Add 3 and 5 then 7 and 9 to 2", "Add 31 and 52 then 73 and 94 to 25"),
+    (2, "Tom has 3 apples. Tom gives 2 away. Tom counts again what he still has.",
+     "Ann has 8 apples. Ann gives 6 away. Ann counts again what he still has."),
+    (3, "Der Vater kauft 3 kg Birnen, 4 kg Kirschen, 5 kg Pflaumen, 6 kg Quitten.",
+     "Der Vater kauft 13 kg Birnen, 24 kg Kirschen, 35 kg Pflaumen, 46 kg Quitten."),
+    (4, "Mix 3 kg Salt 4 kg Sand with 5 kg Lime 6 kg Clay under 7 kg Loam", "Mix 13 kg Rye 14 kg Oat with 15 kg Corn 16 kg Rice under 17 kg Bran"),
+]
+
+
+def test_items_dense_in_slots(spark):
+    docs = spark.createDataFrame([(k, "we saw it; " + new) for k, _, new in DENSE] + [(9, "add 1 or 2 then leave 3 and 4 to rest")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(k, old) for k, old, _ in DENSE], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, items).collect()}
+    assert set(got) == {(k, k) for k, _, _ in DENSE} and all(r.kind == "re-parameterised" for r in got.values())
+
+
 def brute_kn(counts, order):
     """logp of an n-gram (tuple) under interpolated modified Kneser-Ney."""
     levels = [counts]
