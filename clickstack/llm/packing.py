@@ -5,7 +5,8 @@ histogram of remainder lengths, in steps of ``unit`` tokens, is bounded by
 ``seq_len / unit`` rows whatever the number of documents, so only that histogram reaches
 the driver.  There a linear program over filling patterns is solved by column generation:
 a knapsack dynamic program prices the next pattern from the duals.  Pattern counts are
-rounded down, the few uncovered pieces are filled greedily, and every pattern's slots are
+rounded down, the pieces left are solved again while that gives whole counts, the last few are
+filled greedily, and every pattern's slots are
 ranges of ranks, so pieces (ranked by document within their length class) find their
 sequence by a broadcast join on those ranges.
 
@@ -165,13 +166,10 @@ def first_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.nd
     return basis, inverse, np.array(counts)
 
 
-def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 5e-4,
-                     rounds: int = 400) -> list[tuple[np.ndarray, int]]:
-    """(pattern, times) covering ``demand`` exactly.  The program over fractional counts is
-    solved to a relative ``gap`` from the Farley bound (or for ``rounds`` pivots), then
-    rounded down; the pieces left, at most a sequence's worth for each pattern, are filled
-    greedily.  (Sums instead of matrix products: the driver's BLAS threads can hang beside
-    the JVM.)"""
+def solve(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns as columns, fractional counts) by column generation, to a relative ``gap`` from
+    the Farley bound or for ``rounds`` pivots.  (Sums instead of matrix products: the driver's
+    BLAS threads can hang beside the JVM.)"""
     basis, inverse, x = first_basis(sizes, demand.astype(float), room)
     for _ in range(rounds):
         duals = inverse.sum(axis=0)
@@ -189,16 +187,31 @@ def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: floa
         row = inverse[r] / d[r]
         inverse -= np.outer(d, row)
         inverse[r] = row
+    return basis, x
+
+
+def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 5e-4,
+                     rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+    """(pattern, times) covering ``demand`` exactly.  The program over fractional counts is
+    solved and rounded down, and solved again for the pieces left while that gives whole
+    counts; the last pieces, less than a sequence's worth for each pattern, are filled
+    greedily."""
     left, plan = demand.astype(np.int64).copy(), []
-    for p, times in zip(basis.T, np.floor(x + 1e-7).astype(np.int64)):
-        used = p > 0
-        times = int(min(times, (left[used] // p[used]).min()))
-        if times > 0:
-            left -= p * times
-            plan.append((p, times))
-    plan += fill(sizes, left, room)
-    whole = fill(sizes, demand.astype(np.int64), room)
-    return min(plan, whole, key=lambda some: sum(times for _, times in some))
+    while left.any():
+        at = np.flatnonzero(left)
+        basis, x = solve(sizes[at], left[at], room, gap, rounds)
+        before = len(plan)
+        for some, times in zip(basis.T, np.floor(x + 1e-7).astype(np.int64)):
+            p = np.zeros(len(sizes), np.int64)
+            p[at] = some
+            used = p > 0
+            times = int(min(times, (left[used] // p[used]).min()))
+            if times > 0:
+                left -= p * times
+                plan.append((p, times))
+        if len(plan) == before:
+            break
+    return plan + fill(sizes, left, room)
 
 
 def slot_table(plan: list[tuple[np.ndarray, int]], sizes: np.ndarray, starts: np.ndarray) -> list[tuple]:

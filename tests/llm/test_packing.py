@@ -78,6 +78,16 @@ def test_known_optimum():
     assert sum(t for _, t in plan) == 400  # 7+3 and 5+5 leave nothing over
 
 
+def test_greedy_filling_gets_the_leftover_only(monkeypatch):
+    asked, fill = [], packing.fill
+    monkeypatch.setattr(packing, "fill", lambda sizes, demand, room: asked.append(demand.sum()) or fill(sizes, demand, room))
+    rng = np.random.default_rng(1)
+    sizes, demand = np.arange(1, 65), rng.integers(20, 60, 64)
+    plan = packing.cutting_patterns(sizes, demand, 64)
+    assert (sum(p * t for p, t in plan) == demand).all()
+    assert len(asked) == 1 and asked[0] < demand.sum() / 4
+
+
 @pytest.mark.parametrize("unit", [3, 5])
 def test_unit_must_divide(spark, unit):
     with pytest.raises(ValueError):
