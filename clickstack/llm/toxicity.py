@@ -49,7 +49,8 @@ CLASSES = ("other", "insult", "threat", "target", "negation", "report")
 INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-CLAUSE = re.compile(r"[.,;:!?\n|()]+")
+BOUNDS = ".,;:!?\n|()。，、；：！？（）｜．｡､"
+CLAUSE = re.compile(f"[{re.escape(BOUNDS)}]+")
 
 
 class Transducer:
@@ -132,16 +133,16 @@ class Scorer:
                 if begin == 0 or not low[begin - 1].isalpha():
                     hit_at.append(begin)
         clauses: list[float] = []
-        done = -1
-        for at in hit_at:
+        done = 0
+        for at in sorted(hit_at):
             if at < done:
                 continue
             lo = at
-            while lo > 0 and at - lo < 400 and low[lo - 1] not in ".,;:!?\n|()":
+            while lo > done and low[lo - 1] not in BOUNDS:
                 lo -= 1
             m = CLAUSE.search(low, at)
-            done = min(m.start() if m else len(low), at + 400)
-            clauses.append(self.clause(low[max(lo, 0):done]))
+            done = m.start() if m else len(low)
+            clauses.append(self.clause(low[lo:done]))
         clauses = [c for c in clauses if c > 0]
         total, top = sum(clauses), max(clauses, default=0.0)
         return (math.log1p(total), top, math.log1p(len(clauses)), math.log1p(100 * total / n_words),
@@ -149,7 +150,8 @@ class Scorer:
 
     def clause(self, clause: str) -> float:
         state, score = 0, 0.0
-        for word in WORD.findall(clause):
+        for m in WORD.finditer(clause):
+            word = m[0]
             kind, weight = self.look(word)
             score += GRAMMAR.weight[state][kind] * weight
             state = GRAMMAR.step[state][kind]

@@ -12,6 +12,16 @@ def test_grammar_weighs_how_words_stand():
     assert s.features("a fine day, nothing else")[0] == 0 and s.features("")[0] == 0
 
 
+def test_long_clauses_are_whole():
+    import math
+    s = toxicity.Scorer({"idiot": (toxicity.INSULT, 2.0)})
+    filler = "word " * 200
+    for text in (f"you {filler}idiot", f"someone said {filler}idiot", f"idiot {filler}idiot {filler}idiot", "idiot " + "x" * 392 + " idiot"):
+        total, top, n = s.features(text)[:3]
+        assert math.isclose(math.expm1(total), s.clause(text)) and math.isclose(math.expm1(n), 1), text[:20]
+    assert math.isclose(math.expm1(s.features("you walk。idiot")[0]), 2.0)
+
+
 def test_composition_runs_both():
     a, b = toxicity.negated(), toxicity.reported()
     both = a.compose(b)
