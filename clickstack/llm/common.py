@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20  # texts handled together inside a task; a longer text goes alone
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,6 +44,22 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def join_sized(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, parts: int = 1000) -> DataFrame:
+    """Null-safe left join of ``rows`` to ``groups``, which has one row per key and in ``size`` how many
+    of ``rows`` have it.  Groups that hold a ``parts``-th of all sized rows or more, so at most
+    ``parts`` of them, are broadcast; only rows of smaller groups are shuffled.  Both tables are read
+    more than once and should be written ones."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    heavy = F.col(size) * parts >= F.lit(total)
+    side = groups.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    few = side.where(heavy)
+    big = rows.join(F.broadcast(few), on, "inner").drop(*names)
+    rest = rows.join(F.broadcast(few.select(*names)), on, "left_anti").join(side.where(~heavy), on, "left").drop(*names)
+    return big.unionByName(rest)
+
+
 def text_slices(batches, columns: list[str], text: str,
                 limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, UTF-8 bytes, offsets) in slices of about ``limit`` bytes; null text is empty."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.shards import scratch_path
-from . import decontam, langid, packing, quality, simhash, spotsigs, suffix, toxicity, urlfilter, warc
+from . import decontam, exact, langid, packing, quality, simhash, spotsigs, suffix, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -138,3 +138,18 @@ def op6(spark, sf_dir):
 @_query("op2_quality")
 def op2(spark, sf_dir):
     return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = """
+with d as (select doc_id, coalesce(text, '') t from documents),
+s as (select doc_id, length(t) n, sha256(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) h from d),
+k as (select *, first_value(doc_id) over w keep_id, row_number() over w = 1 kept, count(*) over (partition by h) group_size
+      from s window w as (partition by h order by n desc, doc_id nulls last))
+select doc_id, keep_id, group_size, kept, h text_sha256 from k
+"""
+
+
+@_query("op11_exact_dedup", OP11_SQL)
+def op11(spark, sf_dir):
+    return exact.classes(_table(spark, sf_dir, "documents"), digests=True).select(
+        "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
