@@ -5,6 +5,7 @@
 * ``global_ordinal`` / ``contiguous_rid``: distribution-free numbering from a
   range-partitioned global sort (Spark samples the key, so a dense key range or a hot
   group is split across tasks), materialised once, plus per-partition offsets.
+* ``places``: numbering inside groups, where one group may hold most rows.
 * ``running_totals``: the same for cumulative sums (AP, tie ranks).
 """
 
@@ -92,3 +93,28 @@ def running_totals(df: DataFrame, order_cols: list, sum_cols: list[str], by: lis
     for c in sum_cols:
         out = out.withColumn(prefix + c, F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
     return out.drop("_pid", *[f"_o_{c}" for c in sum_cols])
+
+
+def places(df: DataFrame, by: list[str], order_cols: list, out: str = "place") -> DataFrame:
+    """0-based place of each row in its group (null keys are one group), in the order of
+    ``order_cols``; rows that tie completely follow in any order.
+
+    The table is sorted across the cluster and written, so a large group is spread over several
+    partitions; a partition's rows are numbered by themselves.  Only a partition's first group can
+    have rows in earlier partitions, so the offsets are at most one row per partition."""
+    from ..session import cut_lineage
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    tagged = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*[F.col(c) for c in by], *order, F.col("_tie")) \
+               .withColumn("_mono", F.monotonically_increasing_id()).drop("_tie")
+    tagged = cut_lineage(tagged, "places").withColumn("_pid", F.shiftright("_mono", 33))
+    runs = tagged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.withColumn("_off", F.sum("_n").over(before)).where("_off > 0") \
+                  .select(F.col("_pid").alias("_opid"), "_off", *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)])
+    on = F.col("_pid") == F.col("_opid")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    within = Window.partitionBy("_pid", *by).orderBy("_mono")
+    return (tagged.join(F.broadcast(offsets), on, "left")  # at most one row per partition
+            .withColumn(out, F.row_number().over(within) - 1 + F.coalesce("_off", F.lit(0)))
+            .drop("_pid", "_mono", "_opid", "_off", *[f"_by{i}" for i in range(len(by))]))
