@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.shards import scratch_path
-from . import decontam, exact, langid, packing, quality, simhash, spotsigs, suffix, toxicity, urlfilter, warc
+from . import decontam, exact, langid, packing, prefixtrie, quality, repair, simhash, spotsigs, suffix, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,3 +153,44 @@ select doc_id, keep_id, group_size, kept, h text_sha256 from k
 def op11(spark, sf_dir):
     return exact.classes(_table(spark, sf_dir, "documents"), digests=True).select(
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+@_query("op12_repair")
+def op12(spark, sf_dir):
+    return repair.repaired(_table(spark, sf_dir, "conversations"))
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string in SQL."""
+    return (f"list_reduce(list_transform(range(0, length({text}) + 1), lambda i: case when i = 0 then 4294967295 else ascii({text}[i]) end), "
+            "lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))")
+
+
+OP13_SQL = f"""
+with k as (select conv_id, md5(coalesce(role, '')) || md5(coalesce(text, '')) t, octet_length(encode(coalesce(text, ''))) b,
+                  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 pos
+           from conversations),
+cv as (select conv_id, count(*) n, xor({_crc32("(conv_id::varchar)")}, 4294967295) % 9 h, conv_id - conv_id % 5 base from k group by conv_id),
+r as (select c.conv_id, p.pos + 1 depth, p.t, p.b from cv c join k p on p.conv_id = c.base and p.pos < c.h
+      union all
+      select c.conv_id, least(c.h, coalesce(o.n, 0)) + p.pos - c.h + 1, p.t, p.b
+      from cv c join k p on p.conv_id = c.conv_id and p.pos >= c.h left join cv o on o.conv_id = c.base),
+p as (select *, string_agg(t, '') over (partition by conv_id order by depth) path from r),
+len as (select cv.conv_id, coalesce(max(depth), 0) len from cv left join r using (conv_id) group by cv.conv_id),
+nodes as (select path, depth, min(conv_id) low, count(*) n, any_value(b) b, path[1:64 * (depth - 1)] up from p group by path, depth
+          union all select '', 0, min(conv_id), count(*), 0, null from cv having count(*) > 0),
+ch as (select up, count(*) n_children from nodes where up is not null group by up),
+sub as (select a.path, sum((x.n - 1) * x.b)::bigint saved, count(*) filter (ch.up is null) n_leaves
+        from nodes a join nodes x on starts_with(x.path, a.path) left join ch on ch.up = x.path group by a.path),
+ends as (select path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) sha
+         from (select conv_id, path from p join len using (conv_id) where depth = len
+               union all select conv_id, '' from len where len = 0) group by path)
+select a.low conv_id, a.depth, u.low parent_conv_id, a.n n_convs, coalesce(ch.n_children, 0) n_children, sub.n_leaves,
+       sub.saved saved_tokens, coalesce(ends.sha, sha256('')) ends_sha256
+from nodes a left join nodes u on u.path = a.up left join ch on ch.up = a.path join sub on sub.path = a.path left join ends on ends.path = a.path
+"""
+
+
+@_query("op13_prefix_trie", OP13_SQL)
+def op13(spark, sf_dir):
+    return prefixtrie.trie(_table(spark, sf_dir, "conversations"))
