@@ -18,30 +18,39 @@ def brute(rows):
         convs.setdefault(conv, []).append((turn, role or "", text or ""))
     for v in convs.values():
         v.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(f"{len(r[1].encode())}:{r[1]}{r[2]}".encode()).digest()))
-    nodes, ends = {}, {}
+    ids, up, depth, size, members, ends = {}, [None], [0], [0], [[]], [[]]  # node 0 is the root
     for c, own in convs.items():
         turns = own
         if c is not None:
             h = zlib.crc32(str(c).encode()) % 9
-            base = c - (abs(c) % 5) * (1 if c > 0 else -1)
-            turns = convs.get(base, [])[:h] + own[h:]
-        path = tuple(r[1:] for r in turns)
-        for d in range(len(path) + 1):
-            nodes.setdefault(path[:d], []).append(c)
-        ends.setdefault(path, []).append(c)
+            turns = convs.get(c - (abs(c) % 5) * (1 if c > 0 else -1), [])[:h] + own[h:]
+        at = 0
+        members[0].append(c)
+        for _, role, text in turns:
+            key = (at, role, text)
+            if key not in ids:
+                ids[key] = len(up)
+                up.append(at)
+                depth.append(depth[at] + 1)
+                size.append(len(text.encode()))
+                members.append([])
+                ends.append([])
+            at = ids[key]
+            members[at].append(c)
+        ends[at].append(c)
     low = lambda cs: min((c for c in cs if c is not None), default=None)
-    sums = {p: [0, 0, 0] for p in nodes}
-    for p in nodes:
-        if p:
-            sums[p[:-1]][0] += 1
-    for p, cs in nodes.items():
-        w = (len(cs) - 1) * len(p[-1][1].encode()) if p else 0
-        for d in range(len(p) + 1):
-            sums[p[:d]][1] += not sums[p][0]
-            sums[p[:d]][2] += w
+    n = len(up) if convs else 0
+    kids, leaves, saved = [0] * n, [0] * n, [0] * n
+    for i in range(n - 1, -1, -1):  # children come after their parents
+        leaves[i] += not kids[i]
+        saved[i] += (len(members[i]) - 1) * size[i]
+        if i:
+            kids[up[i]] += 1
+            leaves[up[i]] += leaves[i]
+            saved[up[i]] += saved[i]
     order = lambda cs: sorted(cs, key=lambda c: (c is None, c or 0))
-    return sorted(map(str, ((low(cs), len(p), low(nodes[p[:-1]]) if p else None, len(cs), *sums[p], hashlib.sha256(
-        ",".join("" if c is None else str(c) for c in order(ends.get(p, []))).encode()).hexdigest()) for p, cs in nodes.items())))
+    return sorted(str((low(members[i]), depth[i], low(members[up[i]]) if i else None, len(members[i]), kids[i], leaves[i], saved[i], hashlib.sha256(
+        ",".join("" if c is None else str(c) for c in order(ends[i])).encode()).hexdigest())) for i in range(n))
 
 
 def check(df, got):
