@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prob import EPS_LOGIT, clip, sigmoid, sigmoid_stable
+from ..session import cut_lineage
 from . import metrics as me
+from .asof import between_marks
+from .isotonic import pools
 
 # Reference calibration defaults.
 T_CLAMP = (0.2, 5.0)
@@ -51,42 +54,52 @@ def temperature_objective(df: DataFrame, z: str, y: str, temps: list[float], l2:
     return row.select(F.inline(F.array(*parts)))
 
 
+def _losses_by(df: DataFrame, z: str, y: str, by: str, grids: dict, l2: float) -> dict:
+    """Losses of each group's own candidates, from ONE aggregation grouped by ``by``."""
+    points = len(next(iter(grids.values())))
+    aggs = []
+    for i in range(points):
+        t = F.lit(None).cast("double")  # the candidate of point i differs per group
+        for g, grid in grids.items():
+            t = F.when(F.col(by) == g, F.lit(grid[i])).otherwise(t)
+        p = clip(sigmoid(F.col(z) / t), EPS_LOGIT, 1 - EPS_LOGIT)
+        aggs += [F.avg(F.when(F.col(y) == 1, -F.ln(p))).alias(f"lp{i}"), F.avg(F.when(F.col(y) != 1, -F.ln(F.lit(1.0) - p))).alias(f"ln{i}")]
+    rows = [r for r in df.groupBy(by).agg(*aggs).collect() if r[by] in grids]  # one row per group
+    return {r[by]: [0.5 * ((r[f"lp{i}"] or 0.0) + (r[f"ln{i}"] or 0.0)) + l2 * (grids[r[by]][i] - 1.0) ** 2 for i in range(points)] for r in rows}
+
+
 def fit_temperature_by(df: DataFrame, z: str, y: str, by: str, groups: list, l2: float = L2_REG,
-                       clamp: tuple = T_CLAMP, rounds: int = 5, points: int = 17) -> dict:
+                       clamp: tuple | None = T_CLAMP, rounds: int = 5, points: int = 17) -> dict:
     """One temperature per group (e.g. per fold): every round is ONE aggregation
-    grouped by ``by`` with the candidate grid of each group as columns."""
-    from ..session import cut_lineage
+    grouped by ``by`` with the candidate grid of each group as columns.  Without a clamp a group's
+    search starts on [1e-3, 1e3] and widens while its best T lies at an end; a group without rows
+    keeps T = 1."""
     df = cut_lineage(df.where(F.col(by).isin(list(groups)))
                      .select(F.col(by), F.col(z).cast("double").alias(z), F.col(y)), "tfit")
-    lo = {g: math.log(clamp[0]) for g in groups}
-    hi = {g: math.log(clamp[1]) for g in groups}
+    start = (math.log(clamp[0]), math.log(clamp[1])) if clamp else (math.log(1e-3), math.log(1e3))
+    ends = start if clamp else (-600.0, 600.0)
+    span = {g: start for g in groups}
+
+    def grids(of):
+        return {g: [math.exp(span[g][0] + (span[g][1] - span[g][0]) * i / (points - 1)) for i in range(points)] for g in of}
+
+    wide = [] if clamp else list(groups)
+    while wide:
+        losses = _losses_by(df, z, y, by, grids(wide), l2)
+        before = dict(span)
+        for g, v in losses.items():
+            (lo, hi), least = span[g], min(v)  # saturated scores can tie over a whole side
+            span[g] = (max(ends[0], 2 * lo - hi) if v[0] == least else lo, min(ends[1], 2 * hi - lo) if v[-1] == least else hi)
+        wide = [g for g in losses if span[g] != before[g]]
     best = {g: (1.0, float("inf")) for g in groups}
-    zc, yc = F.col(z), F.col(y)
     for _ in range(rounds):
-        grids = {g: [math.exp(lo[g] + (hi[g] - lo[g]) * i / (points - 1)) for i in range(points)] for g in groups}
-        aggs = []
-        for i in range(points):
-            # the candidate T of point i differs per group: pick it with a CASE on the key
-            t = F.lit(None).cast("double")
-            for g in groups:
-                t = F.when(F.col(by) == g, F.lit(grids[g][i])).otherwise(t)
-            tcl = F.least(F.greatest(t, F.lit(clamp[0])), F.lit(clamp[1]))
-            p = clip(sigmoid(zc / tcl), EPS_LOGIT, 1 - EPS_LOGIT)
-            aggs += [F.avg(F.when(yc == 1, -F.ln(p))).alias(f"lp{i}"),
-                     F.avg(F.when(yc != 1, -F.ln(F.lit(1.0) - p))).alias(f"ln{i}")]
-        rows = df.groupBy(by).agg(*aggs).collect()  # one row per group
-        for r in rows:
-            g = r[by]
-            losses = []
-            for i in range(points):
-                tc = min(max(grids[g][i], clamp[0]), clamp[1])
-                losses.append(0.5 * ((r[f"lp{i}"] or 0.0) + (r[f"ln{i}"] or 0.0)) + l2 * (tc - 1.0) ** 2)
-            i = min(range(points), key=lambda k: (losses[k], k))
-            if losses[i] < best[g][1]:
-                best[g] = (grids[g][i], losses[i])
-            step = (hi[g] - lo[g]) / (points - 1)
-            c = math.log(grids[g][i])
-            lo[g], hi[g] = max(math.log(clamp[0]), c - step), min(math.log(clamp[1]), c + step)
+        at = grids(groups)
+        for g, v in _losses_by(df, z, y, by, at, l2).items():
+            i = min(range(points), key=lambda k: (v[k], k))
+            if v[i] < best[g][1]:
+                best[g] = (at[g][i], v[i])
+            step, c = (span[g][1] - span[g][0]) / (points - 1), math.log(at[g][i])
+            span[g] = (max(ends[0], c - step), min(ends[1], c + step))
     return {g: best[g][0] for g in groups}
 
 
@@ -97,7 +110,6 @@ def fit_temperature(df: DataFrame, z: str, y: str, l2: float = L2_REG, clamp: tu
 
     The (z, y) columns are materialised once (shared folder) since every round scans
     them."""
-    from ..session import cut_lineage
     df = cut_lineage(df.select(F.col(z).cast("double").alias(z), F.col(y)), "tfit")
     lo, hi = (math.log(clamp[0]), math.log(clamp[1])) if clamp else (math.log(1e-3), math.log(1e3))
     best_t, best_loss = 1.0, float("inf")
@@ -127,8 +139,7 @@ def fit_temperature(df: DataFrame, z: str, y: str, l2: float = L2_REG, clamp: tu
 class Calibrator:
     method: str = "temperature"  # temperature | isotonic | temperature+isotonic
     T: float | None = None
-    knots_x: list | None = None
-    knots_y: list | None = None
+    knots: DataFrame | None = None  # (x, y); they stay a table
     clamp: tuple | None = T_CLAMP
 
     # True where an isotonic step was asked for and the scores had too few distinct values
@@ -138,56 +149,52 @@ class Calibrator:
         return temperature_apply(z, float(self.T), self.clamp) if self.T is not None else z
 
     def proba(self, z: Column) -> Column:
-        p = sigmoid_stable(self.logits(z))
-        if self.knots_x:
-            p = apply_knots(clip(p, EPS_LOGIT, 1 - EPS_LOGIT), self.knots_x, self.knots_y)
-        return clip(p, EPS_LOGIT, 1 - EPS_LOGIT)
+        """Calibrated probability as an expression, for a calibrator without knots."""
+        if self.knots is not None:
+            raise ValueError("knots are applied to a table, see Calibrator.apply")
+        return clip(sigmoid_stable(self.logits(z)), EPS_LOGIT, 1 - EPS_LOGIT)
+
+    def apply(self, df: DataFrame, z: str, out: str = "p") -> DataFrame:
+        """``df`` with the calibrated probability of the logit ``z``."""
+        p = clip(sigmoid_stable(self.logits(F.col(z))), EPS_LOGIT, 1 - EPS_LOGIT)
+        df = df.withColumn(out, p)
+        if self.knots is None:
+            return df
+        return interpolate(df, out, self.knots, out).withColumn(out, clip(F.col(out), EPS_LOGIT, 1 - EPS_LOGIT))
 
 
 def isotonic_knots(df: DataFrame, p: str, y: str, min_nodes: int = MIN_ISO_NODES,
                    balanced: bool = True) -> DataFrame | None:
-    """Isotonic fit of y on p with class-balanced weights (MLlib, distributed PAV).
-    Returns the knot table (x, y) or None when p has fewer than ``min_nodes``
-    distinct values.  ``balanced=False, min_nodes=0`` is the older unweighted,
+    """Isotonic fit of y on p with class-balanced weights, by merged convex minorants (see
+    ``isotonic``).  Returns the knot table (x, y), the ends of every pool, or None when p has fewer
+    than ``min_nodes`` distinct values.  ``balanced=False, min_nodes=0`` is the older unweighted,
     unguarded variant."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-    if min_nodes > 0:
-        n_distinct = df.agg(F.countDistinct(p)).first()[0]
-        if n_distinct < min_nodes:
-            return None
+    # equal scores are one point: the fit is the same on far fewer rows
+    one = F.col(y) == 1
+    data = cut_lineage(df.select(F.col(p).cast("double").alias("p"), one.alias("one")).where(F.col("p").isNotNull())
+                       .groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("one"), 1).otherwise(0)).alias("pos")), "scores")
+    if min_nodes > 0 and data.count() < min_nodes:
+        return None
+    w_pos = w_neg = F.lit(1.0)
     if balanced:
-        w = me.class_weights(df, y)
-        wt = F.when(F.col(y) == 1, w.select("w_pos").scalar()).otherwise(w.select("w_neg").scalar())
-    else:
-        wt = F.lit(1.0)
-    rows = df.select(F.col(p).cast("double").alias("p"), F.col(y).cast("double").alias("label"), wt.alias("w"))
-    # equal scores are one point with the mean label: the fit is the same on far fewer rows
-    data = rows.groupBy("p").agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("label"), F.sum("w").alias("w"))
-    data = VectorAssembler(inputCols=["p"], outputCol="features").transform(data)
-    model = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="w",
-                               isotonic=True).fit(data)
-    xs = model.boundaries.toArray().tolist()
-    ys = [min(1.0, max(0.0, v)) for v in model.predictions.toArray().tolist()]
-    spark = df.sparkSession
-    return spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
-
-
-def apply_knots(p: Column, xs: list[float], ys: list[float]) -> Column:
-    """Piecewise-linear interpolation through sorted knots; outside the range the end
-    values are kept (out_of_bounds='clip').  The segment is found by halving, one choice per
-    level: about log2(knots) comparisons a row."""
-    def value(lo: int, hi: int) -> Column:  # p lies in [xs[lo], xs[hi])
-        if hi - lo == 1:
-            x0, x1, y0, y1 = xs[lo], xs[hi], ys[lo], ys[hi]
-            return F.lit(float(y1)) if x0 == x1 else F.lit(float(y0)) + F.lit(float(y1 - y0)) * (p - F.lit(float(x0))) / F.lit(float(x1 - x0))
-        mid = (lo + hi) // 2
-        return F.when(p < F.lit(float(xs[mid])), value(lo, mid)).otherwise(value(mid, hi))
-
-    if len(xs) == 1:
-        return F.lit(float(ys[0]))
-    return (F.when(p < F.lit(float(xs[0])), F.lit(float(ys[0])))
-            .when(p >= F.lit(float(xs[-1])), F.lit(float(ys[-1]))).otherwise(value(0, len(xs) - 1)))
+        w = me.class_weights(df, y).first()
+        w_pos, w_neg = F.lit(w["w_pos"]), F.lit(w["w_neg"])
+    got = pools(data, "p", "n", "pos")
+    positive, negative = F.col("pos") * w_pos, (F.col("n") - F.col("pos")) * w_neg
+    return cut_lineage(got.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x"), (positive / (positive + negative)).alias("y")), "knots")
+
+
+def interpolate(df: DataFrame, p: str, knots: DataFrame, out: str) -> DataFrame:
+    """``df`` with ``out``: piecewise-linear interpolation at ``p`` through the knots (x, y); outside
+    their range the end values are kept (out_of_bounds='clip').  The knots next to each row are found
+    by an as-of join, so neither plan nor task grows with the knots.  Where knots share an x, the
+    last one holds at x and the first one before it."""
+    names = [c for c in df.columns if c != out]
+    d = between_marks(df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{p}`").cast("double").alias("_q")),
+                      "_q", knots.select("x", "y"), "x")
+    x0, y0, x1, y1 = (F.col(f"{a}.{b}") for a in ("before", "after") for b in "xy")
+    value = F.coalesce(y0 + (y1 - y0) * (F.col("_q") - x0) / (x1 - x0), y0, y1)
+    return d.select(*[F.col(f"row.`{c}`").alias(c) for c in names], value.alias(out))
 
 
 def fit(df: DataFrame, z: str, y: str, method: str = "temperature", l2: float = L2_REG,
@@ -204,10 +211,7 @@ def fit(df: DataFrame, z: str, y: str, method: str = "temperature", l2: float =
         pz = sigmoid_stable(cal.logits(F.col(z)))
         knots = isotonic_knots(df.withColumn("_p", pz), "_p", y, min_nodes, balanced)
         cal.isotonic_skipped = knots is None
-        if knots is not None:
-            kk = knots.orderBy("x").collect()  # knot table: bounded by the number of pools
-            cal.knots_x = [r["x"] for r in kk]
-            cal.knots_y = [r["y"] for r in kk]
+        cal.knots = knots
     if method not in ("temperature", "isotonic", "temperature+isotonic"):
         raise ValueError(f"unknown calibration method {method!r}")
     return cal

@@ -11,16 +11,22 @@ Plan shape (one scan of the training rows for every fold and target):
    is the max over the other folds.  Keys whose other folds are empty are dropped.
 4. ``row_features``: left join of the row's tokens to the stats (plain equality, null
    keys never match), then one ``groupBy(row)`` with 8 aggregates per target.
+
+Per-key tables are stored in buckets of the pair key (``stored``), so any number of row sets looks
+them up without shuffling them again (``look_up``); out-of-fold lookups read the totals and the own
+fold's counts of a key and subtract (``row_features_oof``).
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import counted_positions, parse_lenient, tail, time_bin as time_bin_expr
+from ..session import scratch_folder
 
 # Reference defaults for the covis configuration.
 DEFAULT_AGGS = ("sum_ctr", "mean_ctr", "max_ctr", "top3_mean_ctr",
@@ -119,6 +125,36 @@ def _finish(stats: DataFrame, p0: Column, spec: CovisSpec) -> DataFrame:
                 .withColumn("is_lowcount", F.col("impr") < F.lit(spec.min_impr))
 
 
+def stored(stats: DataFrame) -> DataFrame:
+    """``stats`` (one row per pair key) written to the shared folder in buckets of the pair key, as many
+    as there are shuffle partitions.  The aggregation has dealt its rows in the same way, so each
+    bucket is one file, and a join on the pair key does not shuffle the table again."""
+    spark = stats.sparkSession
+    name = f"pairs_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (stats.write.format("parquet").option("path", scratch_folder(spark, "pairs")).bucketBy(buckets, *KEYS).sortBy(*KEYS).saveAsTable(name))
+    return spark.table(name)
+
+
+HEAVY = 1000  # keys with a 1000th of all training pairs or more, so 1000 at most, are looked up by broadcast
+
+
+def look_up(tokens: DataFrame, stats: DataFrame, cols: list[str], size: str = "impr") -> DataFrame:
+    """``tokens`` with ``cols`` of their pair key, null where there is none.  Tokens of the heaviest keys take
+    them from a broadcast and are then spread over the partitions under a key that matches nothing,
+    so no partition holds all tokens of such a key."""
+    total = stats.agg(F.sum(size)).first()[0] or 0
+    heavy = stats.where(F.col(size) * HEAVY >= F.lit(total)).select(*KEYS, F.struct(*cols).alias("_heavy"))
+    t = tokens.join(F.broadcast(heavy), KEYS, "left")
+    held = F.col("_heavy").isNotNull()
+    spread = F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(HEAVY)).cast("string"))
+    t = t.select("*", F.when(~held, F.col("token")).alias("_token"), F.when(held, spread).otherwise(F.col("target_value")).alias("_value"))
+    on = [t["target"] == F.col("_t0"), t["_value"] == F.col("_t1"), t["_token"] == F.col("_t2"), t["time_bin"] == F.col("_t3")]
+    side = stats.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(KEYS)], F.struct(*cols).alias("_found"))
+    both = t.join(side, on, "left").withColumn("_of", F.coalesce("_heavy", "_found"))
+    return both.select(*tokens.columns, *[F.col(f"_of.{c}").alias(c) for c in cols])
+
+
 def pair_stats_full(tokens: DataFrame, spec: CovisSpec, materialize: bool = True) -> DataFrame:
     """Pair statistics over all training rows (used for the test set).
 
@@ -126,14 +162,13 @@ def pair_stats_full(tokens: DataFrame, spec: CovisSpec, materialize: bool = True
     it) and the statistics then read the same files instead of aggregating twice
     (column pruning gives the prior's aggregation a different plan, so Spark would not
     reuse the exchange)."""
-    from ..session import cut_lineage
     g = tokens.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("impr"),
         F.sum(F.col(spec.label_col).cast("long")).alias("clicks"),
         F.sum("w_rec").alias("w_rec_sum"),
         F.max("pos").alias("max_pos"))
     if materialize:
-        g = cut_lineage(g, "pairs-full")
+        g = stored(g)
     # prior = mean click over exploded rows; the stats table holds the same sums
     p0 = g.agg(F.coalesce(F.sum("clicks") / F.sum("impr"), F.lit(DEFAULT_P0))).scalar()
     return _finish(g, p0, spec)
@@ -182,11 +217,8 @@ def pair_stats_oof(tokens: DataFrame, spec: CovisSpec, fold_col: str = "fold",
     """Pair statistics of every fold f computed from the other folds, by subtraction.
     The per-key table is aggregated once and (by default) written to the shared folder,
     so the fold priors and the statistics read it instead of aggregating twice."""
-    from ..session import cut_lineage
     wide = pair_stats_wide(tokens, spec, fold_col)
-    if materialize:
-        wide = cut_lineage(wide, "pairs-wide")
-    return pair_stats_oof_from_wide(wide, spec)
+    return pair_stats_oof_from_wide(stored(wide) if materialize else wide, spec)
 
 
 def pair_stats_oof_from_wide(wide: DataFrame, spec: CovisSpec) -> DataFrame:
@@ -242,8 +274,29 @@ def row_features(rows: DataFrame, stats: DataFrame, spec: CovisSpec, row_cols: l
     keep = list(row_cols) + (["fold"] if join_fold and "fold" not in row_cols else [])
     rt = token_rows(rows, spec, keep=keep, outer=True)
     on = KEYS + (["fold"] if join_fold else [])
-    lookup = stats.select(*on, "impr", "ctr")
-    joined = rt.join(lookup, on, "left")
+    if join_fold:
+        joined = rt.join(stats.select(*on, "impr", "ctr"), on, "left")
+    else:
+        joined = look_up(rt, stats, ["impr", "ctr"])
+    return joined.groupBy(*row_cols).agg(*_row_aggregates(spec))
+
+
+def row_features_oof(rows: DataFrame, wide: DataFrame, spec: CovisSpec, row_cols: list[str]) -> DataFrame:
+    """``row_features`` of rows with ``fold``, each from the pair statistics without its own fold.
+
+    ``wide`` (``pair_stats_wide``, stored) has one row per key; a token reads the totals and its own fold's
+    counts and subtracts, so no table with a row per key and fold is made or shuffled."""
+    spec.validate()
+    keep = list(row_cols) + (["fold"] if "fold" not in row_cols else [])
+    own = lambda c: F.array(*[F.coalesce(F.col(f"{c}_{i}"), F.lit(0)) for i in range(spec.n_folds)]).alias(c)
+    lookup = wide.select(*KEYS, "impr_all", "clicks_all", own("impr"), own("clicks"))
+    found = look_up(token_rows(rows, spec, keep=keep, outer=True), lookup, ["impr_all", "clicks_all", "impr", "clicks"], "impr_all")
+    of = (F.col("fold") + 1).cast("int")
+    impr = F.col("impr_all") - F.element_at("impr", of)
+    counted = found.withColumn("_n", F.when(impr > 0, impr)).withColumn("_c", F.col("clicks_all") - F.element_at("clicks", of))
+    ctr = smoothed_ctr(F.col("_c"), F.col("_n"), F.element_at(oof_priors(wide, spec), of), spec)
+    known = F.col("_n").isNotNull()
+    joined = counted.withColumn("ctr", F.when(known, ctr)).withColumn("impr", F.col("_n"))
     return joined.groupBy(*row_cols).agg(*_row_aggregates(spec))
 
 
@@ -253,12 +306,11 @@ def build_oof_and_test(train: DataFrame, test: DataFrame, spec: CovisSpec,
 
     The per-fold pair table is aggregated ONCE and written to the shared folder; both
     the out-of-fold and the full-train statistics are derived from it."""
-    from ..session import cut_lineage
     tok = token_rows(train, spec, keep=["fold", spec.label_col])
-    wide = cut_lineage(pair_stats_wide(tok, spec), "pairs")
+    wide = stored(pair_stats_wide(tok, spec))
     oof = pair_stats_oof_from_wide(wide, spec)
     full = pair_stats_full_from_wide(wide, spec)
-    rf_oof = row_features(train, oof, spec, [spec.row_key, "fold"], join_fold=True)
+    rf_oof = row_features_oof(train, wide, spec, [spec.row_key, "fold"])
     rf_test = row_features(test, full, spec, [test_key])
     return oof, full, rf_oof, rf_test
 

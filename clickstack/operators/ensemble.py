@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prob import EPS_LOGIT, clip, logit, sigmoid
-from .metrics import tie_average_rank
-from .rowindex import global_ordinal
+from ..session import cut_lineage
+from .joins import join_sized
+from .rowindex import global_ordinal, running_totals
 
 METHODS = ("mean", "geom_mean", "logit_mean", "median", "trim_mean", "rank_avg", "weighted")
 
@@ -130,10 +131,15 @@ def blend(a: DataFrame, b: DataFrame, method: str = "logit_mean", w: float = 0.5
     elif method == "logit_mean":
         val = sigmoid(w * logit(p1) + (1.0 - w) * logit(p2))
     elif method == "rank_mean":
-        n = j.agg(F.count(F.lit(1))).scalar()
-        den = (n - 1).cast("double") + F.lit(1e-12)
-        r = tie_average_rank(tie_average_rank(j, "clicked_1", out="_r1"), "clicked_2", out="_r2")
-        j = r
+        # the joined rows are written once; both columns are ranked as one stacked table of distinct values
+        j = cut_lineage(j, "blend")
+        cells = j.select(F.inline(F.array(F.struct(F.lit(1).alias("_m"), p1.alias("_v")), F.struct(F.lit(2), p2))))
+        upto = running_totals(cells.groupBy("_m", "_v").agg(F.count(F.lit(1)).alias("_n")), ["_v"], ["_n"], ["_m"], inclusive=False)
+        ranks = cut_lineage(upto.select("_m", "_v", (F.col("cum__n") + (F.col("_n") + 1) / 2.0).alias("_r"), "_n"), "ranks")
+        for i in (1, 2):
+            of = ranks.where(F.col("_m") == i).select(F.col("_v").alias(f"clicked_{i}"), F.col("_r").alias(f"_r{i}"), F.col("_n").alias(f"_n{i}"))
+            j = join_sized(j, of, [f"clicked_{i}"], f"_n{i}")
+        den = F.lit(float(ranks.where("_m = 1").agg(F.sum("_n")).first()[0] or 0) - 1) + F.lit(1e-12)
         val = w * (F.col("_r1") - 1) / den + (1.0 - w) * (F.col("_r2") - 1) / den
     else:
         raise ValueError(f"unknown blend method {method!r}")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import ship
 from ..functions.hashing import SEP, group_hash, md5_u32
-from .rowindex import global_ordinal, ordinal_by_buckets
+from .rowindex import global_ordinal, ordinal_by_buckets, places
 
 
 def with_group(df: DataFrame, group_cols: list[str], mode: str = "xxhash",
@@ -44,23 +46,64 @@ def attach_folds(df: DataFrame, group_cols: list[str], n_folds: int = 5,
     return gdf.join(group_fold_map(gdf, n_folds), "g", "left")
 
 
+PROFILES = 10_000  # profiles that are dealt together
+
+
+def deal_profiles(profiles: list[tuple[int, int, int]], total: tuple[int, int], n_folds: int) -> list[list[int]]:
+    """Folds of the leftover groups of each profile.  ``profiles`` are (positives, negatives, leftover
+    groups), most uneven first; every group goes where the classes' shares over the folds vary least,
+    to the fold with fewer rows and then the lower number on a tie."""
+    held = np.zeros((n_folds, 2))
+    total = np.maximum(np.array(total, float), 1.0)
+    out = []
+    for pos, neg, m in profiles:
+        mine = []
+        for _ in range(m):
+            share = np.repeat((held / total)[None], n_folds, 0)
+            share[np.arange(n_folds), np.arange(n_folds)] += np.array([pos, neg]) / total
+            spread = np.round(share.std(axis=1).mean(axis=1), 12)
+            rows = held.sum(axis=1)
+            f = min(range(n_folds), key=lambda i: (spread[i], rows[i], i))
+            held[f] += (pos, neg)
+            mine.append(f)
+        out.append(mine)
+    return out
+
+
 def stratified_group_fold_map(df: DataFrame, label_col: str, n_splits: int = 5,
-                              seed: int = 777, g_col: str = "g") -> DataFrame:
-    """(g, fold) balancing the positive rate: groups ordered by positives desc, size desc,
-    then a seeded md5 tie-break, dealt to ``n_splits`` folds in a snake draft."""
+                              seed: int = 777, g_col: str = "g", block: int = PROFILES) -> DataFrame:
+    """(g, fold): groups are never split and the folds' positive rates are balanced greedily.
+
+    Groups with the same positives and size are interchangeable.  Of m such groups, taken in the
+    order of a seeded hash, the first ``m - m % n`` go round the folds; the leftover ones, at most
+    n - 1 of a profile, are dealt greedily, profiles with the largest difference between the classes
+    first.  A task deals ``block`` profiles, balancing them by themselves."""
+    from ..session import cut_lineage
     n = int(n_splits)
     if n < 2:
         raise ValueError("stratified folds need at least two; see holdout for one validation part")
-    per_group = df.groupBy(g_col).agg(
-        F.sum(F.col(label_col).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    one = (F.col(label_col) == 1).cast("long")
+    groups = cut_lineage(df.groupBy(g_col).agg(F.sum(F.coalesce(one, F.lit(0))).alias("_pos"), F.count(F.lit(1)).alias("_n")), "groups")
     tie = md5_u32(F.concat_ws(SEP, F.lit(str(seed)), F.col(g_col).cast("string")))
-    # groups are numbered by a distribution-free sort (the group table can be large)
-    ranked = global_ordinal(per_group.withColumn("_tie", tie),
-                            [F.desc("_pos"), F.desc("_n"), F.col("_tie"), F.col(g_col)], "_i")
-    rnd = F.floor(F.col("_i") / n)
-    pos = F.col("_i") % n
-    fold = F.when(rnd % 2 == 0, pos).otherwise(F.lit(n - 1) - pos)
-    return ranked.select(g_col, fold.cast("int").alias("fold"))
+    ranked = places(groups.withColumn("_tie", tie), ["_pos", "_n"], [F.col("_tie"), F.col(g_col)], "_i")
+    profiles = groups.groupBy("_pos", "_n").agg(F.count(F.lit(1)).alias("_m"))
+    neg = F.col("_n") - F.col("_pos")
+    order = [F.desc(F.abs(F.col("_pos") - neg)), F.desc("_n"), F.desc("_pos")]
+    numbered = global_ordinal(profiles, order, "_at").withColumn("_block", F.floor(F.col("_at") / block))
+    total = groups.agg(F.sum("_pos"), F.sum(neg)).first()
+    total = (total[0] or 0, total[1] or 0)
+
+    def deal(rows):
+        rows = rows.sort_values("_at")
+        dealt = deal_profiles(list(zip(rows["_pos"], rows["_n"] - rows["_pos"], rows["_m"] % n)), total, n)
+        return rows[["_pos", "_n", "_m"]].assign(_left=dealt)
+
+    ship(df.sparkSession)
+    dealt = cut_lineage(numbered.groupBy("_block").applyInPandas(deal, "_pos long, _n long, _m long, _left array<int>"), "dealt")
+    whole = F.col("_m") - F.col("_m") % n
+    fold = F.when(F.col("_i") < whole, F.col("_i") % n).otherwise(F.get("_left", (F.col("_i") - whole).cast("int")))
+    mapped = ranked.join(dealt, ["_pos", "_n"]).select(g_col, fold.cast("int").alias("fold"))
+    return cut_lineage(mapped, "folds")
 
 
 def holdout(folds: DataFrame, fold_col: str = "fold") -> DataFrame:

@@ -4,7 +4,8 @@ sequence encoder).
 A token's score is a dot product with the row's query vector, which is a weighted sum of
 context embeddings; so the score is the same weighted sum of dot products of the token with
 each context value.  Those are computed once per DISTINCT (token, context value) pair and
-joined back as numbers: no vector is copied onto a token.  One groupBy(row) keeps the top-k
+joined back as numbers: no vector is copied onto a token.  For contexts of few values the products
+are one map per token, so the exploded tokens are shuffled once.  One groupBy(row) keeps the top-k
 (map-side partial collect of small structs); representation vectors are fetched for the k
 chosen tokens only.  Vector tables are broadcast when their size is small (checked),
 otherwise joined by shuffle.  An id without a vector counts as the zero vector."""
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..functions.sequence import parse_lenient, tail
+from ..session import cut_lineage
 
 # Fixed value: epsilon inside the log of the recency decay.
 DECAY_EPS = 1e-8
@@ -42,6 +44,7 @@ class HistorySpec:
     context_offsets: dict = field(default_factory=dict)
 
 
+MAP_VALUES = 256  # a context column of up to so many values is looked up in the token's map
 BROADCAST_VALUES = 8_000_000  # vector elements that may be broadcast (64 MB of doubles)
 
 
@@ -50,11 +53,12 @@ def lookup(emb: DataFrame, offset: int, out: str, key: str = "_key") -> DataFram
     return emb.select((F.col("vec_id") - F.lit(int(offset))).alias(key), vx.as_double("embedding").alias(out))
 
 
-def with_vector(rows: DataFrame, emb: DataFrame, offset: int, key: str, out: str, dim: int) -> DataFrame:
+def with_vector(rows: DataFrame, emb: DataFrame, offset: int, key: str, out: str, dim: int, vectors: int | None = None) -> DataFrame:
     """``rows`` with the vector of ``key`` (zero where there is none).  A large embedding table
-    is first cut to the ids that occur; what is left is broadcast if it is small."""
+    (``vectors`` rows, counted if not given) is first cut to the ids that occur; what is left is
+    broadcast if it is small."""
     table = lookup(emb, offset, out, key)
-    if emb.count() * dim > BROADCAST_VALUES:
+    if (emb.count() if vectors is None else vectors) * dim > BROADCAST_VALUES:
         table = table.join(rows.select(key).distinct(), key, "left_semi")
         small = table.select(key).limit(BROADCAST_VALUES // dim + 1).count() * dim <= BROADCAST_VALUES
     else:
@@ -78,10 +82,11 @@ def query_parts(spec: HistorySpec) -> list[tuple[str, int, float]]:
 def with_query_vectors(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
     """``rows`` with the query vectors of all modes (``s1``, ``s2``, ``concat``) from one lookup
     of each context column."""
-    df = with_vector(rows, emb, spec.query_offset, spec.query_key, "s1", spec.dim)
+    n = emb.count()
+    df = with_vector(rows, emb, spec.query_offset, spec.query_key, "s1", spec.dim, n)
     ctx = []
     for c in spec.context_cols:
-        df = with_vector(df, emb, spec.context_offsets.get(c, 0), c, f"_ctx_{c}", spec.dim)
+        df = with_vector(df, emb, spec.context_offsets.get(c, 0), c, f"_ctx_{c}", spec.dim, n)
         ctx.append(f"_ctx_{c}")
     return (df.withColumn("s2", vx.mean(ctx, spec.dim))
             .withColumn("concat", vx.combine(["s1", "s2"], [0.5, 0.5], spec.dim)).drop(*ctx))
@@ -95,19 +100,34 @@ def token_scores(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFram
     toks = tail(parse_lenient(F.col(spec.seq_col)), spec.max_len)
     # per-row values are projected BEFORE the generator; an expression placed next to
     # posexplode would be evaluated once per output token (re-parsing the history)
-    base = rows.select(spec.row_key, *keys, toks.alias("_toks")).withColumn("_L", F.size("_toks"))
+    base = cut_lineage(rows.select(spec.row_key, *keys, toks.alias("_toks")).withColumn("_L", F.size("_toks")), "histories")
     e = base.select(spec.row_key, *keys, "_L", F.posexplode("_toks").alias("pos", "token")) \
             .where(F.col("token").isNotNull())
     age = (F.col("_L") - 1 - F.col("pos")).cast("double")
     decay = F.exp(-age / F.lit(max(1.0, float(spec.tau))))
+    n = emb.count()
+    kinds = base.agg(*[F.countDistinct(c) for c in keys]).first()
+    few = [c for c, k in zip(keys, kinds) if k <= MAP_VALUES]
+
+    def products(pairs):  # (token, ctx) -> (token, ctx, dot)
+        pairs = with_vector(pairs.distinct(), emb, spec.att_offset, "token", "_att", spec.dim, n)
+        return with_vector(pairs, emb, 0, "ctx", "_ctx", spec.dim, n).select("token", "ctx", vx.dot("_att", "_ctx", spec.dim).alias("dot"))
+
+    ctx = {c: F.col(c).cast("long") + F.lit(int(offset)) for c, offset, _ in parts}  # ids in the embedding table
+    if few:
+        once = base.select(F.explode(F.array_distinct("_toks")).alias("token"), F.array(*[ctx[c] for c in few]).alias("_c"))
+        pairs = once.select("token", F.explode("_c").alias("ctx")).where("token is not null and ctx is not null")
+        maps = products(pairs).groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("ctx", "dot"))).alias("_dots"))
+        e = e.join(maps, "token", "left")
     score = F.lit(0.0)
-    for i, (c, offset, weight) in enumerate(parts):
-        pairs = e.select("token", c).distinct()
-        pairs = with_vector(pairs, emb, spec.att_offset, "token", "_att", spec.dim)
-        pairs = with_vector(pairs, emb, offset, c, "_ctx", spec.dim)
-        dots = pairs.select("token", c, vx.dot("_att", "_ctx", spec.dim).alias(f"_d{i}"))
-        e = e.join(dots, ["token", c], "left")
-        score = score + F.lit(weight) * F.coalesce(f"_d{i}", F.lit(0.0))
+    for i, (c, _, weight) in enumerate(parts):
+        if c in few:
+            dot = F.when(ctx[c].isNotNull(), F.try_element_at("_dots", ctx[c]))
+        else:
+            dots = products(e.select("token", ctx[c].alias("ctx")).where("ctx is not null"))
+            e = e.withColumn(f"_x{i}", ctx[c]).join(dots.select("token", F.col("ctx").alias(f"_x{i}"), F.col("dot").alias(f"_d{i}")), ["token", f"_x{i}"], "left")
+            dot = F.col(f"_d{i}")
+        score = score + F.lit(weight) * F.coalesce(dot, F.lit(0.0))
     return e.select(spec.row_key, "pos", "token", (score + F.ln(decay + F.lit(DECAY_EPS))).alias("score"))
 
 

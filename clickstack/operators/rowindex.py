@@ -5,13 +5,14 @@
 * ``global_ordinal`` / ``contiguous_rid``: distribution-free numbering from a
   range-partitioned global sort (Spark samples the key, so a dense key range or a hot
   group is split across tasks), materialised once, plus per-partition offsets.
+* ``input_order``: numbering by file position, for tables read from files.
 * ``places``: numbering inside groups, where one group may hold most rows.
 * ``running_totals``: the same for cumulative sums (AP, tie ranks).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,8 +40,8 @@ def contiguous_rid(df: DataFrame, key: str, out: str = "rid", by: list[str] | No
 def global_ordinal(df: DataFrame, order_cols: list, out: str = "ordinal",
                    by: list[str] | None = None, few_groups: bool = False) -> DataFrame:
     """0-based position of each row in a total order (``order_cols`` must be unique).
-    ``few_groups`` says that the ``by`` groups are few (classes, folds): their starts are
-    then broadcast instead of shuffling the rows on a handful of keys.
+    ``few_groups`` says that the ``by`` groups should be few (classes, folds): if they are, by their
+    count, their starts are broadcast instead of shuffling the rows on a handful of keys.
 
     A global sort range-partitions on the full key, so even a score value held by a
     third of the rows is split across tasks by the unique tie-break column.  The sorted
@@ -63,7 +64,7 @@ def global_ordinal(df: DataFrame, order_cols: list, out: str = "ordinal",
            .drop("_mono", "_pid", "_local", "_poff"))
     if by:  # restart per group: subtract the group's first ordinal (one row per group)
         first = res.groupBy(*by).agg(F.min(out).alias("_first"))
-        res = res.join(F.broadcast(first) if few_groups else first, by).withColumn(out, F.col(out) - F.col("_first")).drop("_first")
+        res = res.join(few_rows(first, GROUPS) if few_groups else first, by).withColumn(out, F.col(out) - F.col("_first")).drop("_first")
     return res
 
 
@@ -104,17 +105,58 @@ def places(df: DataFrame, by: list[str], order_cols: list, out: str = "place") -
     have rows in earlier partitions, so the offsets are at most one row per partition."""
     from ..session import cut_lineage
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    tagged = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*[F.col(c) for c in by], *order, F.col("_tie")) \
-               .withColumn("_mono", F.monotonically_increasing_id()).drop("_tie")
-    tagged = cut_lineage(tagged, "places").withColumn("_pid", F.shiftright("_mono", 33))
-    runs = tagged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.withColumn("_off", F.sum("_n").over(before)).where("_off > 0") \
-                  .select(F.col("_pid").alias("_opid"), "_off", *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)])
-    on = F.col("_pid") == F.col("_opid")
+    tagged = df.withColumn("_place_tie", F.monotonically_increasing_id()).orderBy(*[F.col(c) for c in by], *order, F.col("_place_tie")) \
+               .withColumn("_place_mono", F.monotonically_increasing_id()).drop("_place_tie")
+    tagged = cut_lineage(tagged, "places").withColumn("_place_pid", F.shiftright("_place_mono", 33))
+    runs = tagged.groupBy("_place_pid", *by).agg(F.count(F.lit(1)).alias("_place_n"))
+    before = Window.partitionBy(*by).orderBy("_place_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.withColumn("_place_off", F.sum("_place_n").over(before)).where("_place_off > 0") \
+                  .select(F.col("_place_pid").alias("_place_opid"), "_place_off", *[F.col(c).alias(f"_place_by{i}") for i, c in enumerate(by)])
+    on = F.col("_place_pid") == F.col("_place_opid")
     for i, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    within = Window.partitionBy("_pid", *by).orderBy("_mono")
+        on = on & F.col(c).eqNullSafe(F.col(f"_place_by{i}"))
+    within = Window.partitionBy("_place_pid", *by).orderBy("_place_mono")
     return (tagged.join(F.broadcast(offsets), on, "left")  # at most one row per partition
-            .withColumn(out, F.row_number().over(within) - 1 + F.coalesce("_off", F.lit(0)))
-            .drop("_pid", "_mono", "_opid", "_off", *[f"_by{i}" for i in range(len(by))]))
+            .withColumn(out, F.row_number().over(within) - 1 + F.coalesce("_place_off", F.lit(0)))
+            .drop("_place_pid", "_place_mono", "_place_opid", "_place_off", *[f"_place_by{i}" for i in range(len(by))]))
+
+
+GROUPS = 100_000    # starts of up to so many groups are broadcast
+FILES = 1_000_000   # offsets of up to so many files are broadcast (two numbers each)
+BLOCK_BITS = 16     # rows of a file that are numbered together where only some rows count
+
+
+def input_order(scan: DataFrame, out: str = "rid", counted: Column | None = None) -> DataFrame:
+    """Rows of a Parquet scan with their 0-based number in input order: files in the order of their
+    paths, rows in the order of the file.
+
+    The number is the file's first number plus the row's place in the file, which the reader knows:
+    rows are neither sorted nor shuffled, and a rerun gives the same numbers.  The scan must be one
+    (``spark.read.parquet``, projected at most), so that it has ``_metadata``.  With ``counted`` only
+    those rows are numbered, the others get null; rows are then shuffled once in blocks of 2**16
+    rows of a file."""
+    place = scan.withColumn("_file", F.xxhash64("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index"))
+    path = F.col("_metadata.file_path").alias("path")
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    if counted is None:
+        files = scan.select(path, F.col("_metadata.row_index").alias("row")).groupBy("path").agg((F.max("row") + 1).alias("n"))
+        starts = files.select(F.xxhash64("path").alias("_file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+        return place.join(few_rows(starts, FILES), "_file").withColumn(out, F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+    place = place.withColumn("_block", F.shiftright("_row", BLOCK_BITS)).withColumn("_counted", F.coalesce(counted, F.lit(False)))
+    blocks = scan.select(path, F.shiftright(F.col("_metadata.row_index"), BLOCK_BITS).alias("_block"), counted.alias("c")) \
+                 .groupBy("path", "_block").agg(F.count(F.when(F.col("c"), 1)).alias("n"))
+    files = blocks.groupBy("path").agg(F.sum("n").alias("n"))
+    starts = files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block of a file
+    starts = blocks.join(starts, "path").select(F.xxhash64("path").alias("_file"), "_block",
+                                                (F.col("_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("_start"))
+    rank = F.sum(F.col("_counted").cast("long")).over(Window.partitionBy("_file", "_block").orderBy("_row"))
+    return place.join(starts, ["_file", "_block"]).withColumn(out, F.when(F.col("_counted"), F.col("_start") + rank - 1)) \
+                .drop("_file", "_row", "_block", "_start", "_counted")
+
+
+def few_rows(df: DataFrame, most: int) -> DataFrame:
+    """``df`` written, and marked for broadcast if it has no more than ``most`` rows."""
+    from ..session import cut_lineage
+    df = cut_lineage(df, "small")
+    return F.broadcast(df) if df.count() <= most else df

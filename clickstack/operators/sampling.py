@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import SEP, hash_fraction, md5_u60
 from ..functions.prob import softplus
-from .rowindex import contiguous_rid, global_ordinal
+from .rowindex import GROUPS, contiguous_rid, few_rows, global_ordinal
+
 
 def draw(parts: list, modulus) -> F.Column:
     """md5-based uniform index in [0, modulus)."""
@@ -18,6 +19,26 @@ def draw(parts: list, modulus) -> F.Column:
     return F.pmod(md5_u60(key), modulus)
 
 
+def permuted(x: F.Column, n: F.Column, parts: list, rounds: int = 4, walk: int = 64) -> F.Column:
+    """Place of ``x`` in a keyed permutation of [0, n): a Feistel network on a grid of about n cells,
+    walked on until it lands below n.  Fewer than sqrt(n) cells lie beyond n, so a walk ends after
+    a step or two; it can take no more than their number, and for more than ``walk`` of them a walk
+    that long has a probability below n ** (-walk / 2)."""
+    wide = F.ceil(F.sqrt(n)).cast("long")
+    high = F.floor((n + wide - 1) / wide).cast("long")
+
+    def step(v):
+        left, right = F.floor(v / wide).cast("long"), v % wide
+        for r in range(rounds):
+            if r % 2 == 0:
+                left = (left + draw([*parts, r, right], F.lit(1 << 60))) % high
+            else:
+                right = (right + draw([*parts, r, left], F.lit(1 << 60))) % wide
+        return left * wide + right
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(walk)), step(x), lambda v, _: F.when(v < n, v).otherwise(step(v)))
+
+
 def class_index(df: DataFrame, label: str, rid: str = "rid", by: list[str] | None = None,
                 out: str = "idx") -> DataFrame:
     """Contiguous 0-based index of each row inside its class (and ``by`` groups), in
@@ -29,36 +50,27 @@ def balanced_batches(df: DataFrame, label: str, batch_size: int, pos_fraction: f
                      num_batches: int | None = None, replacement: bool = True, seed: int = 777,
                      epoch: int = 0, drop_last: bool = True, rid: str = "rid") -> DataFrame:
     """(batch, slot, rid): each batch has round(bs*frac) positives, the rest negatives."""
-    counts = df.groupBy(F.col(label).cast("int").alias("_cls")).count().collect()  # two rows
-    n_by = {r["_cls"]: r["count"] for r in counts}
-    n_pos, n_neg = n_by.get(1, 0), n_by.get(0, 0)
-    if n_pos == 0 or n_neg == 0:
+    per_class = {r[0]: r[1] for r in df.groupBy(F.col(label).cast("int")).count().collect() if r[0] in (0, 1)}  # two rows
+    if len(per_class) < 2:
         raise ValueError("balanced batches need both classes")
-    n = n_pos + n_neg
-    nb = num_batches if num_batches is not None else (n // batch_size if drop_last else -(-n // batch_size))
-    nb = max(1, int(nb))
-    k_pos = int(round(batch_size * pos_fraction))
-    if not replacement and (k_pos > n_pos or batch_size - k_pos > n_neg):
-        raise ValueError(f"a batch needs {k_pos} positives and {batch_size - k_pos} negatives, there are {n_pos} and {n_neg}")
-    spark = df.sparkSession
-    slots = spark.range(nb * batch_size).select(
+    size = {1: int(round(batch_size * pos_fraction))}
+    size[0] = batch_size - size[1]
+    if not replacement and any(size[c] > per_class[c] for c in size):
+        raise ValueError(f"a batch needs {size[1]} positives and {size[0]} negatives, there are {per_class[1]} and {per_class[0]}")
+    if num_batches is None:
+        full, rest = divmod(sum(per_class.values()), batch_size)
+        num_batches = full + (rest > 0 and not drop_last)
+    slots = df.sparkSession.range(max(1, int(num_batches)) * batch_size).select(
         F.expr(f"id div {int(batch_size)}").alias("batch"), (F.col("id") % batch_size).alias("slot"))
-    cls = F.when(F.col("slot") < k_pos, F.lit(1)).otherwise(F.lit(0))
-    pool = F.when(cls == 1, F.lit(n_pos)).otherwise(F.lit(n_neg))
+    positive = F.col("slot") < size[1]
+    cls, pool = positive.cast("int"), F.when(positive, F.lit(per_class[1])).otherwise(F.lit(per_class[0])).cast("long")
     if replacement:
         pick = draw([seed, epoch, F.col("batch"), F.col("slot")], pool)
-    else:
-        # batches take turns through a keyed shuffle of each class: no row twice in a batch
-        per = F.when(cls == 1, F.lit(k_pos)).otherwise(F.lit(batch_size - k_pos))
-        j = F.when(cls == 1, F.col("slot")).otherwise(F.col("slot") - k_pos)
-        pick = F.pmod(F.col("batch") * per + j, pool)
+    else:  # a permutation of its own for every batch and class
+        j = F.when(positive, F.col("slot")).otherwise(F.col("slot") - size[1])
+        pick = permuted(j, pool, [seed, epoch, F.col("batch"), cls])
     slots = slots.select("batch", "slot", cls.alias("_cls"), pick.alias("idx"))
-    rows = df.select(rid, F.col(label).cast("int").alias("_cls"))
-    if replacement:
-        indexed = class_index(rows, "_cls", rid)
-    else:
-        rows = rows.withColumn("_key", draw([seed, epoch, F.col("_cls"), F.col(rid)], F.lit(1 << 60)))
-        indexed = global_ordinal(rows, ["_key", rid], "idx", by=["_cls"], few_groups=True).drop("_key")
+    indexed = class_index(df.select(rid, F.col(label).cast("int").alias("_cls")), "_cls", rid)
     return slots.join(indexed, ["_cls", "idx"]).select("batch", "slot", rid)
 
 
@@ -78,7 +90,7 @@ def hard_negatives(df: DataFrame, label: str, z: str, frac: float, by: list[str]
     ordd = global_ordinal(neg, [*[F.col(c) for c in by], F.desc(z), F.col(rid)], "_o")
     first = ordd.groupBy(*by).agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_nneg"))
     k = F.greatest(F.lit(1), F.floor(F.col("_nneg") * F.lit(float(frac))))
-    j = ordd.join(F.broadcast(first), by)  # one row per group
+    j = ordd.join(few_rows(first, GROUPS), by)  # a row per group
     return j.where(F.col("_o") - F.col("_first") < k).drop("_o", "_first", "_nneg", "_all")
 
 
@@ -99,7 +111,7 @@ def pairwise_loss(df: DataFrame, label: str, z: str, by: list[str] | None = None
     base = df.select(*by, rid, F.col(label).cast("int").alias("_cls"), F.col(z).alias("_z"))
     idx = class_index(base, "_cls", rid, by=by)
     cnt = idx.groupBy(*by).agg(F.sum(1 - F.col("_cls")).alias("_N"))
-    pos = idx.where(F.col("_cls") == 1).join(F.broadcast(cnt), by)  # one row per group
+    pos = idx.where(F.col("_cls") == 1).join(few_rows(cnt, GROUPS), by)  # a row per group
     pairs = pos.select(*by, F.col("_z").alias("_zp"), "idx", "_N", F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("_t"))
     pick = draw([seed, *[F.col(c) for c in by], F.col("idx"), F.col("_t")], F.col("_N"))
     negs = idx.where(F.col("_cls") == 0).select(*by, F.col("idx").alias("_nidx"), F.col("_z").alias("_zn"))

@@ -70,8 +70,8 @@ def _apply_sql(q: str) -> str:
     f"SELECT rid, {ob.clip_sql(_apply_sql('q'), 1e-7, 1 - 1e-7)} AS p FROM ca", ["p"]))
 def q_calibrate_apply(spark, sf_dir):
     """predict_proba: temperature, stable sigmoid, knot interpolation, final clip (2.10 #5)."""
-    cal = ca.Calibrator("temperature+isotonic", T=0.5, knots_x=KX, knots_y=KY)
-    return fx.scores(spark, sf_dir).select("rid", cal.proba(F.col("z")).alias("p"))
+    cal = ca.Calibrator("temperature+isotonic", T=0.5, knots=spark.createDataFrame(list(zip(KX, KY)), "x double, y double"))
+    return cal.apply(fx.scores(spark, sf_dir).select("rid", "z"), "z", "p").drop("z")
 
 
 def _report_sql() -> str:
@@ -174,27 +174,49 @@ def q_isotonic_fit(spark, sf_dir):
 def q_temp_isotonic(spark, sf_dir):
     """Temperature, then isotonic on the tempered probabilities (2.10 #4)."""
     cal = ca.fit(_stepped(spark, sf_dir), "z", "clicked", "temperature+isotonic")
-    return spark.createDataFrame(list(zip(cal.knots_x, cal.knots_y)), "x double, y double") \
-        .withColumn("T", F.lit(cal.T))
+    return cal.knots.withColumn("T", F.lit(cal.T))
 
 
-@register("calibration_meta")
+def _meta_sql() -> list[str]:
+    """CTEs of the calibrated probabilities: as-of segments of the knots, before and after metrics."""
+    before = ob.sigmoid_sql(ob.clip_sql("z", -50.0, 50.0))
+    q = ob.clip_sql(ob.sigmoid_sql(ob.clip_sql('z / least(greatest("T", 0.2), 5.0)', -50.0, 50.0)), 1e-7, 1 - 1e-7)
+    value = "coalesce(a.y + (b.y - a.y) * (q - a.x) / (b.x - a.x), a.y, b.y)"
+    ctes = [f"mq AS (SELECT clicked, {before} AS p0, {q} AS q FROM zs, t_best)",
+            f"""mp AS (SELECT clicked, p0, {ob.clip_sql(value, 1e-7, 1 - 1e-7)} AS p1 FROM mq
+    ASOF LEFT JOIN knots a ON mq.q >= a.x ASOF LEFT JOIN knots b ON mq.q < b.x)"""]
+    for i, stage in enumerate(("before", "after")):
+        src = f"(SELECT clicked, p{i} AS pp FROM mp)"
+        ctes.append(f"""m_{stage} AS (SELECT ap AS ap_{stage}, wll AS wll_{stage}, 0.5 * ap + 0.5 * wll AS score_{stage}
+FROM ({ob.ap_sql(src, 'clicked', 'pp')}), ({ob.wll_sql(src, 'clicked', 'pp')}))""")
+    return ctes
+
+
+META = ["method", "T", "clamp_lo", "clamp_hi", "l2", "min_iso_nodes", "isotonic_skipped",
+        "ap_before", "wll_before", "score_before", "ap_after", "wll_after", "score_after"]
+
+
+@register("calibration_meta", ob.query(
+    SC + [STEPS] + _fit_sql("zs") + [f"""iz AS (SELECT clicked, {ob.sigmoid_sql('z / least(greatest("T", 0.2), 5.0)')} AS pz FROM zs, t_best)"""]
+    + _iso_sql("iz") + _meta_sql(), f"""SELECT 'temperature+isotonic' AS method, "T", {ca.T_CLAMP[0]}::DOUBLE AS clamp_lo, {ca.T_CLAMP[1]}::DOUBLE AS clamp_hi,
+       {ca.L2_REG}::DOUBLE AS l2, {ca.MIN_ISO_NODES}::BIGINT AS min_iso_nodes, false AS isotonic_skipped, ap_before, wll_before, score_before,
+       ap_after, wll_after, score_after, NULL::DOUBLE AS x, NULL::DOUBLE AS y FROM t_best, m_before, m_after
+UNION ALL SELECT {', '.join('NULL' for _ in META)}, x, y FROM knots""",
+    ['"T"', "ap_before", "wll_before", "score_before", "ap_after", "wll_after", "score_after", "x", "y"]))
 def q_calibration_meta(spark, sf_dir):
-    """Calibration metadata with the isotonic knots and before/after metrics, written as JSON to
-    the shared folder and read back (2.1 #16)."""
-    s = fx.scores(spark, sf_dir)
+    """Calibration metadata written as JSON to the shared folder and read back (2.1 #16): one record
+    with the settings and the before/after metrics, and one record per isotonic knot."""
+    s = _stepped(spark, sf_dir)
     cal = ca.fit(s, "z", "clicked", "temperature+isotonic")
-    before = me.final_score(s.select("clicked", sigmoid_stable(F.col("z")).alias("pp")), "clicked", "pp")
-    after = me.final_score(s.select("clicked", cal.proba(F.col("z")).alias("pp")), "clicked", "pp")
-    knots = lambda v: F.array(*[F.lit(float(x)) for x in v or []]).cast("array<double>")
-    meta = before.select(
+    before = me.final_score(s.select("clicked", sigmoid_stable(F.col("z")).alias("pp")), "clicked", "pp").first()
+    after = me.final_score(cal.apply(s, "z", "pp"), "clicked", "pp").first()
+    scores = [F.lit(r[c]).alias(f"{c}_{stage}") for stage, r in (("before", before), ("after", after)) for c in ("ap", "wll", "score")]
+    meta = spark.range(1).select(
         F.lit(cal.method).alias("method"), F.lit(cal.T).alias("T"),
         F.lit(ca.T_CLAMP[0]).alias("clamp_lo"), F.lit(ca.T_CLAMP[1]).alias("clamp_hi"),
-        F.lit(ca.L2_REG).alias("l2"), F.lit(ca.MIN_ISO_NODES).alias("min_iso_nodes"),
-        F.lit(cal.isotonic_skipped).alias("isotonic_skipped"), knots(cal.knots_x).alias("knots_x"), knots(cal.knots_y).alias("knots_y"),
-        F.col("ap").alias("ap_before"), F.col("wll").alias("wll_before"), F.col("score").alias("score_before"),
-        after.select("ap").scalar().alias("ap_after"), after.select("wll").scalar().alias("wll_after"),
-        after.select("score").scalar().alias("score_after"))
+        F.lit(ca.L2_REG).alias("l2"), F.lit(ca.MIN_ISO_NODES).cast("long").alias("min_iso_nodes"),
+        F.lit(cal.isotonic_skipped).alias("isotonic_skipped"), *scores)
+    both = meta.unionByName(cal.knots, allowMissingColumns=True) if cal.knots is not None else meta
     path = sh.scratch_path(spark, "calib-meta")
-    meta.coalesce(1).write.mode("overwrite").json(path)
-    return spark.read.json(path)
+    both.write.mode("overwrite").json(path)
+    return spark.read.schema(both.schema).json(path)

@@ -147,8 +147,7 @@ def q_row_features_oof(spark, sf_dir):
     """Flagship: out-of-fold row features for every training row (2.4 #4)."""
     tr = train_with_folds(spark, sf_dir)
     tok = cv.token_rows(tr, SPEC, keep=["fold", "clicked"])
-    oof = cv.pair_stats_oof(tok, SPEC)
-    return cv.row_features(tr, oof, SPEC, ["rid", "fold"], join_fold=True)
+    return cv.row_features_oof(tr, cv.stored(cv.pair_stats_wide(tok, SPEC)), SPEC, ["rid", "fold"])
 
 
 @register("row_features_test", ob.query(BASE + [TOK_TRAIN, PAIR_FULL, ROWTOK_TEST, RF_TEST],
@@ -177,8 +176,7 @@ def q_row_features_multi_target(spark, sf_dir):
     """Two targets stacked as rows: one shuffle for both, one row per rid (2.3 #6)."""
     tr = train_with_folds(spark, sf_dir)
     tok = cv.token_rows(tr, SPEC2, keep=["fold", "clicked"])
-    oof = cv.pair_stats_oof(tok, SPEC2)
-    return cv.row_features(tr, oof, SPEC2, ["rid"], join_fold=True)
+    return cv.row_features_oof(tr, cv.stored(cv.pair_stats_wide(tok, SPEC2)), SPEC2, ["rid"])
 
 
 # ---------------------------------------------------------------- joins back to rows
@@ -204,7 +202,7 @@ def q_features_with_covis(spark, sf_dir):
     written as a sharded cache and read back (2.1 #9, 2.2 #10, 2.3 #1)."""
     tr = train_with_folds(spark, sf_dir)
     tok = cv.token_rows(tr, SPEC, keep=["fold", "clicked"])
-    rf = cv.row_features(tr, cv.pair_stats_oof(tok, SPEC), SPEC, ["rid"], join_fold=True)
+    rf = cv.row_features_oof(tr, cv.stored(cv.pair_stats_wide(tok, SPEC)), SPEC, ["rid"])
     rows = cv.join_features(tr.drop("seq"), rf, "rid", FEATS)
     fitted = fe.fit(rows, CACHE, tuple(FEATS))
     path = sh.scratch_path(spark, "covis-cache")
@@ -236,7 +234,7 @@ def q_pair_lookup(spark, sf_dir):
     tok = cv.token_rows(train_with_folds(spark, sf_dir), SPEC, keep=["fold", "clicked"])
     full = cv.pair_stats_full(tok, SPEC).select(*cv.KEYS, "impr", "ctr")
     tt = cv.token_rows(test_rows(spark, sf_dir), SPEC, keep=["ID"])
-    return tt.join(full, cv.KEYS, "left").select(
+    return cv.look_up(tt, full, ["impr", "ctr"]).select(
         "ID", "pos", "token", F.coalesce("impr", F.lit(0)).cast("long").alias("impr"), "ctr")
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import bucket, group_hash
 from ..functions.sequence import left_pad, parse_strict
 from ..operators import features as fe
-from ..operators.rowindex import contiguous_rid
 from ..sources import fixtures as fx
 from ..sources import shards as sh
 from ..sources import tables as tb
@@ -108,12 +107,12 @@ CRID = "crid AS (SELECT *, row_number() OVER (ORDER BY rid) - 1 AS crid FROM tra
 
 
 def train_crid(spark, sf_dir):
-    return contiguous_rid(fx.train(spark, sf_dir), "rid", out="crid")
+    return fx.train(spark, sf_dir, numbered=True)
 
 
 @register("contiguous_rid", ob.query(IT + [CRID], "SELECT rid, crid FROM crid"))
 def q_contiguous_rid(spark, sf_dir):
-    """Contiguous 0..N-1 index in key order without a single-partition window (2.5 #5)."""
+    """Contiguous 0..N-1 index in input order, from file positions (2.5 #5)."""
     return train_crid(spark, sf_dir).select("rid", "crid")
 
 
@@ -124,7 +123,7 @@ def q_shard_manifest(spark, sf_dir):
     """Feature block written partitioned by shard; manifest read back from the files (2.1 #8)."""
     fitted = fe.fit(fx.train(spark, sf_dir), SPEC)
     block = fe.transform(train_crid(spark, sf_dir).drop("rid").withColumnRenamed("crid", "rid"), fitted)
-    return sh.write_shards(block, sh.scratch_path(spark, "cache"), SHARD_ROWS, ordered=True)
+    return sh.write_shards(block, sh.scratch_path(spark, "cache"), SHARD_ROWS)
 
 
 @register("train_test_caches", ob.query(ITT, f"""SELECT split, (i // {SHARD_ROWS})::INT AS shard, count(*)::BIGINT AS "rows",
@@ -133,8 +132,8 @@ FROM (SELECT 'train' AS split, row_number() OVER (ORDER BY rid) - 1 AS i FROM tr
       UNION ALL SELECT 'test', row_number() OVER (ORDER BY rid) - 1 FROM test) GROUP BY ALL"""))
 def q_train_test_caches(spark, sf_dir):
     """One driver writes both caches and their manifests (2.1 #10)."""
-    numbered = [contiguous_rid(d(spark, sf_dir), "rid", out="i").drop("rid").withColumnRenamed("i", "rid") for d in (fx.train, fx.test)]
-    a, b = sh.write_caches(*numbered, SPEC, sh.scratch_path(spark, "caches"), SHARD_ROWS, fit_on="each", ordered=True)
+    numbered = [d(spark, sf_dir, numbered=True).drop("rid").withColumnRenamed("crid", "rid") for d in (fx.train, fx.test)]
+    a, b = sh.write_caches(*numbered, SPEC, sh.scratch_path(spark, "caches"), SHARD_ROWS, fit_on="each")
     return a.withColumn("split", F.lit("train")).unionByName(b.withColumn("split", F.lit("test")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import covis as cv
 from ..operators import features as fe
+from ..operators import fm
 from ..operators import models as mo
 from ..session import cut_lineage
 from ..sources import fixtures as fx
@@ -53,6 +54,15 @@ def q_fm_model(spark, sf_dir):
     return mo.score(mo.fit(trd, "clicked", "fm", max_iter=20), trd, ["rid", "clicked"])
 
 
+@register("fm_weighted")
+def q_fm_weighted(spark, sf_dir):
+    """Factorization machine with class weights, fitted on whole-table gradients (2.12 #1)."""
+    trd, _ = _tables(spark, sf_dir)
+    d = cut_lineage(mo.balanced_weights(trd, "clicked"), "weighted")
+    n = HASH_FEATURES + len(NUMS)
+    return fm.fit(d, "clicked", "w", n, factor_size=8, max_iter=15).score(trd, ["rid", "clicked"])
+
+
 @register("cv_models")
 def q_cv_models(spark, sf_dir):
     """One model per fold; every training row scored by the model that did not see

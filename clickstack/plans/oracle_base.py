@@ -96,13 +96,14 @@ def smooth(clicks: str, impr: str, p0: str, s: float = 50.0, lo: float = 1e-3, h
     return f"least(greatest({inner}, {lo}), {hi})"
 
 
-def query(ctes: list[str], body: str, round_cols: list[str] | None = None) -> str:
-    sql = "WITH " + ",\n".join(ctes) + "\n" + body if ctes else body
+def query(ctes: list[str], body: str, round_cols: list[str] | None = None, recursive: bool = False) -> str:
+    with_ = "WITH RECURSIVE " if recursive else "WITH "
+    sql = with_ + ",\n".join(ctes) + "\n" + body if ctes else body
     if round_cols:
         rep = ", ".join(f"CASE WHEN abs({c}) < 1e-3 AND abs({c}) > 1e-12 THEN printf('%.5e', {c}::DOUBLE)::DOUBLE "
                         f"ELSE round({c}, 6) END AS {c}" for c in round_cols)
         sql = f"WITH _q AS ({sql})\nSELECT * REPLACE ({rep}) FROM _q" if not ctes else \
-              "WITH " + ",\n".join(ctes) + f",\n_q AS ({body})\nSELECT * REPLACE ({rep}) FROM _q"
+              with_ + ",\n".join(ctes) + f",\n_q AS ({body})\nSELECT * REPLACE ({rep}) FROM _q"
     return sql
 
 

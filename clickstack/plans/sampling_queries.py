@@ -11,11 +11,22 @@ from . import oracle_base as ob
 from .registry import register
 
 IT = [ob.IMPRESSIONS, ob.TRAIN]
+# The greedy rule, one leftover group of a profile after the other.
+_EVAL = """list_transform(range(5), lambda f: {'spread': round((list_stddev_pop(list_transform(range(5), lambda j: (h[j + 1].p + CASE WHEN j = f THEN pos ELSE 0 END) / tp))
+  + list_stddev_pop(list_transform(range(5), lambda j: (h[j + 1].n + CASE WHEN j = f THEN neg ELSE 0 END) / tn))) / 2, 12), 'total': h[f + 1].p + h[f + 1].n, 'f': f})"""
 SGF = f"""sg AS (SELECT *, {ob.group_hash(['inventory_id', 'day_of_week'])} AS g FROM train),
 pg AS (SELECT g, sum(clicked) AS pos, count(*) AS n FROM sg GROUP BY g),
-rk AS (SELECT g, row_number() OVER (ORDER BY pos DESC, n DESC,
-              {ob.md5_u32("concat_ws(chr(31), '777', CAST(g AS VARCHAR))")}, g) - 1 AS i FROM pg),
-fm AS (SELECT g, (CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END)::INT AS fold FROM rk),
+rk AS (SELECT g, pos, n, row_number() OVER (PARTITION BY pos, n ORDER BY
+              {ob.md5_u32("concat_ws(chr(31), '777', CAST(g AS VARCHAR))")}, g) - 1 AS i, count(*) OVER (PARTITION BY pos, n) AS m FROM pg),
+lo AS (SELECT g, pos::DOUBLE AS pos, (n - pos)::DOUBLE AS neg,
+              row_number() OVER (ORDER BY abs(2 * pos - n) DESC, n DESC, pos DESC, i) AS s FROM rk WHERE i >= m - m % 5),
+tt AS (SELECT greatest(sum(pos), 1)::DOUBLE AS tp, greatest(sum(n - pos), 1)::DOUBLE AS tn FROM pg),
+dl AS (SELECT 0::BIGINT AS s, NULL::BIGINT AS g, NULL::BIGINT AS fold, list_transform(range(5), lambda j: {{'p': 0::DOUBLE, 'n': 0::DOUBLE}}) AS h
+       UNION ALL
+       SELECT s, g, fold, list_transform(range(5), lambda j: {{'p': h[j + 1].p + CASE WHEN j = fold THEN pos ELSE 0 END,
+                                                         'n': h[j + 1].n + CASE WHEN j = fold THEN neg ELSE 0 END}}) AS h
+       FROM (SELECT lo.s, lo.g, lo.pos, lo.neg, h, list_min({_EVAL}).f AS fold FROM dl JOIN lo ON lo.s = dl.s + 1, tt)),
+fm AS (SELECT rk.g, coalesce(dl.fold, i % 5)::INT AS fold FROM rk LEFT JOIN dl ON dl.g = rk.g),
 sgf AS (SELECT sg.*, fm.fold FROM sg JOIN fm USING (g))"""
 
 
@@ -25,14 +36,14 @@ def strat_folds(spark, sf_dir):
     return tr.join(fmap, "g")
 
 
-@register("stratified_group_folds", ob.query(IT + [SGF], "SELECT rid, fold FROM sgf"))
+@register("stratified_group_folds", ob.query(IT + [SGF], "SELECT rid, fold FROM sgf", recursive=True))
 def q_stratified_group_folds(spark, sf_dir):
-    """Groups dealt to folds in a snake draft by positives, size, seeded tie-break;
-    a group never straddles folds (2.8 #2, D2)."""
+    """Groups dealt greedily to the fold that keeps the classes' shares most even; a group never
+    straddles folds (2.8 #2, D2)."""
     return strat_folds(spark, sf_dir).select("rid", "fold")
 
 
-@register("holdout_split", ob.query(IT + [SGF], "SELECT rid, fold, (fold = 0)::INT AS is_valid FROM sgf"))
+@register("holdout_split", ob.query(IT + [SGF], "SELECT rid, fold, (fold = 0)::INT AS is_valid FROM sgf", recursive=True))
 def q_holdout_split(spark, sf_dir):
     """n_splits == 1: fold 0 of 5 is the validation part (2.8 #3)."""
     return holdout(strat_folds(spark, sf_dir).select("rid", "fold"))
@@ -53,6 +64,36 @@ def q_balanced_batches(spark, sf_dir):
     return sa.balanced_batches(fx.train(spark, sf_dir), "clicked", 64, 0.5, seed=777, epoch=0)
 
 
+def _feistel_sql(x: str, n: str, key: str) -> str:
+    """The keyed permutation of [0, n) in SQL, with the same rounds and walk."""
+    b = f"ceil(sqrt({n}))::BIGINT"
+    a = f"(({n} + {b} - 1) // {b})"
+    f = lambda half, r: ob.md5_u60(f"concat_ws(chr(31), {key}, '{r}', CAST({half} AS VARCHAR))")
+    left, right = f"({x} // {b})", f"({x} % {b})"
+    for r in range(4):
+        if r % 2 == 0:
+            left = f"(({left} + {f(right, r)}) % {a})"
+        else:
+            right = f"(({right} + {f(left, r)}) % {b})"
+    return f"({left} * {b} + {right})"
+
+
+FB = f"""cn AS (SELECT sum(clicked)::BIGINT AS np, sum(1 - clicked)::BIGINT AS nn, count(*)::BIGINT AS n FROM train),
+sl AS (SELECT r.range // 64 AS batch, r.range % 64 AS slot FROM cn, range((cn.n // 64) * 64) r),
+so AS (SELECT batch, slot, (slot < 32)::INT AS cls, CASE WHEN slot < 32 THEN slot ELSE slot - 32 END AS j,
+              CASE WHEN slot < 32 THEN np ELSE nn END AS pool FROM sl, cn),
+s0 AS (SELECT *, {_feistel_sql('j', 'pool', "'777', '0', CAST(batch AS VARCHAR), CAST(cls AS VARCHAR)")} AS y FROM so),
+sp AS (SELECT batch, slot, cls, pool, y FROM s0 UNION ALL
+       SELECT batch, slot, cls, pool, {_feistel_sql('y', 'pool', "'777', '0', CAST(batch AS VARCHAR), CAST(cls AS VARCHAR)")} FROM sp WHERE y >= pool),
+ci AS (SELECT rid, clicked AS cls, row_number() OVER (PARTITION BY clicked ORDER BY rid) - 1 AS idx FROM train)"""
+
+
+@register("balanced_batches_unique", ob.query(IT + [FB], "SELECT batch::BIGINT AS batch, slot::BIGINT AS slot, rid FROM sp JOIN ci ON ci.cls = sp.cls AND ci.idx = sp.y WHERE sp.y < sp.pool", recursive=True))
+def q_balanced_batches_unique(spark, sf_dir):
+    """Balanced batches without replacement: a keyed permutation of each class per batch (2.8 #4)."""
+    return sa.balanced_batches(fx.train(spark, sf_dir), "clicked", 64, 0.5, replacement=False, seed=777, epoch=0)
+
+
 @register("hash_sample", ob.query(IT, f"""SELECT rid FROM train
 WHERE {ob.md5_u60("concat_ws(chr(31), '2025', coalesce(CAST(rid AS VARCHAR), 'NA'))")} / 1152921504606846976.0 < 0.3"""))
 def q_hash_sample(spark, sf_dir):

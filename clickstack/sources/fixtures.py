@@ -8,16 +8,20 @@ outputs and a second prediction table are plain functions of the event columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.rowindex import input_order
 from .tables import read_table
 
 HISTORY = 400  # the longest max_len of any feature
 
 
-def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def impressions(spark: SparkSession, sf_dir: str, numbered: Column | None = None) -> DataFrame:
+    """``numbered``: the events that get a number ``crid`` in input order, e.g. those of a split."""
     ev = read_table(spark, sf_dir, "events")
+    if numbered is not None:
+        ev = input_order(ev, "crid", numbered)
     ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-HISTORY, -1)
     ev = ev.withColumn("h", F.collect_list("k").over(w))
@@ -31,16 +35,17 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.size("h") > 0, F.array_join("h", ",")).alias("seq"),
         F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("feat_a_1"),
         F.when(F.col("event_id") % 11 != 0, (F.col("user_id") % 7).cast("string")).alias("l_feat_14"),
-        F.col("user_id"), F.col("k"), F.col("value"),
+        F.col("user_id"), F.col("k"), F.col("value"), *(["crid"] if numbered is not None else []),
     )
 
 
-def train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impressions(spark, sf_dir).where(F.col("rid") % 10 != 9)
+def train(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    """``numbered``: with ``crid``, 0 .. N-1 in input order."""
+    return impressions(spark, sf_dir, F.col("event_id") % 10 != 9 if numbered else None).where(F.col("rid") % 10 != 9)
 
 
-def test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impressions(spark, sf_dir).where(F.col("rid") % 10 == 9).drop("clicked")
+def test(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    return impressions(spark, sf_dir, F.col("event_id") % 10 == 9 if numbered else None).where(F.col("rid") % 10 == 9).drop("clicked")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

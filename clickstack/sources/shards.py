@@ -1,6 +1,6 @@
 """Sharded feature cache: Parquet partitioned by ``shard`` + a manifest table.
 
-Rows get a contiguous global index ``rid`` (see operators.rowindex); shard =
+Rows get a contiguous global index ``rid`` in input order (see operators.rowindex); shard =
 floor(rid / shard_rows), so every shard but the last holds exactly ``shard_rows`` rows
 and the manifest ranges tile [0, N).  Row lookups are equi-joins on the computed shard
 id, never range joins."""
@@ -30,11 +30,12 @@ def write_shards(df: DataFrame, out_dir: str, shard_rows: int, rid_col: str = "r
     """Write the block partitioned by shard (rows in rid order inside each file) and return the
     manifest read back from what was written.
 
-    Rows are range-partitioned by row id, so that a task holds whole stretches of shards;
-    ``ordered`` rows, as ``contiguous_rid`` leaves them, are written as they come."""
+    Rows are dealt by shard, so a task holds whole shards, of known size; ``ordered`` rows, as
+    ``contiguous_rid`` leaves them, are written as they come."""
+    df = with_shard(df, shard_rows, rid_col)
     if not ordered:
-        df = df.repartitionByRange(F.col(rid_col)).sortWithinPartitions(rid_col)
-    with_shard(df, shard_rows, rid_col).write.mode(mode).partitionBy("shard").parquet(f"{out_dir}/data")
+        df = df.repartition("shard").sortWithinPartitions("shard", rid_col)
+    df.write.mode(mode).partitionBy("shard").parquet(f"{out_dir}/data")
     written = df.sparkSession.read.parquet(f"{out_dir}/data")
     m = manifest(written, rid_col)
     m.write.mode(mode).parquet(f"{out_dir}/manifest")

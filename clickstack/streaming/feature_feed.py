@@ -19,7 +19,7 @@ def feature_stream(spark: SparkSession, src_dir: str, fitted: fe.FittedFeatures,
     """Streaming DataFrame of feature blocks for files arriving in ``src_dir``."""
     schema = spark.read.parquet(src_dir).schema
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(src_dir)
-    return fe.transform(src, fitted.as_literals(), is_train=is_train, rid_col=rid_col, arrays=True)
+    return fe.transform(src, fitted, is_train=is_train, rid_col=rid_col, arrays=True)
 
 
 def run_feed(spark: SparkSession, src_dir: str, out_dir: str, checkpoint_dir: str,

@@ -143,8 +143,8 @@ def test_isotonic_matches_pav_and_is_monotone(spark):
         assert min(abs(k["y"] - m) for m in means) < 1e-9
     ys = [k["y"] for k in knots]
     assert ys == sorted(ys)
-    cal = ca.Calibrator("isotonic", knots_x=[k["x"] for k in knots], knots_y=ys)
-    out = s.select("z", cal.proba(F.col("z")).alias("p")).orderBy("z").toPandas()
+    cal = ca.Calibrator("isotonic", knots=spark.createDataFrame([(k["x"], y) for k, y in zip(knots, ys)], "x double, y double"))
+    out = cal.apply(s.select("z"), "z", "p").orderBy("z").toPandas()
     assert np.all(np.diff(out["p"].to_numpy()) >= -1e-15)
 
 

@@ -91,8 +91,9 @@ def test_knots_are_interpolated(spark):
     import numpy as np
     xs, ys = [0.1, 0.2, 0.2, 0.5, 0.9], [0.0, 0.1, 0.3, 0.3, 1.0]
     ps = [0.0, 0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 0.9, 1.0]
-    got = [r[0] for r in spark.createDataFrame([(p,) for p in ps], "p double").select(ca.apply_knots(F.col("p"), xs, ys)).collect()]
-    assert got == pytest.approx(list(np.interp(ps, xs, ys)))
+    knots = spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
+    got = ca.interpolate(spark.createDataFrame([(p,) for p in ps], "p double"), "p", knots, "v").orderBy("p").collect()
+    assert [r.v for r in got] == pytest.approx(list(np.interp(ps, xs, ys)))
 
 
 def test_every_fold_number_is_kept(spark):
