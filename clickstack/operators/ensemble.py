@@ -133,7 +133,7 @@ def blend(a: DataFrame, b: DataFrame, method: str = "logit_mean", w: float = 0.5
     elif method == "rank_mean":
         # the joined rows are written once; both columns are ranked as one stacked table of distinct values
         j = cut_lineage(j, "blend")
-        cells = j.select(F.inline(F.array(F.struct(F.lit(1).alias("_m"), p1.alias("_v")), F.struct(F.lit(2), p2))))
+        cells = j.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_m"), p.alias("_v")) for i, p in ((1, p1), (2, p2))])))
         upto = running_totals(cells.groupBy("_m", "_v").agg(F.count(F.lit(1)).alias("_n")), ["_v"], ["_n"], ["_m"], inclusive=False)
         ranks = cut_lineage(upto.select("_m", "_v", (F.col("cum__n") + (F.col("_n") + 1) / 2.0).alias("_r"), "_n"), "ranks")
         for i in (1, 2):
