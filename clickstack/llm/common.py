@@ -2,62 +2,41 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrow_map, ship  # noqa: F401
+from ..operators.joins import join_sized  # noqa: F401
+from ..operators.rowindex import global_ordinal
+from ..session import cut_lineage
+
 SLICE_BYTES = 2 << 20  # texts handled together inside a task; a longer text goes alone
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this library's sources to the executors, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp()
-    path = os.path.join(folder, f"{os.path.basename(top)}-src.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(d, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
-
-
-def join_sized(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, parts: int = 1000) -> DataFrame:
-    """Null-safe left join of ``rows`` to ``groups``, which has one row per key and in ``size`` how many
-    of ``rows`` have it.  Groups that hold a ``parts``-th of all sized rows or more, so at most
-    ``parts`` of them, are broadcast; only rows of smaller groups are shuffled.  Both tables are read
-    more than once and should be written ones."""
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    heavy = F.col(size) * parts >= F.lit(total)
-    side = groups.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    names = [f"_k{i}" for i in range(len(keys))]
-    few = side.where(heavy)
-    big = rows.join(F.broadcast(few), on, "inner").drop(*names)
-    rest = rows.join(F.broadcast(few.select(*names)), on, "left_anti").join(side.where(~heavy), on, "left").drop(*names)
-    return big.unionByName(rest)
+def ids_are_keys(docs: DataFrame, key: str = "doc_id") -> bool:
+    """Whether every row has a ``key`` of its own."""
+    ids = docs.select(F.col(key).cast("long").alias("id"))
+    return ids.groupBy("id").count().where("count > 1 or id is null").isEmpty()
+
+
+def row_keys(docs: DataFrame, out: str = "doc", key: str = "doc_id") -> DataFrame:
+    """``docs`` with the long ``out``, one of its own for every row, in the order of ``key`` (null last;
+    rows that share it in an order that a rerun keeps).
+
+    Where every row has an id of its own, that is it.  Otherwise rows are written with a number and
+    only (id, number) is sorted."""
+    if ids_are_keys(docs, key):
+        return docs.withColumn(out, F.col(key).cast("long"))
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    order = global_ordinal(rows.select(F.col(key).cast("long").alias("_id"), "_row"), [F.col("_id").asc_nulls_last(), F.col("_row")], out)
+    return cut_lineage(rows.join(order.select("_row", out), "_row").drop("_row"), "keyed-rows")
 
 
 def text_slices(batches, columns: list[str], text: str,

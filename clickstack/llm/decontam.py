@@ -20,8 +20,9 @@ are built and matched in both ways, the better share counts.
 Defined cases: null or empty texts match nothing; an item shorter than ``width`` words is
 one window of its length; an item of ``width`` template words or fewer
 with fewer than ``literals`` (or its length) literal ones, and one without any, is found verbatim
-only; repeated rows of a doc_id count as one document, repeated rows of
-an item_id as one item; extra columns are ignored; empty tables give an empty result."""
+only; every row of documents is judged by itself, whether its doc_id is null or repeated, and
+so is every different (item_id, text); extra columns are ignored; empty tables give an empty
+result."""
 
 from __future__ import annotations
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import arrow_map, char_tables, code_points, mix, prefix_sums, span_hash, text_slices
+from .common import arrow_map, char_tables, code_points, mix, prefix_sums, row_keys, span_hash, text_slices
 
 # Units of measure that may follow a number.
 UNITS = ("kg g mg t lb lbs oz km m cm mm mi mile miles ft feet inch inches yd l ml litre litres liter liters gal s sec "
@@ -269,10 +270,11 @@ def read_slots(near: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float = 0.8, literals: int = 3,
                  filter_windows: int = 2_000_000) -> DataFrame:
-    """(doc_id, item_id, kind, share, windows, slots_changed) of each contaminated pair."""
-    items = (benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-             .where("id is not null").dropDuplicates(["id"]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, item_id, kind, share, windows, slots_changed) of each contaminated pair of a row of
+    ``docs`` and a row of ``benchmark``, both judged by themselves, whatever their ids."""
+    named = row_keys(benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text")).distinct(), "id", "item")
+    keyed = row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "id")
+    texts, items = keyed.select("id", "text"), named.select("id", "text")
     bench = cut_lineage(window_rows(items, width, literals), "item-windows")
     sizes = [r[0] for r in bench.select("width").distinct().collect()] or [width]  # width, and lengths of items without a window
     few = bench.select("hash").distinct().limit(filter_windows + 1).count() <= filter_windows
@@ -293,6 +295,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: f
             .where(F.size(F.array_distinct(F.col("m.i"))) >= share * F.col("n")))  # no reading holds more windows
     read = read_slots(near.select("doc_id", "item_id", "form", "n", "m")).where(F.col("got") >= share * F.col("n"))
     part = F.col("got") / F.col("n")
-    return read.groupBy("doc_id", "item_id").agg(
+    pairs = cut_lineage(read.groupBy(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item")).agg(
         F.when(F.min("form") == 0, F.lit("verbatim")).otherwise(F.lit("re-parameterised")).alias("kind"),
-        F.max(part).alias("share"), F.max("got").alias("windows"), F.max("changed").alias("slots_changed"))
+        F.max(part).alias("share"), F.max("got").alias("windows"), F.max("changed").alias("slots_changed")), "pairs")
+    # back from rows to ids; a row has few items, an item may have many rows
+    pairs = pairs.join(F.broadcast(named.select(F.col("id").alias("_item"), F.col("item").alias("item_id"))) if few else
+                       named.select(F.col("id").alias("_item"), F.col("item").alias("item_id")), "_item")
+    return pairs.join(keyed.select(F.col("id").alias("_doc"), "doc_id"), "_doc").select(
+        "doc_id", "item_id", "kind", "share", "windows", "slots_changed")

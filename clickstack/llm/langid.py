@@ -5,8 +5,8 @@ n-gram binds its symbols' vectors, each rotated by its place, by multiplication;
 bundles its n-grams by addition; a language's prototype bundles its training texts, each
 scaled to length 1.  A text gets the language whose prototype has the greatest cosine.
 
-Defined cases: null texts and texts without letters are ``und`` with score 0; ties go to the
-smaller name; rows without a language are predicted but not learned from; without any
+Defined cases: null texts and texts without letters are ``und`` with score 0; a text counts as
+standing between edges, so a single letter makes an n-gram; ties go to the smaller name; rows without a language are predicted but not learned from; without any
 training row all are ``und``; extra columns are ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
@@ -59,14 +59,20 @@ class Space:
         """(a vector per text, has it letters)."""
         cps, at = code_points(data, offs)
         cls, low = char_tables()
-        kind = cls[cps]
-        letter = (kind == 1) | (kind == 2)
-        sym = np.where(letter, low[cps], EDGE).astype(np.uint64)
-        doc = np.repeat(np.arange(len(offs) - 1), np.diff(at))
+        size = np.diff(at) + 2  # an edge before and after each text, so that one letter makes an n-gram
+        doc = np.repeat(np.arange(len(offs) - 1), size)
+        start = np.cumsum(size) - size
+        inner = np.ones(len(doc), bool)
+        inner[start] = inner[start + size - 1] = False
+        letter = np.zeros(len(doc), bool)
+        letter[inner] = (cls[cps] == 1) | (cls[cps] == 2)
+        sym = np.full(len(doc), EDGE, np.uint64)
+        sym[inner] = np.where(letter[inner], low[cps], EDGE)
+        has = np.bincount(doc[letter], minlength=len(offs) - 1) > 0
         keep = letter.copy()  # of several edges in a row one counts
-        keep[1:] |= letter[:-1] & (doc[1:] == doc[:-1])
+        keep[1:] |= letter[:-1]
+        keep[start] = has
         sym, doc = sym[keep], doc[keep]
-        has = np.bincount(doc, minlength=len(offs) - 1) > 0
         n = self.n
         out = np.zeros((len(offs) - 1, self.dims), np.float32)
         if len(sym) < n:

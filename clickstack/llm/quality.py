@@ -4,8 +4,10 @@ Trusted documents are counted into n-grams (a task adds up its own before the sh
 lower orders take continuation counts; discounts come from the counts of counts.  Joins
 that are sharded by n-gram give the model's probability of every distinct n-gram of the
 corpus, level by level, and the perplexity of a document is the sum over its own n-grams.
-If the distinct n-grams are at most ``table_rows``, the tasks look them up in a sorted
-broadcast table; otherwise (document, n-gram, count) rows are joined with the sharded table.
+The most frequent n-grams, at most ``table_rows``, are looked up in a sorted broadcast table; rows
+(document, n-gram, count) of the others are joined with the sharded table.  Code points from
+NEAR on (Chinese, Japanese, Korean, emoji ...) are two symbols, a high and a low part, so the model
+tells all of them apart.
 
 A document is kept if its perplexity does not exceed a high quantile of trusted documents of
 its language.  The quantiles come from trusted documents that the model has not counted (one
@@ -13,8 +15,8 @@ in ``hold_out``).
 
 Defined cases: null and empty texts have no perplexity and are not kept; a document whose
 language has no trusted document is held against the quantiles of all; without trusted
-documents nothing can be judged and every text that is not empty is kept; rows that repeat a
-doc_id are scored each; extra columns are ignored; an empty table gives an empty result."""
+documents nothing can be judged and every text that is not empty is kept; every row is
+scored, whatever rows repeat its id or text; extra columns are ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -24,28 +26,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import arrow_map, code_points, mix, text_slices
+from .common import arrow_map, code_points, text_slices
 
 BITS = 12  # per symbol
 START = 0
+NEAR = 2976  # code points below are a symbol of their own; 2976 + (0x10FFFF >> 10) < 2**12
 
 
 def gram_codes(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, packed n-gram) for each character, texts begun by ``order - 1`` start symbols.
-    White space is one symbol; code points from 4000 on share 96 symbols by hash."""
+    """(text index, packed n-gram) for each symbol, texts begun by ``order - 1`` start symbols.
+    White space is one symbol."""
     cps, at = code_points(data, offs)
     sym = cps.astype(np.uint64)
     sym[(cps >= 9) & (cps <= 13)] = 32
-    far = cps >= 4000
+    far = cps >= NEAR
     if far.any():
-        sym[far] = np.uint64(4000) + mix(cps[far]) % np.uint64(96)
+        after = np.concatenate([[0], np.cumsum(1 + far)])  # symbols before each code point
+        sym = np.repeat(sym, 1 + far)
+        low, high = after[1:][far] - 1, after[:-1][far]
+        sym[high] = np.uint64(NEAR) + (sym[high] >> np.uint64(10))
+        sym[low] &= np.uint64(1023)
+        at = after[at]
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(at))
-    place = np.arange(len(cps)) - at[doc]
-    code = np.zeros(len(cps), np.uint64)
+    place = np.arange(len(sym)) - at[doc]
+    code = np.zeros(len(sym), np.uint64)
     for back in range(order - 1, -1, -1):
-        s = np.full(len(cps), START, np.uint64)
-        if back < len(cps):
-            s[back:] = sym[:len(cps) - back]
+        s = np.full(len(sym), START, np.uint64)
+        if back < len(sym):
+            s[back:] = sym[:len(sym) - back]
         s[place < back] = START
         code = code << np.uint64(BITS) | s
     return doc, code.view(np.int64)
@@ -128,60 +136,72 @@ def gram_probabilities(trusted: DataFrame, wanted: DataFrame, order: int) -> Dat
     return p.select(F.col("low").alias("code"), F.log("p_low").alias("logp"))
 
 
-def log_likelihoods(docs: DataFrame, table: DataFrame, order: int, table_rows: int) -> DataFrame:
-    """(row columns, ll, n) of each row of ``docs`` (id, doc_id, lang, text)."""
-    sc = docs.sparkSession.sparkContext
-    if table.count() <= table_rows:
-        got = table.toArrow()
-        codes, logp = got.column("code").to_numpy(), got.column("logp").to_numpy().astype(np.float32)
-        o = np.argsort(codes)
-        shared = sc.broadcast((codes[o], logp[o]))
-
-        def look(batches):
-            codes, logp = shared.value
-            for rows, data, offs in text_slices(batches, ["doc_id", "lang"], "text", 2 << 20):
-                doc, code = gram_codes(data, offs, order)
-                u, which = np.unique(code, return_inverse=True)
-                value = logp[np.searchsorted(codes, u)].astype(np.float64) if len(u) else np.empty(0)
-                ll = np.bincount(doc, value[which], minlength=len(offs) - 1)
-                n = np.bincount(doc, minlength=len(offs) - 1)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ll), pa.array(n)],
-                                                 names=["doc_id", "lang", "ll", "n"])
-
-        return arrow_map(docs.select("doc_id", "lang", "text"), look, "doc_id long, lang string, ll double, n long")
-
-    def count(batches):
-        for rows, data, offs in text_slices(batches, ["id"], "text", 2 << 20):
+def common_grams(table: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """Rows of ``table`` whose n-grams occur so often in ``counts`` that there are at most ``most``."""
+    band = F.floor(F.log2("n") * 4).cast("int")
+    bands = counts.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("kinds")).orderBy(F.desc("band")).collect()  # some 200 rows
+    least, held = None, 0
+    for b in bands:
+        held += b["kinds"]
+        if held > most:
+            break
+        least = b["band"]
+    often = counts.where(band >= least) if least is not None else counts.where("false")
+    return table.join(often.select("code"), "code", "left_semi")
+
+
+def log_likelihoods(docs: DataFrame, table: DataFrame, common: DataFrame, order: int) -> DataFrame:
+    """(doc_id, lang, ll, n) of each row of ``docs`` (doc_id, lang, text).  n-grams of ``common`` are looked up
+    in a sorted array in the tasks, the others are joined with the sharded ``table``."""
+    got = common.toArrow()
+    codes, logp = got.column("code").to_numpy(), got.column("logp").to_numpy()
+    o = np.argsort(codes)
+    shared = docs.sparkSession.sparkContext.broadcast((codes[o], logp[o]))
+    names = ["row", "doc_id", "lang", "code", "ll", "n"]
+
+    def look(batches):
+        codes, logp = shared.value
+        for rows, data, offs in text_slices(batches, ["row", "doc_id", "lang"], "text", 2 << 20):
             doc, code = gram_codes(data, offs, order)
-            o = np.lexsort((code, doc))
-            doc, code = doc[o], code[o]
-            lead = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])) if len(doc) else doc
-            n = np.diff(np.append(lead, len(doc)))
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc[lead])), pa.array(code[lead]), pa.array(n.astype(np.int64))],
-                                             names=["id", "code", "n"])
-
-    sums = (arrow_map(docs.select("id", "text"), count, "id long, code long, n long").join(table, "code")
-            .groupBy("id").agg(F.sum(F.col("n") * F.col("logp")).alias("ll"), F.sum("n").alias("n")))
-    return docs.select("id", "doc_id", "lang").join(sums, "id", "left").select(
-        "doc_id", "lang", F.coalesce("ll", F.lit(0.0)).alias("ll"), F.coalesce("n", F.lit(0)).alias("n"))
+            u, which = np.unique(code, return_inverse=True)
+            at = np.minimum(np.searchsorted(codes, u), max(0, len(codes) - 1))
+            known = codes[at] == u if len(codes) else np.zeros(len(u), bool)
+            value = np.zeros(len(u))
+            value[known] = logp[at[known]]
+            texts = len(offs) - 1
+            ll, n = np.bincount(doc, value[which], minlength=texts), np.bincount(doc, minlength=texts)
+            none = pa.nulls(texts, pa.int64())
+            yield pa.RecordBatch.from_arrays([*rows.columns, none, pa.array(ll), pa.array(n.astype(np.int64))], names=names)
+            rare = ~known[which]
+            if rare.any():
+                pair, times = np.unique(doc[rare] * len(u) + which[rare], return_counts=True)
+                of = pa.array(pair // len(u))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0).take(of), pa.nulls(len(pair), pa.int64()), pa.nulls(len(pair), pa.string()), pa.array(u[pair % len(u)]),
+                     pa.nulls(len(pair), pa.float64()), pa.array(times.astype(np.int64))], names=names)
+
+    parts = cut_lineage(arrow_map(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text"), look,
+                                  "row long, doc_id long, lang string, code long, ll double, n long"), "likelihood-parts")
+    rest = (parts.where("code is not null").select("row", "code", "n").join(table, "code")
+            .groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("more")))
+    return parts.where("code is null").join(rest, "row", "left").select(
+        "doc_id", "lang", (F.col("ll") + F.coalesce("more", F.lit(0.0))).alias("ll"), "n")
 
 
 def judged(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.995, hold_out: int = 10,
-           table_rows: int = 4_000_000, broadcast_ids: int = 5_000_000) -> DataFrame:
-    """(doc_id, perplexity, threshold, keep) of every row."""
+           table_rows: int = 1_000_000, broadcast_ids: int = 5_000_000) -> DataFrame:
+    """(doc_id, perplexity, threshold, keep) of every row.  The ``table_rows`` most frequent n-grams at most
+    are broadcast."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("id", F.xxhash64("doc_id", "lang", "text"))
     good = (labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
             .select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
             .withColumn("fresh", F.crc32(F.col("doc_id").cast("string").cast("binary")) % hold_out == 0))
-    small = good.count() <= broadcast_ids
-    good = F.broadcast(good) if small else good
+    good = F.broadcast(good) if good.count() <= broadcast_ids else good
     trusted = gram_counts(rows.join(good, "doc_id").where(~F.col("fresh")), order)
-    every = cut_lineage(gram_counts(rows, order).select("code"), "gram-kinds")
-    table = gram_probabilities(trusted, every, order)
-    distinct = rows if small and table.count() <= table_rows else rows.dropDuplicates(["id"])
-    ll = cut_lineage(log_likelihoods(distinct, table, order, table_rows)
+    every = cut_lineage(gram_counts(rows, order), "gram-kinds")
+    table = gram_probabilities(trusted, every.select("code"), order)
+    ll = cut_lineage(log_likelihoods(rows, table, common_grams(table, every, table_rows), order)
                      .withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("ll") / F.col("n")))), "perplexities")
     known = ll.join(good.where("fresh"), "doc_id").where("perplexity is not null")
     q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))

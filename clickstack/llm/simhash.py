@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rowindex import global_ordinal
 from ..session import cut_lineage
-from .common import arrow_map, local_components, text_slices
+from .common import arrow_map, join_sized, local_components, text_slices
 from .components import components
 
 # The five multipliers of XXH64.
@@ -281,12 +282,27 @@ def near_links(fps: DataFrame, max_bits: int = 3, hot: int = 200_000) -> DataFra
 UNNAMED = 1 << 62  # nodes from here on are fingerprints without any doc_id
 
 
+def _groups_by_place(rows: DataFrame, max_bits: int, hot: int) -> DataFrame:
+    first = cut_lineage(global_ordinal(rows.groupBy("fp").agg(F.min("doc_id").alias("low")),
+                                       [F.col("low").asc_nulls_last(), F.col("fp")], "node"), "distinct-fingerprints")
+    comp = components(near_links(first.select("node", "fp"), max_bits, hot), "a", "b")
+    of = cut_lineage(first.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("top")), "tops")
+    sizes = of.groupBy("top").agg(F.count(F.lit(1)).alias("n"))
+    named = cut_lineage(sizes.join(first.select(F.col("node").alias("top"), F.col("low").alias("component_id")), "top"), "named")
+    of = join_sized(of, named, ["top"], "n").select("fp", "component_id")
+    return rows.join(of, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 3, hot: int = 200_000) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of ``docs``; doc_ids are below 2**62.
+    """(doc_id, fingerprint, component_id) of every row of ``docs``.
 
     A fingerprint's node is its smallest doc_id, so the smallest node of a component is the
-    answer and no join by component is needed."""
+    answer and no join by component is needed.  Where a doc_id is 2**62 or more, which leaves no
+    numbers for fingerprints without an id, nodes are places in the order of the smallest doc_ids."""
     rows = cut_lineage(fingerprint_rows(docs, width), "fingerprints")
+    if (rows.agg(F.max("doc_id")).first()[0] or 0) >= UNNAMED:
+        return _groups_by_place(rows, max_bits, hot)
     unnamed = F.xxhash64("fp").bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
     first = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
                         .select("fp", F.coalesce("low", unnamed).alias("node")), "distinct-fingerprints")

@@ -17,9 +17,9 @@ All suffixes of a large corpus cannot be shuffled, so a sparse suffix array is s
    anchors meet by gram and half of the reachable bytes on one side, so that a short
    line in very different surroundings makes no large group.
 
-Defined cases: null text is empty; a null doc_id sorts first; rows that repeat a doc_id are
-the same document, not copies of each other; extra columns are ignored; an empty table
-gives an empty result.  Context equality in step 2 rests on 64-bit hashes within one 64-bit
+Defined cases: null text is empty; every row is a document of its own, a null doc_id sorts
+last, rows that share a doc_id follow each other in a fixed order; extra columns are ignored; an
+empty table gives an empty result.  Context equality in step 2 rests on 64-bit hashes within one 64-bit
 gram hash."""
 
 from __future__ import annotations
@@ -31,11 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import arrow_map, mix, prefix_sums, span_hash, text_slices
+from .common import arrow_map, mix, prefix_sums, row_keys, span_hash, text_slices
 
 SHALLOW = 32  # bytes compared by the quicksort before a blind trie takes over
 RUN = 1 << 20  # bytes handled at once; a longer text is taken in overlapping runs
-NO_ID = -(1 << 63)
 
 
 def _anchors(data: np.ndarray, ends: np.ndarray, width: int, key: int):
@@ -346,8 +345,19 @@ def border(texts: DataFrame, met: DataFrame, width: int, key: int) -> DataFrame:
     return arrow_map(found.repartition("gram", "near", "side"), solve, "doc long, lo long, hi long")
 
 
-def _kept(texts: DataFrame, width: int, key: int) -> DataFrame:
-    """``texts`` (doc, text and other columns) with ``kept`` and ``spans``."""
+def _outward(data: bytes, lo: list[int], hi: list[int]) -> None:
+    """Move the ends of spans that cut a character in two past its bytes."""
+    for k, (a, b) in enumerate(zip(lo, hi)):
+        while 0 < a < len(data) and data[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        lo[k], hi[k] = a, b
+
+
+def _kept(texts: DataFrame, width: int, key: int, whole: bool = False) -> DataFrame:
+    """``texts`` (doc, text and other columns) with ``kept`` and ``spans``.  With ``whole``, the bytes of a
+    character that was cut in two do not stay in ``kept``."""
     met = cut_lineage(meet(anchor_rows(texts, width, key)), "anchors")
     known = met.where(F.col("left") == -1).select("doc", F.col("place").alias("lo"), F.col("right").alias("hi"))
     spans = (known.unionByName(border(texts, met, width, key)).groupBy("doc")
@@ -365,9 +375,11 @@ def _kept(texts: DataFrame, width: int, key: int) -> DataFrame:
                     flat = found.values
                     lo, hi = (np.minimum(flat.field(i).to_numpy(), len(data)) for i in (0, 1))
                     _, lo, hi = _merge(np.zeros(len(lo), np.int64), lo, hi)
-                    ends = np.append(lo, len(data)).tolist()
-                    data = b"".join(data[a:b] for a, b in zip([0, *hi.tolist()], ends))
-                    runs.append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist())])
+                    lo, hi = lo.tolist(), hi.tolist()
+                    runs.append([{"lo": a, "hi": b} for a, b in zip(lo, hi)])
+                    if whole:
+                        _outward(data, lo, hi)
+                    data = b"".join(data[a:b] for a, b in zip([0, *hi], [*lo, len(data)]))
                 else:
                     runs.append([])
                 kept.append(data)
@@ -378,28 +390,20 @@ def _kept(texts: DataFrame, width: int, key: int) -> DataFrame:
     return arrow_map(joined, cut, StructType([*joined.schema.fields, StructField("kept", BinaryType())]))
 
 
-def _key(docs: DataFrame):
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text")
-
-
 def kept_texts(docs: DataFrame, width: int = 100, key: int = 48) -> DataFrame:
     """(doc_id, text, kept binary, spans array<struct<lo, hi>>): what stays of each row and the
     maximal removed runs, in bytes."""
-    out = _kept(docs.select(*_key(docs)), width, key)
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "kept", "spans")
+    rows = row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return _kept(rows, width, key).select("doc_id", "text", "kept", "spans")
 
 
 def without_repeats(docs: DataFrame, width: int = 100, key: int = 48) -> DataFrame:
     """``docs`` with the repeats cut from ``text`` (and ``n_chars`` set anew, if it is there).  Bytes
     of a character that was cut in two go with it; null texts stay null."""
-    out = _kept(docs.select(*_key(docs), F.struct(*[F.col(c) for c in docs.columns]).alias("row")), width, key)
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(_whole_characters(F.col("kept")))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    out = _kept(row_keys(rows), width, key, whole=True)
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.decode("kept", "UTF-8"))
     row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(row.alias("row")).select("row.*").select(docs.columns)
-
-
-def _whole_characters(data):
-    """UTF-8 text of ``data`` without the bytes that are no whole character."""
-    return F.regexp_replace(F.make_valid_utf8(data.cast("string")), "\ufffd", "")

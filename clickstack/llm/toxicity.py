@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..operators.rowindex import global_ordinal
 from ..session import cut_lineage
 from .common import arrow_map
 
@@ -211,14 +212,19 @@ def learn_lexicon(sample: DataFrame, least: int = 5, share: float = 0.01, odds:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> tuple[dict, tuple]:
     """(lexicon, logistic fit) from at most ``fit_rows`` labelled rows that are not held out.  The
-    weights are fitted on one half of them with a lexicon from the other half."""
+    weights are fitted on one half of them with a lexicon from the other half.  Rows that share an
+    id all carry its label, equal ones once; the bound holds for the rows."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
     sample = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                          .join(F.broadcast(known), "doc_id")  # fit_rows rows at most
+                         .dropDuplicates(["doc_id", "text"])
                          .withColumn("half", F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(2))), "fit-sample")
+    if sample.count() > fit_rows:  # a repeated id brings more rows than labels
+        order = [F.xxhash64("doc_id", "text"), F.col("doc_id")]
+        sample = cut_lineage(global_ordinal(sample, order, "_place").where(F.col("_place") < fit_rows).drop("_place"), "fit-sample")
     seed = {k: (kind, 1.0) for k, (kind, _) in lexicon_seed().items()}
     half = seed | learn_lexicon(sample.where("half = 0"))  # the weights see it on other rows
     lexicon = seed | learn_lexicon(sample)

@@ -16,9 +16,9 @@ A record's segments must fit in one task, as its payload does; a file is read wh
 task, so foreign archives should stay below 1 GB.
 
 Defined cases: a null html is an empty payload; a null url is written as an empty one, control
-characters in a url as %20; rows without a page_id are not written; a repeated page_id is
-written once, with the payload of the least digest; extra columns are ignored; empty tables
-give an empty result."""
+characters in a url as %20; every row gets a record: rows that share a page_id, or have none, get
+record IDs with their place among them; of equal payloads under the largest page_id the first
+is the response; extra columns are ignored; empty tables give an empty result."""
 
 from __future__ import annotations
 
@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from ..operators.rowindex import places
+from ..session import cut_lineage
+from .common import arrow_map, ids_are_keys, join_sized, row_keys
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -38,10 +40,15 @@ HTTP = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRL
 
 
 def page_digests(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload binary, sha1 hex)."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")
-                        ).withColumn("sha1", F.sha1("payload"))
+    """(key, page_id, nth, url, payload binary, sha1 hex); ``key`` is the row's own, ``nth`` its place (from
+    0) among the rows with its page_id."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+                        F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    keyed = row_keys(rows, "key", "page_id").withColumn("sha1", F.sha1("payload"))
+    if ids_are_keys(rows, "page_id"):
+        return keyed.withColumn("nth", F.lit(0).cast("long"))
+    nth = places(keyed.select("key", "page_id"), ["page_id"], ["key"], "nth").select("key", "nth")
+    return keyed.join(nth, "key")
 
 
 def base32(hex40: Column) -> Column:
@@ -67,8 +74,8 @@ def chunked(payload: Column, chunk: int) -> Column:
     return F.concat(body, F.lit("0" + END).cast("binary"))
 
 
-def _uid(page: Column, number: Column) -> Column:
-    h = F.md5(F.concat_ws("/", page.cast("string"), number.cast("string")))
+def _uid(page: Column, nth: Column, number: Column) -> Column:
+    h = F.md5(F.concat_ws("/", F.coalesce(page.cast("string"), F.lit("-")), number.cast("string"), F.when(nth > 0, nth.cast("string"))))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in
                                                             ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
@@ -77,36 +84,34 @@ def records(pages: DataFrame, segment: int, chunk: int, least: int = 0, date: st
     """(page_id, number, record binary) of all records, without the closing line breaks.
     Payloads of at least ``least`` bytes are stored once: with the largest page_id."""
     rows = page_digests(pages)
-    # of rows that repeat a page_id the one with the least digest; only digests are shuffled here
-    narrow = (rows.groupBy("page_id").agg(F.min(F.struct("sha1", F.octet_length("payload").alias("size"))).alias("m"))
-              .select("page_id", "m.sha1", "m.size").where(F.col("size") >= least))
-    holder = (narrow.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").select("sha1", "refers_to"))
-    again = (narrow.join(holder, "sha1").where(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to"))
-    told = (rows.groupBy("page_id").agg(F.min_by(F.struct("url", "payload", "sha1"), "sha1").alias("row"))
-            .select("page_id", "row.*").join(again, "page_id", "left"))
-    page = F.col("page_id")
-    block = F.when(F.col("refers_to").isNull(), F.concat(F.lit(HTTP).cast("binary"), chunked(F.col("payload"), chunk))
+    narrow = cut_lineage(rows.where(F.octet_length("payload") >= least).select("key", "page_id", "nth", "sha1"), "page-digests")
+    first = F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", (-F.col("nth")).alias("back"), "key"))
+    holder = cut_lineage(narrow.groupBy("sha1").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "page-holders")
+    again = join_sized(narrow, holder, ["sha1"], "n").where(F.col("key") != F.col("first.key")).select(
+        "key", F.lit(True).alias("again"), F.col("first.page_id").alias("refers_to"), (-F.col("first.back")).alias("refers_nth"))
+    told = rows.join(again, "key", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    page, nth = F.col("page_id"), F.col("nth")
+    block = F.when(~F.col("again"), F.concat(F.lit(HTTP).cast("binary"), chunked(F.col("payload"), chunk))
                    ).otherwise(F.lit("HTTP/1.1 200 OK" + END).cast("binary"))
     cut = told.withColumn("block", block).withColumn("total", F.octet_length("block")) \
         .withColumn("parts", _pieces(F.col("block"), segment)).withColumn("n", F.size("parts")) \
-        .select("page_id", "url", "sha1", "refers_to", "total", "n", F.posexplode("parts").alias("i", "part"))
+        .select("page_id", "nth", "url", "sha1", "again", "refers_to", "refers_nth", "total", "n", F.posexplode("parts").alias("i", "part"))
     number = F.col("i") + 1
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     maybe = lambda cond, text: F.when(cond, text).otherwise(F.lit(""))
     head = F.concat(
         F.lit("WARC/1.1" + CRLF),
-        line("WARC-Type", F.when(F.col("i") > 0, F.lit("continuation")).when(F.col("refers_to").isNull(), F.lit("response"))
+        line("WARC-Type", F.when(F.col("i") > 0, F.lit("continuation")).when(~F.col("again"), F.lit("response"))
              .otherwise(F.lit("revisit"))),
-        line("WARC-Record-ID", _uid(page, number)), line("WARC-Date", F.lit(date)),
+        line("WARC-Record-ID", _uid(page, nth, number)), line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
-        line("WARC-Page", page.cast("string")),
-        maybe(F.col("refers_to").isNotNull(), F.concat(
+        F.coalesce(line("WARC-Page", page.cast("string")), F.lit("")),
+        maybe(F.col("again"), F.concat(
             line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            line("WARC-Refers-To", _uid(F.col("refers_to"), F.lit(1))))),
+            line("WARC-Refers-To", _uid(F.col("refers_to"), F.col("refers_nth"), F.lit(1))))),
         maybe(F.col("n") > 1, line("WARC-Segment-Number", number.cast("string"))),
-        maybe(F.col("i") > 0, line("WARC-Segment-Origin-ID", _uid(page, F.lit(1)))),
+        maybe(F.col("i") > 0, line("WARC-Segment-Origin-ID", _uid(page, nth, F.lit(1)))),
         maybe((F.col("n") > 1) & (number == F.col("n")), line("WARC-Segment-Total-Length", F.col("total").cast("string"))),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         F.lit("Content-Length: "), F.octet_length("part").cast("string"), F.lit(END))
@@ -116,7 +121,7 @@ def records(pages: DataFrame, segment: int, chunk: int, least: int = 0, date: st
 def write(pages: DataFrame, path: str, segment: int = 16_384, chunk: int = 4096, least: int = 0,
           per_file: int = 2000) -> None:
     """Write archives (parts ``*.txt.gz`` in WARC format) into the folder ``path``."""
-    recs = records(pages.where(F.col("page_id").isNotNull()), segment, chunk, least)
+    recs = records(pages, segment, chunk, least)
     (recs.select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path))
 
