@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 import llm_cases as C
 from clickstack.llm import packing
-from clickstack.llm.queries import QUERIES, tokenizer_file
+from clickstack.llm.queries import QUERIES, tokenizer_files
 
 
 def check(rows, docs, seq_len=2048):
@@ -45,19 +45,19 @@ def test_query_is_an_exact_cover(spark):
 
 def test_awkward_rows(spark):
     df = C.docs(spark)
-    rows = packing.pack(df, tokenizer_file()).collect()
+    rows = packing.pack(df, tokenizer_files()["tokenizer_path"]).collect()
     check(rows, [(r.doc_id, r.text) for r in df.collect()])
-    assert packing.pack(C.empty_docs(spark), tokenizer_file()).collect() == []
+    assert packing.pack(C.empty_docs(spark), tokenizer_files()["tokenizer_path"]).collect() == []
 
 
 def test_ids_are_kept_on_request(spark):
-    rows = packing.pack(C.docs(spark).where("doc_id < 8"), tokenizer_file(), seq_len=16, keep_ids=True).collect()
+    rows = packing.pack(C.docs(spark).where("doc_id < 8"), tokenizer_files()["tokenizer_path"], seq_len=16, keep_ids=True).collect()
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length <= 16 for r in rows)
 
 
 def test_special_token_text_is_encoded_alike():
     import public_tokenizers as P
-    a, b = packing.encoder(P.path("byte_bpe_50k.json")), packing.encoder(tokenizer_file())
+    a, b = packing.encoder(P.path("byte_bpe_50k.json")), packing.encoder(tokenizer_files()["tokenizer_path"])
     for t in ("", "a<|endoftext|>b", "  \n\n x", "漢字🙂 é\u00a0x", "it's I'LL 12ab", "x" * 3000):
         assert a(t) == list(b(t)), t
 
@@ -91,4 +91,4 @@ def test_greedy_filling_gets_the_leftover_only(monkeypatch):
 @pytest.mark.parametrize("unit", [3, 5])
 def test_unit_must_divide(spark, unit):
     with pytest.raises(ValueError):
-        packing.pack(C.docs(spark), tokenizer_file(), unit=unit)
+        packing.pack(C.docs(spark), tokenizer_files()["tokenizer_path"], unit=unit)
