@@ -246,17 +246,42 @@ def _piece_digests(seed: int):
     return run
 
 
-def _ends(batches):
-    """(a, b, sha) from (a, b, conv) sorted; one id is held at a time."""
-    names, key, sha, n, out = ["a", "b", "sha"], None, None, 0, []
+ENDS = 10_000  # ids of a node that travel together
+
+
+def _end_texts(batches):
+    """(a, b, first, text) from (a, b, conv) sorted: runs of ids of one node as text."""
+    names, key, ids, out = ["a", "b", "first", "text"], None, [], []
+
+    def flush():
+        if ids:
+            out.append((*key, ids[0], ",".join("" if i is None else str(i) for i in ids)))
+
     for batch in batches:
         for a, b, conv in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            if (a, b) != key or len(ids) >= ENDS:
+                flush()
+                key, ids = (a, b), []
+            ids.append(conv)
+        if len(out) > 10_000:
+            yield _batch(names, *[pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.string()])])
+            out = []
+    flush()
+    if out:
+        yield _batch(names, *[pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.string()])])
+
+
+def _end_digests(batches):
+    """(a, b, sha) from (a, b, text) sorted; one text is held at a time."""
+    names, key, sha, out = ["a", "b", "sha"], None, None, []
+    for batch in batches:
+        for a, b, text in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3)]):
             if (a, b) != key:
                 if key:
                     out.append((*key, sha.hexdigest()))
-                key, sha, n = (a, b), hashlib.sha256(), 0
-            sha.update((b"," if n else b"") + (b"" if conv is None else str(conv).encode()))
-            n += 1
+                key, sha = (a, b), hashlib.sha256(text.encode())
+            else:
+                sha.update(b"," + text.encode())
         if len(out) > 10_000:
             yield _batch(names, *zip(*out))
             out = []
@@ -266,6 +291,15 @@ def _ends(batches):
         yield _batch(names, *zip(*out))
 
 
+def end_digests(ends: DataFrame) -> DataFrame:
+    """(a, b, sha) of (a, b, conv): SHA-256 of the ids of a node, ascending.  The ids are sorted across the
+    cluster and put into texts there; the digest itself can only be taken in order."""
+    order = ["a", "b", F.col("conv").asc_nulls_last()]
+    texts = arrow_map(ends.repartitionByRange(*order).sortWithinPartitions(*order), _end_texts, "a long, b long, first long, text string")
+    dealt = texts.repartition("a", "b").sortWithinPartitions("a", "b", F.col("first").asc_nulls_last())
+    return arrow_map(dealt, _end_digests, "a long, b long, sha string")
+
+
 # ---------------------------------------------------------------- rebuilt conversations
 def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(turns, conversations): ``turns`` has conv, depth, band, turn (digest of role and text), n_bytes,
@@ -368,8 +402,7 @@ def trie(conversations: DataFrame, seeds: tuple = (1, 2, 3)) -> DataFrame:
     sums = sums.groupBy("a", "b").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     sums = sums.unionByName(owners.agg(F.sum("x").alias("x"), F.sum("y").alias("y")).select(zero.alias("a"), zero.alias("b"), "x", "y"))
     ends = ends.unionByName(convs.where("length = 0").select(zero.alias("a"), zero.alias("b"), "conv"))
-    ends = arrow_map(ends.repartition("a", "b").sortWithinPartitions("a", "b", F.col("conv").asc_nulls_last()), _ends, "a long, b long, sha string")
-    whole = cut_lineage(nodes.join(sums, ["a", "b"], "left").join(ends, ["a", "b"], "left"), "whole")
+    whole = cut_lineage(nodes.join(sums, ["a", "b"], "left").join(end_digests(ends), ["a", "b"], "left"), "whole")
     parents = nodes.where("n_children is not null").select(F.col("a").alias("up_a"), F.col("b").alias("up_b"), F.col("low").alias("parent"),
                                                            F.col("n_children").alias("n_siblings"))
     return join_sized(whole, parents, ["up_a", "up_b"], "n_siblings").select(

@@ -155,17 +155,70 @@ def op11(spark, sf_dir):
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-@_query("op12_repair")
-def op12(spark, sf_dir):
-    return repair.repaired(_table(spark, sf_dir, "conversations"))
-
-
 def _crc32(text: str) -> str:
     """Unsigned CRC-32 of an ASCII string in SQL."""
     return (f"list_reduce(list_transform(range(0, length({text}) + 1), lambda i: case when i = 0 then 4294967295 else ascii({text}[i]) end), "
             "lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))")
 
 
+def _edit(state: str, cost: str, initial: str, line: str | None = None, unless: str = "false") -> str:
+    """A state after one more edit, null where that is not allowed."""
+    lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+    return f"case when {unless} then null else {{'c': {state}.c + {cost}, 'w': {state}.w || '{initial}', 't': {lines}}} end"
+
+
+def _inserted(q0: str, qs: str, qu: str, qa: str) -> str:
+    """``qu`` and ``qa`` with inserted turns, as columns."""
+    user = [_edit(x, "2", "I", "'user:'") for x in (q0, qs, qa)]
+    return f"{q0} q0, {qs} qs, list_min([{qu}, {', '.join(user)}]) qu, {qa} qa0"
+
+
+# Dynamic programming over (cost, initials, repaired lines) in the states nothing, system, user, assistant.
+_FAR = "{'c': 1000000000, 'w': '', 't': []::varchar[]}"
+_NO = "must or i <> '%s'"
+OP12_SQL = f"""
+with recursive d0 as (
+  select conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') x, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') key
+  from conversations),
+d1 as (select *, xor({_crc32("key")}, 4294967295) % 20 k from d0),
+d2 as (select conv_id, turn, case when k = 4 then 'user' else r end r,
+              case when k = 1 then '' when k = 2 then regexp_replace(x, '[.!?]', '', 'g') else x end x,
+              unnest(case when k = 3 then [0, 1] else [0] end) as copy
+       from d1 where k <> 0),
+d3 as (select *, regexp_replace(x, '[\\x20\\x09-\\x0D]+$', '') solid,
+              row_number() over (partition by conv_id order by turn nulls first, md5(octet_length(encode(r)) || ':' || r || x), copy) rn from d2),
+d4 as (select *, solid = '' blank, solid <> '' and rn > min(rn) over (partition by conv_id, r, x) dup, r[1] i,
+              lag(r[1]) over (partition by conv_id order by rn) before from d3),
+d5 as (select *, blank or dup must, not blank and not dup and right(solid, 1) not in ('.', '!', '?') cut from d4),
+st as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) gaps, count(*) filter (blank) blank, count(*) filter (dup) duplicate,
+              count(*) filter (cut) truncated, count(*) filter (before is not null and before || i not in ('su', 'ua', 'au')) illegal, count(*) n
+       from d5 group by conv_id),
+dp as (
+  select conv_id, 0::bigint n, q0, qs, qu, list_min([qa0, {_edit("qu", "2", "I", "'assistant:'")}]) qa
+  from (select conv_id, {_inserted("z", "f", "f", "f")} from (select conv_id, {{'c': 0, 'w': '', 't': []::varchar[]}} z, {_FAR} f from st))
+  union all
+  select conv_id, n, q0, qs, qu, list_min([qa0, {_edit("qu", "2", "I", "'assistant:'")}]) qa
+  from (select conv_id, n, {_inserted("a0", "a1", "a2", "a3")} from (
+    select dp.conv_id, dp.n + 1 n, {_edit("q0", "3", "D")} a0,
+           list_min([{_edit("qs", "3", "D")}, {_edit("q0", "cut::int", "K", "r || ':' || x", _NO % "s")}]) a1,
+           list_min([{_edit("qu", "3", "D")}, {', '.join(_edit(q, "cut::int", "K", "r || ':' || x", _NO % "u") for q in ("q0", "qs", "qa"))},
+                     {', '.join(_edit(q, "cut::int + 2", "R", "'user:' || x", "must") for q in ("q0", "qs", "qa"))}]) a2,
+           list_min([{_edit("qa", "3", "D")}, {_edit("qu", "cut::int", "K", "r || ':' || x", _NO % "a")},
+                     {_edit("qu", "cut::int + 2", "R", "'assistant:' || x", "must")}]) a3
+    from dp join d5 on d5.conv_id is not distinct from dp.conv_id and d5.rn = dp.n + 1))),
+best as (select conv_id, list_min([q0, qa]) b from dp join st using (conv_id, n))
+select c.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+       coalesce(illegal, 0) illegal, coalesce(b.c, 0)::bigint as cost, coalesce(b.w, '') audit, sha256(coalesce(array_to_string(b.t, chr(10)), '')) repaired_sha256
+from (select distinct conv_id from conversations) c left join st on st.conv_id is not distinct from c.conv_id
+     left join best on best.conv_id is not distinct from c.conv_id
+"""
+
+
+@_query("op12_repair", OP12_SQL)
+def op12(spark, sf_dir):
+    return repair.repaired(_table(spark, sf_dir, "conversations"))
+
+
 OP13_SQL = f"""
 with k as (select conv_id, md5(coalesce(role, '')) || md5(coalesce(text, '')) t, octet_length(encode(coalesce(text, ''))) b,
                   row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 pos

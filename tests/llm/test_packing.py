@@ -69,7 +69,9 @@ def test_patterns_cover_the_demand(hist):
     plan = packing.cutting_patterns(sizes, demand, 64)
     assert (sum(p * t for p, t in plan) == demand).all()
     assert all((p * sizes).sum() <= 64 and t > 0 for p, t in plan)
-    assert sum(t for _, t in plan) <= 1.25 * (sizes * demand).sum() / 64 + (demand[sizes > 32]).sum() + 2
+    # a single size can waste a third of each sequence, as three of 22 do not fit
+    alone = (-(-demand // (64 // sizes))).sum()
+    assert sum(t for _, t in plan) <= max(1.25 * (sizes * demand).sum() / 64 + (demand[sizes > 32]).sum() + 2, alone)
 
 
 def test_known_optimum():

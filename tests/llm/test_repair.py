@@ -4,11 +4,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 import llm_cases as C
 from clickstack.llm import repair
-from clickstack.llm.queries import QUERIES
+from clickstack.llm.queries import ORACLE, QUERIES
+from compare import rows_of
 
 NEXT = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
 ADD = {"": "u", "s": "u", "u": "a", "a": "u"}
@@ -91,6 +93,13 @@ def test_query_matches_brute_force(spark, sf):
     check(spark.read.parquet(f"{sf}/conversations.parquet"), QUERIES["op12_repair"](spark, sf))
 
 
+def test_query_matches_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{C.SMALL}/conversations.parquet'")
+    df, rel = QUERIES["op12_repair"](spark, C.SMALL), con.sql(ORACLE["op12_repair"])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(rel.columns, rel.fetchall())
+
+
 def test_auction_against_dynamic_programming():
     rng = random.Random(5)
     for n in [*range(6), 30, 200]:

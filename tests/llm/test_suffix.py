@@ -12,7 +12,7 @@ from clickstack.llm.queries import QUERIES
 
 
 def brute(docs, width=100):
-    """{doc: (bytes, removed flags)}; rows that repeat a doc_id are one document."""
+    """{doc: (bytes, removed flags)}; the doc_ids are the rows' own."""
     seen, out = set(), {}
     for d, t in sorted(dict(docs).items(), key=lambda x: (x[0] is not None, x[0] or 0)):
         b = (t or "").encode()
@@ -76,8 +76,13 @@ def test_a_long_text_is_taken_in_runs(monkeypatch):
 
 
 def test_cut_characters_go():
-    from pyspark.sql import functions as F
-    assert suffix._whole_characters(F.col("x")) is not None
+    data = "aé漢🙂b�c".encode()
+    for a in range(len(data) + 1):
+        for b in range(a, len(data) + 1):
+            lo, hi = [a], [b]
+            suffix._outward(data, lo, hi)
+            assert lo[0] <= a and hi[0] >= b and hi[0] - b < 4 and a - lo[0] < 4
+            assert "aé漢🙂b�c".startswith(data[:lo[0]].decode()) and "aé漢🙂b�c".endswith(data[hi[0]:].decode())
 
 
 @settings(max_examples=150, deadline=None)

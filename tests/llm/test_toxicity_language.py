@@ -90,8 +90,8 @@ def test_vectors_bind_and_bundle():
     data = np.frombuffer("abc bcd".encode(), np.uint8)
     vec, has = space.texts(data, np.array([0, 7]))
     want = np.zeros(256)
-    text = [ord(c) for c in "abc bcd"]
-    for i in range(5):
+    text = [ord(c) for c in " abc bcd "]  # between edges
+    for i in range(7):
         v = np.ones(256)
         for k in range(3):
             v *= np.roll(space.symbol(np.array([text[i + k]], np.uint64))[0], 2 - k)
