@@ -87,10 +87,10 @@ def tokens(data: np.ndarray, offs: np.ndarray):
     return doc, code, typ, named, s, e, sums
 
 
-def windows(data: np.ndarray, offs: np.ndarray, widths: list[int], literals: int, wide: int):
+def windows(data: np.ndarray, offs: np.ndarray, widths: list[int], literals: int, wide: int, among: np.ndarray | None = None):
     """(text, form 0 plain / 1 template / 2 template with opening capitals as names, place, width,
     hash, slots [rows, max width], places in the text).  Windows of more than ``wide`` words need
-    one literal word."""
+    one literal word.  With ``among`` (sorted) only windows whose hash is in it."""
     doc, code, *types, s, e, sums = tokens(data, offs)
     most = max(widths)
     out = []
@@ -118,12 +118,16 @@ def windows(data: np.ndarray, offs: np.ndarray, widths: list[int], literals: int
             if form:
                 enough = free[i + w] - free[i]
                 i = i[enough >= (min(literals, w) if w <= wide else 1)]
+            code_of = span_hash(run, i, i + w)
+            if among is not None:  # before the slots, which are as wide as the widest window
+                near = np.minimum(np.searchsorted(among, code_of.view(np.int64)), max(0, len(among) - 1))
+                hit = among[near] == code_of.view(np.int64) if len(among) else np.zeros(len(i), bool)
+                i, code_of = i[hit], code_of[hit]
             slots = np.zeros((len(i), most), np.uint64)
             if form:
                 for k in range(w):
                     slots[:, k] = value[i + k]
-            out.append((d[i], np.full(len(i), form), i - first[d[i]], np.full(len(i), w), span_hash(run, i, i + w),
-                        slots, size[d[i]]))
+            out.append((d[i], np.full(len(i), form), i - first[d[i]], np.full(len(i), w), code_of, slots, size[d[i]]))
     if not out:
         return [np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64), np.empty((0, most), np.uint64), np.empty(0, np.int64)]
     return [np.concatenate(x) for x in zip(*out)]
@@ -169,20 +173,15 @@ def window_rows(rows: DataFrame, widths: list[int] | int, literals: int, among:
                 wide: int | None = None) -> DataFrame:
     """Windows of (id, text), those that stand for an item without ``wide``; only those whose hash is in
     the sorted array ``among`` if given."""
-    cut = (lambda data, offs: item_windows(data, offs, widths, literals)) if wide is None else (
-        lambda data, offs: windows(data, offs, widths, literals, wide))
     sc = rows.sparkSession.sparkContext
     shared = None if among is None else sc.broadcast(among)
 
     def run(batches):
         wanted = None if shared is None else shared.value
         for part, data, offs in text_slices(batches, ["id"], "text", 2 << 20):
-            text, form, place, width, code, slots, words = cut(data, offs)
+            text, form, place, width, code, slots, words = (
+                item_windows(data, offs, widths, literals) if wide is None else windows(data, offs, widths, literals, wide, wanted))
             code = code.view(np.int64)
-            if wanted is not None:
-                at = np.minimum(np.searchsorted(wanted, code), max(0, len(wanted) - 1))
-                hit = np.flatnonzero(wanted[at] == code) if len(wanted) else np.empty(0, np.int64)
-                text, form, place, width, code, slots, words = (x[hit] for x in (text, form, place, width, code, slots, words))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * slots.shape[1], pa.int32()),
                                             pa.array(slots.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
