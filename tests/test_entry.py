@@ -1,5 +1,11 @@
+import os
+import subprocess
+import sys
+
 import __spark_entry__ as E
 
+ROOT = os.path.dirname(os.path.abspath(E.__file__))
+
 
 def test_entry_runs(spark):
     df = E.entry(spark)
@@ -12,11 +18,23 @@ def test_entry_runs(spark):
 
 
 def test_importable_without_session():
-    import subprocess
-    import sys
     code = "import __spark_entry__ as E; print(len(E.oracle_sql()), len(E.queries()))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True,
-                         cwd=__import__("os").path.dirname(E.__file__), timeout=120)
+                         cwd=ROOT, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
     n_sql, n_queries = map(int, out.stdout.split())
     assert n_sql >= 83 and n_queries >= 92
+
+
+def test_core_stands_without_packages_of_the_optional_part():
+    """A package that only the text operators need may be missing."""
+    code = ("import sys\n"
+            "for m in ('xxhash', 'clickstack.llm.urlfilter', 'clickstack.llm.queries', 'corpus_pipeline'):\n"
+            "    sys.modules[m] = None\n"
+            f"sys.path.insert(0, {ROOT!r})\n"
+            "import __spark_entry__ as E\n"
+            "q = E.queries()\n"
+            "assert 'row_features_oof' in q and not any(k.startswith('op') and k[2].isdigit() for k in q)\n"
+            "assert 'pipeline' not in q and set(E.oracle_sql()) <= set(q)\n")
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
