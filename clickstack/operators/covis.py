@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import counted_positions, parse_lenient, tail, time_bin as time_bin_expr
-from ..session import scratch_folder
+from ..session import drop_at_exit, scratch_folder
 
 # Reference defaults for the covis configuration.
 DEFAULT_AGGS = ("sum_ctr", "mean_ctr", "max_ctr", "top3_mean_ctr",
@@ -132,6 +132,7 @@ def stored(stats: DataFrame) -> DataFrame:
     spark = stats.sparkSession
     name = f"pairs_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drop_at_exit(spark, name)
     (stats.write.format("parquet").option("path", scratch_folder(spark, "pairs")).bucketBy(buckets, *KEYS).sortBy(*KEYS).saveAsTable(name))
     return spark.table(name)
 

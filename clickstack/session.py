@@ -8,6 +8,7 @@ and tests).
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -69,6 +70,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_at_exit(spark: SparkSession, table: str) -> None:
+    """Take a scratch table out of the catalog when the driver ends; its files go as all scratch files do."""
+    def drop():
+        if spark.getActiveSession() is not None:
+            spark.sql(f"drop table if exists {table}")
+    atexit.register(drop)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
