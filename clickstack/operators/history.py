@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..functions.sequence import parse_lenient, tail
-from ..session import cut_lineage
+from ..session import cut_lineage, may_broadcast
 
 # Fixed value: epsilon inside the log of the recency decay.
 DECAY_EPS = 1e-8
@@ -45,6 +45,8 @@ class HistorySpec:
 
 
 MAP_VALUES = 256  # a context column of up to so many values is looked up in the token's map
+TASK_TOKENS = 2_000_000  # exploded tokens that one task groups by row
+BROADCAST_PRODUCTS = 500_000  # products of tokens and context values that may be broadcast as maps
 BROADCAST_VALUES = 8_000_000  # vector elements that may be broadcast (64 MB of doubles)
 
 
@@ -92,22 +94,40 @@ def with_query_vectors(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> Da
             .withColumn("concat", vx.combine(["s1", "s2"], [0.5, 0.5], spec.dim)).drop(*ctx))
 
 
+def histories(rows: DataFrame, spec: HistorySpec) -> DataFrame:
+    """(row, context columns, kept tokens, their number), written once."""
+    keys = list(dict.fromkeys(c for c, _, _ in query_parts(spec)))
+    toks = tail(parse_lenient(F.col(spec.seq_col)), spec.max_len)
+    # per-row values are projected BEFORE the generator; an expression placed next to
+    # posexplode would be evaluated once per output token (re-parsing the history)
+    return cut_lineage(rows.select(spec.row_key, *keys, toks.alias("_toks")).withColumn("_L", F.size("_toks")), "histories")
+
+
 def token_scores(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
     """One row per (row, kept token): score = <att(token), q> + ln(exp(-age/max(1,tau)) + 1e-8),
     age = position from the newest token."""
+    return _scored(histories(rows, spec), emb, spec)
+
+
+def _scored(base: DataFrame, emb: DataFrame, spec: HistorySpec, by_row: bool = False) -> DataFrame:
+    """``token_scores`` of ``histories``.  ``by_row``: the rows are dealt by their key before their tokens are
+    made, some ``TASK_TOKENS`` a task, so that grouping the tokens by row needs no shuffle of them; a
+    row's first record carries ``_row`` = 1, and rows without tokens are one record without token."""
     parts = query_parts(spec)
     keys = list(dict.fromkeys(c for c, _, _ in parts))
-    toks = tail(parse_lenient(F.col(spec.seq_col)), spec.max_len)
-    # per-row values are projected BEFORE the generator; an expression placed next to
-    # posexplode would be evaluated once per output token (re-parsing the history)
-    base = cut_lineage(rows.select(spec.row_key, *keys, toks.alias("_toks")).withColumn("_L", F.size("_toks")), "histories")
-    e = base.select(spec.row_key, *keys, "_L", F.posexplode("_toks").alias("pos", "token")) \
-            .where(F.col("token").isNotNull())
+    n = emb.count()
+    size = base.agg(F.sum("_L").alias("_tokens"), *[F.countDistinct(c).alias(c) for c in keys]).first()
+    few = [c for c in keys if size[c] <= MAP_VALUES]
+    dealt = base
+    if by_row:
+        slots = max((size["_tokens"] or 0) // TASK_TOKENS + 1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        dealt = base.repartition(slots, spec.row_key)
+    generate = F.posexplode_outer if by_row else F.posexplode
+    e = dealt.select(spec.row_key, *keys, "_L", generate("_toks").alias("pos", "token"))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    e = e.where(F.col("token").isNotNull() | first) if by_row else e.where(F.col("token").isNotNull())
     age = (F.col("_L") - 1 - F.col("pos")).cast("double")
     decay = F.exp(-age / F.lit(max(1.0, float(spec.tau))))
-    n = emb.count()
-    kinds = base.agg(*[F.countDistinct(c) for c in keys]).first()
-    few = [c for c, k in zip(keys, kinds) if k <= MAP_VALUES]
 
     def products(pairs):  # (token, ctx) -> (token, ctx, dot)
         pairs = with_vector(pairs.distinct(), emb, spec.att_offset, "token", "_att", spec.dim, n)
@@ -118,6 +138,10 @@ def token_scores(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFram
         once = base.select(F.explode(F.array_distinct("_toks")).alias("token"), F.array(*[ctx[c] for c in few]).alias("_c"))
         pairs = once.select("token", F.explode("_c").alias("ctx")).where("token is not null and ctx is not null")
         maps = products(pairs).groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("ctx", "dot"))).alias("_dots"))
+        if may_broadcast(base.sparkSession):
+            maps = cut_lineage(maps, "dots")  # few maps are broadcast, so no token is shuffled for them
+            if (maps.agg(F.sum(F.size("_dots"))).first()[0] or 0) <= BROADCAST_PRODUCTS:
+                maps = F.broadcast(maps)
         e = e.join(maps, "token", "left")
     score = F.lit(0.0)
     for i, (c, _, weight) in enumerate(parts):
@@ -128,16 +152,22 @@ def token_scores(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFram
             e = e.withColumn(f"_x{i}", ctx[c]).join(dots.select("token", F.col("ctx").alias(f"_x{i}"), F.col("dot").alias(f"_d{i}")), ["token", f"_x{i}"], "left")
             dot = F.col(f"_d{i}")
         score = score + F.lit(weight) * F.coalesce(dot, F.lit(0.0))
-    return e.select(spec.row_key, "pos", "token", (score + F.ln(decay + F.lit(DECAY_EPS))).alias("score"))
+    own = [F.when(first, 1).alias("_row")] if by_row else []
+    return e.select(spec.row_key, "pos", "token", (score + F.ln(decay + F.lit(DECAY_EPS))).alias("score"), *own)
 
 
 def selected(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
     """(row, sel): the top-k (score desc, older position first) as an array of
     (ns = -score, pos, token) structs."""
-    sc = token_scores(rows, emb, spec)
-    agg = sc.groupBy(spec.row_key).agg(F.collect_list(F.struct(
-        (-F.col("score")).alias("ns"), F.col("pos"), F.col("token"))).alias("_c"))
-    return agg.select(spec.row_key, F.slice(F.sort_array("_c"), 1, spec.top_k).alias("sel"))
+    return _chosen(rows, emb, spec).where(F.size("sel") > 0).select(spec.row_key, "sel")
+
+
+def _chosen(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
+    """``selected`` with ``_n``, the rows of each key, and with the keys of rows without tokens."""
+    sc = _scored(histories(rows, spec), emb, spec, by_row=True)
+    one = F.struct((-F.col("score")).alias("ns"), F.col("pos"), F.col("token"))
+    agg = sc.groupBy(spec.row_key).agg(F.collect_list(F.when(F.col("token").isNotNull(), one)).alias("_c"), F.count("_row").alias("_n"))
+    return agg.select(spec.row_key, "_n", F.slice(F.sort_array("_c"), 1, spec.top_k).alias("sel"))
 
 
 def top_k(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
@@ -152,27 +182,22 @@ def pool(rows: DataFrame, emb: DataFrame, spec: HistorySpec) -> DataFrame:
     """Per row: softmax (or relu) weights over the selected scores and the weighted sum
     of representation vectors; rows without history get a zero vector and n_sel = 0."""
     d = spec.dim
-    sel = selected(rows, emb, spec)
+    # a row without key has no history of its own
+    sel = _chosen(rows, emb, spec).withColumn("sel", F.when(F.col(spec.row_key).isNotNull(), F.col("sel")))
     if spec.gating == "relu":
         z = F.aggregate("sel", F.lit(0.0), lambda a, x: a + F.greatest(-x["ns"], F.lit(0.0))) + F.lit(1e-12)
-        sel = sel.select(spec.row_key, F.explode("sel").alias("_s"), z.alias("_z"))
-        w = F.greatest(-F.col("_s.ns"), F.lit(0.0)) / F.col("_z")
+        w = lambda m, z, ns: F.greatest(-ns, F.lit(0.0)) / z
     else:
-        m = -F.element_at("sel", 1)["ns"]
-        z = F.aggregate("sel", F.lit(0.0), lambda a, x: a + F.exp(-x["ns"] - m))
-        sel = sel.select(spec.row_key, F.explode("sel").alias("_s"), m.alias("_m"), z.alias("_z"))
-        w = F.exp(-F.col("_s.ns") - F.col("_m")) / F.col("_z")
-    picked = with_vector(sel.select(spec.row_key, F.col("_s.token").alias("token"), w.alias("_w")),
+        z = F.aggregate("sel", F.lit(0.0), lambda a, x: a + F.exp(-x["ns"] + F.get("sel", F.lit(0))["ns"]))
+        w = lambda m, z, ns: F.exp(-ns - m) / z
+    sel = sel.select(spec.row_key, "_n", z.alias("_z"), (-F.get("sel", F.lit(0))["ns"]).alias("_m"), F.explode_outer("sel").alias("_s"))
+    picked = with_vector(sel.select(spec.row_key, "_n", F.col("_s.token").alias("token"), w(F.col("_m"), F.col("_z"), F.col("_s.ns")).alias("_w")),
                          emb, spec.rep_offset, "token", "_rep", d)
-    # k weighted vectors per row, summed in array form after a map-side partial collect
+    # the rows lie by their key, so their vectors are added up where they are, in one sum per dimension
     pooled = picked.groupBy(spec.row_key).agg(
-        F.count(F.lit(1)).alias("n_sel"),
-        F.collect_list(F.struct(F.col("_w").alias("w"), F.col("_rep").alias("v"))).alias("_wv"))
-    zero = vx.zeros(d)
-    vsum = F.aggregate("_wv", zero, lambda acc, x: F.zip_with(acc, x["v"], lambda a, b: a + x["w"] * b))
-    out = pooled.select(spec.row_key, "n_sel", vsum.alias("pooled"))
-    return rows.select(spec.row_key).join(out, spec.row_key, "left").select(
-        spec.row_key, F.coalesce("n_sel", F.lit(0)).alias("n_sel"), F.coalesce("pooled", zero).alias("pooled"))
+        F.first("_n").alias("_n"), F.count("token").alias("n_sel"),
+        F.array(*[F.coalesce(F.sum(F.col("_w") * F.get("_rep", F.lit(i))), F.lit(0.0)) for i in range(d)]).alias("pooled"))
+    return pooled.select(spec.row_key, "n_sel", "pooled", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def fm_interaction(vectors: list, dim: int | None = None) -> Column:

@@ -84,6 +84,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def may_broadcast(spark: SparkSession) -> bool:
+    """Whether the session lets joins broadcast by themselves (a negative threshold forbids it)."""
+    return not spark.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as Parquet in a fresh folder under the shared checkpoint
     directory and continue from the files.

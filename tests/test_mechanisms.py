@@ -255,3 +255,36 @@ def test_pair_tables_are_not_shuffled_again(spark, monkeypatch):
                 assert tuple(r) == pytest.approx(want[r.rid], rel=1e-9)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("gating", ["softmax", "relu"])
+def test_history_pool_shuffles_rows_not_tokens_or_vectors(spark, gating):
+    vec = lambda i: [math.sin(i * (j + 1)) for j in range(3)]
+    emb = spark.createDataFrame([(i, vec(i), 0) for i in range(60)], "vec_id long, embedding array<double>, label int")
+    data = [(i // 2 if i < 6 else i, ",".join(str((i * j) % 25) if j != 2 else "x" for j in range(i % 7)) or None, i % 3) for i in range(30)]
+    data += [(None, "3,4", 1), (None, None, 2)]
+    rows = spark.createDataFrame(data, "rid long, seq string, inventory_id int")
+    spec = hi.HistorySpec(max_len=5, top_k=3, gating=gating, query_mode="S1", dim=3, query_offset=30, rep_offset=20)
+    got = hi.pool(rows, emb, spec)
+    p = plan(got)
+    assert len(re.findall(r"Exchange hashpartitioning\(rid", p)) == 1, p
+    want, held = {}, {}
+    for rid, seq, inv in data:
+        toks = (seq or "").split(",")[-5:] if seq else []
+        for pos, t in enumerate(toks):
+            if t != "x" and rid is not None:
+                score = sum(a * b for a, b in zip(vec(int(t)), vec(inv + 30))) + math.log(math.exp(-(len(toks) - 1 - pos) / 512) + 1e-8)
+                held.setdefault(rid, []).append((-score, pos, int(t)))
+    for rid, _, _ in data:
+        top = sorted(held.get(rid, []))[:3]
+        g = [math.exp(-s[0]) if gating == "softmax" else max(-s[0], 0.0) for s in top]
+        z = sum(g) + (1e-12 if gating == "relu" else 0.0)
+        want.setdefault(rid, []).append([len(top)] + [sum(w / z * vec(s[2] + 20)[d] for w, s in zip(g, top)) for d in range(3)])
+    seen = {}
+    for r in got.collect():
+        seen.setdefault(r.rid, []).append([r.n_sel, *r.pooled])
+    assert seen.keys() == want.keys()
+    for rid, lines in want.items():
+        assert len(lines) == len(seen[rid])
+        for a, b in zip(lines, seen[rid]):
+            assert b == pytest.approx(a, abs=1e-9), rid
