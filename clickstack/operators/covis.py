@@ -12,6 +12,9 @@ Plan shape (one scan of the training rows for every fold and target):
 4. ``row_features``: left join of the row's tokens to the stats (plain equality, null
    keys never match), then one ``groupBy(row)`` with 8 aggregates per target.
 
+Where the table of pair keys is small (checked), 4. takes no token apart: rows are dealt by their key and
+each task aggregates their token arrays against the whole table (``covisrows``).
+
 Per-key tables are stored in buckets of the pair key (``stored``), so any number of row sets looks
 them up without shuffling them again (``look_up``); out-of-fold lookups read the totals and the own
 fold's counts of a key and subtract (``row_features_oof``).
@@ -25,8 +28,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import counted_positions, parse_lenient, tail, time_bin as time_bin_expr
-from ..session import drop_at_exit, scratch_folder
+from ..functions.sequence import counted_positions, empty_int_array, parse_lenient, tail, time_bin as time_bin_expr
+from ..session import cut_lineage, drop_at_exit, may_broadcast, scratch_folder
+from . import covisrows
 
 # Reference defaults for the covis configuration.
 DEFAULT_AGGS = ("sum_ctr", "mean_ctr", "max_ctr", "top3_mean_ctr",
@@ -88,7 +92,7 @@ def token_rows(df: DataFrame, spec: CovisSpec, keep: list[str] | None = None,
     keep = list(keep or [])
     tb = time_bin_expr(spec.time_bin)
     tb = F.lit(0) if tb is None else tb
-    toks = tail(parse_lenient(F.col(spec.seq_col)), spec.seq_top_k)
+    toks = F.coalesce(kept_tokens(df, spec), empty_int_array())
     stacked = F.array(*[F.struct(F.lit(t).alias("target"),
                                  F.col(t).cast("string").alias("target_value"))
                         for t in spec.targets])
@@ -265,6 +269,36 @@ def _row_aggregates(spec: CovisSpec) -> list[Column]:
     return aggs
 
 
+SHARED_KEYS = 500_000  # pair keys, times folds, that every task may hold
+
+
+def few_keys(stats: DataFrame, times: int = 1) -> bool:
+    """Whether the table of pair keys is small enough (checked) for every task to hold it."""
+    return may_broadcast(stats.sparkSession) and stats.limit(SHARED_KEYS // times + 1).count() * times <= SHARED_KEYS
+
+
+def _row_tokens(rows: DataFrame, spec: CovisSpec, keep: list[str]) -> DataFrame:
+    """(keep..., ``_bin``, ``_v0`` .. values of the targets, ``_toks`` kept tokens) of every row."""
+    tb = time_bin_expr(spec.time_bin)
+    return rows.select(*keep, (F.lit(0) if tb is None else tb).cast("int").alias("_bin"),
+                       *[F.col(t).cast("string").alias(f"_v{i}") for i, t in enumerate(spec.targets)],
+                       kept_tokens(rows, spec).alias("_toks"))
+
+
+def kept_tokens(rows: DataFrame, spec: CovisSpec) -> Column:
+    """The tail of the history, which is a text or already an array of tokens."""
+    seq = F.col(spec.seq_col)
+    return tail(seq if dict(rows.dtypes)[spec.seq_col] == "array<int>" else parse_lenient(seq), spec.seq_top_k)
+
+
+def parsed(rows: DataFrame, spec: CovisSpec) -> DataFrame:
+    """``rows`` with their histories parsed and cut, written once for all passes over them (parsed ones are left)."""
+    if dict(rows.dtypes)[spec.seq_col] == "array<int>":
+        return rows
+    toks = kept_tokens(rows, spec)
+    return cut_lineage(rows.withColumn(spec.seq_col, F.when(F.size(toks) > 0, toks)), "rows")
+
+
 def row_features(rows: DataFrame, stats: DataFrame, spec: CovisSpec, row_cols: list[str],
                  join_fold: bool = False) -> DataFrame:
     """Per row x target aggregates of the matched pair statistics, null -> 0.
@@ -273,8 +307,10 @@ def row_features(rows: DataFrame, stats: DataFrame, spec: CovisSpec, row_cols: l
     the output key (e.g. rid, fold or ID).  With ``join_fold`` the lookup key includes
     the row's fold, so each row sees only statistics built without its own fold."""
     keep = list(row_cols) + (["fold"] if join_fold and "fold" not in row_cols else [])
-    rt = token_rows(rows, spec, keep=keep, outer=True)
     on = KEYS + (["fold"] if join_fold else [])
+    if not join_fold and few_keys(stats):
+        return covisrows.aggregates(_row_tokens(rows, spec, keep), stats.select(*on, "impr", "ctr"), spec, row_cols)
+    rt = token_rows(rows, spec, keep=keep, outer=True)
     if join_fold:
         joined = rt.join(stats.select(*on, "impr", "ctr"), on, "left")
     else:
@@ -289,6 +325,9 @@ def row_features_oof(rows: DataFrame, wide: DataFrame, spec: CovisSpec, row_cols
     counts and subtracts, so no table with a row per key and fold is made or shuffled."""
     spec.validate()
     keep = list(row_cols) + (["fold"] if "fold" not in row_cols else [])
+    if few_keys(wide, spec.n_folds):
+        stats = pair_stats_oof_from_wide(wide, spec).select(*KEYS, "fold", "impr", "ctr")
+        return covisrows.aggregates(_row_tokens(rows, spec, keep), stats, spec, row_cols)
     own = lambda c: F.array(*[F.coalesce(F.col(f"{c}_{i}"), F.lit(0)) for i in range(spec.n_folds)]).alias(c)
     lookup = wide.select(*KEYS, "impr_all", "clicks_all", own("impr"), own("clicks"))
     found = look_up(token_rows(rows, spec, keep=keep, outer=True), lookup, ["impr_all", "clicks_all", "impr", "clicks"], "impr_all")
@@ -307,6 +346,7 @@ def build_oof_and_test(train: DataFrame, test: DataFrame, spec: CovisSpec,
 
     The per-fold pair table is aggregated ONCE and written to the shared folder; both
     the out-of-fold and the full-train statistics are derived from it."""
+    train = parsed(train, spec)
     tok = token_rows(train, spec, keep=["fold", spec.label_col])
     wide = stored(pair_stats_wide(tok, spec))
     oof = pair_stats_oof_from_wide(wide, spec)

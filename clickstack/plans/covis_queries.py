@@ -145,7 +145,7 @@ def q_smoothed_ctr(spark, sf_dir):
           "SELECT * FROM rf_oof", FEATS))
 def q_row_features_oof(spark, sf_dir):
     """Flagship: out-of-fold row features for every training row (2.4 #4)."""
-    tr = train_with_folds(spark, sf_dir)
+    tr = cv.parsed(train_with_folds(spark, sf_dir), SPEC)
     tok = cv.token_rows(tr, SPEC, keep=["fold", "clicked"])
     return cv.row_features_oof(tr, cv.stored(cv.pair_stats_wide(tok, SPEC)), SPEC, ["rid", "fold"])
 
@@ -174,7 +174,7 @@ ROWTOK2 = ob.tokens_cte("rtok", "trainf", ["rid", "fold"], ["l_feat_14", "hour"]
     "SELECT * FROM rf2", FEATS2))
 def q_row_features_multi_target(spark, sf_dir):
     """Two targets stacked as rows: one shuffle for both, one row per rid (2.3 #6)."""
-    tr = train_with_folds(spark, sf_dir)
+    tr = cv.parsed(train_with_folds(spark, sf_dir), SPEC2)
     tok = cv.token_rows(tr, SPEC2, keep=["fold", "clicked"])
     return cv.row_features_oof(tr, cv.stored(cv.pair_stats_wide(tok, SPEC2)), SPEC2, ["rid"])
 
@@ -200,7 +200,7 @@ FROM trainf t LEFT JOIN rf_oof r USING (rid), med""", ["feat_a_1"] + FEATS))
 def q_features_with_covis(spark, sf_dir):
     """OOF features joined on rid become numerics of the block (filled with 0.0); the block is
     written as a sharded cache and read back (2.1 #9, 2.2 #10, 2.3 #1)."""
-    tr = train_with_folds(spark, sf_dir)
+    tr = cv.parsed(train_with_folds(spark, sf_dir), SPEC)
     tok = cv.token_rows(tr, SPEC, keep=["fold", "clicked"])
     rf = cv.row_features_oof(tr, cv.stored(cv.pair_stats_wide(tok, SPEC)), SPEC, ["rid"])
     rows = cv.join_features(tr.drop("seq"), rf, "rid", FEATS)

@@ -23,8 +23,8 @@ def _tables(spark, sf_dir):
     full-train covis features), each materialised once (checkpoint) because every
     fit iterates over it."""
     from ..operators.folds import attach_folds
-    tr = attach_folds(fx.train(spark, sf_dir), list(SPEC.fold_group), SPEC.n_folds, HASH)
-    te = fx.test(spark, sf_dir)
+    tr = cv.parsed(attach_folds(fx.train(spark, sf_dir), list(SPEC.fold_group), SPEC.n_folds, HASH), SPEC)
+    te = cv.parsed(fx.test(spark, sf_dir), SPEC)
     oof, full, rf_oof, rf_test = cv.build_oof_and_test(tr, te, SPEC)
     med = fe.median_values(tr, ["feat_a_1"])["feat_a_1"]
 

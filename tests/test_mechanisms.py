@@ -288,3 +288,31 @@ def test_history_pool_shuffles_rows_not_tokens_or_vectors(spark, gating):
         assert len(lines) == len(seen[rid])
         for a, b in zip(lines, seen[rid]):
             assert b == pytest.approx(a, abs=1e-9), rid
+
+
+@pytest.mark.parametrize("recency", ["from_start", "from_end"])
+def test_row_aggregates_against_a_small_pair_table_take_no_token_apart(spark, monkeypatch, recency):
+    from clickstack.operators import covisrows
+    spec = cv.CovisSpec(targets=("t", "u"), n_folds=2, seq_top_k=6, fold_group=("g",), recency=recency, recency_tau=3.0, prior_strength=2.0)
+    data = [(None if i % 50 == 0 else i // 2 if i < 60 else i, i % 2, int(i % 5 == 0), None if i % 11 == 0 else str(i % 3), i % 2,
+             None if i % 13 == 0 else i % 7, None if i % 17 == 0 else ",".join("x" if (i + j) % 9 == 0 else str((i * j) % 12) for j in range(i % 9)))
+            for i in range(300)]
+    rows = spark.createDataFrame(data, "rid long, fold int, clicked int, t string, u int, day_of_week int, seq string")
+    train = cv.parsed(rows, spec)
+    wide = cv.stored(cv.pair_stats_wide(cv.token_rows(train, spec, keep=["fold", "clicked"]), spec))
+    full = cv.pair_stats_full_from_wide(wide, spec)
+    both = lambda r: [cv.row_features_oof(r, wide, spec, ["rid", "fold"]), cv.row_features(r, full, spec, ["rid"])]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = [sorted(map(tuple, df.collect()), key=lambda r: str(r[:2])) for df in both(rows)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for cells in (covisrows.CELLS, 1):
+        monkeypatch.setattr(covisrows, "CELLS", cells)
+        for r in (rows, train):
+            for df, old in zip(both(r), want):
+                assert "Generate" not in plan(df) and "Join" not in plan(df)
+                got = sorted(map(tuple, df.collect()), key=lambda r: str(r[:2]))
+                assert len(got) == len(old)
+                for a, b in zip(got, old):
+                    assert a[0] == b[0] and a[1:] == pytest.approx([x if x is not None else 0 for x in b[1:]], rel=1e-9)
