@@ -71,14 +71,22 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+CONCURRENT_ROWS = 5_000_000  # rows that fits running at the same time may keep in memory together
+
+
+def fits_at_once(rows: int, n_folds: int) -> int:
+    """Every fit keeps its own rows in memory; large tables are fitted one fold after another."""
+    return max(1, min(n_folds, CONCURRENT_ROWS // max(rows, 1)))
+
+
 def cross_validate(df: DataFrame, label: str, fold_col: str, n_folds: int, kind: str = "lr",
                    key: str = "rid", parallelism: int | None = None, model_dir: str | None = None, **kw):
     """Fit one model per fold on the other folds; each fold's rows are scored by its
     own model.  Returns (oof DataFrame(key, fold, z, y), [models]).
 
     The fold fits are independent Spark jobs and are submitted concurrently from a
-    small thread pool (``parallelism``, default = number of folds), as MLlib's own
-    tuning does; each fit is still a distributed job over the whole training part."""
+    small thread pool (``parallelism``, default = as many as ``fits_at_once`` allows), as MLlib's
+    own tuning does; each fit is still a distributed job over the whole training part."""
     from concurrent.futures import ThreadPoolExecutor
 
     def one(f):
@@ -90,7 +98,7 @@ def cross_validate(df: DataFrame, label: str, fold_col: str, n_folds: int, kind:
         if path:
             m.write().overwrite().save(path)
         return m
-    with ThreadPoolExecutor(max_workers=parallelism or n_folds) as pool:
+    with ThreadPoolExecutor(max_workers=parallelism or fits_at_once(df.count(), n_folds)) as pool:
         models = list(pool.map(one, range(n_folds)))
     parts = [score(m, df.where(F.col(fold_col) == f), [key, fold_col, label]) for f, m in enumerate(models)]
     oof = parts[0]

@@ -316,3 +316,27 @@ def test_row_aggregates_against_a_small_pair_table_take_no_token_apart(spark, mo
                 assert len(got) == len(old)
                 for a, b in zip(got, old):
                     assert a[0] == b[0] and a[1:] == pytest.approx([x if x is not None else 0 for x in b[1:]], rel=1e-9)
+
+
+def test_fits_of_a_large_table_do_not_share_the_memory(spark, monkeypatch):
+    import threading
+    import time
+    from clickstack.operators import models as mo
+    df = spark.range(40).select(F.col("id").alias("rid"), (F.col("id") % 4).alias("fold"), (F.col("id") % 2).alias("clicked"))
+    now, most, lock = [0], [0], threading.Lock()
+
+    def fit(*_, **__):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.3)
+        with lock:
+            now[0] -= 1
+
+    monkeypatch.setattr(mo, "fit", fit)
+    monkeypatch.setattr(mo, "score", lambda m, d, keep: d.select(*keep))
+    for rows, at_once in ((40, 1), (400, 4)):
+        most[0] = 0
+        monkeypatch.setattr(mo, "CONCURRENT_ROWS", rows)
+        mo.cross_validate(df, "clicked", "fold", 4)
+        assert most[0] == at_once
