@@ -17,9 +17,9 @@ def empty_int_array() -> Column:
 def parse_lenient(seq) -> Column:
     """Split on ',' and try-cast each piece; junk and empty pieces stay as null
     elements (see ``counted_positions``).  Null sequence -> empty array."""
-    s = _col(seq)
-    # array-level try_cast keeps per-element nulls and stays in whole-stage codegen
-    return F.when(s.isNull(), empty_int_array()).otherwise(F.split(s, ",").try_cast("array<int>"))
+    # array-level try_cast keeps per-element nulls and stays in whole-stage codegen; ``seq`` occurs once, since
+    # Spark would work out an expression that occurs twice as often
+    return F.coalesce(F.split(_col(seq), ",").try_cast("array<int>"), empty_int_array())
 
 
 def counted_positions(arr) -> Column:

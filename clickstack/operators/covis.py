@@ -195,6 +195,18 @@ def pair_stats_wide(tokens: DataFrame, spec: CovisSpec, fold_col: str = "fold")
     return tokens.groupBy(*KEYS).agg(*aggs)
 
 
+def pair_stats_of_rows(rows: DataFrame, spec: CovisSpec) -> DataFrame:
+    """``pair_stats_wide`` of rows with ``fold``, counted per task over the token arrays (``covisrows``) before the
+    shuffle: no row per token."""
+    counts = covisrows.pair_counts(_row_tokens(rows, spec, ["fold", spec.label_col]).where(F.size("_toks") > 0), spec)
+    aggs = [F.sum("n").alias("impr_all"), F.sum("clicks").alias("clicks_all"), F.sum("w").alias("w_all")]
+    for i in range(spec.n_folds):
+        own = lambda c: F.when(F.col("fold") == i, F.col(c))
+        aggs += [F.coalesce(F.sum(own("n")), F.lit(0)).alias(f"impr_{i}"), F.sum(own("clicks")).alias(f"clicks_{i}"),
+                 F.sum(own("w")).alias(f"w_{i}"), F.max(own("pos")).alias(f"maxpos_{i}")]
+    return counts.groupBy(*KEYS).agg(*aggs)
+
+
 def oof_priors(wide: DataFrame, spec: CovisSpec) -> Column:
     """Array (index = fold) of the prior over the rows outside each fold, as one
     scalar subquery over the per-key table."""
@@ -286,17 +298,19 @@ def _row_tokens(rows: DataFrame, spec: CovisSpec, keep: list[str]) -> DataFrame:
 
 
 def kept_tokens(rows: DataFrame, spec: CovisSpec) -> Column:
-    """The tail of the history, which is a text or already an array of tokens."""
+    """The tail of the history, which is a text or already an array of tokens; of a text only the kept pieces
+    are parsed."""
     seq = F.col(spec.seq_col)
-    return tail(seq if dict(rows.dtypes)[spec.seq_col] == "array<int>" else parse_lenient(seq), spec.seq_top_k)
+    if dict(rows.dtypes)[spec.seq_col] == "array<int>":
+        return tail(seq, spec.seq_top_k)
+    return parse_lenient(F.substring_index(seq, ",", -spec.seq_top_k))
 
 
 def parsed(rows: DataFrame, spec: CovisSpec) -> DataFrame:
     """``rows`` with their histories parsed and cut, written once for all passes over them (parsed ones are left)."""
     if dict(rows.dtypes)[spec.seq_col] == "array<int>":
         return rows
-    toks = kept_tokens(rows, spec)
-    return cut_lineage(rows.withColumn(spec.seq_col, F.when(F.size(toks) > 0, toks)), "rows")
+    return cut_lineage(rows.withColumn(spec.seq_col, kept_tokens(rows, spec)), "rows")
 
 
 def row_features(rows: DataFrame, stats: DataFrame, spec: CovisSpec, row_cols: list[str],
@@ -347,8 +361,7 @@ def build_oof_and_test(train: DataFrame, test: DataFrame, spec: CovisSpec,
     The per-fold pair table is aggregated ONCE and written to the shared folder; both
     the out-of-fold and the full-train statistics are derived from it."""
     train = parsed(train, spec)
-    tok = token_rows(train, spec, keep=["fold", spec.label_col])
-    wide = stored(pair_stats_wide(tok, spec))
+    wide = stored(pair_stats_of_rows(train, spec))
     oof = pair_stats_oof_from_wide(wide, spec)
     full = pair_stats_full_from_wide(wide, spec)
     rf_oof = row_features_oof(train, wide, spec, [spec.row_key, "fold"])

@@ -43,7 +43,10 @@ def attach_folds(df: DataFrame, group_cols: list[str], n_folds: int = 5,
     """Add ``fold`` to every row through its group: the join is against the (small)
     group -> fold map, never against a per-row fold table."""
     gdf = with_group(df, group_cols, mode)
-    return gdf.join(group_fold_map(gdf, n_folds), "g", "left")
+    # groups are hashed once per value of their columns, not once per row
+    present = [c for c in group_cols if c in df.columns]
+    groups = with_group(df.select(*present).distinct(), group_cols, mode) if present else gdf
+    return gdf.join(group_fold_map(groups, n_folds), "g", "left")
 
 
 PROFILES = 10_000  # profiles that are dealt together

@@ -146,8 +146,7 @@ def q_smoothed_ctr(spark, sf_dir):
 def q_row_features_oof(spark, sf_dir):
     """Flagship: out-of-fold row features for every training row (2.4 #4)."""
     tr = cv.parsed(train_with_folds(spark, sf_dir), SPEC)
-    tok = cv.token_rows(tr, SPEC, keep=["fold", "clicked"])
-    return cv.row_features_oof(tr, cv.stored(cv.pair_stats_wide(tok, SPEC)), SPEC, ["rid", "fold"])
+    return cv.row_features_oof(tr, cv.stored(cv.pair_stats_of_rows(tr, SPEC)), SPEC, ["rid", "fold"])
 
 
 @register("row_features_test", ob.query(BASE + [TOK_TRAIN, PAIR_FULL, ROWTOK_TEST, RF_TEST],
@@ -175,8 +174,7 @@ ROWTOK2 = ob.tokens_cte("rtok", "trainf", ["rid", "fold"], ["l_feat_14", "hour"]
 def q_row_features_multi_target(spark, sf_dir):
     """Two targets stacked as rows: one shuffle for both, one row per rid (2.3 #6)."""
     tr = cv.parsed(train_with_folds(spark, sf_dir), SPEC2)
-    tok = cv.token_rows(tr, SPEC2, keep=["fold", "clicked"])
-    return cv.row_features_oof(tr, cv.stored(cv.pair_stats_wide(tok, SPEC2)), SPEC2, ["rid"])
+    return cv.row_features_oof(tr, cv.stored(cv.pair_stats_of_rows(tr, SPEC2)), SPEC2, ["rid"])
 
 
 # ---------------------------------------------------------------- joins back to rows
@@ -201,8 +199,7 @@ def q_features_with_covis(spark, sf_dir):
     """OOF features joined on rid become numerics of the block (filled with 0.0); the block is
     written as a sharded cache and read back (2.1 #9, 2.2 #10, 2.3 #1)."""
     tr = cv.parsed(train_with_folds(spark, sf_dir), SPEC)
-    tok = cv.token_rows(tr, SPEC, keep=["fold", "clicked"])
-    rf = cv.row_features_oof(tr, cv.stored(cv.pair_stats_wide(tok, SPEC)), SPEC, ["rid"])
+    rf = cv.row_features_oof(tr, cv.stored(cv.pair_stats_of_rows(tr, SPEC)), SPEC, ["rid"])
     rows = cv.join_features(tr.drop("seq"), rf, "rid", FEATS)
     fitted = fe.fit(rows, CACHE, tuple(FEATS))
     path = sh.scratch_path(spark, "covis-cache")

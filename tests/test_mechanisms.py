@@ -340,3 +340,40 @@ def test_fits_of_a_large_table_do_not_share_the_memory(spark, monkeypatch):
         monkeypatch.setattr(mo, "CONCURRENT_ROWS", rows)
         mo.cross_validate(df, "clicked", "fold", 4)
         assert most[0] == at_once
+
+
+@pytest.mark.parametrize("recency", ["from_start", "from_end"])
+def test_pairs_are_counted_without_a_row_per_token(spark, monkeypatch, recency):
+    """Nulls, junk and empty histories included; blocks of any size, dense and sparse numbers."""
+    from clickstack.operators import covisrows
+    spec = cv.CovisSpec(targets=("t", "u"), n_folds=2, seq_top_k=6, fold_group=("g",), recency=recency, recency_tau=3.0)
+    data = [(i, i % 2, None if i % 7 == 0 else int(i % 5 == 0), None if i % 11 == 0 else str(i % 3), i % 2, None if i % 13 == 0 else i % 7,
+             None if i % 17 == 0 else ",".join("x" if (i + j) % 9 == 0 else str((i * j) % 12 - 3 + 2_000_000_000 * (i % 19 == 0)) for j in range(i % 9)))
+            for i in range(300)]
+    rows = spark.createDataFrame(data, "rid long, fold int, clicked int, t string, u int, day_of_week int, seq string")
+    asked = cv.pair_stats_wide(cv.token_rows(rows, spec, keep=["fold", "clicked"]), spec)
+    order = lambda df: sorted(map(tuple, df.collect()), key=lambda r: str(r[:4]))
+    want = order(asked)
+    for cells, dense in ((covisrows.CELLS, covisrows.DENSE), (1, covisrows.DENSE), (40, 1)):
+        monkeypatch.setattr(covisrows, "CELLS", cells)
+        monkeypatch.setattr(covisrows, "DENSE", dense)
+        for r in (rows, cv.parsed(rows, spec)) if cells > 40 else (rows,):
+            wide = cv.pair_stats_of_rows(r, spec)
+            assert wide.dtypes == asked.dtypes and "Generate" not in plan(wide)
+            got = order(wide)
+            assert len(got) == len(want)
+            for a, b in zip(got, want):
+                assert a[:4] == b[:4] and [x is None for x in a] == [x is None for x in b]
+                assert [x for x in a[4:] if x is not None] == pytest.approx([x for x in b[4:] if x is not None], rel=1e-9)
+
+
+def test_only_the_kept_pieces_of_a_text_are_parsed_and_once(spark):
+    spec = cv.CovisSpec(seq_top_k=3)
+    texts = [None, "", ",", "1", "1,2,3", "1,2,3,4", "x,2,,4", "1,2,3,", "9,8,7,6,x", " 5 ,6"]
+    rows = spark.createDataFrame([(t,) for t in texts], "seq string")
+    long = rows.select("seq", F.array_join(F.split("seq", ","), ",").alias("s")).select("seq", F.regexp_replace("s", "9", "0").alias("s"))
+    kept = cv.kept_tokens(long.select(F.col("s").alias("seq")), spec)
+    p = plan(long.select(F.col("s").alias("seq")).select(kept))
+    assert p[:p.index("Scan")].count("regexp_replace") == 1
+    got = [r[0] for r in rows.select(cv.kept_tokens(rows, spec)).collect()]
+    assert got == [[], [None], [None, None], [1], [1, 2, 3], [2, 3, 4], [2, None, 4], [2, 3, None], [7, 6, None], [5, 6]]
