@@ -200,11 +200,11 @@ def q_features_with_covis(spark, sf_dir):
     written as a sharded cache and read back (2.1 #9, 2.2 #10, 2.3 #1)."""
     tr = cv.parsed(train_with_folds(spark, sf_dir), SPEC)
     rf = cv.row_features_oof(tr, cv.stored(cv.pair_stats_of_rows(tr, SPEC)), SPEC, ["rid"])
-    rows = cv.join_features(tr.drop("seq"), rf, "rid", FEATS)
-    fitted = fe.fit(rows, CACHE, tuple(FEATS))
-    path = sh.scratch_path(spark, "covis-cache")
-    sh.write_shards(fe.transform(rows, fitted), path, 700)
-    block = sh.read_block(spark, path)
+    # the fills of the table's own numerics need no joined column: there is one line of features per rid
+    plain = tr.drop("seq")
+    fitted = fe.fit(plain.select("*", *[F.lit(0.0).alias(c) for c in FEATS]), CACHE, tuple(FEATS))
+    rows = cv.join_features(plain, rf, "rid", FEATS)
+    _, block = sh.write_block(fe.transform(rows, fitted), sh.scratch_path(spark, "covis-cache"), 700)
     nums = [F.element_at("X_num", i + 1).cast("double").alias(c) for i, c in enumerate(fitted.num_cols)]
     return block.select("rid", "y", F.element_at("X_mask", 1).alias("feat_a_1_mask"), *nums)
 

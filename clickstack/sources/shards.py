@@ -32,6 +32,13 @@ def write_shards(df: DataFrame, out_dir: str, shard_rows: int, rid_col: str = "r
 
     Rows are dealt by shard, so a task holds whole shards, of known size; ``ordered`` rows, as
     ``contiguous_rid`` leaves them, are written as they come."""
+    return write_block(df, out_dir, shard_rows, rid_col, mode, ordered)[0]
+
+
+def write_block(df: DataFrame, out_dir: str, shard_rows: int, rid_col: str = "rid", mode: str = "overwrite",
+                ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``write_shards``, which gives the manifest, and the block read back; the folders of the shards are listed
+    once for both."""
     df = with_shard(df, shard_rows, rid_col)
     if not ordered:
         df = df.repartition("shard").sortWithinPartitions("shard", rid_col)
@@ -39,7 +46,7 @@ def write_shards(df: DataFrame, out_dir: str, shard_rows: int, rid_col: str = "r
     written = df.sparkSession.read.parquet(f"{out_dir}/data")
     m = manifest(written, rid_col)
     m.write.mode(mode).parquet(f"{out_dir}/manifest")
-    return df.sparkSession.read.parquet(f"{out_dir}/manifest")
+    return df.sparkSession.read.parquet(f"{out_dir}/manifest"), written
 
 
 def write_caches(train: DataFrame, test: DataFrame, spec, out_dir: str, shard_rows: int, fit_on: str = "train",

@@ -377,3 +377,24 @@ def test_only_the_kept_pieces_of_a_text_are_parsed_and_once(spark):
     assert p[:p.index("Scan")].count("regexp_replace") == 1
     got = [r[0] for r in rows.select(cv.kept_tokens(rows, spec)).collect()]
     assert got == [[], [None], [None, None], [1], [1, 2, 3], [2, 3, 4], [2, None, 4], [2, 3, None], [7, 6, None], [5, 6]]
+
+
+def test_a_block_is_listed_once_and_given_back(spark, tmp_path):
+    from clickstack.sources import shards as sh
+    df = spark.range(100).select(F.col("id").alias("rid"))
+    man, block = sh.write_block(df, str(tmp_path), 30)
+    assert {(r.shard, r.rows, r.start, r.end) for r in man.collect()} == {(0, 30, 0, 30), (1, 30, 30, 60), (2, 30, 60, 90), (3, 10, 90, 100)}
+    assert sorted(r.rid for r in block.collect()) == list(range(100))
+
+
+def test_covis_fills_are_fitted_without_the_join(spark, monkeypatch, tmp_path):
+    from clickstack.operators import features as fe
+    from clickstack.plans import covis_queries as cq
+    seen = []
+    monkeypatch.setattr(cq.fe, "fit", lambda df, *a, fit=fe.fit: (seen.append(plan(df)), fit(df, *a))[1])
+    spark.range(60).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id)").alias("ts"),
+                           (F.col("id") % 4).alias("user_id"), F.when(F.col("id") % 3 == 0, "click").otherwise("view").alias("event_type"),
+                           (F.col("id") * 1.5).alias("value"), F.format_string('{"k": %d}', F.col("id") % 9).alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    out = cq.q_features_with_covis(spark, str(tmp_path))
+    assert len(seen) == 1 and "Join" not in seen[0]
+    assert out.count() == 54 and out.select("rid").distinct().count() == 54
