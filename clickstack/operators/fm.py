@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow_map
-from ..session import path_exists
+from ..session import cut_lineage, path_exists
 
 BLOCK = 8192  # parameters that travel together
 
@@ -28,13 +28,16 @@ def unpack(theta: np.ndarray, n: int) -> tuple[float, np.ndarray, np.ndarray]:
 
 
 def margins(theta: np.ndarray, n: int, start: np.ndarray, index: np.ndarray, value: np.ndarray):
-    """(z, sums of factors) of the sparse rows that begin at ``start`` (one end behind them)."""
+    """(z, sums of factors [factors, rows], row of each entry, its factors [factors, entries]) of the sparse rows
+    that begin at ``start`` (one end behind them)."""
     bias, w, v = unpack(theta, n)
-    row = np.repeat(np.arange(len(start) - 1), np.diff(start))
-    part = v[index] * value[:, None]
-    rows = len(start) - 1
-    total = np.stack([np.bincount(row, part[:, f], minlength=rows) for f in range(v.shape[1])], 1) if v.shape[1] else np.zeros((rows, 0))
-    z = bias + np.bincount(row, w[index] * value, minlength=rows) + 0.5 * ((total ** 2).sum(1) - np.bincount(row, (part ** 2).sum(1), minlength=rows))
+    rows, size = len(start) - 1, np.diff(start)
+    row = np.repeat(np.arange(rows), size)
+    part = np.ascontiguousarray(v.T)[:, index] * value
+    total, some = np.zeros((v.shape[1], rows)), size > 0
+    if some.any():
+        total[:, some] = np.add.reduceat(part, start[:-1][some], axis=1)
+    z = bias + np.bincount(row, w[index] * value, minlength=rows) + 0.5 * ((total ** 2).sum(0) - np.bincount(row, (part ** 2).sum(0), minlength=rows))
     return z, total, row, part
 
 
@@ -49,7 +52,7 @@ def gradient(theta: np.ndarray, n: int, start, index, value, y, weight) -> tuple
     gx = g[row] * value
     dw += np.bincount(index, gx, minlength=n)
     for f in range(dv.shape[1]):
-        dv[:, f] = np.bincount(index, gx * (total[row, f] - part[:, f]), minlength=n)
+        dv[:, f] = np.bincount(index, gx * (total[f][row] - part[f]), minlength=n)
     return loss, out
 
 
@@ -125,9 +128,9 @@ class WeightedFM:
 def fit(df: DataFrame, label: str, weight: str, num_features: int, factor_size: int = 8, max_iter: int = 30,
         step_size: float = 0.1, reg: float = 1e-3, seed: int = 777, model_dir: str | None = None) -> WeightedFM:
     """``df`` has the vector ``features`` of ``num_features`` entries, a 0/1 label and the row weights; it is
-    read once per step and should be a written table."""
+    read once: its sparse rows are written, and every step reads those."""
     spark = df.sparkSession
-    rows = sparse_rows(df, [F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("weight")])
+    rows = cut_lineage(sparse_rows(df, [F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("weight")]), "sparse")
     total = rows.agg(F.sum("weight")).first()[0] or 1.0
     size = 1 + num_features * (1 + factor_size)
     theta = np.zeros(size)

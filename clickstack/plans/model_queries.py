@@ -58,9 +58,8 @@ def q_fm_model(spark, sf_dir):
 def q_fm_weighted(spark, sf_dir):
     """Factorization machine with class weights, fitted on whole-table gradients (2.12 #1)."""
     trd, _ = _tables(spark, sf_dir)
-    d = cut_lineage(mo.balanced_weights(trd, "clicked"), "weighted")
     n = HASH_FEATURES + len(NUMS)
-    return fm.fit(d, "clicked", "w", n, factor_size=8, max_iter=15).score(trd, ["rid", "clicked"])
+    return fm.fit(mo.balanced_weights(trd, "clicked"), "clicked", "w", n, factor_size=8, max_iter=15).score(trd, ["rid", "clicked"])
 
 
 @register("cv_models")

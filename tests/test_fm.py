@@ -62,3 +62,12 @@ def test_weighted_fit_learns_and_resumes(spark, tmp_path):
     assert ap > 0.5 and abs(ap - me.average_precision(plain, "y", "p").first()["ap"]) < 0.2
     # class weights move the mean prediction to one half
     assert 0.35 < out.agg(F.avg("p")).first()[0] and plain.agg(F.avg("p")).first()[0] < out.agg(F.avg("p")).first()[0]
+
+
+def test_steps_read_written_rows_not_the_plan(spark, monkeypatch):
+    """The weights and vectors are worked out once, whatever the number of steps."""
+    seen = []
+    real = fm.table_gradient
+    monkeypatch.setattr(fm, "table_gradient", lambda rows, *a: (seen.append(rows._jdf.queryExecution().executedPlan().toString()), real(rows, *a))[1])
+    fm.fit(table(spark).unpersist(), "y", "w", 12, factor_size=2, max_iter=2)
+    assert len(seen) == 2 and all("FileScan parquet" in p and "unwrap_udt" not in p and "Subquery" not in p for p in seen)
