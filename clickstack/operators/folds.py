@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import ship
 from ..functions.hashing import SEP, group_hash, md5_u32
+from ..session import cut_lineage
 from .rowindex import global_ordinal, ordinal_by_buckets, places
 
 
@@ -46,7 +47,8 @@ def attach_folds(df: DataFrame, group_cols: list[str], n_folds: int = 5,
     # groups are hashed once per value of their columns, not once per row
     present = [c for c in group_cols if c in df.columns]
     groups = with_group(df.select(*present).distinct(), group_cols, mode) if present else gdf
-    return gdf.join(group_fold_map(groups, n_folds), "g", "left")
+    # the map is written first: a join that knows its size does not shuffle the rows, histories and all, by their group
+    return gdf.join(cut_lineage(group_fold_map(groups, n_folds), "foldmap"), "g", "left")
 
 
 PROFILES = 10_000  # profiles that are dealt together
@@ -81,7 +83,6 @@ def stratified_group_fold_map(df: DataFrame, label_col: str, n_splits: int = 5,
     order of a seeded hash, the first ``m - m % n`` go round the folds; the leftover ones, at most
     n - 1 of a profile, are dealt greedily, profiles with the largest difference between the classes
     first.  A task deals ``block`` profiles, balancing them by themselves."""
-    from ..session import cut_lineage
     n = int(n_splits)
     if n < 2:
         raise ValueError("stratified folds need at least two; see holdout for one validation part")

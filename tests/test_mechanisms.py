@@ -398,3 +398,12 @@ def test_covis_fills_are_fitted_without_the_join(spark, monkeypatch, tmp_path):
     out = cq.q_features_with_covis(spark, str(tmp_path))
     assert len(seen) == 1 and "Join" not in seen[0]
     assert out.count() == 54 and out.select("rid").distinct().count() == 54
+
+
+def test_rows_are_not_shuffled_for_their_folds(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"g{i % 4}", i % 3) for i in range(60)], "rid long, a string, b long")
+    got = folds.attach_folds(df, ["a", "b"], 3, "md5")
+    p = plan(got)
+    assert "BroadcastHashJoin" in p and "hashpartitioning" not in p and "SortMergeJoin" not in p
+    want = {r.rid: r.fold for r in folds.group_folds(df, ["a", "b"], 3, "md5").collect()}
+    assert {r.rid: r.fold for r in got.collect()} == want and len(want) == 60
